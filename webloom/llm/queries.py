@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chat, flac, mixing, quality, url_filter
+from webloom.llm import chat, flac, mixing, pii, quality, url_filter
 from webloom.tables import table
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -34,6 +34,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), labels)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_flac": op6_flac,
     "op7_quality": op7_quality,
+    "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
 }
 
