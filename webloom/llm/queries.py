@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chat, flac, mixing, pii, quality, url_filter
+from webloom.llm import chat, flac, jaccard_join, mixing, pii, quality, url_filter
 from webloom.tables import table
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -17,6 +17,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_examples(conversations))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     # A page's label is that of the document with its id; low quality is to be blocked.
@@ -44,6 +48,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_chat": op2_chat,
+    "op3_jaccard": op3_jaccard,
     "op5_url_filter": op5_url_filter,
     "op6_flac": op6_flac,
     "op7_quality": op7_quality,
@@ -67,4 +72,18 @@ gathered as (
   from turns group by conv_id)
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256,
   formatted_chars::bigint as formatted_chars, n_examples from gathered""",
+    "op3_jaccard": r"""
+with recursive texts as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s from texts),
+sizes as (select doc_id, len(s) as n from sets),
+rows as (select doc_id, unnest(s) as x from sets),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as common from rows a join rows b on a.x = b.x and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (
+  select a, b from shared join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * common >= 85 * (p.n + q.n - common)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as r from sizes union select reach.doc_id, both_ways.b from reach join both_ways on both_ways.a = reach.r)
+select sizes.doc_id, n::bigint as n_shingles, min(r) as component_id from sizes join reach on reach.doc_id = sizes.doc_id group by all""",
 }
