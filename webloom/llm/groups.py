@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.cut import cut
+from webloom.cut import cut, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,3 +28,54 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             return kept.select(F.col("u").alias("node"), F.col("v").alias("label"))
         before = now
+
+
+def link_lists(
+    lists: DataFrame,
+    labels: DataFrame,
+    verified: Callable[[DataFrame], DataFrame],
+    fits: Column,
+    enough: Column | None = None,
+    carry: tuple[str, ...] = (),
+    first: tuple[str, ...] = (),
+    rounds: int = 2,
+) -> DataFrame:
+    """labels (node, label), extended by all verified links between nodes that share a key of lists (key, sid, *carry).
+
+    In a star round each list offers its first member (by the columns ``first``, then component and sid) to the members of
+    other components, and each node tries the one that it meets most often: a group of near copies costs its size. In the last
+    round all pairs that share a key, lie in different components and haven't been tried are verified, so no link between
+    components is missed. ``fits`` judges a pair within a list by the carried columns, those of the other under ``other_``;
+    ``enough`` judges a pair by those and the number of keys that it shares, as ``shared``.
+    """
+    tried = None
+    for k in range(rounds + 1):
+        placed = lists.join(labels, F.col("sid") == F.col("node"), "left").select("key", "sid", *carry, F.coalesce("label", "sid").alias("part"))
+        if k:  # lists that lie in one component have nothing more to tell
+            apart = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+            placed = placed.join(apart, "key")
+        names = ["part", "sid", *carry]
+        if k < rounds:
+            offered = placed.groupBy("key").agg(F.min(F.struct(*first, *(n for n in names if n not in first))).alias("f"))
+            other = offered.select("key", *(F.col(f"f.{n}").alias(f"other_{n}") for n in names))
+            apart_now = F.col("part") != F.col("other_part")
+        else:
+            other = placed.select("key", *(F.col(n).alias(f"other_{n}") for n in names))
+            apart_now = F.col("part") < F.col("other_part")
+        met = (
+            placed.join(other, "key")
+            .where(apart_now & fits)
+            .groupBy("sid", "other_sid")
+            .agg(F.count("*").alias("shared"), *(F.min(n).alias(n) for c in carry for n in (c, f"other_{c}")))
+        )
+        if enough is not None:
+            met = met.where(enough)
+        if k < rounds:
+            met = met.groupBy("sid").agg(F.max(F.struct("shared", "other_sid"))["other_sid"].alias("other_sid"))
+        pairs = met.select(F.least("sid", "other_sid").alias("a"), F.greatest("sid", "other_sid").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "tried")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(verified(pairs)))
+    return labels

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.cut import cut, written
-from webloom.llm.groups import components
+from webloom.cut import written
+from webloom.llm.groups import components, link_lists
 from webloom.llm.sketch import cell_counts
 from webloom.llm.words import by_size, mixed, shingles, utf8, word_hashes
 
@@ -123,11 +123,6 @@ def subset_links(nodes: DataFrame, light: int) -> DataFrame:
     return rows.join(first, "key").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
 
 
-def _fits(na: str, nb: str, light: int) -> Column:
-    low, high = F.least(na, nb), F.greatest(na, nb)
-    return (100 * low >= PERCENT * high) & (high > light)
-
-
 def _enough(shared: str, na: str, nb: str) -> Column:
     """Whether sets that share so many posted elements can share enough: beyond its posted ones a set has n - posted(n)."""
     least = F.ceil(F.lit(PERCENT) * (F.col(na) + F.col(nb)) / F.lit(100 + PERCENT) - F.lit(1e-9))
@@ -188,36 +183,9 @@ def join(docs: DataFrame, star_rounds: int = 2) -> DataFrame:
     # Only sets that share enough with one other by count need their elements.
     sets = written(elements(docs, nodes.join(lists.select("sid").distinct(), "sid", "left_semi")), "jaccard-sets")
 
-    tried = None
-    labels = components(links)
-    for k in range(star_rounds + 1):
-        placed = lists.join(labels, F.col("sid") == F.col("node"), "left").select("key", "sid", "n", F.coalesce("label", "sid").alias("part"))
-        if k:  # lists that lie in one component have nothing more to tell
-            apart = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-            placed = placed.join(apart, "key")
-        other = placed.select("key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("part").alias("other"))
-        if k < star_rounds:
-            first = placed.groupBy("key").agg(F.min(F.struct("part", "sid", "n")).alias("f"))
-            other = first.select("key", F.col("f.sid").alias("b"), F.col("f.n").alias("nb"), F.col("f.part").alias("other"))
-        met = (
-            placed.withColumnRenamed("sid", "a")
-            .join(other, "key")
-            .where((F.col("part") != F.col("other")) if k < star_rounds else (F.col("part") < F.col("other")))
-            .where(_fits("n", "nb", light))
-            .groupBy("a", "b")
-            .agg(F.count("*").alias("shared"), F.min("n").alias("n"), F.min("nb").alias("nb"))
-            .where(_enough("shared", "n", "nb"))
-        )
-        if k < star_rounds:  # a set tries the one that it meets most often; what this leaves out is left to the last round
-            met = met.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "jaccard-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(verified(pairs, sets))
-        labels = components(links)
-
+    low, high = F.least("n", "other_n"), F.greatest("n", "other_n")
+    fits = (100 * low >= PERCENT * high) & (high > light)
+    labels = link_lists(lists, components(links), lambda pairs: verified(pairs, sets), fits, _enough("shared", "n", "other_n"), carry=("n",), rounds=star_rounds)
     joined = nodes.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "n", "least", F.coalesce("label", "sid").alias("part"))
     names = joined.groupBy("part").agg(F.min("least").alias("component"))
     classes = joined.join(names, "part").select(F.col("sid").alias("of"), F.col("n").alias("of_n"), "component")

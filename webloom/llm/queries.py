@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chat, flac, jaccard_join, mixing, pii, quality, url_filter
+from webloom.llm import chat, decontaminate, flac, jaccard_join, line_dedup, mixing, pii, quality, url_filter
 from webloom.tables import table
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.sql("select -7L as conv_id, id as turn, if(id = 0, 'user', 'assistant') as role, '</s>[INST] ok [/INST]' as text from range(0, 2, 1, 1)")
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -46,7 +50,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_chat": op2_chat,
     "op3_jaccard": op3_jaccard,
     "op5_url_filter": op5_url_filter,
@@ -54,6 +63,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _ESCAPED = r"regexp_replace({0}, '([\[<])(~*(?:\|turn\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]))', '\1~\2', 'g')"
