@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chat, decontaminate, flac, jaccard_join, line_dedup, mixing, pii, quality, url_filter
+from webloom.llm import chat, decontaminate, flac, jaccard_join, line_dedup, mixing, ngram_lm, pii, quality, url_filter
 from webloom.tables import table
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -25,6 +25,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     # A page's label is that of the document with its id; low quality is to be blocked.
@@ -58,6 +62,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat": op2_chat,
     "op3_jaccard": op3_jaccard,
+    "op4_ngram_lm": op4_ngram_lm,
     "op5_url_filter": op5_url_filter,
     "op6_flac": op6_flac,
     "op7_quality": op7_quality,
