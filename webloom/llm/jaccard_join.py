@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.cut import written
+from webloom.cut import cut, small_side, written
 from webloom.llm.groups import components, link_lists
 from webloom.llm.sketch import cell_counts
 from webloom.llm.words import by_size, mixed, shingles, utf8, word_hashes
@@ -130,8 +130,8 @@ def _enough(shared: str, na: str, nb: str) -> Column:
     return F.col(shared) >= least - F.greatest(rest(na), rest(nb))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets (sid, elements) are linked."""
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are linked; only the texts of paired nodes are read again."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 2):
@@ -142,6 +142,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    sets = written(elements(docs, small_side(cut(nodes.join(paired, "sid", "left_semi").select("doc_id", "place")))), "jaccard-sets")
     left, right = sets.select(F.col("sid").alias("a"), F.col("elements").alias("x")), sets.select(F.col("sid").alias("b"), F.col("elements").alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
@@ -160,7 +162,7 @@ def elements(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     wanted = nodes.select(F.col("doc_id").alias("of"), F.col("place").alias("at"))
     rows = docs.select("doc_id", "text", place_of("text").alias("place")).join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("place") == F.col("at")))
-    return rows.dropDuplicates(["doc_id", "place"]).select("text").mapInArrow(work, "sid long, elements binary").dropDuplicates(["sid"])
+    return rows.select("text").mapInArrow(work, "sid long, elements binary").dropDuplicates(["sid"])
 
 
 def join(docs: DataFrame, star_rounds: int = 2) -> DataFrame:
@@ -180,12 +182,9 @@ def join(docs: DataFrame, star_rounds: int = 2) -> DataFrame:
     posts = nodes.where(100 * F.col("n") >= PERCENT * (light + 1)).select("sid", "n", F.explode(head).alias("key")).repartition("key")
     shared = posts.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key")
     lists = written(posts.join(shared.hint("shuffle_hash"), "key"), "jaccard-lists")
-    # Only sets that share enough with one other by count need their elements.
-    sets = written(elements(docs, nodes.join(lists.select("sid").distinct(), "sid", "left_semi")), "jaccard-sets")
-
     low, high = F.least("n", "other_n"), F.greatest("n", "other_n")
     fits = (100 * low >= PERCENT * high) & (high > light)
-    labels = link_lists(lists, components(links), lambda pairs: verified(pairs, sets), fits, _enough("shared", "n", "other_n"), carry=("n",), rounds=star_rounds)
+    labels = link_lists(lists, components(links), lambda pairs: verified(docs, nodes, pairs), fits, _enough("shared", "n", "other_n"), carry=("n",), rounds=star_rounds)
     joined = nodes.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "n", "least", F.coalesce("label", "sid").alias("part"))
     names = joined.groupBy("part").agg(F.min("least").alias("component"))
     classes = joined.join(names, "part").select(F.col("sid").alias("of"), F.col("n").alias("of_n"), "component")

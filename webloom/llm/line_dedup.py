@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.cut import written
+from webloom.cut import cut, small_side, written
 from webloom.llm.edits import within
 from webloom.llm.groups import components, link_lists
 from webloom.llm.words import by_size, mixed
@@ -144,19 +144,21 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     lines.append(normalised(split[r["number"]]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["sid", "line"])
 
-    by_doc = wanted.groupBy(F.col("doc_id").alias("of"), F.col("place").alias("at")).agg(F.collect_list(F.struct("number", "sid")).alias("rows"))
+    by_doc = small_side(cut(wanted.groupBy(F.col("doc_id").alias("of"), F.col("place").alias("at")).agg(F.collect_list(F.struct("number", "sid")).alias("rows"))), 20_000)
     rows = docs.select("doc_id", "text", place_of("text").alias("place")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("place") == F.col("at")))
     return rows.select("text", "rows").mapInArrow(work, "sid long, line string").dropDuplicates(["sid"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose lines (sid, line) are within EDITS edits."""
+def verified(docs: DataFrame, sites: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of lines within EDITS edits; only paired lines are read again, where sites has them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 2):
             keep = [within(x, y, EDITS) is not None for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    texts = written(line_texts(docs, sites.join(paired, "sid", "left_semi")), "line-texts")
     left, right = texts.select(F.col("sid").alias("a"), F.col("line").alias("x")), texts.select(F.col("sid").alias("b"), F.col("line").alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
@@ -170,12 +172,11 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     shared = posts.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.min("lookup").alias("l")).where("low < high and not l").select("key")
     lists = written(posts.join(shared.hint("shuffle_hash"), "key").distinct(), "line-lists")
     located = rows.select("doc_id", "place", F.explode(F.arrays_zip(F.col("numbers").alias("number"), F.col("ids").alias("sid"))).alias("l")).select("doc_id", "place", "l.number", "l.sid")
-    candidates = lists.select("sid").distinct()
-    wanted = located.join(candidates, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "place", "number")).alias("w")).select("sid", "w.*")
-    texts = written(line_texts(docs, wanted), "line-texts")
+    # Where a line is found first, to read its text there again.
+    sites = written(located.groupBy("sid").agg(F.min(F.struct("doc_id", "place", "number")).alias("w")).select("sid", "w.*"), "line-sites")
     none = components(lists.sparkSession.createDataFrame([], "a long, b long"))
     one_posted = ~(F.col("lookup") & F.col("other_lookup"))
-    labels = link_lists(lists, none, lambda pairs: verified(pairs, texts), one_posted, carry=("lookup",), first=("lookup",))
+    labels = link_lists(lists, none, lambda pairs: verified(docs, sites, pairs), one_posted, carry=("lookup",), first=("lookup",))
     parts = located.join(labels, F.col("sid") == F.col("node"), "left").select("doc_id", "place", "number", F.coalesce("label", "sid").alias("part"))
     here = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place", "number")
     firsts = parts.groupBy("part").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").select("part", "first")

@@ -1,6 +1,270 @@
-"""The registered queries and their DuckDB equivalents."""
+"""The registered queries and their DuckDB equivalents. Inline tables stand in for inputs that the folders don't hold."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webloom.functions import http as H
+from webloom.functions import text as X
+from webloom.kernel.net import REFUSED_V4
+from webloom.kernel.text import NAMED, STRIP_STEPS
+from webloom.operators import feeds as feed_ops
+from webloom.operators import net as net_ops
+from webloom.operators import pages as P
+from webloom.operators import render as render_ops
+from webloom.operators import robots as robots_ops
+from webloom.operators import sitemaps as sitemap_ops
+from webloom.plans import fixtures
+from webloom.sources import http as fetching
+from webloom.tables import table
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages")
+
+
+def page_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pages(spark, sf_dir).select("page_id", X.html_title(F.col("html")).alias("title"), X.strip_html(F.col("html")).alias("text"), F.regexp_count("html", F.lit('(?i)<a href="[^"]*">')).cast("long").alias("n_links"))
+    return rows.select("page_id", "title", X.word_count(F.col("text")).alias("n_words"), "n_links")
+
+
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.plain_text(_pages(spark, sf_dir)).select("page_id", "text")
+
+
+def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.text_stats(_pages(spark, sf_dir))
+
+
+def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.titles(_pages(spark, sf_dir)).select("page_id", "title")
+
+
+def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.metadata(_pages(spark, sf_dir)).select("page_id", "url", "title", "language", "description", "robots", "canonical")
+
+
+def meta_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.meta_values(fixtures.meta_pages(spark), "og").orderBy("page_id", "key")
+
+
+def links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.links(_pages(spark, sf_dir), dedupe=False, limit=None).select("page_id", "pos", "href", "text", "type")
+
+
+def links_deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.links(_pages(spark, sf_dir), limit=None).select("page_id", "pos", "href", "text")
+
+
+def links_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.links(_pages(spark, sf_dir), limit=3).select("page_id", "pos", "href", "link_count", "truncated")
+
+
+def links_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.links(fixtures.link_pages(spark), kind="external").select("page_id", "pos", "href", "text", "rel", "title")
+
+
+def link_host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = P.links(_pages(spark, sf_dir), dedupe=False, limit=None).select(F.regexp_extract("href", "^[a-z]+://([^/]+)", 1).alias("host"))
+    return hosts.groupBy("host").agg(F.count("*").alias("n"))
+
+
+def main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.main_content(_pages(spark, sf_dir)).select("page_id", "strategy", F.length("content").cast("long").alias("n_chars"))
+
+
+def reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.articles(_pages(spark, sf_dir)).select("page_id", "url", "title", "byline", "word_count")
+
+
+def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.markdown(_pages(spark, sf_dir)).select("page_id", "markdown")
+
+
+def ssrf_check_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), 0)).alias("ip"))
+    return net_ops.addresses_with_range(found.distinct())
+
+
+def ssrf_check_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return net_ops.address_verdicts(fixtures.addresses(spark))
+
+
+def ssrf_validate_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return net_ops.url_verdicts(_pages(spark, sf_dir).select("page_id", "url").unionByName(fixtures.urls(spark))).select("page_id", "ok", "reason")
+
+
+def dns_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return net_ops.host_answers(fixtures.answers(spark))
+
+
+def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robots_ops.rules(robots_ops.files(fixtures.robots_files(spark)))
+
+
+def robots_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against rules of its origin, which are the same for all origins here."""
+    pages = _pages(spark, sf_dir).select("page_id", "url")
+    origins = pages.select(F.regexp_extract("url", "^(https?://[^/?#]+)", 1).alias("origin")).distinct()
+    files = robots_ops.files(origins.select("origin", F.lit(200).alias("status"), F.lit(fixtures.ROBOTS).alias("body")))
+    return robots_ops.verdicts(pages, files).select("page_id", "path", "allowed", "matched_rule")
+
+
+def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sitemap_ops.parsed(fixtures.sitemap_site(spark)).select("url", F.posexplode("urls").alias("pos", "u"))
+    return rows.select(F.col("url").alias("sitemap"), F.col("pos").cast("long").alias("pos"), "u.*")
+
+
+def sitemap_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawl = sitemap_ops.crawl(fixtures.sitemap_seeds(spark), fixtures.sitemap_site(spark), max_depth=2)
+    return crawl["urls"].select("pos", "loc", F.col("depth").cast("long").alias("depth"))
+
+
+def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed_ops.feed_entries(fixtures.feeds(spark)).select("feed_id", "pos", "title", "link", "id", "published", "author", "summary", "content", F.array_join("categories", "|").alias("categories"))
+
+
+def content_type_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("content_type")
+    return fixtures.content_types(spark).select("content_type", H.is_text_type(t).alias("as_text"), H.is_json_type(t).alias("as_json"), H.charset_of(t).alias("charset"))
+
+
+def retry_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.retries(spark).select("attempt", "header", H.retry_delay_ms(F.col("attempt"), F.col("header"), F.col("now_ms")).alias("delay_ms"))
+
+
+def redirect_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return net_ops.follow_redirects(fixtures.redirect_requests(spark), fixtures.redirects(spark), 3)
+
+
+def http_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of the reading methods over captured responses: redirects, retries, caps, checks."""
+    found = fetching.fetch(fixtures.requests(spark), fetching.Captured(fixtures.CAPTURED))
+    return found.select("request_id", "response.ok", "response.status", "response.url", F.size("response.redirects").cast("long").alias("hops"), "response.body_text", "response.truncated", "response.error")
+
+
+def render_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render_ops.rendered(fixtures.responses(spark))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        page_overview, html_to_text, text_stats, page_title, page_meta, meta_tags, links_all, links_deduped, links_limit, links_by_type,
+        link_host_counts, main_content, reader, html_to_markdown, ssrf_check_ipv4, ssrf_check_address, ssrf_validate_url, dns_answers,
+        robots_rules, robots_verdict, sitemap_urls, sitemap_crawl, feed_entries, content_type_decision, retry_delay, redirect_follow,
+        http_fetch, render_response,
+    )
+}
+
+
+# DuckDB
+
+
+def _sql(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _text_sql(column: str) -> str:
+    for pattern, by in STRIP_STEPS:
+        by_sql = "chr(10) || chr(10)" if by == "\n\n" else "chr(10)" if by == "\n" else _sql(by)
+        column = f"regexp_replace({column}, {_sql(pattern)}, {by_sql}, 'g')"
+    return rf"regexp_replace({column}, '^\s+|\s+\z', '', 'g')"
+
+
+def _named_sql(column: str) -> str:
+    for name, char in NAMED:
+        column = f"replace({column}, {_sql(name)}, {_sql(char)})"
+    return column
+
+
+_TITLE = _named_sql(r"trim(regexp_replace(regexp_extract(html, '(?i)<title[^>]*>([\s\S]*?)</title>', 1), '\s+', ' ', 'g'))")
+_LANG = "regexp_extract(html, '(?i)<html[^>]* lang=\"([^\"]*)\"', 1)"
+_LINKS = r"""
+pieces as (select page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]+') as origin, html from pages),
+found as (
+  select page_id, origin, regexp_extract_all(html, '(?i)<a href="([^"]*)">([\s\S]*?)</a>', 1) as hrefs, regexp_extract_all(html, '(?i)<a href="([^"]*)">([\s\S]*?)</a>', 2) as texts from pieces),
+spread as (select page_id, origin, unnest(hrefs) as path, unnest(texts) as text, unnest(range(len(hrefs))) as pos from found),
+links as (
+  select page_id, pos, text, origin || array_to_string(list_transform(string_split_regex(path, ''), lambda c: case when ord(c) > 126 then url_encode(c) else c end), '') as href from spread)"""
+_FIRSTS = f"""{_LINKS},
+firsts as (select page_id, min(pos) as pos, href, arg_min(text, pos) as text from links group by page_id, href),
+deduped as (select page_id, row_number() over (partition by page_id order by pos) - 1 as pos, href, text from firsts)"""
+_RANGES = ", ".join(f"({int(n.network_address)}, {int(n.broadcast_address)}, '{n}')" for n in REFUSED_V4)
+
+ORACLES = {
+    "page_overview": rf"select page_id, {_TITLE} as title, len(regexp_extract_all({_text_sql('html')}, '\S+'))::bigint as n_words, len(regexp_extract_all(html, '(?i)<a href=\"[^\"]*\">'))::bigint as n_links from pages",
+    "html_to_text": f"select page_id, {_text_sql('html')} as text from pages",
+    "text_stats": rf"with t as (select page_id, {_text_sql('html')} as text from pages) select page_id, len(regexp_extract_all(text, '\S+'))::bigint as n_words, length(text)::bigint as n_chars from t",
+    "page_title": f"select page_id, {_TITLE} as title from pages",
+    "page_meta": f"select page_id, url, {_TITLE} as title, {_LANG} as language, null::varchar as description, null::varchar as robots, null::varchar as canonical from pages",
+    "meta_tags": "select * from (values (1::bigint, 'image', 'https://a.example/1.png', 2::bigint), (1, 'title', 'First & last', 1), (2, 'title', '', 1)) t(page_id, key, first, n)",
+    "links_all": f"with {_LINKS} select page_id, pos::bigint as pos, href, text, 'internal' as type from links",
+    "links_deduped": f"with {_FIRSTS} select page_id, pos::bigint as pos, href, text from deduped",
+    "links_limit": f"with {_FIRSTS}, counted as (select *, count(*) over (partition by page_id) as n from deduped) select page_id, pos::bigint as pos, href, least(n, 3)::bigint as link_count, n > 3 as truncated from counted where pos < 3",
+    "links_by_type": "select * from (values (1::bigint, 0::bigint, 'https://other.example/x?a=1%3E2', 'Other & more', 'nofollow', null), (1, 1, 'http://b.example/', '', null, 'B')) t(page_id, pos, href, text, rel, title)",
+    "link_host_counts": f"with {_LINKS} select regexp_extract(href, '^[a-z]+://([^/]+)', 1) as host, count(*) as n from links group by 1",
+    "main_content": r"""
+with a as (select page_id, html, trim(regexp_extract(html, '(?i)<article[^>]*>([\s\S]*?)</article>', 1), chr(32) || chr(9) || chr(10) || chr(13)) as article from pages)
+select page_id, case when length(article) > 200 then 'article' when regexp_matches(html, '(?i)<body[^>]*>[\s\S]*</body>') then 'body' else 'document' end as strategy,
+  (case when length(article) > 200 then length(article) when regexp_matches(html, '(?i)<body[^>]*>[\s\S]*</body>') then length(regexp_extract(html, '(?i)<body[^>]*>([\s\S]*)</body>', 1)) else length(html) end)::bigint as n_chars from a""",
+    "ssrf_check_ipv4": rf"""
+with ips as (select distinct unnest(regexp_extract_all(text, '[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}')) as ip from documents),
+parts as (select ip, list_transform(string_split(ip, '.'), lambda p: p::bigint) as p from ips),
+numbers as (select ip, case when list_max(p) <= 255 then ((p[1] * 256 + p[2]) * 256 + p[3]) * 256 + p[4] end as n from parts),
+ranges(low, high, range) as (values {_RANGES})
+select ip, case when n is not null then count(range) > 0 end as refused, arg_min(range, high - low) as range from numbers left join ranges on n between low and high group by ip, n""",
+    "robots_verdict": """
+with parts as (select page_id, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') || regexp_extract(url, '^[^?#]*([?][^#]*)?', 1) as path from pages),
+judged as (
+  select page_id, path, case when regexp_matches(path, '^/de/.*[.]html$') then 'Disallow: /de/*.html$' when path like '%?utm_%' then 'Disallow: /*?utm_'
+    when path like '/en/10%' then 'Allow: /en/10' when path like '/en/1%' then 'Disallow: /en/1' end as matched_rule from parts)
+select page_id, path, coalesce(matched_rule not like 'Dis%', true) as allowed, matched_rule from judged""",
+    "sitemap_crawl": """
+with recursive maps(url, child, i) as (values ('https://s.example/index.xml', 'https://s.example/a.xml', 0), ('https://s.example/index.xml', 'https://s.example/b.xml.gz', 1), ('https://s.example/index.xml', 'https://s.example/gone.xml', 2)),
+visits(url, depth, i) as (select 'https://s.example/index.xml', 0, 0 union all select child, depth + 1, maps.i from visits join maps using (url)),
+locs(url, loc, j) as (values ('https://s.example/a.xml', 'https://s.example/1', 0), ('https://s.example/a.xml', 'https://s.example/2', 1), ('https://s.example/b.xml.gz', 'https://s.example/3', 0))
+select row_number() over (order by depth, i, j) - 1 as pos, loc, depth::bigint as depth from visits join locs using (url)""",
+    "sitemap_urls": """
+select * from (values ('https://s.example/a.xml', 0::bigint, 'https://s.example/1', '2024-01-02', 'daily', 0.8::double), ('https://s.example/a.xml', 1, 'https://s.example/2', null, null, null),
+  ('https://s.example/b.xml.gz', 0, 'https://s.example/3', null, null, null)) t(sitemap, pos, loc, lastmod, changefreq, priority)""",
+    "feed_entries": """
+select * from (values ('atom', 0::bigint, 'Entry', 'https://f.example/e', 'urn:1', '2024-01-01T00:00:00Z', 'Ann', 'Short', '<p>Long</p>', 'news|misc'),
+  ('rss', 0, 'One & two', 'https://f.example/1', 'id-1', 'Mon, 01 Jan 2024 00:00:00 GMT', 'Bo', 'First', '<b>x</b>', 'a|b'),
+  ('rss', 1, 'Next', null, null, null, null, null, null, '')) t(feed_id, pos, title, link, id, published, author, summary, content, categories)""",
+    "content_type_decision": """
+with t(content_type) as (values ('text/html; charset=UTF-8'), ('application/json'), ('application/ld+json; charset=utf8'), ('image/png'), (''), ('image/svg+xml'), ('application/octet-stream'), ('text/plain; charset="iso8859-1"')),
+k as (select content_type, trim(split_part(lower(content_type), ';', 1)) as kind, lower(regexp_extract(content_type, '(?i)charset=["]?([^";]+)', 1)) as c from t)
+select content_type, kind = '' or kind like 'text/%' or kind in ('application/json') or kind like '%+json' or kind like '%+xml' as as_text, kind = 'application/json' or kind like '%+json' as as_json,
+  case when c in ('', 'utf8') then 'utf-8' when c = 'iso8859-1' then 'iso-8859-1' else c end as charset from k""",
+    "retry_delay": """
+select * from (values (0, null, 500::bigint), (1, null, 1000), (5, null, 8000), (0, '3', 3000), (0, '900', 60000), (2, 'soon', 2000), (0, 'Wed, 21 Oct 2026 07:28:30 GMT', 30000), (0, 'Wed, 21 Oct 2020 07:28:00 GMT', 0)) t(attempt, header, delay_ms)""",
+    "redirect_follow": """
+with recursive captured(url, status, location) as (values ('https://r.example/a', 302, '/b'), ('https://r.example/b', 301, 'c?x=1'), ('https://r.example/c?x=1', 200, null), ('https://r.example/loop', 302, '/loop')),
+way(request_id, url, hops) as (select * from (values (1::bigint, 'https://r.example/a', 0::bigint), (2, 'https://r.example/loop', 0), (3, 'https://r.example/none', 0)) r(request_id, url, hops)
+  union all select request_id, 'https://r.example/' || ltrim(location, '/'), hops + 1 from way join captured using (url) where status between 300 and 399 and hops < 3)
+select request_id, url, case when status < 300 then status else 0 end as status, hops, case when status is null then 'no response' when status >= 300 then 'exceeded 3 redirects' end as error
+from way left join captured using (url) where status is null or status < 300 or hops >= 3""",
+    "ssrf_check_address": """
+select * from (values ('10.1.2.3', false, 'IPv4 address 10.1.2.3 is in a reserved/private range'), ('8.8.8.8', true, null), ('::1', false, 'IPv6 address ::1 is loopback (::1)'),
+  ('fe9f::1', false, 'IPv6 address fe9f::1 is link-local (fe80::/10)'), ('fec0::1', true, null), ('::ffff:7f00:1', false, 'IPv6 address ::ffff:7f00:1 maps to 127.0.0.1: IPv4 address 127.0.0.1 is in a reserved/private range'),
+  ('::ffff:0808:0808', true, null), ('64:ff9b::1', false, 'IPv6 address 64:ff9b::1 is NAT64 (64:ff9b::/96)'), ('1.2.3.999', false, 'invalid IPv4 literal'), ('name', false, '"name" is not a valid IP literal')) t(ip, ok, reason)""",
+    "ssrf_validate_url": """
+select page_id, true as ok, null::varchar as reason from pages union all
+select * from (values (-1::bigint, false, 'scheme "ftp:" is not allowed (only http/https)'), (-2, false, 'IPv4 address 127.0.0.1 is in a reserved/private range'), (-3, false, 'hostname "a.localhost" resolves to loopback'),
+  (-4, false, 'URL failed to parse'), (-5, false, 'IPv6 address ::1 is loopback (::1)')) t""",
+    "dns_answers": """
+select * from (values ('good.example', false, null), ('mixed.example', true, 'DNS: mixed.example -> 10.0.0.1 -- IPv4 address 10.0.0.1 is in a reserved/private range'), ('none.example', true, 'DNS: none.example returned no addresses')) t(host, refused, reason)""",
+    "robots_rules": """
+select 'https://r.example' as origin, * from (values (0::bigint, '*', 0::bigint, false, '/en/1', 1.5::double), (0, '*', 1, true, '/en/10', 1.5), (0, '*', 2, false, '/de/*.html$', 1.5), (0, '*', 3, false, '/*?utm_', 1.5), (1, 'bot', 0, false, '/', null)) t(group_idx, agent, rule_idx, allow, path, crawl_delay)""",
+    "render_response": """
+select 1::bigint as request_id, 'HTTP/1.1 200 OK' || chr(10) || 'URL: https://a.example/' || chr(10) || 'Redirects: 1 hop(s)' || chr(10) || 'Duration: 12ms' || chr(10) || chr(10) || '--- Headers ---' || chr(10) || 'a: 1' || chr(10) || 'b: 2' || chr(10) || chr(10)
+  || '[body truncated at response-size cap]' || chr(10) || '--- Body ---' || chr(10) || 'hello' as text, false as is_error
+union all select 2, 'Request failed: exceeded 5 redirects', true
+union all select 3, 'HTTP/1.1 404' || chr(10) || 'URL: https://a.example/x' || chr(10) || 'Duration: 1ms' || chr(10) || chr(10) || '--- Headers ---' || chr(10) || chr(10) || '--- Body (parsed JSON) ---' || chr(10) || '{' || chr(10) || '  "a": [' || chr(10) || '    1' || chr(10) || '  ]' || chr(10) || '}', true""",
+    "http_fetch": """
+select * from (values (1::bigint, true, 200, 'https://h.example/end', 2::bigint, 'done', false, null), (2, true, 200, 'https://h.example/busy', 0, 'ready', false, null), (3, true, 200, 'https://h.example/big', 0, '01234', true, null),
+  (4, false, 0, 'http://127.0.0.1/', 0, null, false, 'IPv4 address 127.0.0.1 is in a reserved/private range'), (5, false, 0, 'http://10.0.0.8/x', 1, null, false, 'IPv4 address 10.0.0.8 is in a reserved/private range'),
+  (6, true, 200, 'https://h.example/end', 0, null, false, null), (7, false, 0, 'https://h.example/end', 0, null, false, 'POST is not idempotent: use send')) t(request_id, ok, status, url, hops, body_text, truncated, error)""",
+}
