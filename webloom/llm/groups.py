@@ -1,21 +1,46 @@
-"""Connected components of a graph that is never gathered: alternating large and small stars."""
+"""Connected components of a graph that the driver never holds, and links found through lists of keys."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.cut import cut, written
 
+#: Graphs of up to so many edges (5 MB) are one task's work; larger ones take rounds of joins, with the same result.
+EDGES_IN_ONE_TASK = 300_000
 
-def components(edges: DataFrame) -> DataFrame:
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(u), top(v)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "label"])
+
+
+def components(edges: DataFrame, in_one_task: int = EDGES_IN_ONE_TASK) -> DataFrame:
     """node, label for every node of edges (a, b) that isn't its component's least node, which is the label.
 
-    Minima are summed up before the shuffle, and edges meet them in joins that Spark can split; no group is collected.
+    Large graphs: alternating large and small stars. Minima are summed up before the shuffle, and edges meet them in joins
+    that Spark can split; no group is collected.
     """
     kept = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if kept.count() <= in_one_task:
+        return cut(kept.coalesce(1).mapInArrow(_in_one_task, "node long, label long"))
     before = None
     while True:
         both = kept.unionByName(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -35,47 +60,42 @@ def link_lists(
     labels: DataFrame,
     verified: Callable[[DataFrame], DataFrame],
     fits: Column,
-    enough: Column | None = None,
     carry: tuple[str, ...] = (),
     first: tuple[str, ...] = (),
+    central: tuple[str, ...] = (),
+    sift: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
     rounds: int = 2,
 ) -> DataFrame:
     """labels (node, label), extended by all verified links between nodes that share a key of lists (key, sid, *carry).
 
-    In a star round each list offers its first member (by the columns ``first``, then component and sid) to the members of
-    other components, and each node tries the one that it meets most often: a group of near copies costs its size. In the last
-    round all pairs that share a key, lie in different components and haven't been tried are verified, so no link between
-    components is missed. ``fits`` judges a pair within a list by the carried columns, those of the other under ``other_``;
-    ``enough`` judges a pair by those and the number of keys that it shares, as ``shared``.
+    In a star round each list offers one member to those of other components, and each node tries the offer that it meets most
+    often: a group of near copies costs its size. Offers are the first by the columns ``first``, then, in the first round, by
+    ``central``, later in an order that changes. In the last round all pairs that share a key, lie in different components
+    and haven't been tried are verified, so no link between components is missed. ``fits`` judges a pair within a list by
+    the carried columns, the other's under ``other_``; ``sift`` may drop pairs (a, b) that can't be linked.
     """
     tried = None
+    names = ["part", "sid", *carry]
     for k in range(rounds + 1):
         placed = lists.join(labels, F.col("sid") == F.col("node"), "left").select("key", "sid", *carry, F.coalesce("label", "sid").alias("part"))
         if k:  # lists that lie in one component have nothing more to tell
             apart = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
             placed = placed.join(apart, "key")
-        names = ["part", "sid", *carry]
         if k < rounds:
-            offered = placed.groupBy("key").agg(F.min(F.struct(*first, *(n for n in names if n not in first))).alias("f"))
-            other = offered.select("key", *(F.col(f"f.{n}").alias(f"other_{n}") for n in names))
+            turn = F.struct(*central) if central and not k else F.xxhash64("sid", F.lit(k))
+            offered = placed.groupBy("key").agg(F.min(F.struct(*first, turn.alias("turn"), F.struct(*names).alias("m"))).alias("f"))
+            other = offered.select("key", *(F.col(f"f.m.{n}").alias(f"other_{n}") for n in names))
             apart_now = F.col("part") != F.col("other_part")
         else:
             other = placed.select("key", *(F.col(n).alias(f"other_{n}") for n in names))
             apart_now = F.col("part") < F.col("other_part")
-        met = (
-            placed.join(other, "key")
-            .where(apart_now & fits)
-            .groupBy("sid", "other_sid")
-            .agg(F.count("*").alias("shared"), *(F.min(n).alias(n) for c in carry for n in (c, f"other_{c}")))
-        )
-        if enough is not None:
-            met = met.where(enough)
+        met = placed.join(other, "key").where(apart_now & fits).groupBy("sid", "other_sid").agg(F.count("*").alias("shared"))
         if k < rounds:
             met = met.groupBy("sid").agg(F.max(F.struct("shared", "other_sid"))["other_sid"].alias("other_sid"))
         pairs = met.select(F.least("sid", "other_sid").alias("a"), F.greatest("sid", "other_sid").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "tried")
+        pairs = written(sift(pairs), "tried")
         tried = pairs if tried is None else tried.unionByName(pairs)
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(verified(pairs)))
     return labels

@@ -123,11 +123,18 @@ def subset_links(nodes: DataFrame, light: int) -> DataFrame:
     return rows.join(first, "key").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
 
 
-def _enough(shared: str, na: str, nb: str) -> Column:
-    """Whether sets that share so many posted elements can share enough: beyond its posted ones a set has n - posted(n)."""
-    least = F.ceil(F.lit(PERCENT) * (F.col(na) + F.col(nb)) / F.lit(100 + PERCENT) - F.lit(1e-9))
-    rest = lambda n: F.ceil(F.lit(PERCENT) * F.col(n) / F.lit(100) - F.lit(1e-9)) - 1
-    return F.col(shared) >= least - F.greatest(rest(na), rest(nb))
+def _overlap(n: Column, m: Column) -> Column:
+    """least_overlap of two columns."""
+    return F.floor((PERCENT * (n + m) + (99 + PERCENT)) / F.lit(100 + PERCENT))
+
+
+def _can_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose posted elements have enough in common: beyond these a set has n - posted(n)."""
+    rest = lambda n: F.floor((PERCENT * n + 99) / F.lit(100)) - 1
+    side = lambda a, n, h: nodes.select(F.col("sid").alias(a), F.col("n").alias(n), F.col("head").alias(h))
+    both = pairs.join(side("a", "na", "ha"), "a").join(side("b", "nb", "hb"), "b")
+    shared = F.size(F.array_intersect("ha", "hb"))
+    return both.where(shared >= _overlap(F.col("na"), F.col("nb")) - F.greatest(rest(F.col("na")), rest(F.col("nb")))).select("a", "b")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -165,8 +172,8 @@ def elements(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(work, "sid long, elements binary").dropDuplicates(["sid"])
 
 
-def join(docs: DataFrame, star_rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+def classes(docs: DataFrame, star_rounds: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs (doc_id, text): its rows (doc_id, place, n, sid), the sets (sid, n, part, least doc_id, first row), and the parts."""
     counts = cell_counts(docs, lambda data: shingles(word_hashes(data), WORDS), BITS)
     levels = np.ceil(np.log2(counts + 1)).astype(np.uint8)
     rows = written(summaries(docs, levels), "jaccard-rows")
@@ -178,16 +185,53 @@ def join(docs: DataFrame, star_rounds: int = 2) -> DataFrame:
     light = boundary(histogram)
     links = subset_links(nodes, light)
 
-    head = F.slice("head", 1, (F.col("n") - F.ceil(F.lit(PERCENT) * F.col("n") / F.lit(100) - F.lit(1e-9)) + 1).cast("int"))
-    posts = nodes.where(100 * F.col("n") >= PERCENT * (light + 1)).select("sid", "n", F.explode(head).alias("key")).repartition("key")
+    head = F.slice("head", 1, (F.col("n") - F.floor((PERCENT * F.col("n") + 99) / F.lit(100)) + 1).cast("int"))
+    posts = nodes.where(100 * F.col("n") >= PERCENT * (light + 1)).select("sid", "n", F.posexplode(head).alias("pos", "key")).repartition("key")
     shared = posts.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key")
     lists = written(posts.join(shared.hint("shuffle_hash"), "key"), "jaccard-lists")
-    low, high = F.least("n", "other_n"), F.greatest("n", "other_n")
-    fits = (100 * low >= PERCENT * high) & (high > light)
-    labels = link_lists(lists, components(links), lambda pairs: verified(docs, nodes, pairs), fits, _enough("shared", "n", "other_n"), carry=("n",), rounds=star_rounds)
-    joined = nodes.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "n", "least", F.coalesce("label", "sid").alias("part"))
-    names = joined.groupBy("part").agg(F.min("least").alias("component"))
-    classes = joined.join(names, "part").select(F.col("sid").alias("of"), F.col("n").alias("of_n"), "component")
-    return rows.join(classes, (F.col("sid") == F.col("of")) & (F.col("n") == F.col("of_n")), "left").select(
+    # Sets with few elements of their own lie in the middle of a group of near copies.
+    own = F.max("n") - F.floor((PERCENT * F.max("n") + 99) / F.lit(100)) + 1
+    alone = lists.groupBy("sid").agg((own - F.count("*")).alias("alone"))
+    lists = written(lists.join(alone, "sid"), "jaccard-lists")
+    n, m = F.col("n"), F.col("other_n")
+    overlap = _overlap(n, m)
+    # Of sets that share so many elements, one of these is among the first of both.
+    fits = (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (F.greatest(n, m) > light) & (F.col("pos") <= n - overlap) & (F.col("other_pos") <= m - overlap)
+    labels = link_lists(
+        lists,
+        components(links),
+        lambda pairs: verified(docs, nodes, pairs),
+        fits,
+        carry=("n", "pos", "alone"),
+        central=("alone",),
+        sift=lambda pairs: _can_link(pairs, nodes),
+        rounds=star_rounds,
+    )
+    joined = nodes.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "n", "least", "doc_id", "place", F.coalesce("label", "sid").alias("part"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place")).alias("first")
+    parts = joined.groupBy("part").agg(F.min("least").alias("component"), first)
+    return rows.select("doc_id", "place", "n", "sid"), joined, parts
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    rows, sets, parts = classes(docs)
+    named = sets.join(parts, "part").select(F.col("sid").alias("of"), F.col("n").alias("of_n"), "component")
+    return rows.join(named, (F.col("sid") == F.col("of")) & (F.col("n") == F.col("of_n")), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of docs, with all its columns, for each component: the first by doc_id, then by text. Empty sets all stay."""
+    rows, _, parts = classes(docs.select("doc_id", "text"))
+    kept = parts.select(F.col("first.doc_id").alias("of"), F.col("first.place").alias("at"))
+    empty = rows.where("n = 0").select(F.col("doc_id").alias("of"), F.col("place").alias("at")).distinct()
+    repeated = rows.where("n > 0").groupBy("doc_id", "place").count().where("count > 1")
+    here = docs.select(*(F.col(f"`{c}`") for c in docs.columns), place_of("text").alias("jaccard place"))
+    at = lambda keys: here["doc_id"].eqNullSafe(keys["of"]) & (here["jaccard place"] == keys["at"])
+    kept_rows = here.join(kept, at(kept), "left_semi")
+    if repeated.limit(1).count():
+        kept_rows = kept_rows.dropDuplicates(["doc_id", "jaccard place"])
+    empty_rows = here.join(empty, at(empty), "left_semi")
+    return kept_rows.unionByName(empty_rows).drop("jaccard place")
