@@ -4,7 +4,7 @@ Texts are normalised: lower case, runs of blanks as one. A test item of n charac
 into one piece more than that, at least one piece is left whole in any match. An automaton finds all pieces in one pass
 over a text; where a piece lies, the item's whole surroundings are verified by Myers' bit-parallel distance.
 
-Null or empty texts match nothing. Items shorter than ``min_chars`` when normalised, or null, say too little to be
+Null or empty texts match nothing. Items shorter than ``MIN_CHARS`` when normalised, or null, say too little to be
 matched. Null doc_id and repeated rows are kept, each with its own matches; equal items match alike. Ties: of several
 places in a text the least distance counts, then the first. Empty tables: no rows. Other columns are ignored.
 """
@@ -20,6 +20,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from webloom.llm.edits import Pattern
 from webloom.llm.words import by_size
@@ -27,6 +29,7 @@ from webloom.llm.words import by_size
 _BLANKS = re.compile(r"\s+")
 #: Items in one automaton, by their bytes; more items are further passes over the documents.
 BLOCK_BYTES = 8 << 20
+RATE, MIN_CHARS = 0.08, 25
 
 
 def normalised(text: str | None) -> str:
@@ -80,38 +83,49 @@ class Matcher:
         return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_chars: int = 25) -> DataFrame:
+def blocks_of(benchmark: DataFrame, min_chars: int) -> list[list[tuple[int, str]]]:
+    """The items (item_id, normalised text) of benchmark (item_id, text) in blocks of bounded size."""
+    size = benchmark.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    rows = benchmark.select("item_id", "text").where("text is not null").distinct()
+    found = []
+    for b in range(blocks):
+        own = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
+        found.append(sorted(((r[0], t) for r in own if len(t := normalised(r[1])) >= min_chars), key=lambda x: (x[0] is None, x)))
+    return found
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, item_id, distance, end_at: the items of benchmark (item_id, text) that each row of docs (doc_id, text) holds.
 
     end_at is where the match ends in the normalised text. The items go in blocks of bounded size, each a pass over docs.
     """
-    size = benchmark.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    key = docs.schema["doc_id"].dataType.simpleString()
-    item_key = benchmark.schema["item_id"].dataType.simpleString()
-
-    def block(b: int) -> DataFrame:
-        own = benchmark.select("item_id", "text").where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).distinct()
-        items = [(r[0], t) for r in own.collect() if len(t := normalised(r[1])) >= min_chars]
+    schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], T.StructField("distance", T.LongType()), T.StructField("end_at", T.LongType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
 
+    def block(items: list[tuple[int, str]]) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sorted(items, key=lambda x: (x[0] is None, x)), rate)
+            matcher = Matcher(items, rate)
             for batch in by_size(batches, 1):
                 rows = [(d, *m) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for m in matcher.matches(normalised(text))]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64() if item_key == "bigint" else None), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())],
-                    ["doc_id", "item_id", "distance", "end_at"],
-                )
+                columns = zip(*rows, strict=True) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema.names)
+
+        return docs.select("doc_id", "text").mapInArrow(work, schema)
+
+    return reduce(DataFrame.unionByName, map(block, blocks_of(benchmark, min_chars)))
 
-        return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {key}, item_id {item_key}, distance long, end_at long")
 
-    return reduce(DataFrame.unionByName, (block(b) for b in range(blocks)))
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds no item of benchmark. No row is shuffled."""
+    text = docs.columns.index("text")
+
+    def clean(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(items, rate)
+            for batch in by_size(batches, text):
+                yield batch.filter(pa.array([not (t and matcher.matches(normalised(t))) for t in batch.column(text).to_pylist()], pa.bool_()))
 
+        return rows.mapInArrow(work, rows.schema)
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
-    """The rows of docs that hold no item; rows with a null doc_id are judged by their text."""
-    place = F.xxhash64(F.coalesce("text", F.lit("")))
-    keyed = docs.select("text").withColumn("doc_id", place)
-    found = leaks(keyed, benchmark, **options).select(F.col("doc_id").alias("leaking")).distinct()
-    return docs.join(found, place == F.col("leaking"), "left_anti")
+    return reduce(clean, blocks_of(benchmark, min_chars), docs)

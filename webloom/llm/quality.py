@@ -33,6 +33,7 @@ _CLASS[[ord(c) for c in "#$%&*@^~"]] = 6
 _CLASS[[ord(c) for c in "!?"]] = 7
 _CLASS[[ord(c) for c in "|<>{}[]()\\/=_+"]] = 8
 N_FEATURES = 19
+THRESHOLD = 0.7
 
 
 def statistics(data: bytes) -> np.ndarray:
@@ -160,9 +161,27 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs (doc_id, text); labels: (doc_id, label)."""
+def learned(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model | None]:
+    """The statistics of docs (doc_id, text), written, and the model of those that labels (doc_id, label) label and no fold holds out."""
     rows = written(with_statistics(docs), "quality-statistics")
     known = labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("of"), "label")
-    model = fit(rows.join(known, F.col("doc_id") == F.col("of")).select("x", "label"))
+    return rows, fit(rows.join(known, F.col("doc_id") == F.col("of")).select("x", "label"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs (doc_id, text); labels: (doc_id, label)."""
+    rows, model = learned(docs, labels)
     return scored(rows, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is predicted 1. No row is shuffled."""
+    _, model = learned(docs.select("doc_id", "text"), labels)
+    text = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_size(batches, text):
+            x = np.stack([statistics(utf8(t)) for t in batch.column(text).to_pylist()])
+            yield batch.filter(pa.array((model.score(x) if model else np.ones(len(x))) >= threshold))
+
+    return docs.mapInArrow(work, docs.schema)
