@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from webloom.functions import http as H
 from webloom.functions import text as X
+from webloom.functions.registry import register
 from webloom.operators import feeds, pages, robots, sitemaps
 from webloom.sources import http as S
+from webloom.streaming.pages import links_per_host, unique_links
 
 
 def frame(spark, rows, schema="page_id long, url string, html string"):
@@ -161,7 +163,19 @@ def test_stream(spark, tmp_path):
     rows = spark.sql("select 1L as page_id, 'https://a.example/' as url, '<a href=x>1</a><a href=x>2</a><a href=y>3</a>' as html, timestamp'2024-01-01' as seen_at")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    query = pages.unique_links_in_stream(stream, "1 hour").writeStream.format("memory").queryName("unique_links").start()
+    query = unique_links(stream, "1 hour").writeStream.format("memory").queryName("unique_links").start()
     query.processAllAvailable()
     query.stop()
     assert spark.table("unique_links").count() == 2
+    query = links_per_host(stream, "1 hour", "1 hour").writeStream.format("memory").queryName("hosts").outputMode("complete").start()
+    query.processAllAvailable()
+    query.stop()
+    assert [(r.host, r.n) for r in spark.table("hosts").collect()] == [("a.example", 3)]
+
+
+def test_sql_functions(spark):
+    register(spark)
+    r = spark.sql("select web_title('<title>t</title>').value as title, web_resolve_url('b', 'http://a/').value as url, web_markdown('<b>x</b>').value as md, size(web_links('<a href=x>', 'http://a/').value) as n").first()
+    assert (r.title, r.url, r.md, r.n) == ("t", "http://a/b", "**x**", 1)
+    rows = spark.sql("select href, type from web_link_rows('<a href=x>1</a><a href=y>2</a>', 'http://a/')").collect()
+    assert [r.href for r in rows] == ["http://a/x", "http://a/y"]

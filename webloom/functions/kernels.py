@@ -42,7 +42,7 @@ def kernel(work: Callable[..., Any], value_type: T.DataType) -> Callable[..., Co
     """
     kind = T.StructType([T.StructField("value", value_type), T.StructField("error", T.StringType())])
 
-    def call(*columns: Column | str) -> Column:
+    def function(n: int) -> Any:
         arrow = to_arrow_type(kind)
 
         def one(first: Any, *rest: Any) -> dict[str, Any]:
@@ -53,17 +53,20 @@ def kernel(work: Callable[..., Any], value_type: T.DataType) -> Callable[..., Co
             except (ValueError, RecursionError) as e:
                 return {"value": None, "error": str(e) or type(e).__name__}
 
-        def batch(*arrays: pa.Array) -> pa.Array:
+        def batch(*arrays):
             parts = [
                 pa.array([one(*row) for row in zip(*(x.slice(a, ROWS_AT_ONCE).to_pylist() for x in arrays), strict=True)], arrow)
                 for a in range(0, len(arrays[0]), ROWS_AT_ONCE)
             ]
             return pa.concat_arrays(parts) if parts else pa.array([], arrow)
 
-        hints = [pa.Array] * len(columns)
-        batch.__signature__ = Signature([Parameter(f"a{i}", Parameter.POSITIONAL_ONLY, annotation=h) for i, h in enumerate(hints)], return_annotation=pa.Array)
-        return F.arrow_udf(batch, kind, F.ArrowUDFType.SCALAR).asNondeterministic()(*columns)
+        batch.__signature__ = Signature([Parameter(f"a{i}", Parameter.POSITIONAL_ONLY, annotation=pa.Array) for i in range(n)], return_annotation=pa.Array)
+        return F.arrow_udf(batch, kind).asNondeterministic()
+
+    def call(*columns: Column | str) -> Column:
+        return function(len(columns))(*columns)
 
+    call.function = function
     return call
 
 
