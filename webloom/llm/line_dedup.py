@@ -77,11 +77,16 @@ class _Hashes:
         return mixed((self.sums[begin + length] - self.sums[begin]) * self.back[begin] + mixed(salt.astype(np.uint64)))
 
 
-def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each normalised line, and KEYS keys of each: its segments', then its lookups'."""
+def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each normalised line, its letters' parities, and KEYS keys of each: its segments', then its lookups'.
+
+    Parities: a bit for each of 64 classes of letters, set if the line has an odd number of them. An edit changes two at most.
+    """
     n = np.array([len(s) for s in lines], dtype=np.int64)
-    hashes = _Hashes(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+    letters = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    hashes = _Hashes(letters)
     begin = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+    parities = np.bitwise_xor.reduceat(_U(1) << (mixed(letters.astype(np.uint64) + _U(1)) >> _U(58)), begin)
     ids = hashes.of(begin, n, n)
     keys = np.zeros((len(lines), KEYS), dtype=np.uint64)
     for i in range(EDITS + 1):
@@ -91,7 +96,7 @@ def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         at, size = segments(n - less, i)
         at = np.clip(at + shift, 0, n - size)
         keys[:, j] = hashes.of(begin + at, size, (n - less) * 64 + i + 1)
-    return ids, keys
+    return ids, parities, keys
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -99,7 +104,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, dtype=np.uint64)
-        for batch in by_size(batches, 1, 1 << 22):
+        for batch in by_size(batches, 1, 1 << 20):
             numbers, lines, ends = [], [], [0]
             for text in batch.column(1).to_pylist():
                 for i, line in enumerate((text or "").split("\n")):
@@ -107,7 +112,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
                         numbers.append(i)
                         lines.append(line)
                 ends.append(len(lines))
-            ids, keys = line_keys(lines) if lines else (np.zeros(0, dtype=np.uint64), np.zeros((0, KEYS), dtype=np.uint64))
+            none = np.zeros(0, dtype=np.uint64)
+            ids, parities, keys = line_keys(lines) if lines else (none, none, np.zeros((0, KEYS), dtype=np.uint64))
             new, at = np.unique(ids, return_index=True)
             fresh = ~np.isin(new, seen, assume_unique=True)
             seen = np.union1d(seen, new[fresh])
@@ -122,12 +128,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
                     pa.ListArray.from_arrays(ends.astype(np.int32), np.array(numbers, dtype=np.int32)),
                     pa.ListArray.from_arrays(ends.astype(np.int32), ids.view(np.int64)),
                     pa.ListArray.from_arrays(new_ends, ids[is_new].view(np.int64)),
+                    pa.ListArray.from_arrays(new_ends, parities[is_new].view(np.int64)),
                     pa.ListArray.from_arrays(new_ends * KEYS, keys[is_new].ravel().view(np.int64)),
                 ],
-                ["doc_id", "place", "numbers", "ids", "fresh", "keys"],
+                ["doc_id", "place", "numbers", "ids", "fresh", "parities", "keys"],
             )
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, place long, numbers array<int>, ids array<long>, fresh array<long>, keys array<long>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, place long, numbers array<int>, ids array<long>, fresh array<long>, parities array<long>, keys array<long>"
     return docs.select("doc_id", "text", place_of("text").alias("place")).mapInArrow(work, schema)
 
 
@@ -144,7 +151,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     lines.append(normalised(split[r["number"]]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["sid", "line"])
 
-    by_doc = small_side(cut(wanted.groupBy(F.col("doc_id").alias("of"), F.col("place").alias("at")).agg(F.collect_list(F.struct("number", "sid")).alias("rows"))), 20_000)
+    by_doc = small_side(cut(wanted.groupBy(F.col("doc_id").alias("of"), F.col("place").alias("at")).agg(F.collect_list(F.struct("number", "sid")).alias("rows"))))
     rows = docs.select("doc_id", "text", place_of("text").alias("place")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("place") == F.col("at")))
     return rows.select("text", "rows").mapInArrow(work, "sid long, line string").dropDuplicates(["sid"])
 
@@ -171,12 +178,15 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     # Keys that only lookups share link nothing.
     shared = posts.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.min("lookup").alias("l")).where("low < high and not l").select("key")
     lists = written(posts.join(shared.hint("shuffle_hash"), "key").distinct(), "line-lists")
+    parities = rows.select(F.explode(F.arrays_zip(F.col("fresh").alias("sid"), F.col("parities").alias("parity"))).alias("l")).select("l.*")
+    lists = written(lists.join(parities.join(lists.select("sid").distinct(), "sid", "left_semi").distinct(), "sid"), "line-lists")
     located = rows.select("doc_id", "place", F.explode(F.arrays_zip(F.col("numbers").alias("number"), F.col("ids").alias("sid"))).alias("l")).select("doc_id", "place", "l.number", "l.sid")
     # Where a line is found first, to read its text there again.
     sites = written(located.groupBy("sid").agg(F.min(F.struct("doc_id", "place", "number")).alias("w")).select("sid", "w.*"), "line-sites")
     none = components(lists.sparkSession.createDataFrame([], "a long, b long"))
-    one_posted = ~(F.col("lookup") & F.col("other_lookup"))
-    labels = link_lists(lists, none, lambda pairs: verified(docs, sites, pairs), one_posted, carry=("lookup",), first=("lookup",))
+    # Either has posted the key, and no more parities differ than the edits can change.
+    fits = ~(F.col("lookup") & F.col("other_lookup")) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("other_parity"))) <= 2 * EDITS)
+    labels = link_lists(lists, none, lambda pairs: verified(docs, sites, pairs), fits, carry=("lookup", "parity"), first=("lookup",))
     parts = located.join(labels, F.col("sid") == F.col("node"), "left").select("doc_id", "place", "number", F.coalesce("label", "sid").alias("part"))
     here = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place", "number")
     firsts = parts.groupBy("part").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").select("part", "first")
@@ -193,19 +203,25 @@ def _remaining(text: pd.Series, dropped: pd.Series) -> pd.Series:
     return pd.Series([kept(t, d) for t, d in zip(text, dropped, strict=True)], dtype=object)
 
 
+#: The column that deduped adds.
+DROPPED = "line dedup dropped"
+
+
 def deduped(docs: DataFrame) -> DataFrame:
-    """All columns of docs, text without the dropped lines, and dropped, their numbers (null: none)."""
-    gone = dropped_lines(docs).select(F.col("doc_id").alias("of"), F.col("place").alias("at"), F.col("dropped"))
-    joined = docs.withColumn("line dedup place", place_of("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("line dedup place") == F.col("at")), "left")
+    """All columns of docs, text without the dropped lines, and DROPPED, their numbers (null: none)."""
+    # Most documents lose some line, so this side grows with the documents: never broadcast.
+    gone = dropped_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("line dedup of"), F.col("place").alias("line dedup at"), F.col("dropped").alias(DROPPED)).hint("merge")
+    placed = docs.withColumn("line dedup place", place_of("text"))
+    joined = placed.join(gone, placed["doc_id"].eqNullSafe(gone["line dedup of"]) & (placed["line dedup place"] == gone["line dedup at"]), "left")
     remaining = F.pandas_udf(_remaining, "string")
-    changed = F.when(F.col("dropped").isNull(), docs["text"]).otherwise(remaining(docs["text"], F.col("dropped")))
-    return joined.select(*(changed.alias("text") if c == "text" else docs[c] for c in docs.columns), "dropped")
+    changed = F.when(F.col(f"`{DROPPED}`").isNull(), placed["text"]).otherwise(remaining(placed["text"], F.col(f"`{DROPPED}`")))
+    return joined.select(*(changed.alias("text") if c == "text" else placed[f"`{c}`"] for c in docs.columns), F.col(f"`{DROPPED}`"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_chars, kept_sha256 for every row of docs (doc_id, text)."""
     rows = deduped(docs.select("doc_id", "text"))
-    text = F.coalesce("text", F.lit(""))
-    n = F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long")
+    text, dropped = F.coalesce("text", F.lit("")), F.col(f"`{DROPPED}`")
+    n = F.when(dropped.isNull(), 0).otherwise(F.size(dropped)).cast("long")
     left = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     return rows.select("doc_id", (left + n).alias("n_lines"), n.alias("n_dropped"), F.length(text).cast("long").alias("kept_chars"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
