@@ -1,6 +1,9 @@
 """A corpus from documents: quality, line dedup, near-duplicate documents, benchmark leaks, source mix.
 
-Each stage works on what its predecessor kept, which is written as Parquet and read again.
+Each stage works on what its predecessor kept, which is written as Parquet and read again, and returns its columns as they
+were but for text and n_chars where lines were dropped. Null and empty texts pass the first stages like any others (the
+classifier judges the empty text, they have no lines, shingles or leaks) and the mix takes no words of them. Documents
+with null doc_id are treated by their text. Of repeated rows one stays, unless they are empty. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +27,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line repeats go, and with them documents of which nothing is left."""
-    rows = line_dedup.deduped(docs).where("dropped is null or text rlike '[^\\\\s]'")
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows = line_dedup.deduped(docs)
+    dropped = F.col(f"`{line_dedup.DROPPED}`")
+    left = rows.where(dropped.isNull() | F.col("text").rlike(r"\S"))
+    n_chars = F.when(dropped.isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return left.select(*(n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

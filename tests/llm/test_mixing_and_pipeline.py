@@ -93,7 +93,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             labels = table(spark, SMALL, "labels").selectExpr("doc_id", "quality as label")
             assert set(has) == {r.doc_id for r in quality.classify(before, labels).where("predicted = 1").collect()}
         elif name == "line_dedup":
-            gone = {r.doc_id: r.dropped for r in line_dedup.deduped(before).collect()}
+            gone = {r.doc_id: r[line_dedup.DROPPED] for r in line_dedup.deduped(before).collect()}
             for d, r in had.items():
                 left = "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in set(gone[d] or []))
                 assert (has[d].text, has[d].n_chars) == (left, len(left)) if gone[d] is None or left.strip() else d not in has
@@ -111,3 +111,12 @@ def test_pipeline_on_no_documents(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
         assert docs.count() == 0, name
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    docs = awkward(spark, [(300, None), (301, "line " * 30), (302, "line " * 30), (303, "\n" * 5)]).withColumnsRenamed({"part": "of", "n": "at"})
+    columns = docs.columns
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SMALL).write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        assert name == "source_mix" or docs.columns == columns

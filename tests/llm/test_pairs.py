@@ -170,11 +170,13 @@ def test_line_dedup(spark):
     got = {(x.doc_id, x.place): x.dropped for x in line_dedup.dropped_lines(docs).collect()}
     wanted = brute_dropped(given, places)
     assert len(wanted) > 20 and got == wanted
+    docs = docs.withColumnsRenamed({"part": "dropped", "n": "of", "key": "at"})
     out = line_dedup.deduped(docs)
-    assert out.columns == [*docs.columns, "dropped"] and out.count() == docs.count()
+    assert out.columns == [*docs.columns, line_dedup.DROPPED] and out.count() == docs.count()
+    before = {(x.doc_id, x.text) for x in docs.collect()}
     for x in out.collect():
-        gone = set(x.dropped or [])
-        assert x.dropped is None or (x.doc_id, ) and gone
+        gone = wanted.get((x.doc_id, places.get(x.text))) if x[line_dedup.DROPPED] is None else x[line_dedup.DROPPED]
+        assert ((x.doc_id, x.text) in before) == (x[line_dedup.DROPPED] is None) and (gone is None) == (x[line_dedup.DROPPED] is None)
     assert line_dedup.digests(empty(spark)).count() == 0
     assert line_dedup.digests(awkward(spark)).count() == awkward(spark).count()
 

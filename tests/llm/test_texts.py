@@ -333,7 +333,7 @@ def test_base_spans():
 def test_contexts_find_other_forms(spark):
     r = random.Random(2)
     digits = lambda n: "".join(r.choice("123456789") for _ in range(n))
-    rows = [(i, f"{text(i, 5)} telephone: +1 {digits(3)} {digits(3)} {digits(4)} {text(i + 500, 4)}") for i in range(40)]
+    rows = [(50 + i, f"{text(i, 5)} telephone: +1 {digits(3)} {digits(3)} {digits(4)} {text(i + 500, 4)}") for i in range(40)]
     rows += [(100 + i, f"{text(i, 5)} telephone: {digits(3)} {digits(3)} {digits(4)} then {text(i + 700, 4)}") for i in range(5)]
     rows += [(200 + i, f"{text(i, 5)} number {digits(3)} {digits(3)} {digits(4)} then {text(i + 900, 4)}") for i in range(30)]
     docs = awkward(spark, rows)
