@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webloom.functions import http as H
+from webloom.functions import kernels as K
 from webloom.functions import text as X
 from webloom.functions.registry import register
 from webloom.operators import feeds, pages, robots, sitemaps
@@ -179,3 +180,21 @@ def test_sql_functions(spark):
     assert (r.title, r.url, r.md, r.n) == ("t", "http://a/b", "**x**", 1)
     rows = spark.sql("select href, type from web_link_rows('<a href=x>1</a><a href=y>2</a>', 'http://a/')").collect()
     assert [r.href for r in rows] == ["http://a/x", "http://a/y"]
+
+
+def test_bodies(spark):
+    rows = [(bytearray(b"\xe9"), "text/plain; charset=ISO-8859-1"), (bytearray(b"\xef\xbb\xbfa\xff"), "text/html"), (bytearray(b"x"), "text/html; charset=nonsense"), (bytearray(b"\x80"), "a; charset=latin1"), (None, "a")]
+    df = spark.createDataFrame(rows, "body binary, kind string")
+    assert [r.t for r in df.select(K.decode_body("body", "kind")["value"].alias("t")).collect()] == ["é", "a\ufffd", "x", "€", None]
+    j = spark.createDataFrame([('{"a":1}', "application/json", False), ("{bad", "application/json", False), ('{"a":1}', "text/plain", False), ('{"a":1}', "x/y+json", True)], "t string, kind string, cut boolean")
+    got = j.select(H.json_body(F.col("t"), F.col("kind"), F.col("cut")).cast("string").alias("j"), H.basic_authorization(F.lit("u"), F.lit("p")).alias("b")).collect()
+    assert [r.j for r in got] == ['{"a":1}', None, None, None] and got[0].b == "Basic dTpw"
+
+
+def test_written_tables_are_cleared(spark):
+    from pathlib import Path
+
+    from webloom import cut
+
+    path = Path(cut.written(spark.range(3), "x").inputFiles()[0].removeprefix("file://")).parent
+    assert path.exists() and cut.clear_written(spark) and not path.exists()

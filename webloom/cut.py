@@ -19,6 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` materialised by a reliable checkpoint, with no lineage behind them."""
     shared_dir(df.sparkSession)
@@ -30,9 +33,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_written(spark: SparkSession) -> int:
+    """Deletes the tables that ``written`` made in this process. Call it when the results that read them are stored."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """``df`` to be broadcast if it has at most so many (narrow) rows, else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

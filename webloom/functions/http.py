@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.kernel.bodies import TEXT_TYPES
+
 #: Fixed values.
 RETRY_STATUSES = (408, 425, 429, 500, 501, 502, 503, 504)
 REDIRECT_STATUSES = (301, 302, 303, 307, 308)
 MOST_RETRY_AFTER_MS, MOST_BACKOFF_MS, FIRST_BACKOFF_MS = 60_000, 8_000, 500
 
 
-#: Exact types that are text, besides text/* and those that end in +json or +xml.
-TEXT_TYPES = ("application/json", "application/xml", "application/xhtml+xml", "application/javascript", "application/ecmascript", "application/x-www-form-urlencoded")
-
-
 def media_type(content_type: Column) -> Column:
     return F.trim(F.substring_index(F.lower(F.coalesce(content_type, F.lit(""))), ";", 1))
 
@@ -65,3 +63,15 @@ def limited_body(body: Column, max_bytes: int) -> tuple[Column, Column]:
 
 def lower_keys(headers: Column) -> Column:
     return F.transform_keys(headers, lambda k, _: F.lower(k))
+
+
+def json_body(body_text: Column, content_type: Column, truncated: Column) -> Column:
+    """The body as a variant if its type is JSON and it is whole; null if it can't be read.
+
+    Of equal keys the last counts only where spark.sql.variant.allowDuplicateKeys is set, else such a body gives null.
+    """
+    return F.when(is_json_type(content_type) & (body_text != "") & ~truncated, F.try_parse_json(body_text))
+
+
+def basic_authorization(user: Column, password: Column) -> Column:
+    return F.concat(F.lit("Basic "), F.base64(F.encode(F.concat(user, F.lit(":"), password), "UTF-8")))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from webloom.functions import schemas as S
-from webloom.kernel import feed, net, page, robots, sitemap, url
+from webloom.kernel import bodies, feed, net, page, robots, sitemap, url
 from webloom.kernel.markdown import html_to_markdown
 
 #: Rows that a kernel has at a time, since pages can be large.
@@ -100,6 +100,7 @@ url_parts = kernel(_parts, S.URL_PARTS)
 resolve_url = kernel(url.resolve, S.STRING)
 url_verdict = kernel(_verdict, S.VERDICT)
 address_refusal = kernel(net.address_refusal, S.STRING)
+decode_body = kernel(lambda body, content_type: bodies.decode_bytes(body, content_type or ""), S.STRING)
 parse_feed = kernel(feed.parse_feed, S.FEED)
 parse_sitemap = kernel(_sitemap, S.SITEMAP)
 parse_robots = kernel(robots.parse_robots, S.ROBOTS)

@@ -25,6 +25,7 @@ FUNCTIONS = (
     ("web_resolve_url", K.resolve_url, 2),
     ("web_url_verdict", K.url_verdict, 1),
     ("web_address_refusal", K.address_refusal, 1),
+    ("web_decode_body", K.decode_body, 2),
     ("web_feed", K.parse_feed, 1),
     ("web_sitemap", K.parse_sitemap, 1),
     ("web_robots", K.parse_robots, 1),

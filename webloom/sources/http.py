@@ -7,7 +7,6 @@ request is sent again because a plan is evaluated again; requests that aren't id
 from __future__ import annotations
 
 import base64
-import codecs
 import http.client
 import json
 import socket
@@ -28,6 +27,7 @@ from webloom.cut import written
 from webloom.functions import http as rules
 from webloom.functions.kernels import plain
 from webloom.functions.schemas import BOOLEAN, LONG, ONE_EACH, RESPONSE, STRING, record
+from webloom.kernel.bodies import decode_bytes, is_json_type, is_text_type
 from webloom.kernel.net import answers_refusal, url_refusal
 from webloom.kernel.url import Url, UrlError, parse
 
@@ -35,7 +35,13 @@ from webloom.kernel.url import Url, UrlError, parse
 TIMEOUT_MS, MAX_BYTES, MOST_BYTES, MAX_REDIRECTS, MOST_REDIRECTS, MOST_RETRIES = 10_000, 5 << 20, 100 << 20, 5, 20, 5
 METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 NOT_IDEMPOTENT = ("POST", "PATCH")
-USER_AGENT = f"webloom/{__version__}"
+
+
+def user_agent(version: str = __version__, about: str | None = None) -> str:
+    return f"webloom/{version}" + (f" (+{about})" if about else "")
+
+
+USER_AGENT = user_agent()
 
 REQUEST = record(
     method=STRING,
@@ -175,28 +181,6 @@ def retry_after_ms(header: str | None, now_ms: int) -> int | None:
         return None
 
 
-def is_text_type(content_type: str) -> bool:
-    kind = content_type.lower().partition(";")[0].strip()
-    return not kind or kind.startswith("text/") or kind in rules.TEXT_TYPES or kind.endswith(("+json", "+xml"))
-
-
-def is_json_type(content_type: str) -> bool:
-    kind = content_type.lower().partition(";")[0].strip()
-    return kind == "application/json" or kind.endswith("+json")
-
-
-def decode_bytes(body: bytes, content_type: str) -> str:
-    """As text by the charset of the type; unknown ones are UTF-8, and ISO 8859-1 is read as Windows does."""
-    _, _, after = content_type.lower().partition("charset")
-    label = after.lstrip().removeprefix("=").strip().strip('"').split(";")[0].split()[0].strip('"') if after.lstrip().startswith("=") and after.lstrip()[1:].strip(' "') else "utf-8"
-    label = {"iso-8859-1": "cp1252", "iso8859-1": "cp1252", "latin1": "cp1252", "us-ascii": "cp1252", "ascii": "cp1252", "utf8": "utf-8-sig", "utf-8": "utf-8-sig"}.get(label, label)
-    try:
-        codecs.lookup(label)
-        return body.decode(label, "replace")
-    except (LookupError, UnicodeError):
-        return body.decode("utf-8-sig", "replace")
-
-
 def request_headers(request: Request, method: str, has_body: bool, strip_auth: bool) -> dict[str, str]:
     """The headers of a hop, in lower case. Credentials don't follow to another origin."""
     h = {k.lower(): v for k, v in request.headers.items()}
