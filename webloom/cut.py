@@ -50,3 +50,14 @@ def clear_written(spark: SparkSession) -> int:
 def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """``df`` to be broadcast if it has at most so many (narrow) rows, else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+#: Rows that go to Python at a time where they hold whole texts.
+ROWS_IN_BATCH = 500
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for rows with whole texts, unless the session names a size of its own: executors hold a few at once."""
+    if spark.conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, str(ROWS_IN_BATCH))
