@@ -198,3 +198,19 @@ def test_written_tables_are_cleared(spark):
 
     path = Path(cut.written(spark.range(3), "x").inputFiles()[0].removeprefix("file://")).parent
     assert path.exists() and cut.clear_written(spark) and not path.exists()
+
+
+def test_small_batches_keep_a_named_size(spark):
+    from webloom import cut
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "777")
+        cut.small_batches(spark)
+        assert spark.conf.get(key) == "777"
+        spark.conf.unset(key)
+        cut.small_batches(spark)
+        assert spark.conf.get(key) == str(cut.ROWS_IN_BATCH)
+    finally:
+        spark.conf.set(key, before)
