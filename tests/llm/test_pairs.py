@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from helpers import awkward, empty, text
 from pyspark.sql import functions as F
 
 from webloom.llm import decontaminate, edits, groups, jaccard_join, line_dedup
-from webloom.llm.words import shingles, word_hashes
+from webloom.llm.words import _piece, shingles, word_hashes
 
 
 def distance(a, b):
@@ -138,6 +139,11 @@ def test_hashes_of_long_texts_are_those_of_short_ones():
     words = word_hashes(data)
     assert len(words) == 200_000 and (words[:1000] == word_hashes(b" ".join(data.split()[:1000]))).all()
     assert len(shingles(words[:3], 4)) == 1 and len(shingles(words[:0], 4)) == 0
+    long = bytes(random.Random(1).choices(b"abcdef", k=3_500_000))
+    swapped = long[65536:131072] + long[:65536] + long[131072:]
+    for data in (b"x " + long + b" y z", long, b"x " * 600_000 + long + b" " + b"y " * 600_000):
+        assert (word_hashes(data) == np.concatenate([_piece(w) for w in data.split()[:3]] + [_piece(w) for w in data.split()[3:][-3:]])).all() if len(data.split()) < 6 else len(word_hashes(data)) == 1_200_001
+    assert word_hashes(long) != word_hashes(swapped) and word_hashes(long)[0] == _piece(long)[0]
 
 
 def brute_dropped(rows, places):

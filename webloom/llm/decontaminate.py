@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from webloom.cut import small_batches
 from webloom.llm.edits import Pattern
 from webloom.llm.words import by_size
 
@@ -100,6 +101,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars:
 
     end_at is where the match ends in the normalised text. The items go in blocks of bounded size, each a pass over docs.
     """
+    small_batches(docs.sparkSession)
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], T.StructField("distance", T.LongType()), T.StructField("end_at", T.LongType())])
     kinds = [to_arrow_type(f.dataType) for f in schema]
 
@@ -118,6 +120,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of docs, with all their columns, whose text holds no item of benchmark. No row is shuffled."""
+    small_batches(docs.sparkSession)
     text = docs.columns.index("text")
 
     def clean(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from webloom.cut import small_batches
 from webloom.llm.words import by_size, utf8
 
 BLOCK = 192
@@ -475,6 +476,7 @@ def feature_of(samples: np.ndarray) -> str:
 
 def with_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: the FLAC stream of each row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1, GROUP_BYTES):
@@ -489,6 +491,7 @@ def with_media(docs: DataFrame) -> DataFrame:
 
 def pcm_blocks(media: DataFrame, block_samples: int = 96_000) -> DataFrame:
     """doc_id, sample_offset, n_samples, pcm (unsigned 8-bit), error: the streams of (doc_id, media), block by block."""
+    small_batches(media.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1, GROUP_BYTES):
@@ -511,6 +514,7 @@ def pcm_blocks(media: DataFrame, block_samples: int = 96_000) -> DataFrame:
 
 def media_digests(media: DataFrame) -> DataFrame:
     """What was stored, read back from the streams of (doc_id, n_bytes, media)."""
+    small_batches(media.sparkSession)
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

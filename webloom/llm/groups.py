@@ -64,7 +64,7 @@ def link_lists(
     first: tuple[str, ...] = (),
     central: tuple[str, ...] = (),
     sift: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
-    rounds: int = 2,
+    rounds: int = 1,
 ) -> DataFrame:
     """labels (node, label), extended by all verified links between nodes that share a key of lists (key, sid, *carry).
 

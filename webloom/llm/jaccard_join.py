@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.cut import cut, small_side, written
+from webloom.cut import cut, small_batches, small_side, written
 from webloom.llm.groups import components, link_lists
 from webloom.llm.sketch import cell_counts
 from webloom.llm.words import by_size, mixed, shingles, utf8, word_hashes
@@ -62,6 +62,7 @@ def partners(n: int) -> range:
 
 def summaries(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """doc_id, place (of the text), n, sid and head (the rarest elements, or all of a set that can be light) of every row."""
+    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1):
@@ -157,6 +158,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def elements(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """sid and the whole set, sorted, of each of nodes (doc_id, place: a row of docs that has it)."""
+    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 0):
@@ -172,7 +174,7 @@ def elements(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(work, "sid long, elements binary").dropDuplicates(["sid"])
 
 
-def classes(docs: DataFrame, star_rounds: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+def classes(docs: DataFrame, star_rounds: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of docs (doc_id, text): its rows (doc_id, place, n, sid), the sets (sid, n, part, least doc_id, first row), and the parts."""
     counts = cell_counts(docs, lambda data: shingles(word_hashes(data), WORDS), BITS)
     levels = np.ceil(np.log2(counts + 1)).astype(np.uint8)

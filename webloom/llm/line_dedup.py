@@ -15,12 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.cut import cut, small_side, written
+from webloom.cut import cut, small_batches, small_side, written
 from webloom.llm.edits import within
 from webloom.llm.groups import components, link_lists
 from webloom.llm.words import by_size, mixed
@@ -101,10 +100,11 @@ def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, place, the numbers and hashes of its long lines, and keys of those new in the task."""
+    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, dtype=np.uint64)
-        for batch in by_size(batches, 1, 1 << 20):
+        for batch in by_size(batches, 1, 1 << 18):
             numbers, lines, ends = [], [], [0]
             for text in batch.column(1).to_pylist():
                 for i, line in enumerate((text or "").split("\n")):
@@ -140,6 +140,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid and normalised line of each of wanted (doc_id, place, number, sid)."""
+    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 0):
@@ -193,14 +194,11 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return parts.join(firsts, "part").where(~here.eqNullSafe(F.col("first"))).groupBy("doc_id", "place").agg(F.sort_array(F.collect_set("number")).alias("dropped"))
 
 
-def _remaining(text: pd.Series, dropped: pd.Series) -> pd.Series:
-    def kept(t: str | None, lines) -> str | None:
-        if t is None or lines is None or not len(lines):
-            return t
-        gone = set(lines)
-        return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+def _remaining(text: pa.Array, dropped: pa.Array) -> pa.Array:
+    def kept(t: str | None, gone: set[int]) -> str | None:
+        return t if t is None or not gone else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
 
-    return pd.Series([kept(t, d) for t, d in zip(text, dropped, strict=True)], dtype=object)
+    return pa.array([kept(t, set(d or ())) for t, d in zip(text.to_pylist(), dropped.to_pylist(), strict=True)], pa.string())
 
 
 #: The column that deduped adds.
@@ -209,11 +207,12 @@ DROPPED = "line dedup dropped"
 
 def deduped(docs: DataFrame) -> DataFrame:
     """All columns of docs, text without the dropped lines, and DROPPED, their numbers (null: none)."""
+    small_batches(docs.sparkSession)
     # Most documents lose some line, so this side grows with the documents: never broadcast.
     gone = dropped_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("line dedup of"), F.col("place").alias("line dedup at"), F.col("dropped").alias(DROPPED)).hint("merge")
     placed = docs.withColumn("line dedup place", place_of("text"))
     joined = placed.join(gone, placed["doc_id"].eqNullSafe(gone["line dedup of"]) & (placed["line dedup place"] == gone["line dedup at"]), "left")
-    remaining = F.pandas_udf(_remaining, "string")
+    remaining = F.arrow_udf(_remaining, "string")
     changed = F.when(F.col(f"`{DROPPED}`").isNull(), placed["text"]).otherwise(remaining(placed["text"], F.col(f"`{DROPPED}`")))
     return joined.select(*(changed.alias("text") if c == "text" else placed[f"`{c}`"] for c in docs.columns), F.col(f"`{DROPPED}`"))
 

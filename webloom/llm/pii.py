@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.cut import cut, written
+from webloom.cut import cut, small_batches, written
 from webloom.llm.words import by_size, utf8, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -135,6 +135,7 @@ _FOUND = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int3
 
 def scan(docs: DataFrame) -> DataFrame:
     """Base spans of every row of docs (doc_id, text), and all instances with their patterns; row numbers the rows."""
+    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -156,6 +157,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def pattern_counts(docs: DataFrame) -> DataFrame:
     """pattern, total: how often each word, and each label before a colon or equals sign, occurs in all texts."""
+    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.cut import written
+from webloom.cut import small_batches, written
 from webloom.llm.words import by_size, utf8
 
 _CLASS = np.full(256, 9)
@@ -63,6 +64,7 @@ def statistics(data: bytes) -> np.ndarray:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of the text as an array, for every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1):
@@ -107,8 +109,8 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p / n for _, n, p in pools]), np.array([t / n for t, n, _ in pools])
 
 
-def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
-    return np.asarray(batch.column(column).flatten(), dtype=np.float64).reshape(-1, N_FEATURES)
+def _matrix(batch: pa.RecordBatch | pa.Table, column: str) -> np.ndarray:
+    return np.asarray(pc.list_flatten(batch.column(column)), dtype=np.float64).reshape(-1, N_FEATURES)
 
 
 def fit(labelled: DataFrame, features: int = 256, width: float = 4.0, ridge: float = 1e-3, most_rows: int = 40_000, seed: int = 7, tasks: int = 8) -> Model | None:
@@ -139,10 +141,10 @@ def fit(labelled: DataFrame, features: int = 256, width: float = 4.0, ridge: flo
     total = sum((np.frombuffer(r[0]) for r in rows.where("not apart").select("x", "label").mapInArrow(sums, "sums binary").collect()), np.zeros(size * size + size))
     gram, right = total[: size * size].reshape(size, size), total[size * size :]
     model.weights = np.linalg.solve(gram + ridge * max(1.0, gram[-1, -1]) * np.diag([*np.ones(features) / features, 1e-9]), right)
-    held = rows.where("apart").select("x", "label").toPandas()
-    if not len(held):
-        held = rows.select("x", "label").toPandas()
-    model.steps = isotonic(model.raw(np.stack(held["x"].to_numpy())), held["label"].to_numpy())
+    held = rows.where("apart").select("x", "label").toArrow()
+    if not held.num_rows:
+        held = rows.select("x", "label").toArrow()
+    model.steps = isotonic(model.raw(_matrix(held.combine_chunks(), "x")), np.asarray(held["label"]))
     return model
 
 
@@ -176,6 +178,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose text is predicted 1. No row is shuffled."""
+    small_batches(docs.sparkSession)
     _, model = learned(docs.select("doc_id", "text"), labels)
     text = docs.columns.index("text")
 

@@ -6,6 +6,7 @@ equal hashes on every machine. Long texts are hashed piece by piece, so that mem
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,16 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWER = _powers(1 << 12)
+_POWER = _powers(1 << 16)
+
+
+def _weights(place: np.ndarray) -> np.ndarray:
+    """A weight for each place in a word: powers, and beyond their number powers times a number of the block."""
+    weights = _POWER[place & 0xFFFF]
+    if len(place) and int(place.max()) > 0xFFFF:
+        block = (place >> 16).astype(np.uint64)
+        weights = weights * np.where(block == 0, _U(1), mixed(block) | _U(1))
+    return weights
 
 
 def utf8(text: str | None) -> bytes:
@@ -45,7 +55,6 @@ def utf8(text: str | None) -> bytes:
 
 
 def _piece(data: bytes) -> np.ndarray:
-    global _POWER
     a = np.frombuffer(data, dtype=np.uint8)
     inside = ~_BLANK[a]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -57,12 +66,19 @@ def _piece(data: bytes) -> np.ndarray:
     if not len(begin):
         return np.zeros(0, dtype=np.uint64)
     length = end - begin
-    if (most := int(length.max())) > len(_POWER):
-        _POWER = _powers(2 * most)
     letters = a[inside]
     first = np.concatenate([[0], np.cumsum(length)[:-1]])
     place = np.arange(len(letters)) - np.repeat(first, length)
-    return mixed(np.add.reduceat(_LETTER[letters] * _POWER[place], first) + length.astype(np.uint64))
+    return mixed(np.add.reduceat(_LETTER[letters] * _weights(place), first) + length.astype(np.uint64))
+
+
+def _long_word(data: bytes) -> np.ndarray:
+    """The hash of one word, piece by piece."""
+    total = 0
+    for a in range(0, len(data), PIECE):
+        part = np.frombuffer(data[a : a + PIECE], dtype=np.uint8)
+        total += int((_LETTER[part] * _weights(np.arange(a, a + len(part)))).sum(dtype=np.uint64))
+    return mixed(np.array([(total + len(data)) % (1 << 64)], dtype=np.uint64))
 
 
 def word_hashes(data: bytes) -> np.ndarray:
@@ -72,17 +88,23 @@ def word_hashes(data: bytes) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     if len(data) <= PIECE:
         return _piece(data)
-    parts, at = [], 0
-    array = np.frombuffer(data, dtype=np.uint8)
+    parts, at, array = [], 0, np.frombuffer(data, dtype=np.uint8)
     while at < len(data):
         stop = min(len(data), at + PIECE)
+        cut = stop
         while stop < len(data):  # up to the next blank
             found = np.flatnonzero(_BLANK[array[stop : stop + PIECE]])
             if len(found):
                 stop += int(found[0])
                 break
             stop = min(len(data), stop + PIECE)
-        parts.append(_piece(data[at:stop]))
+        if stop - cut > PIECE:  # the last word is a long one
+            blanks = np.flatnonzero(_BLANK[array[at:cut]])
+            begin = at + int(blanks[-1]) + 1 if len(blanks) else at
+            parts += [_piece(data[at:begin])] if begin > at else []
+            parts.append(_long_word(data[begin:stop]))
+        else:
+            parts.append(_piece(data[at:stop]))
         at = stop
     return np.concatenate(parts)
 
@@ -102,6 +124,14 @@ def shingles(words: np.ndarray, k: int, whole_if_short: bool = True) -> np.ndarr
     return mixed(total)
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, since a worker is kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def by_size(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 1 << 24) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about most_bytes of the (string or binary) column at most, one row at least."""
     for batch in batches:
@@ -111,3 +141,4 @@ def by_size(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 1
             b = max(a + 1, int(np.searchsorted(offsets, (offsets[a - 1] if a else 0) + most_bytes, side="right")))
             yield batch.slice(a, b - a)
             a = b
+    _give_back()
