@@ -142,3 +142,16 @@ def by_size(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 1
             yield batch.slice(a, b - a)
             a = b
     _give_back()
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: int, least_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows in larger batches, of at least so many bytes of the column but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column(column).nbytes
+        if n >= least_bytes:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
