@@ -201,6 +201,33 @@ def test_line_lookups_cover_all_places():
         assert set(keys[0][:own]) & set(keys[1]) or set(keys[1][:own]) & set(keys[0])
 
 
+def test_short_lines(spark):
+    """Repeats of any length go; edits follow the length."""
+    rows = [(1, "a\nRights reserved.\n \nabcdefghi"), (2, "a\n rights reserved. \n\nabcdefghx"), (3, "b\nrights reserve.\nunder the mit licenses now"), (4, "under a mit licence now")]
+    rows += [(5, "under the mit licence now\n19 characters here."), (6, "20 characters here..\n20 characters here!."), (7, "20 character's here..\n19 characters here!.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.dropped for x in line_dedup.dropped_lines(docs).collect()}
+    assert got == brute_short(rows) and got[2] == [0, 1] and got[3] == [1]
+    r = random.Random(8)
+    base = ["".join(r.choice("abcdef ") for _ in range(n)) for n in range(1, 32) for _ in range(2)]
+    rows = [(i, "\n".join(changed(r, r.choice(base), r.randint(0, 2)) for _ in range(4))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.dropped for x in line_dedup.dropped_lines(docs).collect()} == brute_short(rows)
+
+
+def brute_short(rows):
+    lines = [(d, i, x) for d, t in rows for i, line in enumerate(t.split("\n")) if (x := line.strip().lower())]
+    distinct, sets, first, out = sorted({x for _, _, x in lines}), Sets(), {}, {}
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            if distance(a, b) <= min(2, min(len(a), len(b)) // 10):
+                sets.join(a, b)
+    for d, i, x in lines:
+        if first.setdefault(sets.top(x), (d, i)) != (d, i):
+            out.setdefault(d, []).append(i)
+    return out
+
+
 def test_leaks(spark):
     r = random.Random(7)
     items = [(i, text(40 + i, r.randint(5, 30))) for i in range(12)] + [(50, "too short"), (51, None), (52, ""), (53, text(40, 8))]

@@ -1,10 +1,12 @@
 """Line dedup by a segment-partition edit join.
 
-Lines are compared stripped and in lower case; those shorter than ``MIN_CHARS`` are never dropped. Two lines within EDITS
-edits of each other are linked. A line of n characters is cut into EDITS + 1 segments, one of which any line within reach
-holds at nearly the same place: each line is posted under its segments with its length, and looks up, for each length
-that it can meet, the substrings that a segment of such a line can be. Candidates are verified by a banded
-bit-parallel edit distance. Of each component of linked lines, the first one by doc_id, text and line number stays.
+Lines are compared stripped and in lower case; blank ones are never dropped. Equal lines of any length are one. Two lines
+are linked if they are within an edit for every PER_EDIT characters of the shorter one, EDITS at most; shorter lines have
+no edits, since two edits make any word of three letters another. A line with so many edits is cut into one segment more,
+one of which any line within reach holds at nearly the same place: each line is posted under its segments with its length,
+and looks up, for each length that it can meet, the substrings that a segment of such a line can be. Candidates are
+verified by a banded bit-parallel edit distance. Of each component of linked lines, the first one by doc_id, text and line
+number stays.
 
 Null or empty text: no lines, unchanged. Null doc_id: after all others. Repeated rows (equal doc_id and text) are one
 document: what is kept of one is kept of each. No rows: no rows. Other columns pass through ``deduped``.
@@ -13,6 +15,7 @@ document: what is kept of one is kept of each. No rows: no rows. Other columns p
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,8 @@ from webloom.llm.edits import within
 from webloom.llm.groups import components, link_lists
 from webloom.llm.words import by_size, mixed
 
-EDITS, MIN_CHARS = 2, 40
+#: A line of MIN_CHARS characters or more can be dropped.
+EDITS, PER_EDIT, MIN_CHARS = 2, 10, 1
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15 | 5
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -38,25 +42,31 @@ def place_of(text: str) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def segments(n: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+def allowed(n: int) -> int:
+    """Edits between linked lines, the shorter of n characters."""
+    return min(EDITS, n // PER_EDIT)
+
+
+def segments(n: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """Begin and length of segment i of lines of n characters: as equal as can be, the longer ones last."""
-    short, longer = n // (EDITS + 1), n % (EDITS + 1)
-    first_long = EDITS + 1 - longer
+    short, longer = n // (edits + 1), n % (edits + 1)
+    first_long = edits + 1 - longer
     return short * i + np.maximum(0, i - first_long), short + (i >= first_long)
 
 
-def lookups() -> list[tuple[int, int, int]]:
+def lookups(edits: int) -> list[tuple[int, int, int]]:
     """(length difference, segment, shift) of the substrings that a line looks up, but for its own segments."""
     out = []
-    for less in range(EDITS + 1):
-        for i in range(EDITS + 1):
-            low, high = max(-i, less - (EDITS - i)), min(i, less + EDITS - i)
+    for less in range(edits + 1):
+        for i in range(edits + 1):
+            low, high = max(-i, less - (edits - i)), min(i, less + edits - i)
             out += [(less, i, shift) for shift in range(low, high + 1) if less or shift]
     return out
 
 
-LOOKUPS = lookups()
-KEYS = EDITS + 1 + len(LOOKUPS)
+#: By the edits. Keys of a line: its segments', then its lookups'.
+LOOKUPS = {e: lookups(e) for e in range(1, EDITS + 1)}
+KEYS = {e: e + 1 + len(found) for e, found in LOOKUPS.items()}
 
 
 class _Hashes:
@@ -76,30 +86,50 @@ class _Hashes:
         return mixed((self.sums[begin + length] - self.sums[begin]) * self.back[begin] + mixed(salt.astype(np.uint64)))
 
 
-def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hash of each normalised line, its letters' parities, and KEYS keys of each: its segments', then its lookups'.
+class _Lines:
+    """The hash of each normalised line and its letters' parities.
 
     Parities: a bit for each of 64 classes of letters, set if the line has an odd number of them. An edit changes two at most.
     """
-    n = np.array([len(s) for s in lines], dtype=np.int64)
-    letters = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    hashes = _Hashes(letters)
-    begin = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
-    parities = np.bitwise_xor.reduceat(_U(1) << (mixed(letters.astype(np.uint64) + _U(1)) >> _U(58)), begin)
-    ids = hashes.of(begin, n, n)
-    keys = np.zeros((len(lines), KEYS), dtype=np.uint64)
-    for i in range(EDITS + 1):
-        at, size = segments(n, i)
-        keys[:, i] = hashes.of(begin + at, size, n * 64 + i + 1)
-    for j, (less, i, shift) in enumerate(LOOKUPS, EDITS + 1):
-        at, size = segments(n - less, i)
-        at = np.clip(at + shift, 0, n - size)
-        keys[:, j] = hashes.of(begin + at, size, (n - less) * 64 + i + 1)
-    return ids, parities, keys
+
+    def __init__(self, lines: list[str]) -> None:
+        self.n = np.array([len(s) for s in lines], dtype=np.int64)
+        letters = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.hashes = _Hashes(letters)
+        self.begin = np.concatenate([[0], np.cumsum(self.n)])[: len(lines)].astype(np.int64)
+        bits = _U(1) << (mixed(letters.astype(np.uint64) + _U(1)) >> _U(58))
+        self.parities = np.bitwise_xor.reduceat(bits, self.begin) if lines else np.zeros(0, dtype=np.uint64)
+        self.ids = self.hashes.of(self.begin, self.n, self.n)
+
+    def keys(self, rows: np.ndarray, edits: int) -> np.ndarray:
+        """KEYS[edits] keys of each of these lines. Equal keys are of one number of edits."""
+        n, begin = self.n[rows], self.begin[rows]
+        salt = lambda n, i: (n * 8 + edits) * 8 + i + 1
+        keys = np.zeros((len(rows), KEYS[edits]), dtype=np.uint64)
+        for i in range(edits + 1):
+            at, size = segments(n, i, edits)
+            keys[:, i] = self.hashes.of(begin + at, size, salt(n, i))
+        for j, (less, i, shift) in enumerate(LOOKUPS[edits], edits + 1):
+            m = np.maximum(n - less, 0)
+            at, size = segments(m, i, edits)
+            at = np.clip(at + shift, 0, n - size)
+            keys[:, j] = self.hashes.of(begin + at, size, salt(m, i))
+        return keys
+
+    def posted(self, edits: int) -> np.ndarray:
+        """Whether each line can be linked by so many edits: it has them, or is longer by what they can add."""
+        high = (edits + 1) * PER_EDIT + edits if edits < EDITS else np.inf
+        return (self.n >= edits * PER_EDIT) & (self.n < high)
+
+
+def line_keys(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each normalised line, its letters' parities, and its keys."""
+    own = _Lines(lines)
+    return own.ids, own.parities, own.keys(np.arange(len(lines)), edits)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, place, the numbers and hashes of its long lines, and keys of those new in the task."""
+    """Per row of docs (doc_id, text): doc_id, place, the numbers and hashes of its lines, and by edits, keys of those new in the task."""
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,33 +138,35 @@ def lines_of(docs: DataFrame) -> DataFrame:
             numbers, lines, ends = [], [], [0]
             for text in batch.column(1).to_pylist():
                 for i, line in enumerate((text or "").split("\n")):
-                    if len(line) >= MIN_CHARS and len(line := normalised(line)) >= MIN_CHARS:
+                    if len(line := normalised(line)) >= MIN_CHARS:
                         numbers.append(i)
                         lines.append(line)
                 ends.append(len(lines))
-            none = np.zeros(0, dtype=np.uint64)
-            ids, parities, keys = line_keys(lines) if lines else (none, none, np.zeros((0, KEYS), dtype=np.uint64))
+            own, ends = _Lines(lines), np.array(ends)
+            ids = own.ids
             new, at = np.unique(ids, return_index=True)
             fresh = ~np.isin(new, seen, assume_unique=True)
             seen = np.union1d(seen, new[fresh])
             is_new = np.zeros(len(ids), dtype=bool)
             is_new[at[fresh]] = True
-            ends = np.array(ends)
-            new_ends = np.concatenate([[0], np.cumsum(is_new)])[ends].astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(2),
-                    pa.ListArray.from_arrays(ends.astype(np.int32), np.array(numbers, dtype=np.int32)),
-                    pa.ListArray.from_arrays(ends.astype(np.int32), ids.view(np.int64)),
-                    pa.ListArray.from_arrays(new_ends, ids[is_new].view(np.int64)),
-                    pa.ListArray.from_arrays(new_ends, parities[is_new].view(np.int64)),
-                    pa.ListArray.from_arrays(new_ends * KEYS, keys[is_new].ravel().view(np.int64)),
-                ],
-                ["doc_id", "place", "numbers", "ids", "fresh", "parities", "keys"],
-            )
-
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, place long, numbers array<int>, ids array<long>, fresh array<long>, parities array<long>, keys array<long>"
+            columns = [
+                batch.column(0),
+                batch.column(2),
+                pa.ListArray.from_arrays(ends.astype(np.int32), np.array(numbers, dtype=np.int32)),
+                pa.ListArray.from_arrays(ends.astype(np.int32), ids.view(np.int64)),
+            ]
+            for edits in KEYS:
+                posted = is_new & own.posted(edits)
+                new_ends = np.concatenate([[0], np.cumsum(posted)])[ends].astype(np.int32)
+                columns += [
+                    pa.ListArray.from_arrays(new_ends, ids[posted].view(np.int64)),
+                    pa.ListArray.from_arrays(new_ends, own.parities[posted].view(np.int64)),
+                    pa.ListArray.from_arrays(new_ends * KEYS[edits], own.keys(np.flatnonzero(posted), edits).ravel().view(np.int64)),
+                ]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "place", "numbers", "ids", *(f"{c}{e}" for e in KEYS for c in ("fresh", "parities", "keys"))]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, place long, numbers array<int>, " + ", ".join(f"{n} array<long>" for n in names[3:])
     return docs.select("doc_id", "text", place_of("text").alias("place")).mapInArrow(work, schema)
 
 
@@ -158,11 +190,11 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, sites: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of lines within EDITS edits; only paired lines are read again, where sites has them."""
+    """The pairs (a, b) of lines that are linked; only paired lines are read again, where sites has them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 2):
-            keep = [within(x, y, EDITS) is not None for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = [within(x, y, allowed(min(len(x), len(y)))) is not None for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     paired = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
@@ -171,15 +203,22 @@ def verified(docs: DataFrame, sites: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
+def _posts(rows: DataFrame, edits: int) -> DataFrame:
+    """key, sid, lookup of the keys for so many edits."""
+    keyed = rows.select(F.col(f"fresh{edits}").alias("fresh"), F.posexplode(f"keys{edits}").alias("j", "key"))
+    return keyed.select("key", F.get("fresh", F.floor(F.col("j") / KEYS[edits]).cast("int")).alias("sid"), (F.col("j") % KEYS[edits] > edits).alias("lookup"))
+
+
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, place, dropped (line numbers, from 0) of the documents that lose lines."""
     rows = written(lines_of(docs), "lines")
-    keyed = rows.select("fresh", F.posexplode("keys").alias("j", "key"))
-    posts = keyed.select("key", F.get("fresh", F.floor(F.col("j") / KEYS).cast("int")).alias("sid"), (F.col("j") % KEYS > EDITS).alias("lookup")).repartition("key")
+    keyed = reduce(DataFrame.unionByName, (_posts(rows, e) for e in KEYS))
+    posts = keyed.repartition("key")
     # Keys that only lookups share link nothing.
     shared = posts.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.min("lookup").alias("l")).where("low < high and not l").select("key")
     lists = written(posts.join(shared.hint("shuffle_hash"), "key").distinct(), "line-lists")
-    parities = rows.select(F.explode(F.arrays_zip(F.col("fresh").alias("sid"), F.col("parities").alias("parity"))).alias("l")).select("l.*")
+    zipped = lambda e: F.arrays_zip(F.col(f"fresh{e}").alias("sid"), F.col(f"parities{e}").alias("parity"))
+    parities = rows.select(F.explode(F.concat(*map(zipped, KEYS))).alias("l")).select("l.*")
     lists = written(lists.join(parities.join(lists.select("sid").distinct(), "sid", "left_semi").distinct(), "sid"), "line-lists")
     located = rows.select("doc_id", "place", F.explode(F.arrays_zip(F.col("numbers").alias("number"), F.col("ids").alias("sid"))).alias("l")).select("doc_id", "place", "l.number", "l.sid")
     # Where a line is found first, to read its text there again.
