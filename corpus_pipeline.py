@@ -18,6 +18,9 @@ from webloom.cut import shared_dir
 from webloom.llm import decontaminate, jaccard_join, line_dedup, mixing, quality
 from webloom.tables import table
 
+#: Near copies: so many per cent of the shingles of so many words are shared.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -36,7 +39,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return jaccard_join.representatives(docs)
+    return jaccard_join.representatives(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from helpers import awkward, empty, text
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from webloom.llm import decontaminate, edits, groups, jaccard_join, line_dedup
 from webloom.llm.words import _piece, shingles, word_hashes
 
@@ -126,6 +127,40 @@ def test_jaccard_join(spark):
     assert jaccard_join.join(empty(spark)).count() == 0 and jaccard_join.representatives(empty(spark)).count() == 0
 
 
+def test_jaccard_of_other_words_and_percent(spark):
+    """Against brute force, in light sets and heavy ones."""
+    r, rows = random.Random(4), []
+    for seed, length in [(10, 8), (11, 14), (12, 25), (13, 60), (14, 200)]:
+        base = text(seed, length).split()
+        for i in range(12):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, length // 40))):
+                w[r.randrange(len(w))] = f"new{r.randint(0, 3)}"
+            rows.append((100 + len(rows), " ".join(w + [f"more{i}x{j}" for j in range(r.randint(0, length // 3))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for words, percent in ((5, 80), (4, 85)):
+        sets, joined = [], Sets()
+        for i, (_, t) in enumerate(rows):
+            w = t.split()
+            a = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)}
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= percent * len(a | b):
+                    joined.join(i, j)
+            sets.append(a)
+        found[words] = {d: rows[joined.top(i)][0] for i, (d, _) in enumerate(rows)}
+        assert {x.doc_id: x.component_id for x in jaccard_join.join(docs, words, percent).collect()} == found[words]
+        assert {x.doc_id for x in jaccard_join.representatives(docs, words, percent).collect()} == set(found[words].values())
+    assert found[5] != found[4]
+
+
+def test_pipeline_stage_links_from_four_fifths_of_five_words_on(spark):
+    base = text(70, 104)
+    docs = spark.createDataFrame([(1, base), (2, f"{base} {text(71, 22)}"), (3, f"{base} {text(72, 28)}")], "doc_id long, text string")
+    assert [x.doc_id for x in jaccard_join.join(docs).select("component_id").distinct().withColumnRenamed("component_id", "doc_id").orderBy("doc_id").collect()] == [1, 2, 3]
+    assert sorted(x.doc_id for x in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == [1, 3]
+
+
 def test_light_sets_pay_where_they_are_cheap():
     assert jaccard_join.boundary({}) == 0
     light = jaccard_join.boundary({n: 100 for n in range(1, 49)})
