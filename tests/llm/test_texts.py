@@ -407,6 +407,31 @@ def test_ngram_scores(spark):
     assert ngram_lm.scores(empty(spark)).count() == 0
 
 
+def test_query_lists_pairs_seen_once(spark, tmp_path):
+    """A pair that training saw once scores by its own count."""
+    given = [(i, text(i, 30)) for i in range(200)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    spark.createDataFrame(given, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    train = [tokens(t) for d, t in given if not held(d)]
+    counts = Counter(w for t in train for w in t)
+    pairs = Counter(p for t in train for p in zip(t, t[1:], strict=False))
+    followers = Counter(a for a, _ in pairs)
+    total, distinct = sum(counts.values()), len(counts)
+    d1 = min(0.95, sum(c == 1 for c in counts.values()) / distinct)
+    plain = lambda w: (counts[w] - d1) / total if w in counts else d1 * distinct / total
+    once = 0
+    rows = {x.doc_id: x for x in queries.op4_ngram_lm(spark, str(tmp_path)).collect()}
+    for d, t in given:
+        t = tokens(t)
+        score = math.log10(plain(t[0]))
+        for a, b in zip(t, t[1:], strict=False):
+            once += pairs[a, b] == 1
+            p = plain(b) * (0.75 * followers[a] / counts[a] if a in counts else 1)
+            score += math.log10(p + (max(0, pairs[a, b] - 0.75) / counts[a] if a in counts else 0))
+        assert rows[d].score == pytest.approx(score, abs=0.02 * len(t))
+    assert once > 1000
+
+
 def test_no_training_texts(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
     rows = ngram_lm.scores(docs).collect()

@@ -26,7 +26,8 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.scores(table(spark, sf_dir, "documents"))
+    # Every counted pair is in the trie.
+    return ngram_lm.scores(table(spark, sf_dir, "documents"), least=1)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
