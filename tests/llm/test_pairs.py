@@ -293,6 +293,17 @@ def test_leaks(spark):
     assert decontaminate.without_leaks(docs, benchmark.limit(0)).count() == docs.count()
 
 
+def test_short_items(spark):
+    """They match without edits, where no word is cut."""
+    items = [(1, "What is  2+2?"), (2, "Cat"), (3, " "), (4, None), (5, "cat"), (6, "(x)")]
+    texts = ["so what IS\n2+2? four", "what is 2+3?", "concatenate", "the cat, the cat", "cats", "cat", "concat cat", "f(x)", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id, x.distance, x.end_at) for x in decontaminate.leaks(docs, benchmark).collect()}
+    assert got == {(0, 1, 0, 15), (7, 6, 0, 4)} | {(d, i, 0, e) for d, e in ((3, 7), (5, 3), (6, 10)) for i in (2, 5)}
+    assert {x.doc_id for x in decontaminate.without_leaks(docs, benchmark).collect()} == {1, 2, 4, 8}
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
     items = [(i, text(40 + i, 12)) for i in range(9)]

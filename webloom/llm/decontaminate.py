@@ -4,8 +4,8 @@ Texts are normalised: lower case, runs of blanks as one. A test item of n charac
 into one piece more than that, at least one piece is left whole in any match. An automaton finds all pieces in one pass
 over a text; where a piece lies, the item's whole surroundings are verified by Myers' bit-parallel distance.
 
-Null or empty texts match nothing. Items shorter than ``MIN_CHARS`` when normalised, or null, say too little to be
-matched. Null doc_id and repeated rows are kept, each with its own matches; equal items match alike. Ties: of several
+Null or empty texts match nothing, nor do null or blank items. Items shorter than ``MIN_CHARS`` when normalised have no
+edits, and match where they begin and end with whole words. Null doc_id and repeated rows are kept, each with its own matches; equal items match alike. Ties: of several
 places in a text the least distance counts, then the first. Empty tables: no rows. Other columns are ignored.
 """
 
@@ -43,11 +43,18 @@ def pieces(item: str, edits: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _whole_words(text: str, begin: int, end: int) -> bool:
+    """Whether text[begin:end] cuts no word in two."""
+    joined = lambda at: 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+    return not joined(begin) and not joined(end)
+
+
 class Matcher:
-    """The automaton of a block of items (id, normalised text)."""
+    """The automaton of a block of items (id, normalised text); those shorter than min_chars match as whole words."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
-        self.items = [(key, text, int(rate * len(text)), Pattern(text)) for key, text in items]
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int) -> None:
+        self.min_chars = min_chars
+        self.items = [(key, text, int(rate * len(text)) if len(text) >= min_chars else 0, Pattern(text)) for key, text in items]
         places = defaultdict(list)
         for i, (_, text, edits, _) in enumerate(self.items):
             for offset, piece in pieces(text, edits):
@@ -63,11 +70,15 @@ class Matcher:
         """(item, distance, end) of the items within their edits of some part of a normalised text."""
         if self.empty:
             return []
-        starts = defaultdict(set)
+        starts, whole = defaultdict(set), {}
         for end, (length, found) in self.automaton.iter(text):
             for i, offset in found:
-                starts[i].add(end + 1 - length - offset)
-        out = []
+                if len(self.items[i][1]) < self.min_chars:
+                    if i not in whole and _whole_words(text, end + 1 - length, end + 1):
+                        whole[i] = end + 1
+                else:
+                    starts[i].add(end + 1 - length - offset)
+        out = [(self.items[i][0], 0, end) for i, end in whole.items()]
         for i, at in starts.items():
             key, item, edits, pattern = self.items[i]
             best, window = None, None
@@ -84,7 +95,7 @@ class Matcher:
         return out
 
 
-def blocks_of(benchmark: DataFrame, min_chars: int) -> list[list[tuple[int, str]]]:
+def blocks_of(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     """The items (item_id, normalised text) of benchmark (item_id, text) in blocks of bounded size."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
@@ -92,7 +103,7 @@ def blocks_of(benchmark: DataFrame, min_chars: int) -> list[list[tuple[int, str]
     found = []
     for b in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        found.append(sorted(((r[0], t) for r in own if len(t := normalised(r[1])) >= min_chars), key=lambda x: (x[0] is None, x)))
+        found.append(sorted(((r[0], t) for r in own if (t := normalised(r[1]))), key=lambda x: (x[0] is None, x)))
     return found
 
 
@@ -107,7 +118,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars:
 
     def block(items: list[tuple[int, str]]) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate)
+            matcher = Matcher(items, rate, min_chars)
             for batch in by_size(batches, 1):
                 rows = [(d, *m) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for m in matcher.matches(normalised(text))]
                 columns = zip(*rows, strict=True) if rows else [[]] * 4
@@ -115,7 +126,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars:
 
         return docs.select("doc_id", "text").mapInArrow(work, schema)
 
-    return reduce(DataFrame.unionByName, map(block, blocks_of(benchmark, min_chars)))
+    return reduce(DataFrame.unionByName, map(block, blocks_of(benchmark)))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -125,10 +136,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min
 
     def clean(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate)
+            matcher = Matcher(items, rate, min_chars)
             for batch in by_size(batches, text):
                 yield batch.filter(pa.array([not (t and matcher.matches(normalised(t))) for t in batch.column(text).to_pylist()], pa.bool_()))
 
         return rows.mapInArrow(work, rows.schema)
 
-    return reduce(clean, blocks_of(benchmark, min_chars), docs)
+    return reduce(clean, blocks_of(benchmark), docs)
