@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_ONES = np.array([bin(b).count("1") for b in range(256)], dtype=np.int64)
 _SELECT = np.zeros((256, 8), dtype=np.int64)
 for _b in range(256):
     for _i, _at in enumerate(j for j in range(8) if _b >> j & 1):
@@ -25,16 +24,42 @@ def _packed(values: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+_BYTES = _U(0x0101010101010101)
+_TOP = _U(0x8080808080808080)
+
+
+def _sums_of_bytes(x: np.ndarray) -> np.ndarray:
+    """Byte b: the ones in bytes 0 to b."""
+    s = x - ((x >> _U(1)) & _U(0x5555555555555555))
+    s = (s & _U(0x3333333333333333)) + ((s >> _U(2)) & _U(0x3333333333333333))
+    return ((s + (s >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _BYTES
+
+
 class EliasFano:
-    """A monotone sequence of n numbers: ``low`` has ``bits`` low bits of each; ``high`` a one bit for each, after as many zeros as its high part."""
+    """A monotone sequence of n numbers: ``low`` has ``bits`` low bits of each; ``high`` a one bit for each, after as many zeros as its high part.
+
+    ``ones`` has the one bits before each 64 of ``high``, and their number at the end.
+    """
 
-    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray) -> None:
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray | None = None) -> None:
         self.n, self.bits, self.low, self.high = n, bits, low, high
-        ones = _ONES[high.view(np.uint8)].reshape(-1, 8).sum(axis=1) if len(high) else np.zeros(0, dtype=np.int64)
-        self.ones = np.concatenate([[0], np.cumsum(ones)])
-        self.zeros = 64 * np.arange(len(self.ones)) - self.ones
-        self.bytes = np.asarray(high).view(np.uint8)
+        self.ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)]).astype(np.int64) if ones is None else ones
         self.reads = np.ndarray((max(0, len(low) - 7),), dtype="<u8", buffer=low, strides=(1,))
+        self._zeros: np.ndarray | None = None
+
+    @property
+    def zeros(self) -> np.ndarray:
+        if self._zeros is None:
+            self._zeros = 64 * np.arange(len(self.ones)) - self.ones
+        return self._zeros
+
+    def parts(self, name: str) -> tuple[dict[str, np.ndarray], dict[str, int]]:
+        """Arrays and numbers to be stored, from which ``stored`` makes the sequence again."""
+        return {f"{name}_low": self.low, f"{name}_high": self.high, f"{name}_ones": self.ones}, {f"{name}_n": self.n, f"{name}_bits": self.bits}
+
+    @classmethod
+    def stored(cls, name: str, found: dict) -> EliasFano:
+        return cls(found[f"{name}_n"], found[f"{name}_bits"], found[f"{name}_low"], found[f"{name}_high"], found[f"{name}_ones"])
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -56,21 +81,23 @@ class EliasFano:
             at, left, shift = at + n, left - n, shift + n
         return out
 
-    def _select(self, counts: np.ndarray, i: np.ndarray, flip: int) -> np.ndarray:
-        """Position of the i-th bit of the kind that counts sums up; flip: 255 for zeros."""
+    def _select(self, counts: np.ndarray, i: np.ndarray, zeros: bool) -> np.ndarray:
+        """Position of the i-th one (or zero) bit; counts: how many there are before each 64."""
         word = np.searchsorted(counts, i, side="right") - 1
-        left, found = i - counts[word], np.full(len(i), -1, dtype=np.int64)
-        for b in range(8):
-            byte = self.bytes[np.minimum(word * 8 + b, len(self.bytes) - 1)] ^ flip
-            own = _ONES[byte]
-            here = (found < 0) & (left < own)
-            found[here] = word[here] * 64 + b * 8 + _SELECT[byte[here], left[here]]
-            left = np.where(found < 0, left - own, left)
-        return found
+        x = self.high[np.minimum(word, len(self.high) - 1)]
+        if zeros:
+            x = ~x
+        left = (i - counts[word]).astype(np.uint64)
+        sums = _sums_of_bytes(x)
+        # The bytes whose sums don't exceed what is left come before the bit.
+        byte = np.bitwise_count((((left * _BYTES) | _TOP) - sums) & _TOP).astype(np.uint64)
+        shift = byte << _U(3)
+        left -= ((sums << _U(8)) >> shift) & _U(0xFF)
+        return word * 64 + (shift.astype(np.int64) + _SELECT[(x >> shift) & _U(0xFF), left])
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """The numbers at positions i."""
-        upper = self._select(self.ones, i, 0) - i
+        upper = self._select(self.ones, i, False) - i
         return (upper.astype(np.uint64) << _U(self.bits)) | self._low(i) if self.bits < 64 else self._low(i)
 
     def successor(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -80,7 +107,7 @@ class EliasFano:
         upper = (value >> _U(self.bits)).astype(np.int64) if self.bits < 64 else np.zeros(len(value), dtype=np.int64)
         all_zeros = int(self.zeros[-1])
         # The numbers with the same high part lie between two zeros.
-        before = lambda h: np.where(h > 0, self._select(self.zeros, np.clip(h - 1, 0, all_zeros - 1), 255) + 1 - h, 0)
+        before = lambda h: np.where(h > 0, self._select(self.zeros, np.clip(h - 1, 0, all_zeros - 1), True) + 1 - h, 0)
         past = upper >= all_zeros  # beyond the largest high part
         low = np.where(past, self.n, before(np.minimum(upper, all_zeros)))
         high = np.where(past | (upper + 1 > all_zeros), self.n, before(np.minimum(upper + 1, all_zeros)))
