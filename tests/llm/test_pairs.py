@@ -8,7 +8,7 @@ from helpers import awkward, empty, text
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from webloom.llm import decontaminate, edits, groups, jaccard_join, line_dedup
+from webloom.llm import decontaminate, edits, groups, jaccard_join, line_dedup, neighbours
 from webloom.llm.words import _piece, shingles, word_hashes
 
 
@@ -231,11 +231,78 @@ def test_line_lookups_cover_all_places():
         if len(b) < line_dedup.MIN_CHARS:
             continue
         _, parities, keys = line_dedup.line_keys([a, b])
-        assert bin(int(parities[0] ^ parities[1])).count("1") <= 2 * line_dedup.EDITS
+        assert bin(int(parities[0] ^ parities[1])).count("1") <= line_dedup.FLIPS * line_dedup.EDITS
         own = line_dedup.EDITS + 1
         assert set(keys[0][:own]) & set(keys[1]) or set(keys[1][:own]) & set(keys[0])
 
 
+def test_neighbour_keys_hold_all_links():
+    """Strings within the edits meet under a key, at every level; where no rest decides, only such strings do."""
+    r = random.Random(9)
+
+    def meet(a, b, edits, context=0):
+        sides = []
+        for x in (a, b):
+            sides.append({})
+            for k, lookup, rest in zip(*neighbours.keys_of(x, context, edits), strict=True):
+                sides[-1].setdefault(k, []).append((lookup, rest))
+        for k in sides[0].keys() & sides[1].keys():
+            for u, x in sides[0][k]:
+                for v, y in sides[1][k]:
+                    if not (u and v) and (x is None or meet(np.frombuffer(x, dtype=neighbours.LETTER), np.frombuffer(y, dtype=neighbours.LETTER), edits, k)):
+                        return True
+        return False
+
+    near = 0
+    for _ in range(600):
+        a = "".join(r.choice("ab" if r.random() < 0.5 else "abcdefgh") for _ in range(r.choice([3, 8, 15, 22, 23, 24, 25, 26, 30, 45, 70, 160])))
+        b = changed(r, a, r.randint(0, 5), "ab")
+        pair = neighbours.letters_of(a), neighbours.letters_of(b)
+        near += edits.within(a, b, 2) is not None
+        assert meet(*pair, 2) == (edits.within(a, b, 2) is not None)
+        if len(a) <= 20 and len(b) <= 20:
+            assert meet(*pair, 1) == (edits.within(a, b, 1) is not None)
+    assert near > 200
+
+
+def test_crowded_lines_equal_brute_force(spark):
+    """Lists of more than two lines go to the narrower keys."""
+    r = random.Random(10)
+    base = ["".join(r.choice("abcdef ") for _ in range(n)) for n in (14, 24, 40, 90)]
+    rows = [(i, "\n".join(changed(r, r.choice(base), r.randint(0, 5)) for _ in range(4))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = brute_short(rows)
+    for crowd in (0, 2):
+        assert {x.doc_id: x.dropped for x in line_dedup.dropped_lines(docs, crowd).collect()} == wanted
+
+
+def test_many_alike_lines_cost_their_number(spark, monkeypatch):
+    """Two thousand lines that share most of their text, few of them linked: candidate pairs follow the lines, not their square."""
+    r = random.Random(11)
+    made = lambda: f"posted by {''.join(r.choice('abcdefghijklmnopqrstuvwxyz') for _ in range(10))} in the forum of all members, reply"
+    lines = [made() for _ in range(2000)]
+    lines += [x[:15] + "!" + x[16:] for x in lines[:20]]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    seen, verify = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda d, s, pairs: seen.append(pairs.count()) or verify(d, s, pairs))
+    assert {x.doc_id: x.dropped for x in line_dedup.dropped_lines(docs).collect()} == {2000 + i: [0] for i in range(20)}
+    assert sum(seen) < 3 * len(lines)
+
+
+def test_alike_sets_equal_brute_force(spark):
+    """Documents that share most of a template, with more or less of their own."""
+    r = random.Random(12)
+    template = text(90, 150).split()
+    rows = []
+    for i in range(80):
+        w = list(template)
+        for _ in range(r.choice([0, 1, 3, 5, 8])):
+            w[r.randrange(len(w))] = f"own{i}"
+        rows.append((i, " ".join(w + [f"tail{r.randint(0, 9)}x{j}" for j in range(r.randint(0, 12))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.join(docs).collect()) == sorted(brute_components(rows))
+
+
 def test_short_lines(spark):
     """Repeats of any length go; edits follow the length."""
     rows = [(1, "a\nRights reserved.\n \nabcdefghi"), (2, "a\n rights reserved. \n\nabcdefghx"), (3, "b\nrights reserve.\nunder the mit licenses now"), (4, "under a mit licence now")]

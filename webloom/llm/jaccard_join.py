@@ -4,13 +4,14 @@ A document's set are its distinct shingles of ``words`` words, as 64-bit hashes;
 ``percent`` on. Equal sets are one node. Sets of at most ``light``
 shingles, a boundary chosen by cost, emit all their subsets of the size that a linked pair must share: a common subset is
 a link. Larger sets are posted in inverted lists under their rarest shingles, as many as guarantee that linked sets
-share one; the order is by a sketch of how often shingles occur in all documents. Lists first link their members to one
-of them; what is then still apart is compared across components, pair by pair, so no link between components is missed
-and a group of near copies costs its size, not its square. All links are verified on whole sets.
+share one; the order is by a sketch of how often shingles occur in all documents. Lists first link their members to one of
+them. What is then still apart is compared across components, each pair once, and only pairs that fit by size and position
+leave the join. So no link between components is missed and a group of near copies costs its size, not its square. Links between heavy sets are verified on whole sets; light ones are linked by a
+common subset, known by its 64-bit hash.
 
 Null text, or none but blanks: the empty set, linked with nothing, and a component of its own. Null doc_id: the row takes
 part; it is the component's id only if all others are null too. Repeated rows are kept; equal texts are linked. Ties: the
-least doc_id names the component. No rows: no rows. Other columns are ignored. Hashes of different shingles or sets are
+least doc_id names the component. Very long texts: whole, like any other. No rows: no rows. Other columns are ignored. Hashes of different shingles or sets are
 taken to differ (64 bits).
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.cut import cut, small_batches, small_side, written
+from webloom.cut import cut, small_side, written
 from webloom.llm.groups import components, link_lists
 from webloom.llm.sketch import cell_counts
 from webloom.llm.words import by_size, mixed, shingles, utf8, word_hashes
@@ -64,7 +65,6 @@ def partners(n: int, percent: int = PERCENT) -> range:
 
 def summaries(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
     """doc_id, place (of the text), n, sid and head (the rarest elements, or all of a set that can be light) of every row."""
-    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1):
@@ -126,6 +126,11 @@ def subset_links(nodes: DataFrame, light: int, percent: int) -> DataFrame:
     return rows.join(first, "key").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
 
 
+def _least(n: Column, percent: int) -> Column:
+    """The size of the smallest set that can be linked with one of n elements."""
+    return F.floor((percent * n + 99) / F.lit(100))
+
+
 def _overlap(n: Column, m: Column, percent: int) -> Column:
     """least_overlap of two columns."""
     return F.floor((percent * (n + m) + (99 + percent)) / F.lit(100 + percent))
@@ -160,7 +165,6 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, pe
 
 def elements(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """sid and the whole set, sorted, of each of nodes (doc_id, place: a row of docs that has it)."""
-    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 0):
@@ -189,18 +193,20 @@ def classes(docs: DataFrame, star_rounds: int = 1, words: int = WORDS, percent:
     light = boundary(histogram, percent=percent)
     links = subset_links(nodes, light, percent)
 
-    head = F.slice("head", 1, (F.col("n") - F.floor((percent * F.col("n") + 99) / F.lit(100)) + 1).cast("int"))
-    posts = nodes.where(100 * F.col("n") >= percent * (light + 1)).select("sid", "n", F.posexplode(head).alias("pos", "key")).repartition("key")
+    n_posted = F.col("n") - _least(F.col("n"), percent) + 1
+    posts = nodes.where(100 * F.col("n") >= percent * (light + 1)).select("sid", "n", F.posexplode(F.slice("head", 1, n_posted.cast("int"))).alias("pos", "key"))
+    posts = posts.withColumn("lookup", F.lit(False)).repartition("key")
     shared = posts.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key")
     lists = written(posts.join(shared.hint("shuffle_hash"), "key"), "jaccard-lists")
     # Sets with few elements of their own lie in the middle of a group of near copies.
-    own = F.max("n") - F.floor((percent * F.max("n") + 99) / F.lit(100)) + 1
+    own = F.max("n") - _least(F.max("n"), percent) + 1
     alone = lists.groupBy("sid").agg((own - F.count("*")).alias("alone"))
     lists = written(lists.join(alone, "sid"), "jaccard-lists")
     n, m = F.col("n"), F.col("other_n")
     overlap = _overlap(n, m, percent)
     # Of sets that share so many elements, one of these is among the first of both.
     fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.greatest(n, m) > light) & (F.col("pos") <= n - overlap) & (F.col("other_pos") <= m - overlap)
+
     labels = link_lists(
         lists,
         components(links),

@@ -4,11 +4,12 @@ Lines are compared stripped and in lower case; blank ones are never dropped. Equ
 are linked if they are within an edit for every PER_EDIT characters of the shorter one, EDITS at most; shorter lines have
 no edits, since two edits make any word of three letters another. A line with so many edits is cut into one segment more,
 one of which any line within reach holds at nearly the same place: each line is posted under its segments with its length,
-and looks up, for each length that it can meet, the substrings that a segment of such a line can be. Candidates are
-verified by a banded bit-parallel edit distance. Of each component of linked lines, the first one by doc_id, text and line
-number stays.
+and looks up, for each length that it can meet, the substrings that a segment of such a line can be. Where more than CROWD
+lines are posted under a key that don't lie in one component, narrower keys decide which of them meet (``neighbours``), so a
+line's work never grows with the number of lines that are like it. Candidates are verified by a banded bit-parallel edit
+distance. Of each component of linked lines, the first one by doc_id, text and line number stays.
 
-Null or empty text: no lines, unchanged. Null doc_id: after all others. Repeated rows (equal doc_id and text) are one
+Null or empty text: no lines, unchanged. Very long texts and lines: whole, like any other. Null doc_id: after all others. Repeated rows (equal doc_id and text) are one
 document: what is kept of one is kept of each. No rows: no rows. Other columns pass through ``deduped``.
 """
 
@@ -22,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.cut import cut, small_batches, small_side, written
+from webloom.cut import cut, small_side, written
 from webloom.llm.edits import within
-from webloom.llm.groups import components, link_lists
+from webloom.llm.groups import CROWD, components, link_lists, paired, spanning, starred
+from webloom.llm.neighbours import LETTER, keys_of
 from webloom.llm.words import by_size, mixed
 
 #: A line of MIN_CHARS characters or more can be dropped.
@@ -32,6 +34,9 @@ EDITS, PER_EDIT, MIN_CHARS = 2, 10, 1
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15 | 5
 _BACK = pow(_STEP, -1, 1 << 64)
+_PAIR = _U(0xD6E8FEB86659FD93)
+#: Parities that an edit can change: of two letter pairs before and two after it.
+FLIPS = 4
 
 
 def normalised(line: str) -> str:
@@ -87,9 +92,10 @@ class _Hashes:
 
 
 class _Lines:
-    """The hash of each normalised line and its letters' parities.
+    """The hash of each normalised line and its parities.
 
-    Parities: a bit for each of 64 classes of letters, set if the line has an odd number of them. An edit changes two at most.
+    Parities: a bit for each of 64 classes of two letters in a row, set if the line has an odd number of them. An edit changes
+    FLIPS at most.
     """
 
     def __init__(self, lines: list[str]) -> None:
@@ -97,7 +103,11 @@ class _Lines:
         letters = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         self.hashes = _Hashes(letters)
         self.begin = np.concatenate([[0], np.cumsum(self.n)])[: len(lines)].astype(np.int64)
-        bits = _U(1) << (mixed(letters.astype(np.uint64) + _U(1)) >> _U(58))
+        bits = np.zeros(len(letters), dtype=np.uint64)
+        if len(letters):
+            two = letters[:-1].astype(np.uint64) * _PAIR + letters[1:]
+            bits[:-1] = _U(1) << ((two * _PAIR) >> _U(58))
+            bits[np.concatenate([self.begin[1:], [len(letters)]]) - 1] = 0  # the last letter of a line and the next line's first
         self.parities = np.bitwise_xor.reduceat(bits, self.begin) if lines else np.zeros(0, dtype=np.uint64)
         self.ids = self.hashes.of(self.begin, self.n, self.n)
 
@@ -123,14 +133,13 @@ class _Lines:
 
 
 def line_keys(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hash of each normalised line, its letters' parities, and its keys."""
+    """The hash of each normalised line, its parities, and its keys."""
     own = _Lines(lines)
     return own.ids, own.parities, own.keys(np.arange(len(lines)), edits)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, place, the numbers and hashes of its lines, and by edits, keys of those new in the task."""
-    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, dtype=np.uint64)
@@ -172,7 +181,6 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid and normalised line of each of wanted (doc_id, place, number, sid)."""
-    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 0):
@@ -209,7 +217,49 @@ def _posts(rows: DataFrame, edits: int) -> DataFrame:
     return keyed.select("key", F.get("fresh", F.floor(F.col("j") / KEYS[edits]).cast("int")).alias("sid"), (F.col("j") % KEYS[edits] > edits).alias("lookup"))
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def fits() -> Column:
+    """Whether no more parities of two rows of a list differ than the edits can change."""
+    return F.bit_count(F.col("parity").bitwiseXOR(F.col("other_parity"))) <= FLIPS * EDITS
+
+
+def close(lines: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Pairs (a, b) that hold all links between lines (sid, part, parity, line) of different parts, for lines that too many are like.
+
+    Level by level: keys that up to crowd lines are posted under are compared in pairs, the others' rows go to narrower keys.
+    Each level leaves about a third of a line to be expanded, the last one none.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_size(batches, 5, 1 << 20):
+            at, keys, lookups, rests = [], [], [], []
+            for i, (context, edits, rest) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)), strict=True)):
+                k, u, r = keys_of(np.frombuffer(rest, dtype=LETTER), context, edits)
+                at += [i] * len(k)
+                keys += k
+                lookups += u
+                rests += r
+            take = batch.take(pa.array(at, pa.int64()))
+            columns = [pa.array(keys, pa.int64()), *take.columns[:3], take.column(4), pa.array(lookups, pa.bool_()), pa.array(rests, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "sid", "part", "parity", "edits", "lookup", "rest"])
+
+    letters = F.encode("line", "utf-32")
+    n = F.length("line")
+    small = lines.where((n >= PER_EDIT) & (n < 2 * PER_EDIT + 1)).withColumn("edits", F.lit(1))
+    rows = small.unionByName(lines.where(n >= 2 * PER_EDIT).withColumn("edits", F.lit(2)))
+    rows = rows.select("sid", "part", "parity", F.col("edits").cast("long").alias("context"), "edits", letters.alias("rest"))
+    found = None
+    while True:
+        keyed = written(rows.mapInArrow(work, "key long, sid long, part long, parity long, edits int, lookup boolean, rest binary"), "line-neighbours")
+        shared = written(spanning(keyed), "line-neighbours")
+        wide = shared.where("rest is not null")
+        pairs = starred(shared.where("rest is null")).unionByName(paired(wide.where(F.col("posted") <= crowd), fits(), ("parity",)))
+        found = pairs if found is None else found.unionByName(pairs)
+        rows = wide.where(F.col("posted") > crowd).select("sid", "part", "parity", F.col("key").alias("context"), "edits", "rest")
+        if not rows.limit(1).count():
+            return found.distinct()
+
+
+def dropped_lines(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, place, dropped (line numbers, from 0) of the documents that lose lines."""
     rows = written(lines_of(docs), "lines")
     keyed = reduce(DataFrame.unionByName, (_posts(rows, e) for e in KEYS))
@@ -221,16 +271,30 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     parities = rows.select(F.explode(F.concat(*map(zipped, KEYS))).alias("l")).select("l.*")
     lists = written(lists.join(parities.join(lists.select("sid").distinct(), "sid", "left_semi").distinct(), "sid"), "line-lists")
     located = rows.select("doc_id", "place", F.explode(F.arrays_zip(F.col("numbers").alias("number"), F.col("ids").alias("sid"))).alias("l")).select("doc_id", "place", "l.number", "l.sid")
-    # Where a line is found first, to read its text there again.
-    sites = written(located.groupBy("sid").agg(F.min(F.struct("doc_id", "place", "number")).alias("w")).select("sid", "w.*"), "line-sites")
-    none = components(lists.sparkSession.createDataFrame([], "a long, b long"))
-    # Either has posted the key, and no more parities differ than the edits can change.
-    fits = ~(F.col("lookup") & F.col("other_lookup")) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("other_parity"))) <= 2 * EDITS)
-    labels = link_lists(lists, none, lambda pairs: verified(docs, sites, pairs), fits, carry=("lookup", "parity"), first=("lookup",))
-    parts = located.join(labels, F.col("sid") == F.col("node"), "left").select("doc_id", "place", "number", F.coalesce("label", "sid").alias("part"))
     here = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place", "number")
-    firsts = parts.groupBy("part").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").select("part", "first")
-    return parts.join(firsts, "part").where(~here.eqNullSafe(F.col("first"))).groupBy("doc_id", "place").agg(F.sort_array(F.collect_set("number")).alias("dropped"))
+    # Where a line is found first, to read its text there again, and how often it is found.
+    sites = written(located.groupBy("sid").agg(F.min(here).alias("w"), F.count("*").alias("n")), "line-sites")
+    at = sites.select("sid", "w.doc_id", "w.place", "w.number")
+
+    def crowded(rows: DataFrame) -> DataFrame:
+        wanted = cut(rows.select("sid", "part", "parity").distinct())
+        return close(line_texts(docs, at.join(wanted, "sid", "left_semi")).join(wanted, "sid"), crowd)
+
+    none = components(lists.sparkSession.createDataFrame([], "a long, b long"))
+    labels = link_lists(lists, none, lambda pairs: verified(docs, at, pairs), fits(), crowded, carry=("parity",), first=("lookup",), crowd=crowd)
+    # By distinct lines first: the parts of more than one line, and where each of them begins.
+    known = sites.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "w", "n", F.coalesce("label", "sid").alias("part"))
+    firsts = written(known.groupBy("part").agg(F.min("w").alias("first"), F.sum("n").alias("n")).where("n > 1").select("part", "first"), "line-firsts")
+    repeated = written(known.join(firsts, "part").select("sid", "n", "first"), "line-firsts")
+    # A line that has more than a thousandth of all rows would fill a task: there are a thousand of these at most, broadcast.
+    often = sites.agg(F.sum("n")).collect()[0][0] or 0
+    common = F.col("n") * 1000 > often
+    hot, others = (repeated.where(c).select(F.col("sid").alias("of"), "first") for c in (common, ~common))
+    marked = located.join(F.broadcast(hot.withColumnRenamed("first", "hot_first")), F.col("sid") == F.col("of"), "left").drop("of")
+    first = marked.where("hot_first is not null").select("doc_id", "place", "number", F.col("hot_first").alias("first"))
+    rest = marked.where("hot_first is null").join(others, F.col("sid") == F.col("of")).select("doc_id", "place", "number", "first")
+    gone = first.unionByName(rest).where(~here.eqNullSafe(F.col("first")))
+    return gone.groupBy("doc_id", "place").agg(F.sort_array(F.collect_set("number")).alias("dropped"))
 
 
 def _remaining(text: pa.Array, dropped: pa.Array) -> pa.Array:
@@ -246,7 +310,6 @@ DROPPED = "line dedup dropped"
 
 def deduped(docs: DataFrame) -> DataFrame:
     """All columns of docs, text without the dropped lines, and DROPPED, their numbers (null: none)."""
-    small_batches(docs.sparkSession)
     # Most documents lose some line, so this side grows with the documents: never broadcast.
     gone = dropped_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("line dedup of"), F.col("place").alias("line dedup at"), F.col("dropped").alias(DROPPED)).hint("merge")
     placed = docs.withColumn("line dedup place", place_of("text"))
