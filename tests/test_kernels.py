@@ -83,7 +83,13 @@ def test_attributes():
 
 
 def test_tags():
-    assert [t.attributes.strip() for t in tags.find_tags('<a x="1>2"><abbr><A/><a-b><a', "a")] == ['x="1>2"', "/", "-b"]
+    assert [t.attributes.strip() for t in tags.find_tags('<a x="1>2"><abbr><A/><a-b><a', "a")] == ['x="1>2"', "", "-b"]
+    # A closing slash is no part of a value; closers may have blanks; an opener that never ends is passed over.
+    assert [tags.parse_attributes(t.attributes) for t in tags.find_tags("<link rel=x href=/a/><link href=/b/ / >", "link")] == [{"rel": "x", "href": "/a"}, {"href": "/b/"}]
+    assert [x for _, x in tags.balanced_contents("<article>a</ article ><ARTICLE>b</\tarticle>", "article")] == ["a", "b"]
+    assert [x for _, x in tags.balanced_contents("<article>a <article ' b</article>", "article")] == ["a <article ' b"]
+    assert page.main_content('<div subclass="entry-content">' + "x" * 300 + "</div>")[0] != "class"
+    assert [x for _, x in tags.balanced_contents("<b>1<b/>2<b>3</b>4</b><b/><b>5", "b")] == ["1<b/>2<b>3</b>4", ""]
     assert [c for _, c in tags.balanced_contents("<p>1<p>2</p></p><p/><P>3</p >", "p")] == ["1<p>2</p>", "", "3"]
     assert [c for _, c in tags.balanced_contents("<p>1</p><p>2<p>3</p>", "p")] == ["1"]
     assert tags.first_balanced_where("<p id=a>1</p><p id=b>2</p>", "p", lambda a: a.get("id") == "b") == "2"

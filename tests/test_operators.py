@@ -1,7 +1,12 @@
 """Operators over DataFrames: nulls, limits, order, errors per row, and what the fetch layer does."""
 
+import gzip
 import http.server
+import subprocess
+import sys
 import threading
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +131,67 @@ def test_fetch_rules():
     assert S.fetch_one(S.Request("https://a.example/"), S.Refused())["status"] == 0
 
 
+def test_bodies_of_requests_and_responses():
+    seen = []
+
+    class Seen(S.Captured):
+        def send(self, method, url, address, headers, body, timeout_s, max_bytes):
+            seen.append((method, body, headers.get("content-type")))
+            return super().send(method, url, address, headers, body, timeout_s, max_bytes)
+
+    t = Seen([{"url": "https://a.example/", "method": m, "status": 200, "body": b"\xff\x00", "headers": {"Content-Type": k}} for m, k in (("GET", "image/png"), ("PUT", "text/plain"), ("HEAD", "text/plain"), ("DELETE", "text/plain"))])
+    get = lambda **r: S.fetch_one(S.Request.of({"url": "https://a.example/", **r}), t)
+    for method in ("GET", "HEAD", "PUT", "DELETE"):
+        get(method=method, body="x", content_type="text/plain")
+    assert seen == [("GET", None, None), ("HEAD", None, None), ("PUT", b"x", "text/plain"), ("DELETE", b"x", "text/plain")]
+    r = get()
+    assert (r["body_base64"], "body_text" in r) == ("/wA=", False)
+    assert get(method="PUT", decode_text=False)["body_base64"] == "/wA=" and "body_base64" not in get(method="PUT")
+    assert get(decode_text=True)["body_text"] == "\ufffd\x00"
+
+
+def test_packed_bodies_are_bounded():
+    from webloom.kernel import sitemap
+
+    body = gzip.compress(b"x" * 5000)
+    assert sitemap.decode_payload(body, 5000) == "x" * 5000 and sitemap.decode_payload(body + gzip.compress(b"y"), 6000) == "x" * 5000 + "y"
+    with pytest.raises(sitemap.PayloadError):
+        sitemap.decode_payload(body, 4999)
+
+
+def test_a_lost_task_sends_nothing_again(tmp_path):
+    """A task that dies after it sent a request is run again; the request isn't."""
+    code = f"""
+import os, sys
+sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from pyspark.sql import SparkSession
+from webloom.sources import http as S
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+
+class Dying(S.Captured):
+    def send(self, method, url, address, headers, body, timeout_s, max_bytes):
+        with open({str(tmp_path / "sent")!r}, "a") as f:
+            print(url, file=f)
+        if url.pathname == "/3":
+            os._exit(1)
+        return S.Raw(201)
+
+df = spark.createDataFrame([(i, {{"url": f"https://a.example/{{i}}", "method": "POST"}}) for i in range(6)], "request_id long, request struct<url:string,method:string>")
+for _ in range(2):
+    got = {{r.request_id: r.response for r in S.send(df, Dying([]), {str(tmp_path / "log")!r}).collect()}}
+    assert len(got) == 6 and got[3].status == 0 and got[3].error == S.UNKNOWN, got
+# A log of intents without responses, as a lost job leaves it.
+spark.createDataFrame([(9,)], "request_id long").write.mode("append").parquet({str(tmp_path / "log" / "intents")!r})
+more = df.limit(0).unionByName(spark.createDataFrame([(9, {{"url": "https://a.example/9", "method": "POST"}})], df.schema))
+got = {{r.request_id: r.response for r in S.send(more, Dying([]), {str(tmp_path / "log")!r}).collect()}}
+assert got[9].error == S.UNKNOWN and got[9].url == "https://a.example/9" and len(got) == 7
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, capture_output=True)
+    sent = (tmp_path / "sent").read_text().split()
+    assert len(sent) == len(set(sent)) and "https://a.example/3" in sent and "https://a.example/9" not in sent
+
+
 def test_send_is_logged(spark, tmp_path):
     df = spark.createDataFrame([(1, {"url": "https://a.example/p", "method": "POST"})], "request_id long, request struct<url:string,method:string>")
     t = S.Captured([{"url": "https://a.example/p", "method": "POST", "status": 201}])
@@ -144,6 +210,15 @@ def test_network(spark):
             self.send_response(200)
             self.send_header("Content-Type", "text/plain")
             self.end_headers()
+            if self.path == "/drip":
+                try:
+                    for _ in range(100):
+                        self.wfile.write(b"x")
+                        self.wfile.flush()
+                        time.sleep(0.1)
+                except OSError:
+                    pass
+                return
             self.wfile.write(b"x" * 10)
 
         def log_message(self, *_):
@@ -156,6 +231,9 @@ def test_network(spark):
         r = S.fetch_one(S.Request(f"{at}/r", allow_private_hosts=True, max_bytes=4), S.Network())
         assert (r["status"], r["body_text"], r["truncated"], r["url"]) == (200, "xxxx", True, f"{at}/end")
         assert S.fetch_one(S.Request(f"{at}/r"), S.Network())["error"].startswith("IPv4 address 127.0.0.1")
+        began = time.monotonic()
+        r = S.fetch_one(S.Request(f"{at}/drip", allow_private_hosts=True, timeout_ms=500), S.Network())
+        assert (r["status"], r["error"]) == (0, "request exceeded 500ms") and time.monotonic() - began < 3
     finally:
         server.shutdown()
 

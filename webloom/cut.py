@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; only where the session names none, a temporary one (single-machine tests)."""
+    """The shared folder for checkpoints; only where the session names none and runs on one machine (tests), a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="webloom-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -25,7 +28,11 @@ _written: list[str] = []
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` materialised by a reliable checkpoint, with no lineage behind them."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.logicalPlan().rdd().getCheckpointFile()
+    if file.isDefined():
+        _written.append(file.get())
+    return out
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -38,7 +45,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def clear_written(spark: SparkSession) -> int:
-    """Deletes the tables that ``written`` made in this process. Call it when the results that read them are stored."""
+    """Deletes the tables and checkpoints that this module made in this process. Call it when the results that read them are stored."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     n = len(_written)
     while _written:
@@ -58,6 +65,9 @@ _BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches for rows with whole texts, unless the session names a size of its own: executors hold a few at once."""
+    """Smaller Arrow batches for rows with whole texts, unless the session names a size of its own: executors hold a few at once.
+
+    It changes the session, so it is for those who own it: the registered queries and the pipeline call it, operators don't.
+    """
     if spark.conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
         spark.conf.set(_BATCH, str(ROWS_IN_BATCH))

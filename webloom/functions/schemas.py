@@ -44,6 +44,7 @@ RESPONSE = record(
     redirects=TEXTS,
     body_text=STRING,
     body=T.BinaryType(),
+    body_base64=STRING,
     json=STRING,
     truncated=BOOLEAN,
     duration_ms=LONG,

@@ -21,8 +21,8 @@ _JSON_LD = re.compile(rf"""<script(?![A-Za-z0-9_])[^>]*type[{BLANK}]*=[{BLANK}]*
 LEAST_CONTENT = 200
 CONTAINERS = ("div", "section", "article", "main")
 CMS_CLASSES = ("post-content", "entry-content", "article-content", "article-body", "story-body", "article__body", "markdown-body")
-_CMS = re.compile(rf"""class[{BLANK}]*=[{BLANK}]*["'][^"']*(?<![A-Za-z0-9_])(?:{"|".join(CMS_CLASSES)})(?![A-Za-z0-9_])[^"']*["']""", re.I | re.A)
-_ITEMPROP = re.compile(rf"""itemprop[{BLANK}]*=[{BLANK}]*["']articleBody["']""", re.I | re.A)
+_CMS = re.compile(rf"""(?<![A-Za-z0-9_])class[{BLANK}]*=[{BLANK}]*["'][^"']*(?<![A-Za-z0-9_])(?:{"|".join(CMS_CLASSES)})(?![A-Za-z0-9_])[^"']*["']""", re.I | re.A)
+_ITEMPROP = re.compile(rf"""(?<![A-Za-z0-9_])itemprop[{BLANK}]*=[{BLANK}]*["']articleBody["']""", re.I | re.A)
 #: References that are no links.
 NOT_LINKS = ("javascript:", "mailto:", "tel:", "data:", "file:")
 

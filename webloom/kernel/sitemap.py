@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import io
 import zlib
 from typing import Any
 
@@ -14,13 +15,20 @@ class PayloadError(ValueError):
     """A compressed body that can't be read."""
 
 
-def decode_payload(body: bytes) -> str:
-    """The text of a body, which is unpacked if it is gzipped; UTF-8 whatever its headers say."""
+#: Bytes that a packed body may unpack to; the sitemap protocol allows a quarter of it.
+MOST_UNPACKED = 200 << 20
+
+
+def decode_payload(body: bytes, most: int = MOST_UNPACKED) -> str:
+    """The text of a body, which is unpacked if it is gzipped, up to a size; UTF-8 whatever its headers say."""
     if body[:2] == b"\x1f\x8b":
         try:
-            body = gzip.decompress(body)
+            with gzip.GzipFile(fileobj=io.BytesIO(body)) as packed:
+                body = packed.read(most + 1)
         except (OSError, EOFError, zlib.error) as e:
             raise PayloadError(str(e)) from e
+        if len(body) > most:
+            raise PayloadError(f"unpacks to more than {most} bytes")
     return body.decode("utf-8-sig", "replace")
 
 

@@ -14,6 +14,7 @@ _REST = re.compile(r"""((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTRIBUTE = re.compile(
     rf"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:[{BLANK}]*=[{BLANK}]*(?:"([^"]*)"|'([^']*)'|([^{BLANK}>"'`]+))|(?=[{BLANK}/]|\Z))"""
 )
+_SLASH = re.compile(rf"/[{BLANK}]*\Z")
 
 
 class Tag(NamedTuple):
@@ -30,7 +31,7 @@ def _opener(name: str) -> re.Pattern[str]:
 
 @cache
 def _either(name: str) -> re.Pattern[str]:
-    return re.compile(rf"<(?:(/{name}[{BLANK}]*>)|{name}(?![A-Za-z0-9_]))", re.I | re.A)
+    return re.compile(rf"<(?:(/[{BLANK}]*{name}[{BLANK}]*>)|{name}(?![A-Za-z0-9_]))", re.I | re.A)
 
 
 def parse_attributes(s: str) -> dict[str, str]:
@@ -47,8 +48,8 @@ def _tag_at(html: str, m: re.Match[str]) -> Tag | None:
     if rest is None:
         return None
     inside = rest[1]
-    # A slash in quotes is followed by the closing quote, so the last character tells.
-    return Tag(inside, m.start(), rest.end(), inside.endswith("/"))
+    # A slash in quotes is followed by the closing quote, so the last character tells. A closing slash is no part of a value.
+    return Tag(_SLASH.sub("", inside), m.start(), rest.end(), inside.endswith("/"))
 
 
 def find_tags(html: str, name: str) -> Iterator[Tag]:
@@ -77,10 +78,9 @@ def balanced_contents(html: str, name: str) -> Iterator[tuple[Tag, str]]:
                 at = m.end()
             else:
                 inner = _tag_at(html, m)
-                if inner is None:
-                    return
-                depth += not inner.self_closing
-                at = inner.content
+                # An opener that never ends is passed over.
+                depth += inner is not None and not inner.self_closing
+                at = m.end() if inner is None else inner.content
         yield tag, html[tag.content : m.start()]
 
 

@@ -12,8 +12,10 @@ MOST_BYTES = 512 * 1024
 
 
 def files(responses: DataFrame) -> DataFrame:
-    """origin, status, groups, sitemaps, raw, error of responses (origin, status, body), one for each origin."""
-    text = F.when(F.col("status").between(200, 299), F.substring(F.coalesce("body", F.lit("")), 1, MOST_BYTES))
+    """origin, status, groups, sitemaps, raw, error of responses (origin, status, body), one for each origin. The first MOST_BYTES count."""
+    bytes_ = F.substring(F.coalesce("body", F.lit("")).cast("binary"), 1, MOST_BYTES)
+    # A letter that the end cuts in two becomes a replacement character.
+    text = F.when(F.col("status").between(200, 299), F.make_valid_utf8(bytes_.cast("string")))
     rows = responses.select("origin", "status", text.alias("raw"), K.parse_robots(text).alias("r"))
     failed = F.when(~F.col("status").between(200, 299) & (F.col("status") != 404), F.concat(F.lit("HTTP "), F.col("status").cast("string")))
     return rows.select("origin", "status", F.col("r.value.groups").alias("groups"), F.col("r.value.sitemaps").alias("sitemaps"), "raw", F.coalesce(failed, F.col("r.error")).alias("error"))
@@ -46,19 +48,32 @@ def path_pattern(path: Column) -> Column:
 
 
 def chosen_rule(rules: Column, path: Column) -> Column:
-    """The longest rule that matches, an allowing one before others, else the first."""
-    matching = F.filter(F.transform(rules, lambda r, i: F.struct(F.length(r["path"]).alias("n"), r["allow"].alias("allow"), (-i).alias("order"), r["path"].alias("path"))), lambda r: (r["path"] != "") & F.rlike(path, path_pattern(r["path"])))
-    return F.array_max(matching)
+    """Of ordered_rules: the longest rule that matches, an allowing one before others, else the first."""
+    return F.array_max(F.filter(rules, lambda r: F.when(r["pattern"].isNull(), F.startswith(path, r["path"])).otherwise(F.rlike(path, r["pattern"]))))
+
+
+def ordered_rules(rules: Column) -> Column:
+    """Rules with a path, in a form that ranks them, with a pattern where the path isn't a plain prefix."""
+    plain = lambda p: ~F.contains(p, F.lit("*")) & ~F.endswith(p, F.lit("$"))
+    ranked = lambda r, i: F.struct(
+        F.length(r["path"]).alias("n"), r["allow"].alias("allow"), (-i).alias("order"), r["path"].alias("path"), F.when(~plain(r["path"]), path_pattern(r["path"])).alias("pattern")
+    )
+    return F.filter(F.transform(rules, ranked), lambda r: r["path"] != "")
 
 
 def verdicts(urls: DataFrame, robots: DataFrame, user_agent: str = "*") -> DataFrame:
-    """For urls (page_id, url): origin, robots_url, status, path, allowed, matched_rule, crawl_delay, sitemaps, note, error.
+    """For urls (page_id, url): origin, robots_url, status, path, allowed, matched_rule, crawl_delay, note, error.
 
-    Origins without a file, or with one that isn't found, allow everything. The files join on the origin; whether that is
-    a broadcast is left to their size.
+    Origins without a file, or with one that isn't found, allow everything. Each file's group and patterns are made ready
+    once; these join on the origin, by broadcast or not as their size has it. The file's text and sitemaps are an origin's
+    and stay in ``files``; ``with_files`` adds them to pages.
     """
+    agent_group = F.col("group")
+    ready = robots.select("origin", "status", "error", chosen_group(F.col("groups"), user_agent).alias("group")).select(
+        "origin", "status", "error", ordered_rules(agent_group["rules"]).alias("rules"), agent_group["crawl_delay"].alias("crawl_delay")
+    )
     parts = urls.select("page_id", K.url_parts("url").alias("u")).select("page_id", F.col("u.value.origin").alias("origin"), F.concat("u.value.pathname", "u.value.search").alias("path"))
-    rows = parts.join(robots, "origin", "left").withColumn("group", chosen_group(F.col("groups"), user_agent)).withColumn("rule", chosen_rule(F.col("group.rules"), F.col("path")))
+    rows = parts.join(ready, "origin", "left").withColumn("rule", chosen_rule(F.col("rules"), F.col("path")))
     absent = F.col("status").isNull() | (F.col("status") == 404)
     return rows.select(
         "page_id",
@@ -69,9 +84,12 @@ def verdicts(urls: DataFrame, robots: DataFrame, user_agent: str = "*") -> DataF
         "path",
         F.when(F.col("error").isNull(), F.coalesce("rule.allow", F.lit(True))).alias("allowed"),
         F.concat(F.when(F.col("rule.allow"), "Allow: ").otherwise("Disallow: "), "rule.path").alias("matched_rule"),
-        F.col("group.crawl_delay").alias("crawl_delay"),
-        "sitemaps",
-        F.col("raw").alias("raw_robots_text"),
+        "crawl_delay",
         F.when(absent, ABSENT).alias("note"),
         "error",
     )
+
+
+def with_files(verdicts_: DataFrame, robots: DataFrame) -> DataFrame:
+    """verdicts with the sitemaps and the text of each page's file."""
+    return verdicts_.join(robots.select("origin", "sitemaps", F.col("raw").alias("raw_robots_text")), "origin", "left")

@@ -24,15 +24,16 @@ def parsed(responses: DataFrame) -> DataFrame:
 def crawl(seeds: DataFrame, responses: DataFrame, max_depth: int = 1, max_urls: int = 5000) -> dict[str, DataFrame]:
     """From seeds (crawl_id, url): ``visited``, ``urls``, ``children``, ``warnings`` and ``summary`` of each crawl.
 
-    Each level joins the sitemaps to visit with the responses, and its children that weren't seen, in order of discovery,
-    are the next. A crawl stops visiting once it has max_urls; URLs are not made unique. The driver only counts the levels.
+    Each level joins the sitemaps to visit with the responses, of which only these are parsed, and its children that weren't
+    seen, in order of discovery, are the next. A crawl that has max_urls goes to no further level; URLs are not made unique.
+    The driver only counts the levels.
     """
     if not 0 <= max_depth <= 3 or not 1 <= max_urls <= 50_000:
         raise ValueError("max_depth is 0 to 3, max_urls 1 to 50000")
-    maps = parsed(responses).select(F.col("url").alias("of"), "status", "urls", "child_sitemaps", "error")
     queue = seeds.select("crawl_id", "url", F.array(F.lit(0)).alias("place"), F.lit(0).alias("depth"))
     levels: list[DataFrame] = []
     for depth in range(max_depth + 1):
+        maps = parsed(responses.join(queue.select("url").distinct(), "url", "left_semi")).select(F.col("url").alias("of"), "status", "urls", "child_sitemaps", "error")
         found = queue.join(maps, F.col("url") == F.col("of"), "left").drop("of")
         found = cut(found.withColumn("error", F.when(F.col("status").isNull(), F.lit("no response")).otherwise(F.col("error"))))
         levels.append(found)
@@ -41,7 +42,9 @@ def crawl(seeds: DataFrame, responses: DataFrame, max_depth: int = 1, max_urls:
         seen = reduce(DataFrame.unionByName, (x.select("crawl_id", "url") for x in levels)).distinct()
         children = found.select("crawl_id", "place", F.posexplode("child_sitemaps").alias("i", "url")).select("crawl_id", "url", F.array_append("place", F.col("i")).alias("place"))
         first = children.groupBy("crawl_id", "url").agg(F.min("place").alias("place"))
-        queue = first.join(seen, ["crawl_id", "url"], "left_anti").withColumn("depth", F.lit(depth + 1))
+        gathered = reduce(DataFrame.unionByName, (x.select("crawl_id", F.size("urls").alias("n")) for x in levels)).groupBy("crawl_id").agg(F.sum(F.greatest("n", F.lit(0))).alias("n"))
+        open_ = gathered.where(F.coalesce("n", F.lit(0)) < max_urls).select("crawl_id")
+        queue = cut(first.join(seen, ["crawl_id", "url"], "left_anti").join(open_, "crawl_id", "left_semi").withColumn("depth", F.lit(depth + 1)))
     every = reduce(DataFrame.unionByName, levels)
     # In order: level by level, each as it was found. A sitemap is visited while those before it gave too few URLs.
     order = Window.partitionBy("crawl_id").orderBy("depth", "place")

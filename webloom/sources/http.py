@@ -7,10 +7,12 @@ request is sent again because a plan is evaluated again; requests that aren't id
 from __future__ import annotations
 
 import base64
+import contextlib
 import http.client
 import json
 import socket
 import ssl
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
@@ -18,6 +20,7 @@ from email.utils import parsedate_to_datetime
 from typing import Any, Protocol
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -35,6 +38,8 @@ from webloom.kernel.url import Url, UrlError, parse
 TIMEOUT_MS, MAX_BYTES, MOST_BYTES, MAX_REDIRECTS, MOST_REDIRECTS, MOST_RETRIES = 10_000, 5 << 20, 100 << 20, 5, 20, 5
 METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 NOT_IDEMPOTENT = ("POST", "PATCH")
+NO_BODY = ("GET", "HEAD")
+UNKNOWN = "whether it was sent is not known: its task or job was lost; not sent again"
 
 
 def user_agent(version: str = __version__, about: str | None = None) -> str:
@@ -146,25 +151,40 @@ class Captured:
 
 
 class Network:
-    """Connects to the address that was checked, under the URL's own name."""
+    """Connects to the address that was checked, under the URL's own name. A hop ends at its deadline, however slowly it goes on."""
 
     def resolve(self, host: str) -> list[str]:
         return list(dict.fromkeys(a[4][0] for a in socket.getaddrinfo(host, None, type=socket.SOCK_STREAM)))
 
     def send(self, method: str, url: Url, address: str, headers: dict[str, str], body: bytes | None, timeout_s: float, max_bytes: int) -> Raw:
         port = url.port or (443 if url.scheme == "https" else 80)
+        began = time.monotonic()
         link = socket.create_connection((address, port), timeout_s)
-        if url.scheme == "https":
-            link = ssl.create_default_context().wrap_socket(link, server_hostname=url.host)
+        late = threading.Event()
+
+        def end() -> None:
+            late.set()
+            with contextlib.suppress(OSError):
+                link.shutdown(socket.SHUT_RDWR)
+
+        watch = threading.Timer(max(0.0, timeout_s - (time.monotonic() - began)), end)
+        watch.daemon = True
+        watch.start()
         connection = http.client.HTTPConnection(url.netloc, timeout=timeout_s)
-        connection.sock = link
         try:
+            connection.sock = ssl.create_default_context().wrap_socket(link, server_hostname=url.host) if url.scheme == "https" else link
             connection.request(method, url.pathname + url.search, body, {"host": url.netloc, **headers})
             response = connection.getresponse()
             data = b"" if method == "HEAD" else response.read(max_bytes + 1)
+            if late.is_set():
+                raise TimeoutError
             return Raw(response.status, response.reason, {k: v for k, v in response.getheaders()}, data)
+        except (OSError, http.client.HTTPException) as e:
+            raise TimeoutError from e if late.is_set() else e
         finally:
+            watch.cancel()
             connection.close()
+            link.close()
 
 
 def retry_after_ms(header: str | None, now_ms: int) -> int | None:
@@ -219,6 +239,8 @@ def _response(request: Request, method: str, url: Url, raw: Raw, redirects: list
                     out["json"] = json.dumps(json.loads(out["body_text"]), ensure_ascii=False)
                 except ValueError:
                     pass
+        else:
+            out["body_base64"] = base64.b64encode(body).decode()
     return out
 
 
@@ -256,9 +278,10 @@ def _attempt(request: Request, transport: Transport, started: float) -> dict[str
         if not literal and (not request.allow_private_hosts or not addresses) and (why := answers_refusal(host, addresses)):
             return failure(target, why, redirects, started)
         left = request.timeout_ms / 1000
-        headers = request_headers(request, method, body is not None, url.origin != first_origin)
+        sent = None if method in NO_BODY else body
+        headers = request_headers(request, method, sent is not None, url.origin != first_origin)
         try:
-            raw = transport.send(method, url, addresses[0], headers, body, left, request.max_bytes)
+            raw = transport.send(method, url, addresses[0], headers, sent, left, request.max_bytes)
         except TimeoutError:
             return failure(target, f"request exceeded {request.timeout_ms}ms", redirects, started)
         except (OSError, http.client.HTTPException) as e:
@@ -286,28 +309,45 @@ def fetch(requests: DataFrame, transport: Transport | None = None, label: str =
 
 
 def send(requests: DataFrame, transport: Transport, log: str) -> DataFrame:
-    """As fetch, for any method: a sink that appends to the Parquet table ``log`` and skips requests that are in it."""
+    """As fetch, for any method: a sink that submits each request at most once. The Parquet tables under ``log`` tell what became of it.
+
+    ``intents`` has a request's id before anything is sent, ``responses`` its response after. A request with an intent is never
+    sent again: one whose job ended without a response, or whose task is run a second time, gets a response of status 0 that
+    says UNKNOWN. Repeated ids are one request, any of theirs. One call at a time may write to a log.
+    """
     spark = requests.sparkSession
     kind = requests.schema["request_id"].dataType
-    schema = T.StructType([T.StructField("request_id", kind), T.StructField("response", RESPONSE)])
-    spark.createDataFrame([], schema).write.mode("append").parquet(log)
-    done = spark.read.schema(schema).parquet(log)
-    _fetched(requests.join(done.select("request_id"), "request_id", "left_anti"), transport, ()).write.mode("append").parquet(log)
-    return spark.read.schema(schema).parquet(log)
-
-
-def _fetched(requests: DataFrame, transport: Transport, refused: tuple[str, ...]) -> DataFrame:
+    ids = T.StructType([T.StructField("request_id", kind)])
+    answers = T.StructType([*ids, T.StructField("response", RESPONSE)])
+    for name, schema in (("intents", ids), ("responses", answers)):
+        spark.createDataFrame([], schema).write.mode("append").parquet(f"{log}/{name}")
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{log}/{name}")
+    # What an earlier call left open stays open.
+    lost = written(read("intents", ids).join(read("responses", answers).select("request_id"), "request_id", "left_anti"), "lost")
+    _fetched(lost.join(requests.dropDuplicates(["request_id"]), "request_id", "left").select("request_id", "request"), transport, (), never=True).write.mode("append").parquet(f"{log}/responses")
+    # A written table: no shuffle is behind the requests whose loss would run sent ones again as a first attempt.
+    new = written(requests.dropDuplicates(["request_id"]).join(read("intents", ids), "request_id", "left_anti").select("request_id", "request"), "requests")
+    new.select("request_id").write.mode("append").parquet(f"{log}/intents")
+    _fetched(new, transport, (), once=True).write.mode("append").parquet(f"{log}/responses")
+    return read("responses", answers)
+
+
+def _fetched(requests: DataFrame, transport: Transport, refused: tuple[str, ...], once: bool = False, never: bool = False) -> DataFrame:
+    """request_id and response; once: only by a task's first attempt; never: by none, as after a lost attempt."""
     kind = requests.schema["request_id"].dataType
     schema = T.StructType([T.StructField("request_id", kind), T.StructField("response", RESPONSE)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_type(RESPONSE)
+        lost = never or once and TaskContext.get().attemptNumber() > 0
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part, found = batch.slice(a, 64), []
                 for row in part.column(1).to_pylist():
                     started = time.monotonic()
                     try:
+                        if lost:
+                            raise ValueError(UNKNOWN)
                         request = Request.of(row or {"url": ""})
                         if request.method in refused:
                             raise ValueError(f"{request.method} is not idempotent: use send")
