@@ -3,18 +3,21 @@
 Each stage works on what its predecessor kept, which is written as Parquet and read again, and returns its columns as they
 were but for text and n_chars where lines were dropped. Null and empty texts pass the first stages like any others (the
 classifier judges the empty text, they have no lines, shingles or leaks) and the mix takes no words of them. Documents
-with null doc_id are treated by their text. Of repeated rows one stays, unless they are empty. No documents: no rows.
+with null doc_id are treated by their text. Of repeated rows one stays, unless they are empty. Ties: the first by doc_id, then
+by a hash of the text, stays. Very long texts: whole, like any other. Other columns pass, whatever their names. No documents:
+no rows.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.cut import shared_dir
+from webloom.cut import shared_dir, small_batches
 from webloom.llm import decontaminate, jaccard_join, line_dedup, mixing, quality
 from webloom.tables import table
 
@@ -52,12 +55,24 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_classifier", quality_classifier),
-    ("line_dedup", drop_repeated_lines),
-    ("ngram_jaccard_join", one_of_each_group),
-    ("benchmark_decontamination", drop_leaks),
-    ("source_mix", mix_sources),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _in_small_batches(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", _in_small_batches(quality_classifier)),
+    ("line_dedup", _in_small_batches(drop_repeated_lines)),
+    ("ngram_jaccard_join", _in_small_batches(one_of_each_group)),
+    ("benchmark_decontamination", _in_small_batches(drop_leaks)),
+    ("source_mix", _in_small_batches(mix_sources)),
 ]
 
 #: The stages' models and joins can't be expressed in SQL; tests compare them with brute force.
