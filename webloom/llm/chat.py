@@ -5,7 +5,8 @@ A turn is written as ``<|turn|>role\\ntext<|end|>\\n``. Control strings inside r
 undone exactly. Newlines in roles are percent-encoded, so the first newline of a turn ends its role.
 
 Null conv_id: its rows form one conversation. Null role or text: empty. Null turn: before the others. Rows that tie
-on turn: by role, then text. Repeated rows: repeated turns. No rows: no rows. Other columns are ignored.
+on turn: by role, then text. Repeated rows: repeated turns. Very long texts: whole, like any other; a conversation's turns are
+one row, and its examples, each with its context, follow one by one. No rows: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -104,21 +105,17 @@ def parsed_turns(formatted: Column) -> Column:
 
 def digests(examples: DataFrame) -> DataFrame:
     """Per conversation, read back from its examples: what the turns, the text under the loss mask and the format were."""
-    span = F.when(
-        F.col("loss_length") > 0, F.substr(F.concat("context", "target"), F.col("loss_start").cast("int"), F.col("loss_length").cast("int"))
-    ).otherwise("")
-    part = F.struct(
-        "example",
-        unescaped(span).alias("loss"),
-        F.concat("context", "target", "rest").alias("whole"),
-        F.col("loss_start").isNotNull().alias("reply"),
-    )
-    gathered = (
-        examples.groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list(part)).alias("parts"))
-        .select("conv_id", "parts", F.element_at("parts", -1)["whole"].alias("whole"), F.array_join(F.transform("parts", lambda p: p["loss"]), "").alias("loss"))
-        .select("conv_id", "whole", "loss", parsed_turns(F.col("whole")).alias("turns"), F.size(F.filter("parts", lambda p: p["reply"])).cast("long").alias("n_examples"))
+    # The mask lies in context followed by target; what is trainable is part of the target.
+    start = (F.col("loss_start") - F.length("context")).cast("int")
+    span = F.when(F.col("loss_length") > 0, F.substr("target", start, F.col("loss_length").cast("int"))).otherwise("")
+    # Of the growing contexts only the last one is kept.
+    last = F.max_by(F.struct("context", "target", "rest"), "example")
+    gathered = examples.groupBy("conv_id").agg(
+        last.alias("last"), F.array_sort(F.collect_list(F.struct("example", unescaped(span).alias("loss")))).alias("parts"), F.count("loss_start").alias("n_examples")
     )
+    gathered = gathered.select(
+        "conv_id", F.concat("last.context", "last.target", "last.rest").alias("whole"), F.array_join(F.transform("parts", lambda p: p["loss"]), "").alias("loss"), "n_examples"
+    ).withColumn("turns", parsed_turns(F.col("whole")))
     read = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return gathered.select(
         "conv_id",
