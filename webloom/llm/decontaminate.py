@@ -6,15 +6,14 @@ over a text; where a piece lies, the item's whole surroundings are verified by M
 
 Null or empty texts match nothing, nor do null or blank items. Items shorter than ``MIN_CHARS`` when normalised have no
 edits, and match where they begin and end with whole words. Null doc_id and repeated rows are kept, each with its own matches; equal items match alike. Ties: of several
-places in a text the least distance counts, then the first. Empty tables: no rows. Other columns are ignored.
+places in a text the least distance counts, then the first. Very long texts and items: whole, like any other. Empty tables: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from webloom.cut import small_batches
+from webloom.cut import written
 from webloom.llm.edits import Pattern
 from webloom.llm.words import by_size
 
@@ -95,24 +94,22 @@ class Matcher:
         return out
 
 
-def blocks_of(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items (item_id, normalised text) of benchmark (item_id, text) in blocks of bounded size."""
+def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items (item_id, normalised text) of benchmark (item_id, text) in blocks of bounded size, one at a time."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     rows = benchmark.select("item_id", "text").where("text is not null").distinct()
-    found = []
     for b in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        found.append(sorted(((r[0], t) for r in own if (t := normalised(r[1]))), key=lambda x: (x[0] is None, x)))
-    return found
+        yield sorted(((r[0], t) for r in own if (t := normalised(r[1]))), key=lambda x: (x[0] is None, x))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, item_id, distance, end_at: the items of benchmark (item_id, text) that each row of docs (doc_id, text) holds.
 
-    end_at is where the match ends in the normalised text. The items go in blocks of bounded size, each a pass over docs.
+    end_at is where the match ends in the normalised text. Each block of items is a pass over docs. The driver holds one block:
+    the first one's rows are those of a plan, the others' are written before the next block is read.
     """
-    small_batches(docs.sparkSession)
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], T.StructField("distance", T.LongType()), T.StructField("end_at", T.LongType())])
     kinds = [to_arrow_type(f.dataType) for f in schema]
 
@@ -126,20 +123,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars:
 
         return docs.select("doc_id", "text").mapInArrow(work, schema)
 
-    return reduce(DataFrame.unionByName, map(block, blocks_of(benchmark)))
+    blocks = blocks_of(benchmark)
+    found = block(next(blocks))
+    for items in blocks:
+        found = found.unionByName(written(block(items), "leaks"))
+    return found
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The rows of docs, with all their columns, whose text holds no item of benchmark. No row is shuffled."""
-    small_batches(docs.sparkSession)
-    text = docs.columns.index("text")
+def _leaking(items: list[tuple[int, str]], rate: float, min_chars: int) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matcher = Matcher(items, rate, min_chars)
+        for texts in batches:
+            yield pa.array([bool(t.is_valid and matcher.matches(normalised(t.as_py()))) for t in texts], pa.bool_())
+
+    return work
 
-    def clean(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate, min_chars)
-            for batch in by_size(batches, text):
-                yield batch.filter(pa.array([not (t and matcher.matches(normalised(t))) for t in batch.column(text).to_pylist()], pa.bool_()))
 
-        return rows.mapInArrow(work, rows.schema)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds no item of benchmark.
 
-    return reduce(clean, blocks_of(benchmark), docs)
+    Only texts go to Python; no row is shuffled. With more than one block of items the rows are written after each.
+    """
+    blocks = blocks_of(benchmark)
+    items, more = next(blocks), next(blocks, None)
+    while True:
+        test = F.arrow_udf(_leaking(items, rate, min_chars), "boolean")
+        docs = docs.where(~test(docs["text"]))
+        if more is None:
+            return docs
+        docs = written(docs, "clean")
+        items, more = more, next(blocks, None)
