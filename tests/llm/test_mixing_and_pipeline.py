@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from helpers import awkward, empty, text
 from oracle import SMALL, assert_same, connection
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from webloom.llm import decontaminate, jaccard_join, line_dedup, mixing, quality, queries
@@ -59,6 +60,45 @@ def test_mix(spark):
         assert target[s] <= 2 * size[s] + 1e-6 and abs(taken[s] - target[s]) <= max(3, 0.02 * target[s])
 
 
+def test_taken_words_equal_brute_force(spark):
+    """Blocks counted word by word, seats given one by one."""
+    r = random.Random(3)
+    rows = [(i, text(i, r.choice([0, 1, 5, 30, 200])), s) for i, s in enumerate(s for s, n in {"a": 90, "b": 25, None: 40}.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seed, block, per_shard = 5, 16, 900
+    got = {x.doc_id: x.taken for x in mixing.mix(docs, seed=seed, block_tokens=block, shard_tokens=per_shard).collect()}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    of = {s: sum(size[i] for i, _, x in rows if x == s) for s in ("a", "b", None)}
+    total = sum(of.values())
+    targets = mixing.share_out(1.5 * total, [3, 1, 2], [2 * n for n in of.values()])
+    block = max(1, min(block, int(min(targets) / 200)))
+
+    def seats(n, votes, caps):
+        won = [0] * len(votes)
+        for _ in range(n):
+            won[max((i for i in range(len(votes)) if won[i] < caps[i]), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))] += 1
+        return won
+
+    quotas = seats(round(sum(targets) / block), targets, [-(-2 * n // block) for n in of.values()])
+    placed = docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("place")).withColumn("at", F.xxhash64(F.lit(seed + 1), "place")).collect()
+    place = {x.doc_id: (x.place, x["at"]) for x in placed}
+    wanted = {}
+    for (s, n), quota in zip(of.items(), quotas, strict=True):
+        shards = -(-n // per_shard)
+        held = [sorted((place[i][0], i) for i, _, x in rows if x == s and place[i][1] % shards == k) for k in range(shards)]
+        sizes = [sum(size[i] for _, i in h) for h in held]
+        for k, (h, m, q) in enumerate(zip(held, sizes, seats(quota, sizes, [-(-2 * m // block) for m in sizes]), strict=True)):
+            passes, rest = divmod(min(q * block, 2 * m), m) if m else (0, 0)
+            blocks, picked, factor, shift = mixing.chosen_blocks(seed, s, k, m, block, rest)
+            taken = sorted(range(blocks), key=lambda b: (b * factor + shift) % blocks)[:picked]
+            assert blocks < 8 or rest < 2 * block or rest > m - 2 * block or max(taken) - min(taken) >= picked
+            word = 0
+            for _, i in h:
+                wanted[i] = passes * size[i] + sum(w // block in taken for w in range(word, word + size[i]))
+                word += size[i]
+    assert got == wanted
+
+
 def test_mix_of_awkward_rows(spark):
     docs = awkward(spark)
     assert mixing.mix(docs).count() == docs.count()

@@ -3,16 +3,19 @@
 Targets: the weights share ``ratio`` times all tokens; a target stops at ``most`` times its source's size and the excess
 goes to the others by weight. Blocks of equal tokens are then seats: each goes to the source with the highest quotient
 target / (2 * seats + 1), and in the same way from a source to its shards by their tokens. In a shard, documents lie in
-seeded order; the quota takes whole passes, then a run of blocks from a seeded block on, around the end.
+seeded order, one after another, which cuts their tokens into blocks; the quota takes whole passes over the shard, and as many
+blocks as are left, those with the first places of a seeded permutation.
 
 Null text: size 0. Null source: a source of its own, last. Null doc_id: ordered by its text. Repeated rows: each is a
-document. Ties in the seeded order: by doc_id; equal rows are interchangeable. Empty table: no rows.
+document. Ties in the seeded order: by doc_id; equal rows are interchangeable. Very long texts: all their words, over as many blocks. Other columns
+are ignored. Empty table: no rows.
 
 The driver holds one row per source and per shard; there are at most MOST_SHARDS shards more than sources.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 
@@ -109,27 +112,29 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), ratio: float =
     for (s, _), quota in zip(sources, quotas, strict=True):
         own = sorted(held.get(s, []))
         for (k, n), q in zip(own, sainte_lague(quota, [n for _, n in own], [-(-most * n // block) for _, n in own]), strict=True):
-            take = min(q * block, most * n)
-            passes, run = divmod(take, n) if n else (0, 0)
-            start = _seeded(seed, s, k, max(1, n // block)) * block
-            plan.append((s, k, passes, start, start + run, max(0, start + run - n)))
-    quota_of = spark.createDataFrame(plan, "planned string, at int, passes long, start long, stop long, around long")
+            passes, rest = divmod(min(q * block, most * n), n) if n else (0, 0)
+            plan.append((s, k, passes, *chosen_blocks(seed, s, k, n, block, rest)))
+    quota_of = spark.createDataFrame(plan, "planned string, at int, passes long, blocks long, picked long, factor long, shift long")
     quota_of = F.broadcast(quota_of) if len(plan) <= BROADCAST_ROWS else quota_of
     before = Window.partitionBy("source", "shard").orderBy("place", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = dealt.withColumn("to", F.sum("size").over(before)).withColumn("from", F.col("to") - F.col("size"))
-    inside = lambda a, b: F.greatest(F.lit(0), F.least("to", b) - F.greatest("from", a))
-    zero = F.lit(0).cast("long")
-    return placed.join(quota_of, F.col("source").eqNullSafe(F.col("planned")) & (F.col("shard") == F.col("at"))).select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        (F.col("passes") * F.col("size") + inside(F.col("start"), F.col("stop")) + inside(zero, F.col("around"))).cast("long").alias("taken"),
-    )
+    own = placed.join(quota_of, F.col("source").eqNullSafe(F.col("planned")) & (F.col("shard") == F.col("at")))
+    at = lambda b: (b * F.col("factor") + F.col("shift")) % F.col("blocks")
+    inside = lambda b: F.least("to", (b + 1) * block) - F.greatest("from", b * block)
+    touched = F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))
+    some = F.aggregate(touched, F.lit(0).cast("long"), lambda total, b: total + F.when(at(b) < F.col("picked"), inside(b)).otherwise(0))
+    taken = F.col("passes") * F.col("size") + F.when((F.col("size") > 0) & (F.col("picked") > 0), some).otherwise(0)
+    return own.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def _seeded(seed: int, source: str | None, shard: int, n: int) -> int:
-    import hashlib
+def chosen_blocks(seed: int, source: str | None, shard: int, tokens: int, block: int, rest: int) -> tuple[int, int, int, int]:
+    """(blocks, picked, factor, shift): of a shard's blocks those b are taken for which (b * factor + shift) % blocks < picked.
 
-    return int.from_bytes(hashlib.sha256(f"{seed}\0{source is None}\0{source}\0{shard}".encode("utf-8", "surrogatepass")).digest()[:8], "big") % n
+    The factor has no divisor in common with the number of blocks, so this is a permutation, and as many as picked are taken.
+    """
+    blocks = max(1, -(-tokens // block))
+    drawn = hashlib.sha256(f"{seed}\0{source is None}\0{source}\0{shard}".encode("utf-8", "surrogatepass")).digest()
+    factor = 1 + int.from_bytes(drawn[:8], "big") % blocks
+    while math.gcd(factor, blocks) > 1:
+        factor += 1
+    return blocks, min(blocks, round(rest / block)), factor, int.from_bytes(drawn[8:16], "big") % blocks
