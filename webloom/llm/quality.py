@@ -6,7 +6,7 @@ a hash keeps apart. Everything else covers all rows.
 
 Null text: the empty text, which is scored like any other. Null or other labels than 0 and 1: left out. Null doc_id:
 joins no label, not held out. Repeated rows: each is scored, and learned from. No labelled rows: every score is 1, since
-nothing speaks against any text; with one class only, the scores are that class. No documents: no rows. Other columns
+nothing speaks against any text; with one class only, the scores are that class. Very long texts: whole, like any other. Ties: equal texts score alike. No documents: no rows. Other columns
 are ignored.
 """
 
@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.cut import small_batches, written
+from webloom.cut import written
 from webloom.llm.words import by_size, utf8
 
 _CLASS = np.full(256, 9)
@@ -64,7 +64,6 @@ def statistics(data: bytes) -> np.ndarray:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of the text as an array, for every row of docs (doc_id, text)."""
-    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1):
@@ -177,14 +176,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is predicted 1. No row is shuffled."""
-    small_batches(docs.sparkSession)
+    """The rows of docs, with all their columns, whose text is predicted 1. Only texts go to Python; no row is shuffled."""
     _, model = learned(docs.select("doc_id", "text"), labels)
-    text = docs.columns.index("text")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size(batches, text):
-            x = np.stack([statistics(utf8(t)) for t in batch.column(text).to_pylist()])
-            yield batch.filter(pa.array((model.score(x) if model else np.ones(len(x))) >= threshold))
+    def work(texts: pa.Array) -> pa.Array:
+        if model is None:
+            return pa.array(np.ones(len(texts)))
+        return pa.array(model.score(np.array([statistics(utf8(t.as_py())) for t in texts]).reshape(-1, N_FEATURES)))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.where(F.arrow_udf(work, "double")(docs["text"]) >= threshold)

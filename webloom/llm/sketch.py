@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from webloom.cut import small_batches
 from webloom.llm.words import by_size, utf8
 
 SLICES = 64
@@ -21,7 +20,6 @@ def cell_counts(docs: DataFrame, hashes: Callable[[bytes], np.ndarray], bits: in
 
     A task sends its cells in slices, compressed; slices are added in two steps, so that no group grows with the tasks.
     """
-    small_batches(docs.sparkSession)
     width = (1 << bits) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
