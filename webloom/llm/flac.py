@@ -3,10 +3,11 @@
 The codec works on arrays with one row per frame (writing) or per run of frames between two seek points (reading), so
 that Python's cost is per bit field, not per sample. Writing: mono, blocks of 192 samples, each block the cheapest of
 constant, verbatim and the fixed linear predictors of order 0 to 2 with Rice-coded residuals; a seek point before every
-eighth frame. Reading: any mono stream of 4 to 24 bits with constant, verbatim, fixed or linear-prediction subframes,
-partitioned Rice codes of either kind with escapes, wasted bits; header and frame checksums are verified.
+eighth frame. Reading: any stream of up to eight channels, each by itself or two as left and side, side and right, or mid and
+side, of 4 to 24 bits with constant, verbatim, fixed or linear-prediction subframes, partitioned Rice codes of either kind
+with escapes, wasted bits; header and frame checksums are verified.
 
-Null text: the empty text. Empty text: 192 blanks. Equal texts give equal streams. A stream that can't be read gives an
+Very long texts: whole, like any other; a stream's frames are read a bounded number at a time. Ties: none, rows don't meet. Null text: the empty text. Empty text: 192 blanks. Equal texts give equal streams. A stream that can't be read gives an
 error in its own row, the others are not affected. Repeated rows are kept; no rows give no rows; other columns are ignored.
 """
 
@@ -21,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from webloom.cut import small_batches
 from webloom.llm.words import by_size, utf8
 
 BLOCK = 192
@@ -177,8 +177,8 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 # Reading
 
 
-def _metadata(data: bytes) -> tuple[int, int, int, bytes, list[tuple[int, int]]]:
-    """Samples, bits of each, where frames begin, MD5, and seek points (sample, offset) from the first frame on."""
+def _metadata(data: bytes) -> tuple[int, int, int, int, bytes, list[tuple[int, int]]]:
+    """Samples, bits of each, channels, where frames begin, MD5, and seek points (sample, offset) from the first frame on."""
     if data[:4] != b"fLaC":
         raise FlacError("no fLaC marker")
     at, info, points = 4, None, []
@@ -191,9 +191,7 @@ def _metadata(data: bytes) -> tuple[int, int, int, bytes, list[tuple[int, int]]]
             if len(body) != 34:
                 raise FlacError("STREAMINFO is cut off")
             bits = int.from_bytes(body[10:18], "big")
-            if (bits >> 41) & 7:
-                raise FlacError("more than one channel")
-            info = bits & ((1 << 36) - 1), ((bits >> 36) & 31) + 1, body[18:34]
+            info = bits & ((1 << 36) - 1), ((bits >> 36) & 31) + 1, ((bits >> 41) & 7) + 1, body[18:34]
         elif kind == 3:
             points = [p[:2] for p in struct.iter_unpack(">QQH", body) if p[0] != 0xFFFFFFFFFFFFFFFF]
         at += 4 + n
@@ -203,11 +201,11 @@ def _metadata(data: bytes) -> tuple[int, int, int, bytes, list[tuple[int, int]]]
         raise FlacError("no STREAMINFO")
     if not points or points[0] != (0, 0):
         points = [(0, 0)]
-    return info[0], info[1], at, info[2], points
+    return *info[:3], at, info[3], points
 
 
 def decode(streams: list[bytes]) -> list[np.ndarray | FlacError]:
-    """The samples of each stream (int32), or why it can't be read."""
+    """The samples of each stream (int32; a column for each channel if there are several), or why it can't be read."""
     out: list = [None] * len(streams)
     todo: list[tuple[int, int, int, int, int]] = []  # stream, first byte, end, first sample, end
     group, held = [], 0
@@ -221,20 +219,20 @@ def decode(streams: list[bytes]) -> list[np.ndarray | FlacError]:
     bits, digests = {}, {}
     for i, data in enumerate(streams):
         try:
-            n, width, start, digests[i], points = _metadata(data)
+            n, width, channels, start, digests[i], points = _metadata(data)
         except FlacError as e:
             out[i] = e
             continue
-        bits[i], out[i] = width, np.zeros(n, dtype=np.int32)
+        bits[i], out[i] = (width, channels), np.zeros(n if channels == 1 else (n, channels), dtype=np.int32)
         points = [*points, (n, len(data) - start)]
         todo += [(i, start + a[1], start + b[1], a[0], b[0]) for a, b in zip(points, points[1:], strict=False) if b[0] > a[0]]
     for job in todo:
-        group.append((*job, bits[job[0]]))
+        group.append((*job, *bits[job[0]]))
         held += job[2] - job[1]
         if held >= BYTES_AT_ONCE:
             run()
     run()
-    for i, width in bits.items():
+    for i, (width, _) in bits.items():
         if isinstance(out[i], np.ndarray) and any(digests[i]):
             wide = (width + 7) // 8
             raw = out[i].astype("<i4").view(np.uint8).reshape(-1, 4)[:, :wide].tobytes()
@@ -282,7 +280,7 @@ class _Bits:
         return n
 
 
-def _decode_runs(streams: list[bytes], jobs: list[tuple[int, int, int, int, int, int]], out: list) -> None:
+def _decode_runs(streams: list[bytes], jobs: list[tuple[int, int, int, int, int, int, int]], out: list) -> None:
     """Reads each run of frames into its stream's samples in out, or puts an error there."""
     parts = [streams[i][a:b] for i, a, b, *_ in jobs]
     base = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
@@ -291,7 +289,7 @@ def _decode_runs(streams: list[bytes], jobs: list[tuple[int, int, int, int, int,
     stream = np.array([j[0] for j in jobs])
     byte, end = base[:-1].copy(), base[1:]
     sample, last = np.array([j[3] for j in jobs]), np.array([j[4] for j in jobs])
-    width = np.array([j[5] for j in jobs])
+    width, channels = np.array([j[5] for j in jobs]), np.array([j[6] for j in jobs])
     live = np.ones(len(jobs), dtype=bool)
 
     def fail(rows: np.ndarray, why: str) -> None:
@@ -318,15 +316,17 @@ def _decode_runs(streams: list[bytes], jobs: list[tuple[int, int, int, int, int,
         n = np.where(code == 6, buf[at] + 1, np.where(code == 7, (buf[at] << 8) + buf[at + 1] + 1, BLOCK_OF[code]))
         head = 4 + number + wide_block + wide_rate
         bps = np.where(own_width == 0, width[rows], own_width)
-        good = (buf[start + 3] >> 4 == 0) & (number > 0) & (n > 0) & (rate < 15) & (bps == width[rows]) & (start + head < end[rows])
+        kind = buf[start + 3] >> 4
+        count = np.where(kind < 8, kind + 1, 2)
+        good = (kind <= 10) & (count == channels[rows]) & (number > 0) & (n > 0) & (rate < 15) & (bps == width[rows]) & (start + head < end[rows])
         good &= sample[rows] + n <= last[rows]
         if not good.all():
-            fail(rows[~good], "a frame header that isn't valid, or isn't mono")
+            fail(rows[~good], "a frame header that isn't valid")
             continue
         if (bad := _crc8(buf, start, head) != buf[start + head]).any():
             fail(rows[bad], "checksum of a frame header differs")
             continue
-        values, pos, bad = _subframes(bits, (start + head + 1) * 8, n, bps, end[rows] * 8)
+        values, pos, bad = _channels(bits, (start + head + 1) * 8, n, bps, end[rows] * 8, kind, count)
         stop = (pos + 7) >> 3
         bad |= stop + 2 > end[rows]
         stop = np.minimum(stop, end[rows])
@@ -335,14 +335,40 @@ def _decode_runs(streams: list[bytes], jobs: list[tuple[int, int, int, int, int,
             fail(rows[bad], "a frame is damaged or its checksum differs")
         for r in np.flatnonzero(~bad) if len(set(n.tolist())) > 1 else ():
             i = stream[rows[r]]
-            out[i][sample[rows[r]] : sample[rows[r]] + n[r]] = values[r, : n[r]]
+            if isinstance(out[i], np.ndarray):
+                out[i][sample[rows[r]] : sample[rows[r]] + n[r]] = values[r, : n[r]] if out[i].ndim == values.ndim - 1 else values[r, : n[r], 0] if out[i].ndim == 1 else values[r, : n[r], : out[i].shape[1]]
         if len(set(n.tolist())) == 1:
             for r, i, a in zip(np.flatnonzero(~bad).tolist(), stream[rows][~bad].tolist(), sample[rows][~bad].tolist(), strict=True):
                 if isinstance(out[i], np.ndarray):
-                    out[i][a : a + values.shape[1]] = values[r]
+                    out[i][a : a + values.shape[1]] = values[r] if values.ndim == 2 else values[r, :, 0] if out[i].ndim == 1 else values[r, :, : out[i].shape[1]]
         byte[rows], sample[rows] = stop + 2, sample[rows] + n
 
 
+LEFT_SIDE, SIDE_RIGHT, MID_SIDE = 8, 9, 10
+
+
+def _channels(bits: _Bits, pos: np.ndarray, n: np.ndarray, bps: np.ndarray, limit: np.ndarray, kind: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _subframes, for all channels of a frame; with more than one in any, samples have a third axis."""
+    most = int(count.max())
+    if most == 1:
+        return _subframes(bits, pos, n, bps, limit)
+    x, bad, pos = np.zeros((len(pos), int(n.max()), most), dtype=np.int64), np.zeros(len(pos), dtype=bool), pos.copy()
+    for c in range(most):
+        own = np.flatnonzero((count > c) & ~bad)
+        if len(own):
+            # The difference of two channels has a bit more.
+            side = (kind[own] == SIDE_RIGHT) if c == 0 else (kind[own] == LEFT_SIDE) | (kind[own] == MID_SIDE) if c == 1 else np.zeros(len(own), dtype=bool)
+            values, pos[own], bad[own] = _subframes(bits, np.minimum(pos[own], bits.last), n[own], bps[own] + side, limit[own])
+            x[own, : values.shape[1], c] = values
+    a, b = x[:, :, 0], x[:, :, 1]
+    left, right, middle = (np.flatnonzero(kind == k) for k in (LEFT_SIDE, SIDE_RIGHT, MID_SIDE))
+    b[left] = a[left] - b[left]
+    a[right] += b[right]
+    whole = a[middle] * 2 + (b[middle] & 1)
+    a[middle], b[middle] = (whole + b[middle]) >> 1, (whole - b[middle]) >> 1
+    return x, pos, bad
+
+
 def _subframes(bits: _Bits, pos: np.ndarray, n: np.ndarray, bps: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Samples, the bit after each subframe, and which rows aren't valid."""
     f, most = len(pos), int(n.max())
@@ -476,7 +502,6 @@ def feature_of(samples: np.ndarray) -> str:
 
 def with_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: the FLAC stream of each row of docs (doc_id, text)."""
-    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1, GROUP_BYTES):
@@ -489,19 +514,26 @@ def with_media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, schema)
 
 
+def pcm_of(samples: np.ndarray, width: int) -> bytes:
+    """Samples as PCM, channels side by side: up to 8 bits unsigned, else signed and little-endian in as many bytes as needed."""
+    if width <= 8:
+        return (samples.astype(np.int8).view(np.uint8) ^ 0x80).tobytes()
+    return np.ascontiguousarray(samples.ravel().astype("<i4")).view(np.uint8).reshape(-1, 4)[:, : (width + 7) // 8].tobytes()
+
+
 def pcm_blocks(media: DataFrame, block_samples: int = 96_000) -> DataFrame:
-    """doc_id, sample_offset, n_samples, pcm (unsigned 8-bit), error: the streams of (doc_id, media), block by block."""
-    small_batches(media.sparkSession)
+    """doc_id, sample_offset, n_samples, pcm (``pcm_of``), error: the streams of (doc_id, media), block by block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1, GROUP_BYTES):
             rows = []
-            for key, got in zip(batch.column(0).to_pylist(), decode([v or b"" for v in batch.column(1).to_pylist()]), strict=True):
+            streams = [v or b"" for v in batch.column(1).to_pylist()]
+            for key, stream, got in zip(batch.column(0).to_pylist(), streams, decode(streams), strict=True):
                 if isinstance(got, FlacError):
                     rows.append((key, 0, 0, None, str(got)))
                     continue
-                data = (got.astype(np.int8).view(np.uint8) ^ 0x80).tobytes()
-                rows += [(key, a, len(data[a : a + block_samples]), data[a : a + block_samples], None) for a in range(0, len(data), block_samples)]
+                width = _metadata(stream)[1]
+                rows += [(key, a, len(got[a : a + block_samples]), pcm_of(got[a : a + block_samples], width), None) for a in range(0, len(got), block_samples)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.string())],
@@ -514,7 +546,6 @@ def pcm_blocks(media: DataFrame, block_samples: int = 96_000) -> DataFrame:
 
 def media_digests(media: DataFrame) -> DataFrame:
     """What was stored, read back from the streams of (doc_id, n_bytes, media)."""
-    small_batches(media.sparkSession)
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -526,7 +557,7 @@ def media_digests(media: DataFrame) -> DataFrame:
                 if isinstance(got, FlacError):
                     rows.append((None, None, None, *kept, None, str(got)))
                     continue
-                data = (got.astype(np.int8).view(np.uint8) ^ 0x80).tobytes()
+                data = pcm_of(got, 8)
                 rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), *kept, feature_of(got), None))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
