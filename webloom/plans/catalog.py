@@ -15,7 +15,7 @@ from webloom.operators import pages as P
 from webloom.operators import render as render_ops
 from webloom.operators import robots as robots_ops
 from webloom.operators import sitemaps as sitemap_ops
-from webloom.plans import fixtures
+from webloom.plans import fixtures, generated
 from webloom.sources import http as fetching
 from webloom.tables import table
 
@@ -42,11 +42,16 @@ def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.metadata(_pages(spark, sf_dir)).select("page_id", "url", "title", "language", "description", "robots", "canonical")
+    pages = _pages(spark, sf_dir).select("page_id", "url", "html").unionByName(generated.meta_pages(spark, sf_dir).withColumn("page_id", F.col("page_id") + 1_000_000))
+    joined = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *(x[n] for n in names))), "|").alias(c)
+    found = P.metadata(pages)
+    return found.select(
+        "page_id", "url", "title", "language", "description", "robots", "canonical", joined("icons", "rel", "href", "sizes"), joined("feeds", "href", "title", "type"), F.array_join("json_ld", "|").alias("json_ld")
+    )
 
 
 def meta_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.meta_values(fixtures.meta_pages(spark), "og").orderBy("page_id", "key")
+    return P.meta_values(fixtures.meta_pages(spark).unionByName(generated.meta_pages(spark, sf_dir)), "og")
 
 
 def links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +67,7 @@ def links_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.links(fixtures.link_pages(spark), kind="external").select("page_id", "pos", "href", "text", "rel", "title")
+    return P.links(fixtures.link_pages(spark).unionByName(generated.link_pages(spark, sf_dir)), kind="external").select("page_id", "pos", "href", "text", "rel", "title")
 
 
 def link_host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,11 +76,11 @@ def link_host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.main_content(_pages(spark, sf_dir)).select("page_id", "strategy", F.length("content").cast("long").alias("n_chars"))
+    return P.main_content(_pages(spark, sf_dir)).select("page_id", "strategy", F.length("content").cast("long").alias("n_chars"), F.sha2(F.col("content").cast("binary"), 256).alias("sha256"))
 
 
 def reader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.articles(_pages(spark, sf_dir)).select("page_id", "url", "title", "byline", "word_count")
+    return P.articles(_pages(spark, sf_dir)).select("page_id", "url", "title", "byline", "word_count", "markdown")
 
 
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +93,7 @@ def ssrf_check_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ssrf_check_address(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return net_ops.address_verdicts(fixtures.addresses(spark))
+    return net_ops.address_verdicts(fixtures.addresses(spark).unionByName(generated.addresses(spark, sf_dir)))
 
 
 def ssrf_validate_url(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +101,11 @@ def ssrf_validate_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dns_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return net_ops.host_answers(fixtures.answers(spark))
+    return net_ops.host_answers(fixtures.answers(spark).unionByName(generated.answers(spark, sf_dir)))
 
 
 def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robots_ops.rules(robots_ops.files(fixtures.robots_files(spark)))
+    return robots_ops.rules(robots_ops.files(fixtures.robots_files(spark).unionByName(generated.robots_files(spark, sf_dir))))
 
 
 def robots_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,18 +116,25 @@ def robots_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots_ops.verdicts(pages, files).select("page_id", "path", "allowed", "matched_rule")
 
 
+def robots_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' URLs against their nations' files for an agent that one of these names; the others have rules for all."""
+    files = robots_ops.files(generated.robots_files(spark, sf_dir))
+    return robots_ops.verdicts(generated.supplier_urls(spark, sf_dir), files, "MyBot3/1.0").select("page_id", "origin", "path", "allowed", "matched_rule", "crawl_delay")
+
+
 def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sitemap_ops.parsed(fixtures.sitemap_site(spark)).select("url", F.posexplode("urls").alias("pos", "u"))
+    rows = sitemap_ops.parsed(fixtures.sitemap_site(spark).unionByName(generated.sitemap_site(spark, sf_dir))).select("url", F.posexplode("urls").alias("pos", "u"))
     return rows.select(F.col("url").alias("sitemap"), F.col("pos").cast("long").alias("pos"), "u.*")
 
 
 def sitemap_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crawl = sitemap_ops.crawl(fixtures.sitemap_seeds(spark), fixtures.sitemap_site(spark), max_depth=2)
-    return crawl["urls"].select("pos", "loc", F.col("depth").cast("long").alias("depth"))
+    seeds = fixtures.sitemap_seeds(spark).unionByName(generated.crawl_seeds(spark, sf_dir))
+    crawl = sitemap_ops.crawl(seeds, fixtures.sitemap_site(spark).unionByName(generated.crawled_site(spark, sf_dir)), max_depth=2)
+    return crawl["urls"].select("crawl_id", "pos", "loc", F.col("depth").cast("long").alias("depth"))
 
 
 def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed_ops.feed_entries(fixtures.feeds(spark)).select("feed_id", "pos", "title", "link", "id", "published", "author", "summary", "content", F.array_join("categories", "|").alias("categories"))
+    return feed_ops.feed_entries(fixtures.feeds(spark).unionByName(generated.feeds(spark, sf_dir))).select("feed_id", "pos", "title", "link", "id", "published", "author", "summary", "content", F.array_join("categories", "|").alias("categories"))
 
 
 def content_type_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,11 +143,12 @@ def content_type_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retry_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.retries(spark).select("attempt", "header", H.retry_delay_ms(F.col("attempt"), F.col("header"), F.col("now_ms")).alias("delay_ms"))
+    return fixtures.retries(spark).unionByName(generated.retries(spark, sf_dir)).select("attempt", "header", H.retry_delay_ms(F.col("attempt"), F.col("header"), F.col("now_ms")).alias("delay_ms"))
 
 
 def redirect_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return net_ops.follow_redirects(fixtures.redirect_requests(spark), fixtures.redirects(spark), 3)
+    asked = fixtures.redirect_requests(spark).unionByName(generated.redirect_requests(spark, sf_dir))
+    return net_ops.follow_redirects(asked, fixtures.redirects(spark).unionByName(generated.redirects(spark, sf_dir)), 3)
 
 
 def http_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +158,7 @@ def http_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render_ops.rendered(fixtures.responses(spark))
+    return render_ops.rendered(fixtures.responses(spark).unionByName(generated.responses(spark, sf_dir)))
 
 
 QUERIES = {
@@ -153,7 +166,7 @@ QUERIES = {
     for f in (
         page_overview, html_to_text, text_stats, page_title, page_meta, meta_tags, links_all, links_deduped, links_limit, links_by_type,
         link_host_counts, main_content, reader, html_to_markdown, ssrf_check_ipv4, ssrf_check_address, ssrf_validate_url, dns_answers,
-        robots_rules, robots_verdict, sitemap_urls, sitemap_crawl, feed_entries, content_type_decision, retry_delay, redirect_follow,
+        robots_rules, robots_verdict, robots_agents, sitemap_urls, sitemap_crawl, feed_entries, content_type_decision, retry_delay, redirect_follow,
         http_fetch, render_response,
     )
 }
@@ -191,24 +204,65 @@ links as (
 _FIRSTS = f"""{_LINKS},
 firsts as (select page_id, min(pos) as pos, href, arg_min(text, pos) as text from links group by page_id, href),
 deduped as (select page_id, row_number() over (partition by page_id order by pos) - 1 as pos, href, text from firsts)"""
+_PLAIN = r"regexp_replace(replace(replace(replace(replace({0}, '&copy;', chr(169)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;?', '&', 'g')"
+_LINE = r"regexp_replace(" + _PLAIN.format("regexp_replace({0}, '<[^>]*>', '', 'g')") + r", '[ \t\r\n]+', ' ', 'g')"
+_ESCAPED = r"regexp_replace(regexp_replace(regexp_replace({0}, '([\\*_\[\]`])', '\\\1', 'g'), '^(-|\+ |=+|>|~~~|#{{1,6}} )', '\\\1'), '^(\d+)\. ', '\1\\. ')"
+
+
+def _markdown_line(column: str, trim: str = "trim") -> str:
+    return _ESCAPED.format(f"{trim}({_LINE.format(column)})")
+
+
+#: Markdown of the generated pages: a heading, and paragraphs in sections. Each section opens a bold that is never closed; a paragraph
+#: opens those before it again, three at most.
+_MARKDOWN = f"""
+parts as (select page_id, url, html, regexp_extract(html, '<title>([\\s\\S]*?)</title>', 1) as title, regexp_extract(html, '<div class="ad">([\\s\\S]*?)</div>', 1) as ad, regexp_extract(html, '<h1>([\\s\\S]*?)</h1>', 1) as h1,
+  trim(regexp_extract(html, '(?i)<article[^>]*>([\\s\\S]*?)</article>', 1), chr(32) || chr(9) || chr(10) || chr(13)) as article, string_split(regexp_extract(html, '</h1>([\\s\\S]*?)</article>', 1), '<p>') as p from pages),
+blocks as (select page_id, unnest(p) as piece, unnest(range(len(p))) as i from parts),
+opened as (select page_id, i, {_markdown_line("piece")} as t, (piece like '%<b>%')::int as has, sum((piece like '%<b>%')::int) over (partition by page_id order by i) as n from blocks),
+paragraphs as (select page_id, string_agg(repeat('**', (least(3, n - has) + has)::int) || t || repeat('**', (least(3, n - has) + has)::int), chr(10) || chr(10) order by i) as md from opened where t <> '' group by page_id),
+marked as (select page_id, url, html, article, [{_markdown_line("title", "ltrim")}, {_markdown_line("ad")}] as before, ['# ' || {_markdown_line("h1")}, coalesce(md, '')] as main from parts left join paragraphs using (page_id))"""
+_LINES = "array_to_string(list_filter({0}, lambda x: x <> ''), chr(10) || chr(10))"
+
 _RANGES = ", ".join(f"({int(n.network_address)}, {int(n.broadcast_address)}, '{n}')" for n in REFUSED_V4)
+_NUMBERS = f"""
+drawn as (select c_custkey as k, (c_custkey * 2862933 + 12345) * 7919 % 4294967296 as d from customer),
+plain as (select k, case k % 3 when 0 then 167772160 + d % 16777216 when 1 then 3232235520 + d % 65536 else d end as n from drawn),
+ranges(low, high, range) as (values {_RANGES}),
+numbers as (select k, n, (n >> 24) || '.' || (n >> 16 & 255) || '.' || (n >> 8 & 255) || '.' || (n & 255) as dotted, exists (select 1 from ranges where n between low and high) as refused from plain)"""
 
 ORACLES = {
     "page_overview": rf"select page_id, {_TITLE} as title, len(regexp_extract_all({_text_sql('html')}, '\S+'))::bigint as n_words, len(regexp_extract_all(html, '(?i)<a href=\"[^\"]*\">'))::bigint as n_links from pages",
     "html_to_text": f"select page_id, {_text_sql('html')} as text from pages",
     "text_stats": rf"with t as (select page_id, {_text_sql('html')} as text from pages) select page_id, len(regexp_extract_all(text, '\S+'))::bigint as n_words, length(text)::bigint as n_chars from t",
     "page_title": f"select page_id, {_TITLE} as title from pages",
-    "page_meta": f"select page_id, url, {_TITLE} as title, {_LANG} as language, null::varchar as description, null::varchar as robots, null::varchar as canonical from pages",
-    "meta_tags": "select * from (values (1::bigint, 'image', 'https://a.example/1.png', 2::bigint), (1, 'title', 'First & last', 1), (2, 'title', '', 1)) t(page_id, key, first, n)",
+    "page_meta": f"""
+select page_id, url, {_TITLE} as title, {_LANG} as language, null::varchar as description, null::varchar as robots, null::varchar as canonical, '' as icons, '' as feeds, '' as json_ld from pages
+union all select doc_id + 1000100, 'https://a.example/', null, null, 'D <' || doc_id, 'noindex', 'https://a.example/c/' || doc_id || '?a=1&b=2', 'shortcut icon https://a.example/i.png 16x16',
+  'https://a.example/f.xml F application/rss+xml', '{{"@id":' || doc_id || '}}' from documents""",
+    "html_to_markdown": f"with {_MARKDOWN} select page_id, {_LINES.format('before || main')} as markdown from marked",
+    "reader": rf"""
+with {_MARKDOWN}, read as (select *, case when length(article) > 200 then {_LINES.format("main")}
+  when regexp_matches(html, '(?i)<body[^>]*>[\s\S]*</body>') then {_LINES.format("[before[2]] || main")} else {_LINES.format("before || main")} end as markdown from marked)
+select page_id, url, {_TITLE} as title, null::varchar as byline, len(regexp_extract_all(markdown, '\S+'))::bigint as word_count, markdown from read""",
+    "meta_tags": """
+select * from (values (1::bigint, 'image', 'https://a.example/1.png', 2::bigint), (1, 'title', 'First & last', 1), (2, 'title', '', 1)) t(page_id, key, first, n)
+union all select doc_id + 100, 'locale', lang, 1 from documents union all select doc_id + 100, 'site_name', coalesce(source, 'none'), 1 from documents
+union all select doc_id + 100, 'size', n_chars::varchar, 1 from documents
+union all select doc_id + 100, 'image', 'https://i.example/' || doc_id || '/1.png?a=1&b=2', 1 + doc_id % 3 from documents""",
     "links_all": f"with {_LINKS} select page_id, pos::bigint as pos, href, text, 'internal' as type from links",
     "links_deduped": f"with {_FIRSTS} select page_id, pos::bigint as pos, href, text from deduped",
     "links_limit": f"with {_FIRSTS}, counted as (select *, count(*) over (partition by page_id) as n from deduped) select page_id, pos::bigint as pos, href, least(n, 3)::bigint as link_count, n > 3 as truncated from counted where pos < 3",
-    "links_by_type": "select * from (values (1::bigint, 0::bigint, 'https://other.example/x?a=1%3E2', 'Other & more', 'nofollow', null), (1, 1, 'http://b.example/', '', null, 'B')) t(page_id, pos, href, text, rel, title)",
+    "links_by_type": """
+select * from (values (1::bigint, 0::bigint, 'https://other.example/x?a=1%3E2', 'Other & more', 'nofollow', null), (1, 1, 'http://b.example/', '', null, 'B')) t(page_id, pos, href, text, rel, title)
+union all select page_id + 1000, 0, 'https://o' || page_id % 7 || '.example/p?q=' || page_id || '&r=1', 'out ' || page_id || ' there', 'nofollow', 'T ' || page_id from pages
+union all select page_id + 1000, 1, regexp_extract(url, '^[a-z]+:') || '//cdn.example/' || page_id, 'cdn', null, null from pages""",
     "link_host_counts": f"with {_LINKS} select regexp_extract(href, '^[a-z]+://([^/]+)', 1) as host, count(*) as n from links group by 1",
     "main_content": r"""
-with a as (select page_id, html, trim(regexp_extract(html, '(?i)<article[^>]*>([\s\S]*?)</article>', 1), chr(32) || chr(9) || chr(10) || chr(13)) as article from pages)
-select page_id, case when length(article) > 200 then 'article' when regexp_matches(html, '(?i)<body[^>]*>[\s\S]*</body>') then 'body' else 'document' end as strategy,
-  (case when length(article) > 200 then length(article) when regexp_matches(html, '(?i)<body[^>]*>[\s\S]*</body>') then length(regexp_extract(html, '(?i)<body[^>]*>([\s\S]*)</body>', 1)) else length(html) end)::bigint as n_chars from a""",
+with a as (select page_id, html, trim(regexp_extract(html, '(?i)<article[^>]*>([\s\S]*?)</article>', 1), chr(32) || chr(9) || chr(10) || chr(13)) as article from pages),
+found as (select page_id, case when length(article) > 200 then 'article' when regexp_matches(html, '(?i)<body[^>]*>[\s\S]*</body>') then 'body' else 'document' end as strategy,
+  case when length(article) > 200 then article when regexp_matches(html, '(?i)<body[^>]*>[\s\S]*</body>') then regexp_extract(html, '(?i)<body[^>]*>([\s\S]*)</body>', 1) else html end as content from a)
+select page_id, strategy, length(content)::bigint as n_chars, sha256(content) as sha256 from found""",
     "ssrf_check_ipv4": rf"""
 with ips as (select distinct unnest(regexp_extract_all(text, '[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}')) as ip from documents),
 parts as (select ip, list_transform(string_split(ip, '.'), lambda p: p::bigint) as p from ips),
@@ -221,48 +275,77 @@ judged as (
   select page_id, path, case when regexp_matches(path, '^/de/.*[.]html$') then 'Disallow: /de/*.html$' when path like '%?utm_%' then 'Disallow: /*?utm_'
     when path like '/en/10%' then 'Allow: /en/10' when path like '/en/1%' then 'Disallow: /en/1' end as matched_rule from parts)
 select page_id, path, coalesce(matched_rule not like 'Dis%', true) as allowed, matched_rule from judged""",
+    "robots_agents": """
+with asked as (select s_suppkey as page_id, s_nationkey as nation, '/s/' || s_suppkey || 'x?y' as path, s_nationkey = 3 as named from supplier),
+rules as (select s_nationkey as nation, s_suppkey as k, s_suppkey % 3 = 0 as allow, '/s/' || s_suppkey || case when s_suppkey % 3 = 0 then '*$' else '' end as rule from supplier),
+fits as (select a.page_id, arg_max(allow, length(rule) * 2 + allow::int) as allow, arg_max(rule, length(rule) * 2 + allow::int) as rule from asked a join rules r on a.nation = r.nation and (k % 2 = 1) = named and starts_with(path, '/s/' || k) group by a.page_id)
+select page_id, 'https://n' || nation || '.example' as origin, path, coalesce(allow, true) as allowed, case when allow then 'Allow: ' else 'Disallow: ' end || rule as matched_rule, case when named then 3.5 end as crawl_delay
+from asked left join fits using (page_id)""",
     "sitemap_crawl": """
 with recursive maps(url, child, i) as (values ('https://s.example/index.xml', 'https://s.example/a.xml', 0), ('https://s.example/index.xml', 'https://s.example/b.xml.gz', 1), ('https://s.example/index.xml', 'https://s.example/gone.xml', 2)),
 visits(url, depth, i) as (select 'https://s.example/index.xml', 0, 0 union all select child, depth + 1, maps.i from visits join maps using (url)),
 locs(url, loc, j) as (values ('https://s.example/a.xml', 'https://s.example/1', 0), ('https://s.example/a.xml', 'https://s.example/2', 1), ('https://s.example/b.xml.gz', 'https://s.example/3', 0))
-select row_number() over (order by depth, i, j) - 1 as pos, loc, depth::bigint as depth from visits join locs using (url)""",
+select 1::bigint as crawl_id, row_number() over (order by depth, i, j) - 1 as pos, loc, depth::bigint as depth from visits join locs using (url)
+union all select n_regionkey + 100, row_number() over (partition by n_regionkey order by n_nationkey, s_suppkey) - 1, 'https://c.example/s/' || s_suppkey, 1 from supplier join nation on n_nationkey = s_nationkey""",
     "sitemap_urls": """
 select * from (values ('https://s.example/a.xml', 0::bigint, 'https://s.example/1', '2024-01-02', 'daily', 0.8::double), ('https://s.example/a.xml', 1, 'https://s.example/2', null, null, null),
-  ('https://s.example/b.xml.gz', 0, 'https://s.example/3', null, null, null)) t(sitemap, pos, loc, lastmod, changefreq, priority)""",
+  ('https://s.example/b.xml.gz', 0, 'https://s.example/3', null, null, null)) t(sitemap, pos, loc, lastmod, changefreq, priority)
+union all select 'https://sm.example/' || host || '.xml', row_number() over (partition by host order by page_id) - 1, url, '2024-01-' || (page_id % 28 + 1), case when page_id % 2 = 1 then 'daily' end, page_id % 11 / 10.0
+from (select *, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) as host from pages)""",
     "feed_entries": """
 select * from (values ('atom', 0::bigint, 'Entry', 'https://f.example/e', 'urn:1', '2024-01-01T00:00:00Z', 'Ann', 'Short', '<p>Long</p>', 'news|misc'),
   ('rss', 0, 'One & two', 'https://f.example/1', 'id-1', 'Mon, 01 Jan 2024 00:00:00 GMT', 'Bo', 'First', '<b>x</b>', 'a|b'),
-  ('rss', 1, 'Next', null, null, null, null, null, null, '')) t(feed_id, pos, title, link, id, published, author, summary, content, categories)""",
+  ('rss', 1, 'Next', null, null, null, null, null, null, '')) t(feed_id, pos, title, link, id, published, author, summary, content, categories)
+union all select 'd' || doc_id // 50, row_number() over (partition by doc_id // 50 order by doc_id) - 1, 'T & ' || doc_id, 'https://f.example/' || doc_id, 'g' || doc_id,
+  case when doc_id // 50 % 2 = 0 then 'Mon, 01 Jan 2024' else '2024-01-01' end, coalesce(source, 'none'), '<p>' || lang, '<b>' || n_chars || '</b>', lang || case when doc_id // 50 % 2 = 0 then '|c' || doc_id % 3 else '' end from documents""",
     "content_type_decision": """
 with t(content_type) as (values ('text/html; charset=UTF-8'), ('application/json'), ('application/ld+json; charset=utf8'), ('image/png'), (''), ('image/svg+xml'), ('application/octet-stream'), ('text/plain; charset="iso8859-1"')),
 k as (select content_type, trim(split_part(lower(content_type), ';', 1)) as kind, lower(regexp_extract(content_type, '(?i)charset=["]?([^";]+)', 1)) as c from t)
 select content_type, kind = '' or kind like 'text/%' or kind in ('application/json') or kind like '%+json' or kind like '%+xml' as as_text, kind = 'application/json' or kind like '%+json' as as_json,
   case when c in ('', 'utf8') then 'utf-8' when c = 'iso8859-1' then 'iso-8859-1' else c end as charset from k""",
     "retry_delay": """
-select * from (values (0, null, 500::bigint), (1, null, 1000), (5, null, 8000), (0, '3', 3000), (0, '900', 60000), (2, 'soon', 2000), (0, 'Wed, 21 Oct 2026 07:28:30 GMT', 30000), (0, 'Wed, 21 Oct 2020 07:28:00 GMT', 0)) t(attempt, header, delay_ms)""",
+select * from (values (0, null, 500::bigint), (1, null, 1000), (5, null, 8000), (0, '3', 3000), (0, '900', 60000), (2, 'soon', 2000), (0, 'Wed, 21 Oct 2026 07:28:30 GMT', 30000), (0, 'Wed, 21 Oct 2020 07:28:00 GMT', 0)) t(attempt, header, delay_ms)
+union all select (o_orderkey % 7)::int, case o_orderkey % 4 when 1 then (o_orderkey % 100)::varchar when 2 then 'soon' when 3 then strftime(make_timestamp((1792567680 + o_orderkey % 181 - 60) * 1000000), '%a, %d %b %Y %H:%M:%S GMT') end,
+  case o_orderkey % 4 when 1 then least(o_orderkey % 100 * 1000, 60000) when 3 then greatest(0, least((o_orderkey % 181 - 60) * 1000, 60000)) else least(500 * 2 ** (o_orderkey % 7), 8000)::bigint end from orders""",
     "redirect_follow": """
 with recursive captured(url, status, location) as (values ('https://r.example/a', 302, '/b'), ('https://r.example/b', 301, 'c?x=1'), ('https://r.example/c?x=1', 200, null), ('https://r.example/loop', 302, '/loop')),
 way(request_id, url, hops) as (select * from (values (1::bigint, 'https://r.example/a', 0::bigint), (2, 'https://r.example/loop', 0), (3, 'https://r.example/none', 0)) r(request_id, url, hops)
   union all select request_id, 'https://r.example/' || ltrim(location, '/'), hops + 1 from way join captured using (url) where status between 300 and 399 and hops < 3)
 select request_id, url, case when status < 300 then status else 0 end as status, hops, case when status is null then 'no response' when status >= 300 then 'exceeded 3 redirects' end as error
-from way left join captured using (url) where status is null or status < 300 or hops >= 3""",
-    "ssrf_check_address": """
+from way left join captured using (url) where status is null or status < 300 or hops >= 3
+union all select c_custkey + 1000, 'https://g.example/' || c_custkey - least(c_custkey % 6, 3), case when c_custkey % 6 <= 3 then 200 else 0 end, least(c_custkey % 6, 3), case when c_custkey % 6 > 3 then 'exceeded 3 redirects' end from customer""".replace("'https://g.example/' || c_custkey - least(c_custkey % 6, 3)", "'https://g.example/' || (c_custkey - least(c_custkey % 6, 3))"),
+    "ssrf_check_address": f"""
+with {_NUMBERS}
 select * from (values ('10.1.2.3', false, 'IPv4 address 10.1.2.3 is in a reserved/private range'), ('8.8.8.8', true, null), ('::1', false, 'IPv6 address ::1 is loopback (::1)'),
   ('fe9f::1', false, 'IPv6 address fe9f::1 is link-local (fe80::/10)'), ('fec0::1', true, null), ('::ffff:7f00:1', false, 'IPv6 address ::ffff:7f00:1 maps to 127.0.0.1: IPv4 address 127.0.0.1 is in a reserved/private range'),
-  ('::ffff:0808:0808', true, null), ('64:ff9b::1', false, 'IPv6 address 64:ff9b::1 is NAT64 (64:ff9b::/96)'), ('1.2.3.999', false, 'invalid IPv4 literal'), ('name', false, '"name" is not a valid IP literal')) t(ip, ok, reason)""",
+  ('::ffff:0808:0808', true, null), ('64:ff9b::1', false, 'IPv6 address 64:ff9b::1 is NAT64 (64:ff9b::/96)'), ('1.2.3.999', false, 'invalid IPv4 literal'), ('name', false, '"name" is not a valid IP literal')) t(ip, ok, reason)
+union all select case when k % 2 = 0 then dotted else mapped end, not refused, case when refused then case when k % 2 = 0 then '' else 'IPv6 address ' || mapped || ' maps to ' || dotted || ': ' end || 'IPv4 address ' || dotted || ' is in a reserved/private range' end
+from (select *, '::ffff:' || printf('%x', n >> 16) || ':' || printf('%x', n & 65535) as mapped from numbers)""",
     "ssrf_validate_url": """
 select page_id, true as ok, null::varchar as reason from pages union all
 select * from (values (-1::bigint, false, 'scheme "ftp:" is not allowed (only http/https)'), (-2, false, 'IPv4 address 127.0.0.1 is in a reserved/private range'), (-3, false, 'hostname "a.localhost" resolves to loopback'),
   (-4, false, 'URL failed to parse'), (-5, false, 'IPv6 address ::1 is loopback (::1)')) t""",
-    "dns_answers": """
-select * from (values ('good.example', false, null), ('mixed.example', true, 'DNS: mixed.example -> 10.0.0.1 -- IPv4 address 10.0.0.1 is in a reserved/private range'), ('none.example', true, 'DNS: none.example returned no addresses')) t(host, refused, reason)""",
+    "dns_answers": f"""
+with {_NUMBERS}
+select * from (values ('good.example', false, null), ('mixed.example', true, 'DNS: mixed.example -> 10.0.0.1 -- IPv4 address 10.0.0.1 is in a reserved/private range'), ('none.example', true, 'DNS: none.example returned no addresses')) t(host, refused, reason)
+union all select host, bool_or(refused), 'DNS: ' || host || ' -> ' || arg_min(dotted, k) filter (refused) || ' -- IPv4 address ' || arg_min(dotted, k) filter (refused) || ' is in a reserved/private range'
+from (select *, 'h' || k // 3 || '.example' as host from numbers) group by host""",
     "robots_rules": """
-select 'https://r.example' as origin, * from (values (0::bigint, '*', 0::bigint, false, '/en/1', 1.5::double), (0, '*', 1, true, '/en/10', 1.5), (0, '*', 2, false, '/de/*.html$', 1.5), (0, '*', 3, false, '/*?utm_', 1.5), (1, 'bot', 0, false, '/', null)) t(group_idx, agent, rule_idx, allow, path, crawl_delay)""",
+select 'https://r.example' as origin, * from (values (0::bigint, '*', 0::bigint, false, '/en/1', 1.5::double), (0, '*', 1, true, '/en/10', 1.5), (0, '*', 2, false, '/de/*.html$', 1.5), (0, '*', 3, false, '/*?utm_', 1.5), (1, 'bot', 0, false, '/', null)) t(group_idx, agent, rule_idx, allow, path, crawl_delay)
+union all select 'https://n' || s_nationkey || '.example', odd, agent, row_number() over (partition by s_nationkey, odd, agent order by s_suppkey) - 1, s_suppkey % 3 = 0, '/s/' || s_suppkey || case when s_suppkey % 3 = 0 then '*$' else '' end,
+  case when odd = 1 then s_nationkey + 0.5 end
+from (select *, s_suppkey % 2 as odd, unnest(case when s_suppkey % 2 = 0 then ['*'] else ['bot' || s_nationkey, 'other'] end) as agent from supplier)""",
     "render_response": """
 select 1::bigint as request_id, 'HTTP/1.1 200 OK' || chr(10) || 'URL: https://a.example/' || chr(10) || 'Redirects: 1 hop(s)' || chr(10) || 'Duration: 12ms' || chr(10) || chr(10) || '--- Headers ---' || chr(10) || 'a: 1' || chr(10) || 'b: 2' || chr(10) || chr(10)
   || '[body truncated at response-size cap]' || chr(10) || '--- Body ---' || chr(10) || 'hello' as text, false as is_error
 union all select 2, 'Request failed: exceeded 5 redirects', true
-union all select 3, 'HTTP/1.1 404' || chr(10) || 'URL: https://a.example/x' || chr(10) || 'Duration: 1ms' || chr(10) || chr(10) || '--- Headers ---' || chr(10) || chr(10) || '--- Body (parsed JSON) ---' || chr(10) || '{' || chr(10) || '  "a": [' || chr(10) || '    1' || chr(10) || '  ]' || chr(10) || '}', true""",
+union all select 3, 'HTTP/1.1 404' || chr(10) || 'URL: https://a.example/x' || chr(10) || 'Duration: 1ms' || chr(10) || chr(10) || '--- Headers ---' || chr(10) || chr(10) || '--- Body (parsed JSON) ---' || chr(10) || '{' || chr(10) || '  "a": [' || chr(10) || '    1' || chr(10) || '  ]' || chr(10) || '}', true
+union all select k + 100, case when k % 7 = 0 then 'Request failed: failure ' || k else rtrim('HTTP/1.1 ' || case when k % 3 > 0 then '200 ' else '404 ' end || case when k % 2 > 0 then 'Some words' else '' end) || chr(10) || 'URL: https://a.example/' || chr(10)
+  || case when k % 3 > 0 then 'Redirects: ' || k % 3 || ' hop(s)' || chr(10) else '' end || 'Duration: ' || k % 1000 || 'ms' || chr(10) || chr(10) || '--- Headers ---' || chr(10) || 'a: ' || k || chr(10) || 'x-status: ' || o_orderstatus || chr(10)
+  || case when k % 5 = 0 then chr(10) || '[body truncated at response-size cap]' else '' end
+  || case k % 4 when 0 then chr(10) || '--- Body ---' || chr(10) || 'text ' || k when 1 then chr(10) || '--- Body (parsed JSON) ---' || chr(10) || '{' || chr(10) || '  "a": [' || chr(10) || '    ' || k || chr(10) || '  ]' || chr(10) || '}'
+     when 2 then chr(10) || '--- Body (base64, ' || length(to_base64(encode('text ' || k))) || ' chars) ---' || chr(10) || to_base64(encode('text ' || k)) else '' end end, k % 7 = 0 or k % 3 = 0
+from (select *, o_orderkey as k from orders)""",
     "http_fetch": """
 select * from (values (1::bigint, true, 200, 'https://h.example/end', 2::bigint, 'done', false, null), (2, true, 200, 'https://h.example/busy', 0, 'ready', false, null), (3, true, 200, 'https://h.example/big', 0, '01234', true, null),
   (4, false, 0, 'http://127.0.0.1/', 0, null, false, 'IPv4 address 127.0.0.1 is in a reserved/private range'), (5, false, 0, 'http://10.0.0.8/x', 1, null, false, 'IPv4 address 10.0.0.8 is in a reserved/private range'),
