@@ -1,20 +1,28 @@
 """Personal data: base patterns, and identifiers of other forms found by bootstrapped contexts.
 
 Base spans come from fixed patterns (email, ip, card, phone), leftmost and not overlapping per kind, each found in time
-linear in the text. They seed the bootstrapping: the words before a seed, and labels attached to it (``tel:``), are
-patterns. A pattern's confidence for a kind is the confidence of the instances that it precedes, summed over their
-occurrences, as a share of all of the pattern's occurrences in the corpus; an instance's is 1 for seeds and otherwise
-one less the product of (1 - confidence) over its patterns. After a few rounds, number-like or spelled-out identifiers
-of high confidence that the base patterns miss are added. No context is trusted on fewer than ``support`` different instances.
-
-Null text: the empty text. Offsets are code points, the end exclusive. Null doc_id and repeated rows are kept, each with
-its own result (a repeated instance counts once towards the support). No rows: no rows. Other columns are ignored.
+linear in the text. They are the seeds, and so are, as secrets, hexadecimal words of 32 digits or more. What else could be an
+identifier is a word with digits, a run of words of digits without letters, or words glued by ``(at)`` and the like; kinds have no patterns for them, but a
+candidate's numbers of digits and of letters must lie in the range that the kind's seeds have (half of the least allowed).
+The up to three words before a span, the one or two after it, and a label attached to it (``tel:``) are its lexical patterns.
+
+A pattern's confidence for a kind is the confidence of the instances that it stands by, summed over their occurrences, as a
+share of all occurrences of its words in the corpus; a seed's is 1, any other instance's one less the product of
+(1 - confidence) over its patterns. After a few rounds, candidates of high confidence are added; a secret's own form never
+suffices. No pattern is trusted on fewer than ``support`` different instances.
+
+Null text: the empty text. Very long texts: whole, like any other; patterns and labels of any length. Offsets are code points,
+the end exclusive. Null doc_id and repeated rows are kept, each with its own result (a repeated instance counts once towards the
+support). Ties: an instance as sure for two kinds is of the first; a run of words that is sure goes before its words. No rows: no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,22 +31,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.cut import cut, small_batches, written
-from webloom.llm.words import by_size, utf8, word_hashes
+from webloom.cut import cut, written
+from webloom.llm.words import by_size, shingles, utf8, word_hashes
 
-KINDS = ("email", "ip", "card", "phone")
-EMAIL, IP, CARD, PHONE = range(4)
+KINDS = ("email", "ip", "card", "phone", "secret")
+EMAIL, IP, CARD, PHONE, SECRET = range(5)
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: Other forms: numbers with separators, addresses with colons, addresses that are spelled out.
-_NUMBER = re.compile(r"(?<![A-Za-z0-9@._%+-])\(?[0-9]++(?:[ ().-]{1,2}[0-9]++)*+(?![A-Za-z0-9@_%+])")
-_COLONS = re.compile(r"(?<![A-Za-z0-9:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![A-Za-z0-9:.])")
-_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]+)+")
-CONTEXT_CHARS = 80
+_WORD = re.compile(r"[^\x20\x09-\x0d]++")
+_GLUE = re.compile(r"\(at\)|\[at\]|\(dot\)|\[dot\]")
+_HEX = re.compile(r"[0-9a-fA-F]{32,}+")
+_LABEL = re.compile(r"[^\x20\x09-\x0d:=0-9]++[:=]")
+_AROUND = "\"'`()[]{}<>,.;:!?*|"
 
 
 def luhn(digits: str) -> bool:
@@ -77,77 +85,144 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of identifiers of other forms that overlap no base span; a number may be of two kinds."""
-    found = []
-    if _DIGIT.search(text):
-        for m in _NUMBER.finditer(text):
-            n = sum(c.isdigit() for c in m.group())
-            found += [(PHONE, m.start(), m.end())] if 7 <= n <= 15 else []
-            found += [(CARD, m.start(), m.end())] if 12 <= n <= 19 else []
-    if ":" in text:
-        found += [(IP, m.start(), m.end()) for m in _COLONS.finditer(text)]
-    if "(at)" in text or "[at]" in text:
-        found += [(EMAIL, m.start(), m.end()) for m in _SPELLED.finditer(text)]
-    if not found or not base:
-        return found
+def _free(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[bool]:
+    """Which of the spans overlap no base span."""
     taken = sorted((s, e) for _, s, e in base)
-    starts = np.array([s for s, _ in taken])
-    reach = np.maximum.accumulate(np.array([e for _, e in taken]))
-    free = []
-    for kind, s, e in found:
-        i = int(np.searchsorted(starts, e)) - 1  # the last base span that starts before the end
-        if i < 0 or reach[i] <= s:
-            free.append((kind, s, e))
-    return free
-
-
-_LABEL = re.compile(rb"(?<![^\x20\x09-\x0d])[^\x20\x09-\x0d:=]{1,64}[:=]")
-_SALT = np.uint64(0x5851F42D4C957F2D)
-
-
-def contexts(text: str, start: int) -> list[int]:
-    """The patterns of a span: the word before it, and the label attached to it."""
-    left = text[max(0, start - CONTEXT_CHARS) : start]
-    cut_off = start > CONTEXT_CHARS
-    words = utf8(left).lower().split()
-    attached = bool(left) and not re.match(rb"[\x20\x09-\x0d]", utf8(left[-1]))
+    starts, reach = [s for s, _ in taken], np.maximum.accumulate(np.array([e for _, e in taken], dtype=np.int64))
+    return [(i := bisect_right(starts, e - 1)) == 0 or reach[i - 1] <= s for s, e in spans]
+
+
+def _core(text: str, start: int, end: int) -> tuple[int, int]:
+    """A word or run of words without a label at its front and without what surrounds it."""
+    label = _LABEL.match(text, start, end)
+    if label:
+        start = label.end()
+    while start < end and text[start] in _AROUND:
+        start += 1
+    while start < end and text[end - 1] in _AROUND:
+        end -= 1
+    if start < end and start and text[start - 1] == "(" and ")" in text[start:end] and "(" not in text[start:end]:
+        start -= 1
+    return start, end
+
+
+def candidates(text: str, base: list[tuple[int, int, int]], starts: array, ends: array) -> list[tuple[int, int, int, bool]]:
+    """(run, start, end, whole) of runs of words that could be identifiers, and of the words of longer runs; none overlaps a base span."""
+    like, glued = set(), set()
+    for m in _DIGIT.finditer(text):
+        like.add(bisect_right(starts, m.start()) - 1)
+    for m in _GLUE.finditer(text):
+        w = bisect_right(starts, m.start()) - 1
+        glued.update(range(max(0, w - (m.start() == starts[w])), min(len(starts), w + 1 + (m.end() == ends[w]))))
+    words = sorted(like | glued)
+    letterless = lambda s, e: not any(map(str.isalpha, text[s:e]))
+    joins = {w: w in glued or letterless(*_core(text, starts[w], ends[w])) for w in words}
+    if base:
+        words = [w for w, free in zip(words, _free([(starts[w], ends[w]) for w in words], base), strict=True) if free]
+    runs: list[list[int]] = []
+    for w in words:
+        together = runs and runs[-1][-1] == w - 1 and joins[w] and joins[w - 1] and (w in glued) == (w - 1 in glued)
+        if together and starts[w] == ends[w - 1] + 1 and text[ends[w - 1]] == " " and text[ends[w - 1] - 1] not in ".,;:!?":
+            runs[-1].append(w)
+        else:
+            runs.append([w])
     found = []
-    if attached and words and not (cut_off and len(words) == 1):
-        label = _LABEL.match(words[-1])
-        if label:
-            found.append(int((word_hashes(label.group()) ^ _SALT).view(np.int64)[0]))
-        words = words[:-1]
-    if words and not (cut_off and len(words) == 1):
-        found.append(int(word_hashes(words[-1]).view(np.int64)[0]))
+    for r, run in enumerate(runs):
+        spans = [(starts[run[0]], ends[run[-1]], True)] + ([(starts[w], ends[w], False) for w in run] if len(run) > 1 else [])
+        for s, e, whole in spans:
+            s, e = _core(text, s, e)
+            if s < e:
+                found.append((r, s, e, whole))
     return found
 
 
-def instance(kind: int, value: str) -> int:
+_SALTS = dict(zip(("left", "right", "label"), (np.uint64(0x5851F42D4C957F2D), np.uint64(0xDA942042E4DD58B5), np.uint64(0x8CB92BA72F3D8DD7)), strict=True))
+LEFT, RIGHT = 3, 2
+
+
+def patterns_of(text: str, start: int, end: int, starts: array, ends: array, grams: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(pattern, hash of its words) of a span: words before, words after, an attached label. grams[k]: hashes of each k + 1 words of the text."""
+    found = []
+    first, last = bisect_right(starts, start) - 1, bisect_right(starts, end - 1) - 1
+    before = text[starts[first] : start]
+    if before.strip(_AROUND):
+        label = _LABEL.match(before)
+        if label:
+            gram = label_hash(label.group())
+            found.append((gram ^ _SALTS["label"], gram))
+    else:
+        for k in range(min(LEFT, first)):
+            gram = grams[k][first - 1 - k]
+            found.append((gram ^ _SALTS["left"], gram))
+    if not text[end : ends[last]].strip(_AROUND):
+        for k in range(min(RIGHT, len(starts) - 1 - last)):
+            gram = grams[k][last + 1]
+            found.append((gram ^ _SALTS["right"], gram))
+    signed = lambda x: int(np.uint64(x).view(np.int64))
+    return [(signed(p), signed(g)) for p, g in found]
+
+
+def label_hash(label: str) -> np.uint64:
+    return word_hashes(utf8(label))[0] ^ _SALTS["label"]
+
+
+def grams_of(hashes: np.ndarray) -> list[np.ndarray]:
+    return [shingles(hashes, k, whole_if_short=False) for k in range(1, max(LEFT, RIGHT) + 1)]
+
+
+def instance(value: str) -> int:
     plain = re.sub(r"[^0-9a-z@:]", "", value.lower())
-    return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    return int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-_SCAN = "row long, doc_id {key}, base array<struct<kind:int,start:int,end:int>>, found array<struct<kind:int,start:int,end:int,instance:long,seed:boolean,patterns:array<long>>>"
+_SCAN = "row long, doc_id {key}, base array<struct<kind:int,start:int,end:int>>, found array<struct<seed:int,run:int,start:int,end:int,whole:boolean,instance:long,digits:int,letters:int,patterns:array<struct<pattern:long,gram:long>>>>"
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-_FOUND = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.int64()))])
+_PATTERN = pa.struct([("pattern", pa.int64()), ("gram", pa.int64())])
+_FOUND = pa.struct(
+    [("seed", pa.int32()), ("run", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("whole", pa.bool_()), ("instance", pa.int64())]
+    + [("digits", pa.int32()), ("letters", pa.int32()), ("patterns", pa.list_(_PATTERN))]
+)
+
+
+def scanned(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
+    """Base spans of a text; and all instances: seeds (with their kind) and candidates, with their patterns."""
+    base = base_spans(text)
+    if not base and not _DIGIT.search(text) and not _GLUE.search(text):
+        return base, []
+    starts, ends = array("q"), array("q")
+    for m in _WORD.finditer(text):
+        starts.append(m.start())
+        ends.append(m.end())
+    every = [(k, -1, s, e, True) for k, s, e in base]
+    for run, s, e, whole in candidates(text, base, starts, ends):
+        secret = _HEX.fullmatch(text, s, e) and not text[s:e].isdigit() and not text[s:e].isalpha()
+        every.append((SECRET if secret else -1, run, s, e, whole))
+    if not every:
+        return base, []
+    grams = grams_of(word_hashes(utf8(text)))
+    found = []
+    for seed, run, s, e, whole in every:
+        value = text[s:e]
+        digits = sum("0" <= c <= "9" for c in value)
+        found.append(
+            {"seed": seed, "run": run, "start": s, "end": e, "whole": whole, "instance": instance(value), "digits": digits, "letters": sum(map(str.isalpha, value))}
+            | {"patterns": [{"pattern": p, "gram": g} for p, g in patterns_of(text, s, e, starts, ends, grams)]}
+        )
+    return base, found
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Base spans of every row of docs (doc_id, text), and all instances with their patterns; row numbers the rows."""
-    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in by_size(batches, 1):
             rows, bases, founds = [], [], []
             for text in batch.column(1).to_pylist():
-                text = text or ""
-                base = base_spans(text)
-                both = [(*s, True) for s in base] + [(*s, False) for s in candidates(text, base)]
+                base, found = scanned(text or "")
                 rows.append(row)
                 bases.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
-                founds.append([{"kind": k, "start": s, "end": e, "instance": instance(k, text[s:e]), "seed": seed, "patterns": contexts(text, s)} for k, s, e, seed in both])
+                founds.append(found)
                 row += 1
             arrays = [pa.array(rows, pa.int64()), batch.column(0), pa.array(bases, pa.list_(_SPAN)), pa.array(founds, pa.list_(_FOUND))]
             yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "base", "found"])
@@ -155,76 +230,103 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, _SCAN.format(key=docs.schema["doc_id"].dataType.simpleString()))
 
 
-def pattern_counts(docs: DataFrame) -> DataFrame:
-    """pattern, total: how often each word, and each label before a colon or equals sign, occurs in all texts."""
-    small_batches(docs.sparkSession)
+#: Cells of the words that could be patterns; others aren't counted.
+CELL_BITS = 22
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def gram_counts(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """gram, total: how often each of grams (gram) occurs in all texts. Workers get a bit for each cell that has some, however many there are."""
+    wanted = grams.select(F.shiftrightunsigned("gram", 64 - CELL_BITS).alias("cell")).distinct().toArrow()["cell"].to_numpy()
+    flags = np.zeros(1 << CELL_BITS, dtype=bool)
+    flags[wanted] = True
+    bits = np.packbits(flags).tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).view(bool)
         held, n = [], 0
 
         def out() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["pattern", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["gram", "n"])
 
         for batch in by_size(batches, 0):
             for text in batch.column(0).to_pylist():
-                data = utf8(text)
-                held.append(word_hashes(data))
-                n += len(held[-1])
-                if b":" in data or b"=" in data:
-                    labels = _LABEL.findall(data.lower())
-                    held.append(np.array([word_hashes(x)[0] for x in labels], dtype=np.uint64) ^ _SALT)
-                if n > 1 << 22:
+                if not text:
+                    continue
+                own = grams_of(word_hashes(utf8(text)))
+                if ":" in text or "=" in text:
+                    labels = [label_hash(m.group()) for m in _LABEL.finditer(text) if m.start() == 0 or _blank(text[m.start() - 1])]
+                    own.append(np.array(labels, dtype=np.uint64))
+                for h in own:
+                    held.append(h[cells[_cells(h)]])
+                    n += len(held[-1])
+                if n > 1 << 21:
                     yield out()
                     held, n = [], 0
         if held:
             yield out()
 
-    return docs.select("text").mapInArrow(work, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+    counted = docs.select("text").mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("total"))
+    return counted.join(grams.select("gram").distinct(), "gram", "left_semi")
 
 
-def bootstrap(found: DataFrame, totals: DataFrame, rounds: int, support: int, confident: float) -> DataFrame:
-    """Instances (kind, instance) that are no seeds but reach the confidence; found: (kind, instance, seed, pattern)."""
-    edges = written(found.groupBy("pattern", "kind", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "pii-edges")
-    # Only patterns of enough different instances can ever count, and only those before a seed can start.
-    wide = edges.groupBy("pattern", "kind").agg(F.count("*").alias("instances")).where(F.col("instances") >= support)
-    edges = cut(edges.join(wide.select("pattern", "kind"), ["pattern", "kind"], "left_semi").join(totals, "pattern"))
-    trust = edges.where("seed").select("kind", "instance").distinct().withColumn("trust", F.lit(1.0))
-    for _ in range(rounds):
-        # Left over: the chance that no pattern is right about the instance.
-        held = edges.join(trust, ["kind", "instance"])
-        patterns = (
-            held.groupBy("pattern", "kind")
-            .agg(F.sum(F.col("n") * F.col("trust")).alias("right"), F.max("total").alias("total"), F.sum((F.col("trust") >= 0.5).cast("int")).alias("trusted"))
+def _blank(c: str) -> bool:
+    return c == " " or "\x09" <= c <= "\x0d"
+
+
+def bootstrap(found: DataFrame, totals: DataFrame, rounds: int, support: int) -> DataFrame:
+    """instance, kind, trust of instances that stand by trusted patterns.
+
+    found: (pattern, instance, seed, n, total), seed being the kind or -1; totals are those of a pattern's words.
+    """
+    edges = cut(found.join(totals, "gram").select("pattern", "instance", "seed", "n", "total"))
+    seeds = edges.where("seed >= 0").select("instance", F.col("seed").alias("kind")).distinct().withColumn("trust", F.lit(1.0))
+    trust = seeds
+    for k in range(rounds):
+        shares = (
+            edges.join(trust, "instance")
+            .groupBy("pattern", "kind")
+            .agg(F.sum(F.col("n") * F.col("trust")).alias("right"), F.max("total").alias("total"), F.count_distinct(F.when(F.col("trust") >= 0.5, F.col("instance"))).alias("trusted"))
             .where(F.col("trusted") >= support)
             .select("pattern", "kind", F.least(F.lit(0.999), F.col("right") / F.col("total")).alias("share"))
         )
-        wrong = F.sum(F.log1p(-F.coalesce("share", F.lit(0.0))))
-        trust = cut(
-            edges.join(patterns, ["pattern", "kind"], "left")
-            .groupBy("kind", "instance")
-            .agg(F.max("seed").alias("seed"), wrong.alias("wrong"))
-            .select("kind", "instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("wrong")).alias("trust"))
-            .where("trust > 0")
-        )
-    seeds = edges.where("seed").select("kind", "instance").distinct()
-    return trust.where(F.col("trust") >= confident).join(seeds, ["kind", "instance"], "left_anti").select("kind", "instance", "trust")
+        # Left over: the chance that no pattern is right about the instance.
+        by_pattern = edges.select("pattern", "instance").distinct().join(cut(shares), "pattern")
+        said = cut(by_pattern.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("share"))))).alias("trust")))
+        trust = said.join(seeds, ["instance", "kind"], "left_anti").unionByName(seeds) if k < rounds - 1 else said
+    return trust
 
 
 def find(docs: DataFrame, rounds: int = 3, support: int = 5, confident: float = 0.8) -> DataFrame:
     """doc_id, base and added spans (arrays of kind, start, end) for every row of docs (doc_id, text)."""
     rows = written(scan(docs), "pii-scan")
     found = rows.select("row", F.explode("found").alias("f")).select("row", "f.*")
-    instances = bootstrap(found.select("kind", "instance", "seed", F.explode("patterns").alias("pattern")), pattern_counts(docs), rounds, support, confident)
+    edges = found.select("instance", "seed", F.explode("patterns").alias("p")).groupBy("p.pattern", "p.gram", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    edges = written(edges, "pii-edges")
+    # Only patterns of enough different instances can ever count.
+    wide = edges.groupBy("pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= support)
+    edges = cut(edges.join(wide.select("pattern"), "pattern", "left_semi"))
+    trust = bootstrap(edges, gram_counts(docs, edges.select("gram")), rounds, support).where(F.col("trust") >= confident)
+    # What the seeds of a kind look like; one row for each kind.
+    ranges = found.where("seed >= 0").groupBy(F.col("seed").alias("kind")).agg(
+        F.floor(F.min("digits") / 2).alias("digits_from"), F.max("digits").alias("digits_to"), F.floor(F.min("letters") / 2).alias("letters_from"), F.max("letters").alias("letters_to")
+    )
     # A number that is sure for two kinds is of the surer one.
-    added = (
-        found.where("not seed")
-        .join(instances, ["kind", "instance"])
-        .groupBy("row", "start", "end")
+    sure = (
+        found.where("run >= 0")
+        .join(trust, "instance")
+        .join(F.broadcast(ranges), "kind")
+        .where("digits between digits_from and digits_to and letters between letters_from and letters_to")
+        .groupBy("row", "run", "start", "end", "whole")
         .agg(F.max(F.struct("trust", (-F.col("kind")).alias("first")))["first"].alias("kind"))
-        .groupBy("row")
-        .agg(F.collect_list(F.struct((-F.col("kind")).alias("kind"), "start", "end")).alias("added"))
     )
+    by_run = sure.groupBy("row", "run").agg(F.max("whole").alias("any_whole"), F.collect_list(F.struct((-F.col("kind")).alias("kind"), "start", "end", "whole")).alias("spans"))
+    kept = by_run.select("row", F.explode(F.filter("spans", lambda s: s["whole"] == F.col("any_whole"))).alias("s"))
+    added = kept.groupBy("row").agg(F.collect_list(F.struct("s.kind", "s.start", "s.end")).alias("added"))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     return rows.select("row", "doc_id", "base").join(added, "row", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 
@@ -236,7 +338,7 @@ def digests(found: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return found.select(
         "doc_id",
-        *(count(k) for k in range(len(KINDS))),
+        *(count(k) for k in range(SECRET)),
         F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         joined(F.concat("base", "added")).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
