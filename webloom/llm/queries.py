@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.cut import small_batches
 from webloom.llm import chat, decontaminate, flac, jaccard_join, line_dedup, mixing, ngram_lm, pii, quality, url_filter
 from webloom.tables import table
 
@@ -26,15 +30,14 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Every counted pair is in the trie.
-    return ngram_lm.scores(table(spark, sf_dir, "documents"), least=1)
+    return ngram_lm.scores(table(spark, sf_dir, "documents"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    # A page's label is that of the document with its id; low quality is to be blocked.
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(F.col("quality") == 0, "block").when(F.col("quality") == 1, "allow").alias("verdict"))
-    mined = url_filter.mine(pages.join(labels, "page_id").select("url", "verdict"), min_support=0.002, min_confidence=0.6)
+    # The labelled URLs are those that the list decides: rules are mined for what it leaves open.
+    labelled = pages.select("url", url_filter.listed_rule(F.col("url"), URL_RULES)[1].alias("verdict"))
+    mined = url_filter.mine(labelled, min_support=0.002, min_confidence=0.8, min_lift=1.2)
     return url_filter.judge(pages, URL_RULES, mined)
 
 
@@ -59,18 +62,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def _in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    "op1_decontaminate": op1_decontaminate,
-    "op2_chat": op2_chat,
-    "op3_jaccard": op3_jaccard,
-    "op4_ngram_lm": op4_ngram_lm,
-    "op5_url_filter": op5_url_filter,
-    "op6_flac": op6_flac,
-    "op7_quality": op7_quality,
-    "op8_pii": op8_pii,
-    "op9_mixing": op9_mixing,
-    "op10_line_dedup": op10_line_dedup,
-}
+    f.__name__: _in_small_batches(f)
+    for f in (
+        op1_decontaminate, op2_chat, op3_jaccard, op4_ngram_lm, op5_url_filter, op6_flac, op7_quality, op8_pii, op9_mixing, op10_line_dedup,
+    )
+}
 
 _ESCAPED = r"regexp_replace({0}, '([\[<])(~*(?:\|turn\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]))', '\1~\2', 'g')"
 
