@@ -3,10 +3,10 @@
 import random
 from collections import defaultdict
 
+import brute
 import pytest
 from helpers import awkward, empty, text
 from oracle import SMALL, assert_same, connection
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from webloom.llm import decontaminate, jaccard_join, line_dedup, mixing, quality, queries
@@ -61,42 +61,11 @@ def test_mix(spark):
 
 
 def test_taken_words_equal_brute_force(spark):
-    """Blocks counted word by word, seats given one by one."""
     r = random.Random(3)
     rows = [(i, text(i, r.choice([0, 1, 5, 30, 200])), s) for i, s in enumerate(s for s, n in {"a": 90, "b": 25, None: 40}.items() for _ in range(n))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    seed, block, per_shard = 5, 16, 900
-    got = {x.doc_id: x.taken for x in mixing.mix(docs, seed=seed, block_tokens=block, shard_tokens=per_shard).collect()}
-    size = {i: len(t.split()) for i, t, _ in rows}
-    of = {s: sum(size[i] for i, _, x in rows if x == s) for s in ("a", "b", None)}
-    total = sum(of.values())
-    targets = mixing.share_out(1.5 * total, [3, 1, 2], [2 * n for n in of.values()])
-    block = max(1, min(block, int(min(targets) / 200)))
-
-    def seats(n, votes, caps):
-        won = [0] * len(votes)
-        for _ in range(n):
-            won[max((i for i in range(len(votes)) if won[i] < caps[i]), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))] += 1
-        return won
-
-    quotas = seats(round(sum(targets) / block), targets, [-(-2 * n // block) for n in of.values()])
-    placed = docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("place")).withColumn("at", F.xxhash64(F.lit(seed + 1), "place")).collect()
-    place = {x.doc_id: (x.place, x["at"]) for x in placed}
-    wanted = {}
-    for (s, n), quota in zip(of.items(), quotas, strict=True):
-        shards = -(-n // per_shard)
-        held = [sorted((place[i][0], i) for i, _, x in rows if x == s and place[i][1] % shards == k) for k in range(shards)]
-        sizes = [sum(size[i] for _, i in h) for h in held]
-        for k, (h, m, q) in enumerate(zip(held, sizes, seats(quota, sizes, [-(-2 * m // block) for m in sizes]), strict=True)):
-            passes, rest = divmod(min(q * block, 2 * m), m) if m else (0, 0)
-            blocks, picked, factor, shift = mixing.chosen_blocks(seed, s, k, m, block, rest)
-            taken = sorted(range(blocks), key=lambda b: (b * factor + shift) % blocks)[:picked]
-            assert blocks < 8 or rest < 2 * block or rest > m - 2 * block or max(taken) - min(taken) >= picked
-            word = 0
-            for _, i in h:
-                wanted[i] = passes * size[i] + sum(w // block in taken for w in range(word, word + size[i]))
-                word += size[i]
-    assert got == wanted
+    got = {x.doc_id: x.taken for x in mixing.mix(docs, seed=5, block_tokens=16, shard_tokens=900).collect()}
+    assert got == brute.taken_words(docs, 5, 16, 900)
 
 
 def test_mix_of_awkward_rows(spark):
@@ -146,6 +115,37 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert set(has) == set(had) and sum(r.taken for r in has.values()) == pytest.approx(1.5 * sum(r.size for r in has.values()), rel=0.02)
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """All five stages against plain versions, over all rows of a small corpus with copies, leaks, repeated lines and junk."""
+    r, rows = random.Random(21), []
+    items = [(i, text(900 + i, 12)) for i in range(4)]
+    line = lambda k: " ".join(r.choice(["the", "of", "and", text(k, 1)]) for _ in range(r.randint(4, 12)))
+    shared = [line(700 + i) + "." for i in range(5)]
+    for i in range(90):
+        good = "\n".join([line(i * 10 + k).capitalize() + "." for k in range(r.randint(2, 5))] + r.sample(shared, r.choice([0, 1, 2])))
+        if i % 9 in (4, 5):  # one long line, and the same with another word
+            good = " ".join(w if k != 3 or i % 9 == 4 else "replacement" for k, w in enumerate(text(500 + i // 9, 70).split())) + "."
+        if i % 11 == 7:
+            good += "\n" + items[i % 4][1].replace("a", "e", 1).upper()
+        rows.append((i, good if i % 3 else "".join(r.choice("#$%|<>~^@ 0123456789") for _ in range(r.randint(5, 200)))))
+    rows += [(90, ""), (91, shared[0]), (92, rows[1][1])]
+    frame = [(i, t, "en", "abc"[i % 3], len(t)) for i, t in rows]
+    spark.createDataFrame(frame, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = table(spark, str(tmp_path), "documents")
+    scores = brute.quality_scores(spark, docs, table(spark, str(tmp_path), "labels"))
+    assert min(abs(s - quality.THRESHOLD) for s in scores.values()) > 1e-3
+    kept = [(i, t) for i, t in rows if scores[i] >= quality.THRESHOLD]
+    left = [(i, t) for (i, before), (_, t) in zip(kept, brute.kept_lines(kept), strict=True) if t == before or t.strip()]
+    ids = set(brute.one_of_each(left, 5, 80))
+    clean = [(i, t) for i, t in left if i in ids and not any(brute.holds(t, item) for _, item in items)]
+    assert len(rows) > len(kept) > len(left) > len(ids) > len(clean) > 20 and kept != left
+    final = spark.createDataFrame([(i, t, "abc"[i % 3]) for i, t in clean], "doc_id long, text string, source string")
+    wanted = brute.taken_words(final)
+    assert {x.doc_id: x.taken for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == wanted
+
+
 def test_pipeline_on_no_documents(spark, tmp_path):
     docs = table(spark, SMALL, "documents").limit(0)
     for name, stage in corpus_pipeline.STAGES:

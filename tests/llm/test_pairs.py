@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from brute import Sets, distance, substring_distance
 from helpers import awkward, empty, text
 from pyspark.sql import functions as F
 
@@ -12,27 +13,6 @@ from webloom.llm import decontaminate, edits, groups, jaccard_join, line_dedup,
 from webloom.llm.words import _piece, shingles, word_hashes
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        new = [i + 1]
-        for j, y in enumerate(b):
-            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
-        row = new
-    return row[-1]
-
-
-def substring_distance(p, t):
-    col, best = list(range(len(p) + 1)), (len(p), 0)
-    for at, c in enumerate(t, 1):
-        new = [0]
-        for i, x in enumerate(p):
-            new.append(min(col[i] + (x != c), col[i + 1] + 1, new[-1] + 1))
-        col = new
-        best = min(best, (col[-1], at), key=lambda b: b[0])
-    return best
-
-
 def changed(r, s, n, letters="abcxyz "):
     s = list(s)
     for _ in range(n):
@@ -59,20 +39,6 @@ def test_edit_distances():
             assert edits.Pattern(a).best(b, 3) == (best if best[0] <= 3 else None)
 
 
-class Sets:
-    def __init__(self):
-        self.above = {}
-
-    def top(self, x):
-        while self.above.get(x, x) != x:
-            x = self.above[x]
-        return x
-
-    def join(self, a, b):
-        a, b = self.top(a), self.top(b)
-        self.above[max(a, b)] = min(a, b)
-
-
 @pytest.mark.parametrize("in_one_task", [0, 1000])
 def test_components(spark, in_one_task):
     r = random.Random(1)
@@ -205,7 +171,7 @@ def test_line_dedup(spark):
     base = [text(20 + i, r.randint(6, 9)) for i in range(20)]
     rows = [(100 + i, "\n".join(changed(r, r.choice(base), r.randint(0, 4)) if r.random() < 0.8 else r.choice(["", "short"]) for _ in range(r.randint(0, 6)))) for i in range(60)]
     rows += [(200, rows[3][1]), (103, rows[3][1]), (None, rows[5][1])]
-    docs = awkward(spark, rows).where("coalesce(length(text), 0) < 10000")
+    docs = awkward(spark, rows)
     given = [(x.doc_id, x.text) for x in docs.collect()]
     places = {x.text: x.p for x in docs.select("text", line_dedup.place_of("text").alias("p")).collect()}
     got = {(x.doc_id, x.place): x.dropped for x in line_dedup.dropped_lines(docs).collect()}
@@ -360,6 +326,17 @@ def test_leaks(spark):
     assert decontaminate.without_leaks(docs, benchmark.limit(0)).count() == docs.count()
 
 
+def test_leaks_of_long_texts(spark):
+    """Items at both ends and in the middle of very long texts, with edits; and an item that is itself long."""
+    items = [(i, text(400 + i, 25)) for i in range(4)] + [(9, text(500, 4000))]
+    r, long = random.Random(8), text(600, 60_000).split()
+    edited = lambda i: changed(r, items[i][1], int(decontaminate.RATE * len(items[i][1])), "abc")
+    texts = [" ".join(long), " ".join([edited(0), *long, edited(1), *long, edited(2)]), " ".join([*long[:500], changed(r, items[4][1], 200, "xyz"), *long[:500]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 0), (1, 1), (1, 2), (2, 9)}
+
+
 def test_short_items(spark):
     """They match without edits, where no word is cut."""
     items = [(1, "What is  2+2?"), (2, "Cat"), (3, " "), (4, None), (5, "cat"), (6, "(x)")]
@@ -375,5 +352,9 @@ def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
     items = [(i, text(40 + i, 12)) for i in range(9)]
     docs = spark.createDataFrame([(i, f"before {t} after") for i, t in items], "doc_id long, text string")
-    got = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(decontaminate.blocks_of(benchmark))) > 2
+    got = decontaminate.leaks(docs, benchmark)
     assert {(x.doc_id, x.item_id) for x in got.collect()} == {(i, i) for i, _ in items}
+    more = docs.unionByName(spark.createDataFrame([(77, None), (78, text(99, 12))], docs.schema))
+    assert {x.doc_id for x in decontaminate.without_leaks(more, benchmark).collect()} == {77, 78}
