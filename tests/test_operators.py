@@ -192,6 +192,30 @@ assert got[9].error == S.UNKNOWN and got[9].url == "https://a.example/9" and len
     assert len(sent) == len(set(sent)) and "https://a.example/3" in sent and "https://a.example/9" not in sent
 
 
+def test_requests_go_at_once(spark):
+    class Slow(S.Captured):
+        def send(self, method, url, address, headers, body, timeout_s, max_bytes):
+            import threading
+
+            lock = self.__dict__.setdefault("lock", threading.Lock())
+            host = url.netloc
+            with lock:
+                self.under_way[host] = self.under_way.get(host, 0) + 1
+                most = self.under_way[host]
+            time.sleep(0.2)
+            with lock:
+                self.under_way[host] -= 1
+            return S.Raw(200, headers={"content-type": "text/plain"}, body=str(most).encode())
+
+    t = Slow([])
+    t.under_way = {}
+    df = spark.createDataFrame([(i, {"url": f"https://h{i % 4}.example/{i}", "method": "GET"}) for i in range(32)], "request_id long, request struct<url:string,method:string>").coalesce(1)
+    began = time.monotonic()
+    got = S.fetch(df, t).collect()
+    assert [r.request_id for r in sorted(got)] == list(range(32)) and time.monotonic() - began < 5
+    assert 1 < max(int(r.response.body_text) for r in got) <= S.PER_HOST
+
+
 def test_send_is_logged(spark, tmp_path):
     df = spark.createDataFrame([(1, {"url": "https://a.example/p", "method": "POST"})], "request_id long, request struct<url:string,method:string>")
     t = S.Captured([{"url": "https://a.example/p", "method": "POST", "status": 201}])

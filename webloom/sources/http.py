@@ -15,6 +15,7 @@ import ssl
 import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from email.utils import parsedate_to_datetime
 from typing import Any, Protocol
@@ -300,10 +301,26 @@ def _attempt(request: Request, transport: Transport, started: float) -> dict[str
             method, body = ("HEAD" if method == "HEAD" and raw.status != 303 else "GET"), None
 
 
+#: Requests of a task that are under way at once, and of these to one host.
+AT_ONCE, PER_HOST = 16, 4
+
+
+class _Hosts:
+    """Bounds the requests to each host; one that waits for its turn, or for a retry, holds up no other host's."""
+
+    def __init__(self, per_host: int) -> None:
+        self.per_host, self.lock, self.turns = per_host, threading.Lock(), {}
+
+    def turn(self, url: str) -> threading.Semaphore:
+        host = url.partition("://")[2].partition("/")[0].lower()
+        with self.lock:
+            return self.turns.setdefault(host, threading.Semaphore(self.per_host))
+
+
 def fetch(requests: DataFrame, transport: Transport | None = None, label: str = "responses") -> DataFrame:
     """request_id and response of every row of requests (request_id, request struct), fetched once and written.
 
-    Requests that aren't idempotent are refused here, since a lost task is run again; ``send`` logs them.
+    A task has AT_ONCE requests under way, PER_HOST to one host; the transport is used by as many threads. Requests that aren't idempotent are refused here, since a lost task is run again; ``send`` logs them.
     """
     return written(_fetched(requests, transport or Refused(), NOT_IDEMPOTENT), label)
 
@@ -340,20 +357,26 @@ def _fetched(requests: DataFrame, transport: Transport, refused: tuple[str, ...]
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_type(RESPONSE)
         lost = never or once and TaskContext.get().attemptNumber() > 0
-        for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part, found = batch.slice(a, 64), []
-                for row in part.column(1).to_pylist():
-                    started = time.monotonic()
-                    try:
-                        if lost:
-                            raise ValueError(UNKNOWN)
-                        request = Request.of(row or {"url": ""})
-                        if request.method in refused:
-                            raise ValueError(f"{request.method} is not idempotent: use send")
-                        found.append(fetch_one(request, transport))
-                    except ValueError as e:
-                        found.append(failure((row or {}).get("url") or "", str(e), [], started))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([plain(r, RESPONSE) for r in found], arrow)], ["request_id", "response"])
+        hosts = _Hosts(PER_HOST)
+
+        def one(row: dict[str, Any] | None) -> dict[str, Any]:
+            started = time.monotonic()
+            try:
+                if lost:
+                    raise ValueError(UNKNOWN)
+                request = Request.of(row or {"url": ""})
+                if request.method in refused:
+                    raise ValueError(f"{request.method} is not idempotent: use send")
+                with hosts.turn(request.url):
+                    return fetch_one(request, transport)
+            except ValueError as e:
+                return failure((row or {}).get("url") or "", str(e), [], started)
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 64):
+                    part = batch.slice(a, 64)
+                    found = pool.map(one, part.column(1).to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([plain(r, RESPONSE) for r in found], arrow)], ["request_id", "response"])
 
     return requests.select("request_id", "request").mapInArrow(work, schema)
