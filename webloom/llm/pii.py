@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.cut import cut, written
+from webloom.cut import cut, small_side, written
 from webloom.llm.words import by_size, shingles, utf8, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -318,7 +318,7 @@ def find(docs: DataFrame, rounds: int = 3, support: int = 5, confident: float =
     # A number that is sure for two kinds is of the surer one.
     sure = (
         found.where("run >= 0")
-        .join(trust, "instance")
+        .join(small_side(trust), "instance")
         .join(F.broadcast(ranges), "kind")
         .where("digits between digits_from and digits_to and letters between letters_from and letters_to")
         .groupBy("row", "run", "start", "end", "whole")
