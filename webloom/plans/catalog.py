@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom import __version__
+from webloom.cut import shared_dir
 from webloom.functions import http as H
+from webloom.functions import kernels as K
 from webloom.functions import text as X
 from webloom.kernel.net import REFUSED_V4
 from webloom.kernel.text import NAMED, STRIP_STEPS
@@ -157,6 +162,37 @@ def http_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("request_id", "response.ok", "response.status", "response.url", F.size("response.redirects").cast("long").alias("hops"), "response.body_text", "response.truncated", "response.error")
 
 
+def http_send(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of the writing methods, submitted once each: what was sent comes back as text, JSON or bytes."""
+    found = fetching.send(generated.writes(spark, sf_dir), fixtures.Echo(), f"{shared_dir(spark)}/sent-{uuid.uuid4().hex}")
+    r = F.col("response")
+    return found.select("request_id", r["ok"].alias("ok"), r["status"].alias("status"), F.array_join(F.map_keys(r["headers"]), " ").alias("headers"), r["body_text"].alias("body_text"), F.to_json(F.try_parse_json(r["json"])).alias("json"), r["body_base64"].alias("body_base64"))
+
+
+def http_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headers that a request's last hop had."""
+    found = fetching.fetch(generated.reads(spark, sf_dir), fixtures.Echo())
+    return found.select("request_id", F.size("response.redirects").cast("long").alias("hops"), "response.url", "response.body_text")
+
+
+def decoded_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = generated.encoded(spark, sf_dir).select("doc_id", K.decode_body("body", "content_type")["value"].alias("text"))
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
+def article_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = generated.articles(spark, sf_dir)
+    content = P.main_content(pages).select("page_id", "strategy", "content")
+    return content.join(P.articles(pages).select("page_id", "title", "byline", "word_count"), "page_id")
+
+
+def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as they are shown, as errors, and the basic credentials of their ids."""
+    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[\x{10000}-\x{10ffff}]"))
+    credentials = H.basic_authorization(F.col("doc_id").cast("string"), F.coalesce("source", F.lit("")))
+    return docs.select("doc_id", X.display_cap(F.col("text"), 500).alias("shown"), render_ops.error_text(F.col("lang")).alias("error"), credentials.alias("credentials"))
+
+
 def render_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_ops.rendered(fixtures.responses(spark).unionByName(generated.responses(spark, sf_dir)))
 
@@ -167,7 +203,7 @@ QUERIES = {
         page_overview, html_to_text, text_stats, page_title, page_meta, meta_tags, links_all, links_deduped, links_limit, links_by_type,
         link_host_counts, main_content, reader, html_to_markdown, ssrf_check_ipv4, ssrf_check_address, ssrf_validate_url, dns_answers,
         robots_rules, robots_verdict, robots_agents, sitemap_urls, sitemap_crawl, feed_entries, content_type_decision, retry_delay, redirect_follow,
-        http_fetch, render_response,
+        http_fetch, http_send, http_headers, decoded_bodies, article_parts, display_texts, render_response,
     )
 }
 
@@ -346,6 +382,27 @@ union all select k + 100, case when k % 7 = 0 then 'Request failed: failure ' ||
   || case k % 4 when 0 then chr(10) || '--- Body ---' || chr(10) || 'text ' || k when 1 then chr(10) || '--- Body (parsed JSON) ---' || chr(10) || '{' || chr(10) || '  "a": [' || chr(10) || '    ' || k || chr(10) || '  ]' || chr(10) || '}'
      when 2 then chr(10) || '--- Body (base64, ' || length(to_base64(encode('text ' || k))) || ' chars) ---' || chr(10) || to_base64(encode('text ' || k)) else '' end end, k % 7 = 0 or k % 3 = 0
 from (select *, o_orderkey as k from orders)""",
+    "http_send": """
+with asked as (select p_partkey as k, ['POST', 'PUT', 'PATCH', 'DELETE', 'OPTIONS'][p_partkey % 5 + 1] as method, ['t', 'j', 'b'][p_partkey % 3 + 1] as kind,
+  case when p_partkey % 4 < 2 then '{"n":' || p_partkey || ',"s":"' || p_brand || '"}' when p_partkey % 4 = 2 then p_name end as body,
+  case when p_partkey % 4 < 2 then 'application/json' when p_partkey % 4 = 2 then 'text/x-name' end as content_type, p_partkey % 6 = 5 as raw from part),
+said as (select *, case when kind = 'j' then coalesce(body, 'null') else method || ' /' || kind || k || chr(10) || 'accept: */*' || chr(10) || coalesce('content-type: ' || content_type || chr(10), '') || 'user-agent: webloom/VERSION' || chr(10) || chr(10) || coalesce(body, '') end as answer from asked)
+select k as request_id, true as ok, 201 as status, 'content-type x-method' as headers, case when kind <> 'b' and not raw then answer end as body_text,
+  case when kind = 'j' and not raw and k % 4 <> 2 then coalesce(body, 'null') end as json, case when kind = 'b' or raw then to_base64(encode(answer)) end as body_base64 from said""".replace("VERSION", __version__),
+    "http_headers": """
+select s_suppkey as request_id, (s_suppkey % 3 > 0)::bigint as hops, case when s_suppkey % 3 = 0 then 'https://first.example/t' else 'https://other.example/t' end || s_suppkey as url,
+  'GET /t' || s_suppkey || chr(10) || 'accept: text/html' || chr(10)
+  || case when s_suppkey % 3 > 0 then '' when s_suppkey % 4 = 1 then 'authorization: Basic ' || to_base64(encode(s_name || ':p:ä')) || chr(10) when s_suppkey % 4 = 2 then 'authorization: Bearer token' || s_suppkey || chr(10) else '' end
+  || 'user-agent: ' || case when s_suppkey % 2 = 0 then 'agent/2' else 'webloom/VERSION' end || chr(10) || 'x-key: ' || s_suppkey || chr(10) || chr(10) as body_text from supplier""".replace("VERSION", __version__),
+    "decoded_bodies": "select doc_id, length(text)::bigint as n_chars, sha256(text) as sha256 from documents where text is not null",
+    "article_parts": """
+with words as (select doc_id as k, array_to_string(list_transform(range(1, 91), lambda i: 'w' || doc_id * i % 97), ' ') as prose from documents),
+parts as (select k, '<div>' || prose || '</div><div/>' || k as inner_html from words)
+select k as page_id, ['article', 'main', 'itemprop', 'class', 'body'][k % 5 + 1] as strategy, inner_html as content, ['O & O', 'T <1>', null][k % 3 + 1] as title,
+  case k % 4 when 0 then 'A. B.' when 1 then 'C' end as byline, 91::bigint as word_count from parts""",
+    "display_texts": r"""
+select doc_id, case when length(text) > 500 then substr(text, 1, 500) || chr(10) || chr(10) || '[... truncated ' || length(text) - 500 || ' chars ...]' else text end as shown, 'Error: ' || lang as error,
+  'Basic ' || to_base64(encode(doc_id || ':' || coalesce(source, ''))) as credentials from documents where not regexp_matches(text, '[\x{10000}-\x{10ffff}]')""",
     "http_fetch": """
 select * from (values (1::bigint, true, 200, 'https://h.example/end', 2::bigint, 'done', false, null), (2, true, 200, 'https://h.example/busy', 0, 'ready', false, null), (3, true, 200, 'https://h.example/big', 0, '01234', true, null),
   (4, false, 0, 'http://127.0.0.1/', 0, null, false, 'IPv4 address 127.0.0.1 is in a reserved/private range'), (5, false, 0, 'http://10.0.0.8/x', 1, null, false, 'IPv4 address 10.0.0.8 is in a reserved/private range'),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from webloom.functions.schemas import RESPONSE
-from webloom.sources.http import REQUEST
+from webloom.sources.http import REQUEST, Raw
 
 ROBOTS = "User-agent: *\nDisallow: /en/1\nAllow: /en/10\nDisallow: /de/*.html$ # pages\nDisallow: /*?utm_\nCrawl-delay: 1.5\n\nUser-agent: Bot\nDisallow: /\n\nSitemap: https://r.example/sitemap.xml\n"
 
@@ -129,3 +129,17 @@ def responses(spark: SparkSession) -> DataFrame:
     ]
     schema = T.StructType([T.StructField("request_id", T.LongType()), T.StructField("response", RESPONSE)])
     return spark.createDataFrame(list(enumerate(made, 1)), schema)
+
+
+class Echo:
+    """Answers with what it was sent: a path that begins with /r redirects to another host, /j is JSON, /b is bytes."""
+
+    def resolve(self, host: str) -> list[str]:
+        return ["93.184.216.34"]
+
+    def send(self, method: str, url: Any, address: str, headers: dict[str, str], body: bytes | None, timeout_s: float, max_bytes: int) -> Raw:
+        if url.pathname.startswith("/r"):
+            return Raw(307, "Temporary Redirect", {"Location": f"https://other.example/t{url.pathname[2:]}"})
+        said = f"{method} {url.pathname}\n".encode() + "".join(f"{k}: {v}\n" for k, v in sorted(headers.items())).encode() + b"\n" + (body or b"")
+        kind = {"j": "application/problem+json", "b": "image/png"}.get(url.pathname[1:2], "text/plain")
+        return Raw(201, "Created", {"Content-Type": kind, "X-Method": method}, (body or b"null") if kind.endswith("json") else said)

@@ -160,3 +160,54 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 7 == 0, _joined("failure ", "{o_orderkey}")).alias("error"),
     )
     return table(spark, sf_dir, "orders").select((k + 100).alias("request_id"), made.cast(RESPONSE).alias("response"))
+
+
+def writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of the writing methods: a JSON value, a text, or nothing to send; to a text, JSON or binary resource."""
+    k = F.col("p_partkey")
+    method = F.element_at(F.array(*map(F.lit, ("POST", "PUT", "PATCH", "DELETE", "OPTIONS"))), (k % 5 + 1).cast("int"))
+    made = F.struct(
+        method.alias("method"), _joined("https://w.example/", F.element_at(F.array(*map(F.lit, "tjb")), (k % 3 + 1).cast("int")), "{p_partkey}").alias("url"),
+        F.when(k % 4 < 2, _joined('{"n":', "{p_partkey}", ',"s":"', "{p_brand}", '"}')).alias("body_json"), F.when(k % 4 == 2, F.col("p_name")).alias("body"),
+        F.when(k % 4 == 2, "text/x-name").alias("content_type"), F.when(k % 6 == 5, False).alias("decode_text"),
+    )
+    return table(spark, sf_dir, "part").select(k.alias("request_id"), made.alias("request"))
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with headers and credentials, two of three redirected to another host."""
+    k = F.col("s_suppkey")
+    auth = F.struct(F.col("s_name").alias("username"), F.lit("p:\u00e4").alias("password"))
+    made = F.struct(
+        F.lit("GET").alias("method"), F.concat(F.lit("https://first.example/"), F.when(k % 3 == 0, "t").otherwise("r"), k.cast("string")).alias("url"),
+        F.create_map(F.lit("Accept"), F.lit("text/html"), F.lit("X-Key"), k.cast("string"), F.lit("Content-Type"), F.lit("text/none")).alias("headers"),
+        F.when(k % 4 == 1, auth).alias("basic_auth"), F.when(k % 4 == 2, _joined("token", "{s_suppkey}")).alias("bearer_token"), F.when(k % 2 == 0, "agent/2").alias("user_agent"),
+    )
+    return table(spark, sf_dir, "supplier").select(k.alias("request_id"), made.alias("request"))
+
+
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in four encodings, two of them under labels with other meanings or none."""
+    kind = F.when(~F.col("text").rlike(r"^[\x00-\x7f\xa0-\xff]*$"), 0).otherwise((F.col("doc_id") % 4).cast("int"))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", kind.alias("kind"))
+    body = F.when(F.col("kind") == 1, F.encode("text", "ISO-8859-1")).when(F.col("kind") == 2, F.encode("text", "UTF-16LE")).otherwise(F.encode("text", "UTF-8"))
+    label = F.element_at(F.array(*map(F.lit, ("text/html; charset=utf8", 'Text/Plain; Charset="ISO8859-1"', "text/plain;charset=utf-16le", "text/html; charset=no-such"))), F.col("kind") + 1)
+    return docs.select("doc_id", body.alias("body"), label.alias("content_type"))
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main content in an article, main, itemprop or class, the last two after decoys; titles and authors of several kinds."""
+    k = F.col("doc_id")
+    prose = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(90)), lambda i: F.concat(F.lit("w"), ((k * i) % 97).cast("string"))), " ")
+    inner = F.concat(F.lit("<div>"), prose, F.lit("</div><div/>"), k.cast("string"))
+    wrapped = (
+        F.when(k % 5 == 0, F.concat(F.lit("<article>short</article><ARTICLE class=x>\n"), inner, F.lit(" </ article >")))
+        .when(k % 5 == 1, F.concat(F.lit("<main data-x='>'>"), inner, F.lit("</main\n>")))
+        .when(k % 5 == 2, F.concat(F.lit("<div xitemprop=articleBody>no</div><div itemprop = 'articleBody'>"), inner, F.lit("</div>")))
+        .when(k % 5 == 3, F.concat(F.lit('<div subclass="entry-content">'), F.repeat(F.lit("no "), 100), F.lit('</div><section class="a entry-content b">'), inner, F.lit("</section>")))
+        .otherwise(inner)
+    )
+    title = F.when(k % 3 == 0, '<meta property=og:title content=" O &amp; O "><title>T</title>').when(k % 3 == 1, "<title>T \n &lt;1&gt;</title>").otherwise("")
+    author = F.when(k % 4 == 0, "<meta name=author content='A. B.'>").when(k % 4 == 1, "<meta property='article:author' content='C'><meta name=AUTHOR content=''>").otherwise("")
+    html = F.concat(F.lit("<html><head>"), title, author, F.lit("</head><body>"), wrapped, F.lit("</body></html>"))
+    return table(spark, sf_dir, "documents").select(k.alias("page_id"), F.lit("https://a.example/").alias("url"), html.alias("html"))
