@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.cut import shared_dir, small_batches, written
+from webloom.cut import shared_dir, written
 from webloom.llm.elias_fano import EliasFano
 from webloom.llm.words import by_size, gathered, mixed, utf8, word_hashes
 
@@ -291,7 +291,6 @@ def level_of(name: str, context: np.ndarray, contexts: int, word: np.ndarray, sh
 
 def train(texts: DataFrame, discount: float = DISCOUNT, least: int = 1, hot: int = HOT) -> str:
     """Writes the trie of texts (text); its folder."""
-    small_batches(texts.sparkSession)
     spark = texts.sparkSession
     shared = urlparse(shared_dir(spark))
     if shared.scheme not in ("", "file"):
@@ -447,6 +446,7 @@ def score_texts(trie: Trie, texts: list[str | None]) -> tuple[np.ndarray, np.nda
         third = second[inside[second - 1]]
         context = pair_of[third - 1]
         known = np.flatnonzero((context >= 0) & (place[np.maximum(context, 0)] >= 0))
+        known = known[np.argsort(context[known])]  # places near each other in the trie are read together
         third, context = third[known], context[known]
         if len(third):
             _, listed, left = trie.followers(3, part[context], place[context], number[at[third]])
@@ -461,7 +461,6 @@ def scores(docs: DataFrame, **options: float) -> DataFrame:
 
     The model learns from the rows that are not held out. The rows are written, and the trie is deleted then.
     """
-    small_batches(docs.sparkSession)
     folder = train(docs.where(~held_out(F.col("doc_id"))).select("text"), **options)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
