@@ -46,7 +46,6 @@ _WORD = re.compile(r"[^\x20\x09-\x0d]++")
 _GLUE = re.compile(r"\(at\)|\[at\]|\(dot\)|\[dot\]")
 _HEX = re.compile(r"[0-9a-fA-F]{32,}+")
 _LABEL = re.compile(r"[^\x20\x09-\x0d:=0-9]++[:=]")
-_AROUND = "\"'`()[]{}<>,.;:!?*|"
 
 
 def luhn(digits: str) -> bool:
@@ -97,9 +96,9 @@ def _core(text: str, start: int, end: int) -> tuple[int, int]:
     label = _LABEL.match(text, start, end)
     if label:
         start = label.end()
-    while start < end and text[start] in _AROUND:
+    while start < end and not (text[start].isalnum() or text[start] == "+"):
         start += 1
-    while start < end and text[end - 1] in _AROUND:
+    while start < end and not text[end - 1].isalnum():
         end -= 1
     if start < end and start and text[start - 1] == "(" and ")" in text[start:end] and "(" not in text[start:end]:
         start -= 1
@@ -145,7 +144,7 @@ def patterns_of(text: str, start: int, end: int, starts: array, ends: array, gra
     found = []
     first, last = bisect_right(starts, start) - 1, bisect_right(starts, end - 1) - 1
     before = text[starts[first] : start]
-    if before.strip(_AROUND):
+    if any(map(str.isalnum, before)):
         label = _LABEL.match(before)
         if label:
             gram = label_hash(label.group())
@@ -154,7 +153,7 @@ def patterns_of(text: str, start: int, end: int, starts: array, ends: array, gra
         for k in range(min(LEFT, first)):
             gram = grams[k][first - 1 - k]
             found.append((gram ^ _SALTS["left"], gram))
-    if not text[end : ends[last]].strip(_AROUND):
+    if not any(map(str.isalnum, text[end : ends[last]])):
         for k in range(min(RIGHT, len(starts) - 1 - last)):
             gram = grams[k][last + 1]
             found.append((gram ^ _SALTS["right"], gram))
