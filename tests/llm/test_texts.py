@@ -457,6 +457,15 @@ def test_phrases_on_both_sides_and_secrets(spark):
             assert values == []
 
 
+def test_secrets_of_real_rows(spark):
+    """What is added is what stands after ``token =``, all of it."""
+    folder = "/root/testdata/sf0.1"
+    texts = {r.doc_id: r.text or "" for r in table(spark, folder, "documents").collect()}
+    wanted = {(d, m.start(1), m.end(1)) for d, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    added = pii.find(table(spark, folder, "documents")).select("doc_id", F.explode("added").alias("a")).select("doc_id", "a.*").collect()
+    assert {(r.doc_id, r.start, r.end) for r in added} == wanted and {r.kind for r in added} == {pii.SECRET} and len(wanted) > 100
+
+
 def test_bootstrap_equals_brute_force(spark):
     r = random.Random(5)
     edges = {}
