@@ -44,8 +44,8 @@ END = np.uint64(0x9AE16A3B2F90404F)
 TOKENS_AT_ONCE = 1 << 21
 #: Text bytes for each shard of the trie; occurrences from which on a word's followers are dealt to several parts.
 SHARD_BYTES, HOT = 12 << 20, 4 << 20
-#: Parts that a worker keeps mapped.
-MOST_OPEN = 10_000
+#: Parts that a worker keeps mapped; tasks that write parts.
+MOST_OPEN = MOST_TASKS = 10_000
 DISCOUNT = 0.75
 _U = np.uint64
 
@@ -332,9 +332,11 @@ def train(texts: DataFrame, discount: float = DISCOUNT, least: int = 1, hot: int
         sums = [pa.array([int(v)], pa.int64()) for v in (len(words), counts.sum(), (counts == 1).sum())]
         return pa.table([pa.array([s], pa.int32()), *sums, *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in (often, counts[often]))], ["part", "n", "total", "once", "often", "counts"])
 
+    # As many tasks as parts: what a task reads doesn't grow with the texts.
+    dealt = lambda runs, n: runs.repartition(min(n, MOST_TASKS), "part")
     every = lambda n: spark.range(n).select(F.col("id").cast("int").alias("part"), F.lit(None).cast("binary").alias("run"))
     runs = texts.select("text").mapInArrow(count_words, "part int, run binary").unionByName(every(shards))
-    found = sorted(runs.groupBy("part").applyInArrow(write_words, "part int, n long, total long, once long, often array<long>, counts array<long>").collect())
+    found = sorted(dealt(runs, shards).groupBy("part").applyInArrow(write_words, "part int, n long, total long, once long, often array<long>, counts array<long>").collect())
     first = np.concatenate([[0], np.cumsum([r["n"] for r in found])]).astype(np.int64)
     total, distinct = sum(r["total"] for r in found), int(first[-1])
     often = [(int(first[r["part"]]) + i, c) for r in found for i, c in zip(r["often"], r["counts"], strict=True)]
@@ -409,7 +411,7 @@ def train(texts: DataFrame, discount: float = DISCOUNT, least: int = 1, hot: int
         return pa.table([pa.array([p], pa.int32()), pa.array([float(mass[0]) if p >= shards else 0.0])], ["part", "mass"])
 
     runs = texts.select("text").mapInArrow(count_followers, "part int, run binary").unionByName(every(parts))
-    masses = {r["part"]: r["mass"] for r in runs.groupBy("part").applyInArrow(write_followers, "part int, mass double").where("mass > 0").collect()}
+    masses = {r["part"]: r["mass"] for r in dealt(runs, parts).groupBy("part").applyInArrow(write_followers, "part int, mass double").where("mass > 0").collect()}
     left = [max(1e-9, 1 - sum(masses.get(int(a) + i, 0.0) for i in range(int(k)))) for a, k in zip(hot_part, hot_parts, strict=True)]
     _save(f"{folder}/left", {"left": np.array(left, dtype=np.float64)}, {})
     return folder
