@@ -132,6 +132,24 @@ class _Lines:
         return (self.n >= edits * PER_EDIT) & (self.n < high)
 
 
+class _Seen:
+    """Numbers that a task has met, in sorted runs, each at least twice as long as the next."""
+
+    def __init__(self) -> None:
+        self.runs: list[np.ndarray] = []
+
+    def add(self, new: np.ndarray) -> np.ndarray:
+        """Which of some sorted, distinct numbers are new; they are met now."""
+        fresh = np.ones(len(new), dtype=bool)
+        for run in self.runs:
+            fresh &= run[np.minimum(np.searchsorted(run, new), len(run) - 1)] != new
+        if fresh.any():
+            self.runs.append(new[fresh])
+            while len(self.runs) > 1 and len(self.runs[-2]) < 2 * len(self.runs[-1]):
+                self.runs[-2:] = [np.sort(np.concatenate(self.runs[-2:]), kind="stable")]
+        return fresh
+
+
 def line_keys(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The hash of each normalised line, its parities, and its keys."""
     own = _Lines(lines)
@@ -142,7 +160,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, place, the numbers and hashes of its lines, and by edits, keys of those new in the task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, dtype=np.uint64)
+        seen = _Seen()
         for batch in by_size(batches, 1, 1 << 18):
             numbers, lines, ends = [], [], [0]
             for text in batch.column(1).to_pylist():
@@ -154,8 +172,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
             own, ends = _Lines(lines), np.array(ends)
             ids = own.ids
             new, at = np.unique(ids, return_index=True)
-            fresh = ~np.isin(new, seen, assume_unique=True)
-            seen = np.union1d(seen, new[fresh])
+            fresh = seen.add(new)
             is_new = np.zeros(len(ids), dtype=bool)
             is_new[at[fresh]] = True
             columns = [
@@ -214,7 +231,7 @@ def verified(docs: DataFrame, sites: DataFrame, pairs: DataFrame) -> DataFrame:
 def _posts(rows: DataFrame, edits: int) -> DataFrame:
     """key, sid, lookup of the keys for so many edits."""
     keyed = rows.select(F.col(f"fresh{edits}").alias("fresh"), F.posexplode(f"keys{edits}").alias("j", "key"))
-    return keyed.select("key", F.get("fresh", F.floor(F.col("j") / KEYS[edits]).cast("int")).alias("sid"), (F.col("j") % KEYS[edits] > edits).alias("lookup"))
+    return keyed.select("key", F.get("fresh", F.expr(f"cast(j div {KEYS[edits]} as int)")).alias("sid"), (F.col("j") % KEYS[edits] > edits).alias("lookup"))
 
 
 def fits() -> Column:
