@@ -287,14 +287,14 @@ def bootstrap(found: DataFrame, totals: DataFrame, rounds: int, support: int) ->
     trust = seeds
     for k in range(rounds):
         shares = (
-            edges.join(trust, "instance")
+            edges.join(small_side(trust), "instance")
             .groupBy("pattern", "kind")
             .agg(F.sum(F.col("n") * F.col("trust")).alias("right"), F.max("total").alias("total"), F.count_distinct(F.when(F.col("trust") >= 0.5, F.col("instance"))).alias("trusted"))
             .where(F.col("trusted") >= support)
             .select("pattern", "kind", F.least(F.lit(0.999), F.col("right") / F.col("total")).alias("share"))
         )
         # Left over: the chance that no pattern is right about the instance.
-        by_pattern = edges.select("pattern", "instance").distinct().join(cut(shares), "pattern")
+        by_pattern = edges.select("pattern", "instance").distinct().join(small_side(cut(shares)), "pattern")
         said = cut(by_pattern.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("share"))))).alias("trust")))
         trust = said.join(seeds, ["instance", "kind"], "left_anti").unionByName(seeds) if k < rounds - 1 else said
     return trust
