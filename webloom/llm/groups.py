@@ -69,6 +69,7 @@ def link_lists(
     sift: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
     rounds: int = 1,
     crowd: int = CROWD,
+    detail: tuple[DataFrame, Column] | None = None,
 ) -> DataFrame:
     """labels (node, label), extended by all verified links between nodes that share a key of lists (key, sid, lookup, *carry).
 
@@ -78,7 +79,8 @@ def link_lists(
     components, those with up to ``crowd`` posted members are compared in pairs, so a member meets ``crowd`` others at most. The
     rows (key, part, sid, lookup, *carry) of the others go to ``refined``, which finds candidate pairs (a, b) for all links among
     them by narrower keys; without it they are compared in pairs too. ``fits`` judges a pair within a list by the carried columns, the other's under ``other_``; ``sift`` may
-    drop pairs (a, b) that can't be linked.
+    drop pairs (a, b) that can't be linked. ``detail`` has further columns of nodes (sid, ...), and a further judgement by these, for
+    the comparison in pairs.
     """
     tried = None
     names = ["part", "sid", *carry]
@@ -100,7 +102,10 @@ def link_lists(
                 placed = written(placed, "apart")
                 crowded = placed.where(F.col("posted") > crowd).drop("posted")
                 placed = placed.where(F.col("posted") <= crowd)
-            pairs = paired(placed, fits, carry)
+            if detail is None:
+                pairs = paired(placed, fits, carry)
+            else:
+                pairs = paired(placed.join(detail[0], "sid"), fits & detail[1], (*carry, *(c for c in detail[0].columns if c != "sid")))
             if crowded is not None and crowded.limit(1).count():
                 pairs = pairs.unionByName(refined(crowded)).distinct()
         if tried is not None:

@@ -5,7 +5,7 @@ A document's set are its distinct shingles of ``words`` words, as 64-bit hashes;
 shingles, a boundary chosen by cost, emit all their subsets of the size that a linked pair must share: a common subset is
 a link. Larger sets are posted in inverted lists under their rarest shingles, as many as guarantee that linked sets
 share one; the order is by a sketch of how often shingles occur in all documents. Lists first link their members to one of
-them. What is then still apart is compared across components, each pair once, and only pairs that fit by size and position
+them. What is then still apart is compared across components, each pair once, and only pairs that fit by size, position and a sketch of their sets
 leave the join. So no link between components is missed and a group of near copies costs its size, not its square. Links between heavy sets are verified on whole sets; light ones are linked by a
 common subset, known by its 64-bit hash.
 
@@ -36,6 +36,8 @@ WORDS, PERCENT = 4, 85
 BITS = 20
 #: Sets up to this size can be light; their elements are kept whole until the boundary is known.
 MOST_LIGHT = 24
+#: 64-bit words of a set's sketch.
+SKETCH = 8
 _U = np.uint64
 _SET = _U(0xA0761D6478BD642F)
 
@@ -48,6 +50,12 @@ def set_id(s: np.ndarray) -> int:
     return int(mixed(np.array([mixed(s ^ _SET).sum(dtype=np.uint64) + _U(len(s))], dtype=np.uint64)).view(np.int64)[0])
 
 
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * SKETCH classes of elements, set if the set has an odd number of them: an element changes one."""
+    odd = np.bincount((mixed(s ^ _SET) & _U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def least_overlap(n: int, m: int, percent: int = PERCENT) -> int:
     """Elements that sets of n and m elements share at least if they are linked."""
     return -(-percent * (n + m) // (100 + percent))
@@ -64,22 +72,25 @@ def partners(n: int, percent: int = PERCENT) -> range:
 
 
 def summaries(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, place (of the text), n, sid and head (the rarest elements, or all of a set that can be light) of every row."""
+    """doc_id, place (of the text), n, sid, head (the rarest elements, or all of a set that can be light) and sketch of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1):
-            sizes, ids, heads = [], [], []
+            sizes, ids, heads, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(utf8(text), words)
                 sizes.append(len(s))
                 ids.append(set_id(s))
+                sketches.append(sketch_of(s))
                 s = s[np.argsort(levels[(s >> _U(64 - BITS)).astype(np.int64)], kind="stable")]
                 heads.append(s if len(s) <= MOST_LIGHT else s[: posted(len(s), percent)])
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             heads_column = pa.ListArray.from_arrays(ends, np.concatenate([*heads, np.zeros(0, dtype=np.uint64)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), heads_column], ["doc_id", "place", "n", "sid", "head"])
+            sketch_column = pa.ListArray.from_arrays(np.arange(0, len(sketches) * SKETCH + 1, SKETCH, dtype=np.int32), np.concatenate(sketches).view(np.int64))
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), heads_column, sketch_column]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "n", "sid", "head", "sketch"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, place long, n long, sid long, head array<long>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, place long, n long, sid long, head array<long>, sketch array<long>"
     return docs.select("doc_id", "text", place_of("text").alias("place")).mapInArrow(work, schema)
 
 
@@ -186,9 +197,9 @@ def classes(docs: DataFrame, star_rounds: int = 1, words: int = WORDS, percent:
     levels = np.ceil(np.log2(counts + 1)).astype(np.uint8)
     rows = written(summaries(docs, levels, words, percent), "jaccard-rows")
     nodes = written(
-        rows.where("n > 0").groupBy("sid", "n").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.min("doc_id").alias("least"), F.first("head").alias("head")),
+        rows.where("n > 0").groupBy("sid", "n").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.min("doc_id").alias("least"), F.first("head").alias("head"), F.first("sketch").alias("sketch")),
         "jaccard-nodes",
-    ).select("sid", "n", "head", "first.doc_id", "first.place", "least")
+    ).select("sid", "n", "head", "sketch", "first.doc_id", "first.place", "least")
     histogram = {r[0]: r[1] for r in nodes.where(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").count().collect()}
     light = boundary(histogram, percent=percent)
     links = subset_links(nodes, light, percent)
@@ -207,6 +218,9 @@ def classes(docs: DataFrame, star_rounds: int = 1, words: int = WORDS, percent:
     # Of sets that share so many elements, one of these is among the first of both.
     fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.greatest(n, m) > light) & (F.col("pos") <= n - overlap) & (F.col("other_pos") <= m - overlap)
 
+    # Sets that share so much differ in few elements, each of which changes a bit of the sketch.
+    sketches = nodes.select("sid", "sketch")
+    differing = F.aggregate(F.zip_with("sketch", "other_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, bits: total + bits)
     labels = link_lists(
         lists,
         components(links),
@@ -216,6 +230,7 @@ def classes(docs: DataFrame, star_rounds: int = 1, words: int = WORDS, percent:
         central=("alone",),
         sift=lambda pairs: _can_link(pairs, nodes, percent),
         rounds=star_rounds,
+        detail=(sketches, differing <= n + m - 2 * overlap),
     )
     joined = nodes.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "n", "least", "doc_id", "place", F.coalesce("label", "sid").alias("part"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place")).alias("first")
