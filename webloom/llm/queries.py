@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.cut import small_batches
-from webloom.llm import chat, decontaminate, flac, jaccard_join, line_dedup, mixing, ngram_lm, pii, quality, simhash, url_filter
+from webloom.llm import chat, decontaminate, flac, hll_sets, jaccard_join, line_dedup, mixing, ngram_lm, pii, prefix_trie, quality, simhash, url_filter
 from webloom.tables import table
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -62,10 +62,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_hll_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hll_sets.window_algebra(table(spark, sf_dir, "clicks"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def _in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +87,7 @@ QUERIES = {
     f.__name__: _in_small_batches(f)
     for f in (
         op1_decontaminate, op2_chat, op3_jaccard, op4_ngram_lm, op5_url_filter, op6_flac, op7_quality, op8_pii, op9_mixing, op10_line_dedup,
-        op12_simhash,
+        op11_hll_sets, op12_simhash, op13_prefix_trie,
     )
 }
 
