@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from typing import Any
 
 from webloom.kernel.markdown import html_to_markdown
-from webloom.kernel.tags import balanced_contents, find_tags, parse_attributes
+from webloom.kernel.tags import Span, balanced_contents, find_tags, outermost, parse_attributes, spans
 from webloom.kernel.text import BLANK, BLANK_CHARS, collapse, decode_entities, strip_html, trim, utf16_len, word_count
 from webloom.kernel.url import Url, UrlError, parse, parse_or_none, resolve
 
@@ -44,8 +45,10 @@ def extract_links(html: str, page_url: str) -> list[dict[str, Any]]:
         except UrlError:
             pass
     own = _host(base) if base else ""
-    out = []
+    out, end = [], _ANCHOR_END.search(html)
     for tag in find_tags(html, "a"):
+        if end is not None and end.start() < tag.content:
+            end = _ANCHOR_END.search(html, tag.content)
         attributes = parse_attributes(tag.attributes)
         href = trim(attributes.get("href", ""))
         if not href or href.startswith("#") or href.lower().startswith(NOT_LINKS):
@@ -54,7 +57,6 @@ def extract_links(html: str, page_url: str) -> list[dict[str, Any]]:
             url = parse(href, base)
         except UrlError:
             continue
-        end = _ANCHOR_END.search(html, tag.content)
         text = decode_entities(collapse(_ANY_TAG.sub(" ", html[tag.content : end.start()]))) if end else ""
         out.append(
             {
@@ -153,37 +155,51 @@ def page_meta(html: str, url: str) -> dict[str, Any]:
 # Main content
 
 
-def _longest(html: str, name: str, cut: bool) -> str | None:
-    best = None
-    for _, inside in balanced_contents(html, name):
-        inside = trim(inside) if cut else inside
-        if utf16_len(inside) > LEAST_CONTENT and (best is None or utf16_len(inside) > utf16_len(best)):
-            best = inside
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+class _Units:
+    """Lengths of parts of a text in UTF-16 units, each at the cost of a search in the places of letters of two units."""
+
+    def __init__(self, text: str) -> None:
+        self.wide = [] if text.isascii() else [m.start() for m in _ASTRAL.finditer(text)]
+
+    def between(self, start: int, end: int) -> int:
+        return end - start + (bisect_left(self.wide, end) - bisect_left(self.wide, start) if self.wide else 0)
+
+
+def _longest(found: list[Span], units: _Units) -> str | None:
+    """The longest of the outermost elements' contents without blanks around; of equal ones the first."""
+    best, most = None, LEAST_CONTENT
+    for span in outermost(found):
+        inside = trim(span.text)
+        if len(inside) > most or units.wide and utf16_len(inside) > most:
+            best, most = inside, utf16_len(inside)
     return best
 
 
-def _container(html: str, fits: re.Pattern[str]) -> str | None:
-    """The longest content of an element whose attributes match; of equal ones the first found."""
-    best = None
+def _container(found: dict[str, list[Span]], fits: re.Pattern[str], units: _Units) -> str | None:
+    """The longest content of an element whose attributes match, nested ones too; of equal ones the first found."""
+    best, most = None, 0
     for name in CONTAINERS:
-        for tag in find_tags(html, name):
-            if not fits.search(tag.attributes):
-                continue
-            inside = next((c for _, c in balanced_contents(html[tag.start :], name)), "")
-            if inside and (best is None or utf16_len(inside) > utf16_len(best)):
-                best = inside
-    return best if best is not None and utf16_len(best) > LEAST_CONTENT else None
+        for span in found[name]:
+            if span.content is None:  # no tag is told from text any more
+                break
+            if span.end is not None and (n := units.between(span.content, span.end)) > most and fits.search(span.attributes):
+                best, most = span, n
+    return best.text if best is not None and most > LEAST_CONTENT else None
 
 
 def main_content(html: str) -> tuple[str, str]:
     """(how it was found, the markup of the main content)."""
+    found, units = spans(html, (*CONTAINERS, "body")), _Units(html)
     for name in ("article", "main"):
-        if (found := _longest(html, name, True)) is not None:
-            return name, found
+        if (content := _longest(found[name], units)) is not None:
+            return name, content
     for how, fits in (("itemprop", _ITEMPROP), ("class", _CMS)):
-        if (found := _container(html, fits)) is not None:
-            return how, found
-    body = next((c for _, c in balanced_contents(html, "body")), "")
+        if (content := _container(found, fits, units)) is not None:
+            return how, content
+    body = next((span.text for span in outermost(found["body"])), "")
     return ("body", body) if body else ("document", html)
 
 

@@ -30,8 +30,11 @@ def _opener(name: str) -> re.Pattern[str]:
 
 
 @cache
-def _either(name: str) -> re.Pattern[str]:
-    return re.compile(rf"<(?:(/[{BLANK}]*{name}[{BLANK}]*>)|{name}(?![A-Za-z0-9_]))", re.I | re.A)
+def _any_of(names: tuple[str, ...]) -> re.Pattern[str]:
+    return re.compile(rf"<(/[{BLANK}]*)?({'|'.join(names)})(?![A-Za-z0-9_])", re.I | re.A)
+
+
+_CLOSED = re.compile(rf"[{BLANK}]*>")
 
 
 def parse_attributes(s: str) -> dict[str, str]:
@@ -60,37 +63,72 @@ def find_tags(html: str, name: str) -> Iterator[Tag]:
         at = tag.content
 
 
-def balanced_contents(html: str, name: str) -> Iterator[tuple[Tag, str]]:
-    """Outermost elements of a name with what they hold, up to one that is never closed."""
-    at = 0
-    while (m := _opener(name).search(html, at)) and (tag := _tag_at(html, m)):
-        if tag.self_closing:
-            yield tag, ""
-            at = tag.content
+class Span:
+    """An opening tag and the element that it begins. ``content`` is None if the tag never ends, ``end`` if the element is never closed."""
+
+    __slots__ = ("after", "content", "end", "html", "inside", "self_closing", "start")
+
+    def __init__(self, html: str, start: int, inside: int, content: int | None) -> None:
+        self.html, self.start, self.inside, self.content = html, start, inside, content
+        self.self_closing = content is not None and html[content - 2] == "/" and content - 2 >= inside
+        self.end, self.after = (content, content) if self.self_closing else (None, None)
+
+    @property
+    def attributes(self) -> str:
+        return _SLASH.sub("", self.html[self.inside : self.content - 1])
+
+    @property
+    def text(self) -> str:
+        return self.html[self.content : self.end]
+
+
+def spans(html: str, names: tuple[str, ...]) -> dict[str, list[Span]]:
+    """The opening tags of each name in order, with where their elements end: one scan of the document, a stack for each name.
+
+    Names don't see each other: a tag of one name may begin within the attributes of another's.
+    """
+    found: dict[str, list[Span]] = {n: [] for n in names}
+    waiting: dict[str, list[Span]] = {n: [] for n in names}
+    resume = dict.fromkeys(names, 0)
+    last = html.rfind(">")
+    for m in _any_of(names).finditer(html):
+        name, at = m[2].lower(), m.start()
+        if at < resume[name]:
+            continue
+        if m[1]:
+            closed = _CLOSED.match(html, m.end())
+            if closed:
+                resume[name] = closed.end()
+                if waiting[name]:
+                    element = waiting[name].pop()
+                    element.end, element.after = at, closed.end()
             continue
-        depth, at = 1, tag.content
-        while depth:
-            m = _either(name).search(html, at)
-            if m is None:
+        rest = _REST.match(html, m.end()) if last >= m.end() else None
+        span = Span(html, at, m.end(), rest.end() if rest else None)
+        found[name].append(span)
+        resume[name] = m.end() if rest is None else span.content
+        if rest and not span.self_closing:
+            waiting[name].append(span)
+    return found
+
+
+def outermost(found: list[Span]) -> Iterator[Span]:
+    """The elements that lie in no other of the same name, up to one that is never closed."""
+    at = 0
+    for span in found:
+        if span.start >= at:
+            if span.end is None:
                 return
-            if m[1]:
-                depth -= 1
-                at = m.end()
-            else:
-                inner = _tag_at(html, m)
-                # An opener that never ends is passed over.
-                depth += inner is not None and not inner.self_closing
-                at = m.end() if inner is None else inner.content
-        yield tag, html[tag.content : m.start()]
+            yield span
+            at = span.after
+
+
+def balanced_contents(html: str, name: str) -> Iterator[tuple[Tag, str]]:
+    """Outermost elements of a name with what they hold, up to one that is never closed."""
+    for span in outermost(spans(html, (name,))[name]):
+        yield Tag(span.attributes, span.start, span.content, span.self_closing), span.text
 
 
 def first_balanced_where(html: str, name: str, fits: Callable[[dict[str, str]], bool]) -> str | None:
     """What the first outermost element holds whose attributes fit."""
     return next((inside for tag, inside in balanced_contents(html, name) if fits(parse_attributes(tag.attributes))), None)
-
-
-def content_from(html: str, tag: Tag, name: str) -> str | None:
-    """What the element that begins with this very tag holds; None if it is never closed."""
-    if tag.self_closing:
-        return ""
-    return next((inside for _, inside in balanced_contents(html[tag.start :], name)), None)
