@@ -16,7 +16,9 @@ from webloom.functions import kernels as K
 from webloom.functions import text as X
 from webloom.functions.registry import register
 from webloom.operators import feeds, pages, robots, sitemaps
+from webloom.sources import exchange as E
 from webloom.sources import http as S
+from webloom.sources import lanes
 from webloom.streaming.pages import links_per_host, unique_links
 
 
@@ -165,6 +167,7 @@ def test_a_lost_task_sends_nothing_again(tmp_path):
 import os, sys
 sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
 from pyspark.sql import SparkSession
+from webloom.sources import exchange as E
 from webloom.sources import http as S
 spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
 spark.sparkContext.setLogLevel("OFF")
@@ -179,12 +182,12 @@ class Dying(S.Captured):
 
 df = spark.createDataFrame([(i, {{"url": f"https://a.example/{{i}}", "method": "POST"}}) for i in range(6)], "request_id long, request struct<url:string,method:string>")
 for _ in range(2):
-    got = {{r.request_id: r.response for r in S.send(df, Dying([]), {str(tmp_path / "log")!r}).collect()}}
+    got = {{r.request_id: r.response for r in E.send(df, Dying([]), {str(tmp_path / "log")!r}, lease_s=2).collect()}}
     assert len(got) == 6 and got[3].status == 0 and got[3].error == S.UNKNOWN, got
 # A log of intents without responses, as a lost job leaves it.
 spark.createDataFrame([(9,)], "request_id long").write.mode("append").parquet({str(tmp_path / "log" / "intents")!r})
 more = df.limit(0).unionByName(spark.createDataFrame([(9, {{"url": "https://a.example/9", "method": "POST"}})], df.schema))
-got = {{r.request_id: r.response for r in S.send(more, Dying([]), {str(tmp_path / "log")!r}).collect()}}
+got = {{r.request_id: r.response for r in E.send(more, Dying([]), {str(tmp_path / "log")!r}, lease_s=2).collect()}}
 assert got[9].error == S.UNKNOWN and got[9].url == "https://a.example/9" and len(got) == 7
 """
     subprocess.run([sys.executable, "-c", code], check=True, timeout=300, capture_output=True)
@@ -213,14 +216,14 @@ def test_requests_go_at_once(spark):
     began = time.monotonic()
     got = S.fetch(df, t).collect()
     assert [r.request_id for r in sorted(got)] == list(range(32)) and time.monotonic() - began < 5
-    assert 1 < max(int(r.response.body_text) for r in got) <= S.PER_HOST
+    assert 1 < max(int(r.response.body_text) for r in got) <= lanes.PER_HOST
 
 
 def test_send_is_logged(spark, tmp_path):
     df = spark.createDataFrame([(1, {"url": "https://a.example/p", "method": "POST"})], "request_id long, request struct<url:string,method:string>")
     t = S.Captured([{"url": "https://a.example/p", "method": "POST", "status": 201}])
     for _ in range(2):
-        assert S.send(df, t, str(tmp_path / "log")).count() == 1
+        assert E.send(df, t, str(tmp_path / "log")).count() == 1
 
 
 def test_network(spark):

@@ -38,12 +38,18 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, label: str) -> DataFrame:
     """As ``cut``, but as a Parquet table: columns that a later reader doesn't select are not read again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = folder(spark, label)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder for what is written there by other means; ``clear_written`` deletes it too."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def clear_written(spark: SparkSession) -> int:
     """Deletes the tables and checkpoints that this module made in this process. Call it when the results that read them are stored."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom import __version__
-from webloom.cut import shared_dir
+from webloom.cut import folder
 from webloom.functions import http as H
 from webloom.functions import kernels as K
 from webloom.functions import text as X
@@ -21,6 +19,7 @@ from webloom.operators import render as render_ops
 from webloom.operators import robots as robots_ops
 from webloom.operators import sitemaps as sitemap_ops
 from webloom.plans import fixtures, generated
+from webloom.sources import exchange
 from webloom.sources import http as fetching
 from webloom.tables import table
 
@@ -157,14 +156,20 @@ def redirect_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def http_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of the reading methods over captured responses: redirects, retries, caps, checks."""
-    found = fetching.fetch(fixtures.requests(spark), fetching.Captured(fixtures.CAPTURED))
-    return found.select("request_id", "response.ok", "response.status", "response.url", F.size("response.redirects").cast("long").alias("hops"), "response.body_text", "response.truncated", "response.error")
+    """Requests of the reading methods over captured responses, some typed in, the rest made of pages: redirects, retries, caps, checks."""
+    columns = ["request_id", "response.ok", "response.status", "response.url", F.size("response.redirects").cast("long").alias("hops"), "response.body_text", "response.truncated", "response.error"]
+    typed = fetching.fetch(fixtures.requests(spark), fetching.Captured(fixtures.CAPTURED))
+    exchange.register(spark)
+    staged = folder(spark, "requests")
+    exchange.stage_requests(generated.page_requests(spark, sf_dir), staged)
+    transport = exchange.stage_captured(generated.page_responses(spark, sf_dir), folder(spark, "captured"))
+    replayed = spark.read.format("webloom_http").options(**exchange.http_options(staged, transport)).load()
+    return typed.unionByName(replayed).select(*columns)
 
 
 def http_send(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of the writing methods, submitted once each: what was sent comes back as text, JSON or bytes."""
-    found = fetching.send(generated.writes(spark, sf_dir), fixtures.Echo(), f"{shared_dir(spark)}/sent-{uuid.uuid4().hex}")
+    found = exchange.send(generated.writes(spark, sf_dir), fixtures.Echo(), folder(spark, "sent"))
     r = F.col("response")
     return found.select("request_id", r["ok"].alias("ok"), r["status"].alias("status"), F.array_join(F.map_keys(r["headers"]), " ").alias("headers"), r["body_text"].alias("body_text"), F.to_json(F.try_parse_json(r["json"])).alias("json"), r["body_base64"].alias("body_base64"))
 
@@ -406,5 +411,12 @@ select doc_id, case when length(text) > 500 then substr(text, 1, 500) || chr(10)
     "http_fetch": """
 select * from (values (1::bigint, true, 200, 'https://h.example/end', 2::bigint, 'done', false, null), (2, true, 200, 'https://h.example/busy', 0, 'ready', false, null), (3, true, 200, 'https://h.example/big', 0, '01234', true, null),
   (4, false, 0, 'http://127.0.0.1/', 0, null, false, 'IPv4 address 127.0.0.1 is in a reserved/private range'), (5, false, 0, 'http://10.0.0.8/x', 1, null, false, 'IPv4 address 10.0.0.8 is in a reserved/private range'),
-  (6, true, 200, 'https://h.example/end', 0, null, false, null), (7, false, 0, 'https://h.example/end', 0, null, false, 'POST is not idempotent: use send')) t(request_id, ok, status, url, hops, body_text, truncated, error)""",
+  (6, true, 200, 'https://h.example/end', 0, null, false, null), (7, false, 0, 'https://h.example/end', 0, null, false, 'POST is not idempotent: use send')) t(request_id, ok, status, url, hops, body_text, truncated, error)
+union all
+select page_id + 1000, k not in (6, 7, 9), case k when 5 then 206 when 6 then 404 when 7 then 0 when 9 then 0 else 200 end,
+  case k when 1 then host || '/b' when 2 then host || '/put' when 3 then host || '/b' when 6 then host || '/gone' when 7 then host || '/loop' when 8 then other || '/b' when 9 then 'http://10.1.' || page_id % 250 || '.1/x' else host || '/p' end
+    || case k when 9 then '' else page_id::varchar end, case k when 1 then 1 when 2 then 2 when 3 then 1 when 7 then 2 when 8 then 1 when 9 then 1 else 0 end,
+  case k when 2 then 'kept ' || page_id when 4 then substr(ascii, 1, 100) when 5 then null when 6 then '' when 7 then null when 9 then null when 10 then null else html end, coalesce(k = 4 and length(ascii) > 100, false),
+  case k when 7 then 'exceeded 2 redirects' when 9 then 'IPv4 address 10.1.' || page_id % 250 || '.1 is in a reserved/private range' end
+from (select *, page_id % 11 as k, 'https://f' || page_id % 7 || '.example' as host, 'https://o' || page_id % 5 || '.example' as other, regexp_replace(html, '[^ -~]', '?', 'g') as ascii from pages)""",
 }

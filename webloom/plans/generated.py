@@ -186,6 +186,49 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("request_id"), made.alias("request"))
 
 
+def _page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the case that they stand for (k), and two hosts of many pages each."""
+    return table(spark, sf_dir, "pages").select("page_id", "html", (F.col("page_id") % 11).alias("k"), _joined("https://f", F.col("page_id") % 7, ".example").alias("host"), _joined("https://o", F.col("page_id") % 5, ".example").alias("other"))
+
+
+def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each page: plain, redirected, changed to GET, tried again, cut off, HEAD, not found, in a loop, sent to other hosts or to a private address."""
+    k = F.col("k")
+    made = F.struct(
+        F.when(k == 2, "PUT").when(k == 5, "HEAD").otherwise("GET").alias("method"), F.concat("host", F.when(k == 6, "/gone").when(k == 7, "/loop").when(k.isin(1, 2, 3, 8, 9), "/a").otherwise("/p"), F.col("page_id").cast("string")).alias("url"),
+        F.when(k == 2, _joined("kept ", "{page_id}").cast("binary")).alias("body"), F.when(k == 4, 100).cast("long").alias("max_bytes"), F.when(k == 7, 2).cast("long").alias("max_redirects"), F.when(k == 3, 1).cast("long").alias("retries"),
+    )
+    return _page_hosts(spark, sf_dir).select((F.col("page_id") + 1000).alias("request_id"), made.alias("request"))
+
+
+def page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured responses to page_requests. A retried request finds its redirect again, and a page that was busy at first."""
+    k, n = F.col("k"), F.col("page_id").cast("string")
+    html = F.create_map(F.lit("Content-Type"), F.when(k == 10, "image/png").otherwise("text/html; charset=utf-8"))
+    to = lambda where: F.create_map(F.lit("Location"), where)
+    ascii_ = F.regexp_replace("html", "[^ -~]", "?")
+
+    def row(path: str, status: int, headers: Column, body: Column | None = None, method: str = "GET", attempt: int = 0, of: str = "host") -> Column:
+        url = F.concat(F.col(of), F.lit(path), n)
+        return F.struct(F.lit(method).alias("method"), url.alias("url"), F.lit(attempt).alias("attempt"), F.lit(status).alias("status"), F.lit("").alias("status_text"), headers.alias("headers"), (F.lit("") if body is None else body).cast("binary").alias("body"))
+
+    page = F.col("html")
+    again = [row("/a", 302, to(F.concat(F.lit("/b"), n)), attempt=i) for i in (0, 1)]
+    cases = (
+        F.when(k == 1, F.array(row("/a", 301, to(F.concat(F.lit("b"), n))), row("/b", 200, html, page)))
+        .when(k == 2, F.array(row("/a", 307, to(F.concat(F.lit("/put-first"), n)), method="PUT"), row("/put-first", 308, to(F.concat(F.lit("put"), n)), method="PUT"), row("/put", 200, html, F.concat(F.lit("kept "), n), method="PUT")))
+        .when(k == 3, F.array(*again, row("/b", 503, F.create_map(F.lit("retry-after"), F.lit("0"))), row("/b", 200, html, page, attempt=1)))
+        .when(k == 4, F.array(row("/p", 200, html, ascii_)))
+        .when(k == 5, F.array(row("/p", 206, html, page, method="HEAD")))
+        .when(k == 6, F.array(row("/gone", 404, html)))
+        .when(k == 7, F.array(row("/loop", 302, to(F.concat(F.lit("/loop"), n)))))
+        .when(k == 8, F.array(row("/a", 303, to(F.concat(F.col("other"), F.lit("/b"), n))), row("/b", 200, html, page, of="other")))
+        .when(k == 9, F.array(row("/a", 302, to(F.concat(F.lit("http://10.1."), (F.col("page_id") % 250).cast("string"), F.lit(".1/x"))))))
+        .otherwise(F.array(row("/p", 200, html, page)))
+    )
+    return _page_hosts(spark, sf_dir).select(F.explode(cases).alias("r")).select("r.*")
+
+
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts in four encodings, two of them under labels with other meanings or none."""
     kind = F.when(~F.col("text").rlike(r"^[\x00-\x7f\xa0-\xff]*$"), 0).otherwise((F.col("doc_id") % 4).cast("int"))

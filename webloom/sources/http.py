@@ -1,7 +1,8 @@
 """Fetching: a request's way over hops and attempts, with an injected transport.
 
 Nothing is reached unless a transport is given. Fetching writes its responses before anything reads them, so that no
-request is sent again because a plan is evaluated again; requests that aren't idempotent take the sink instead.
+request is sent again because a plan is evaluated again; requests that aren't idempotent take the sink instead
+(``webloom.sources.exchange``).
 """
 
 from __future__ import annotations
@@ -15,13 +16,11 @@ import ssl
 import threading
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from email.utils import parsedate_to_datetime
 from typing import Any, Protocol
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -34,12 +33,14 @@ from webloom.functions.schemas import BOOLEAN, LONG, ONE_EACH, RESPONSE, STRING,
 from webloom.kernel.bodies import decode_bytes, is_json_type, is_text_type
 from webloom.kernel.net import answers_refusal, url_refusal
 from webloom.kernel.url import Url, UrlError, parse
+from webloom.sources.lanes import Job, answered, batches, dealt
 
 #: Limits and their defaults.
 TIMEOUT_MS, MAX_BYTES, MOST_BYTES, MAX_REDIRECTS, MOST_REDIRECTS, MOST_RETRIES = 10_000, 5 << 20, 100 << 20, 5, 20, 5
 METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 NOT_IDEMPOTENT = ("POST", "PATCH")
 NO_BODY = ("GET", "HEAD")
+#: The error of a request of which it isn't known whether it was sent.
 UNKNOWN = "whether it was sent is not known: its task or job was lost; not sent again"
 
 
@@ -152,10 +153,27 @@ class Captured:
 
 
 class Network:
-    """Connects to the address that was checked, under the URL's own name. A hop ends at its deadline, however slowly it goes on."""
+    """Connects to the address that was checked, under the URL's own name. A hop ends at its deadline, however slowly it goes on, and so does a lookup of a name."""
+
+    resolve_s = TIMEOUT_MS / 1000
 
     def resolve(self, host: str) -> list[str]:
-        return list(dict.fromkeys(a[4][0] for a in socket.getaddrinfo(host, None, type=socket.SOCK_STREAM)))
+        found: list[Any] = []
+
+        def look_up() -> None:
+            try:
+                found.append(socket.getaddrinfo(host, None, type=socket.SOCK_STREAM))
+            except OSError as e:
+                found.append(e)
+
+        asked = threading.Thread(target=look_up, daemon=True)
+        asked.start()
+        asked.join(self.resolve_s)
+        if not found:
+            raise OSError(f"no answer within {self.resolve_s:g}s")
+        if isinstance(found[0], OSError):
+            raise found[0]
+        return list(dict.fromkeys(a[4][0] for a in found[0]))
 
     def send(self, method: str, url: Url, address: str, headers: dict[str, str], body: bytes | None, timeout_s: float, max_bytes: int) -> Raw:
         port = url.port or (443 if url.scheme == "https" else 80)
@@ -245,20 +263,34 @@ def _response(request: Request, method: str, url: Url, raw: Raw, redirects: list
     return out
 
 
-def fetch_one(request: Request, transport: Transport, sleep: Callable[[float], None] = time.sleep, now_ms: Callable[[], int] = lambda: int(time.time() * 1000)) -> dict[str, Any]:
+Clock = Callable[[], int]
+
+
+def _now_ms() -> int:
+    return int(time.time() * 1000)
+
+
+def retry_wait_s(request: Request, attempt: int, response: dict[str, Any], now_ms: Clock = _now_ms) -> float | None:
+    """The seconds to wait before a request is tried again; None if its response is the last."""
+    if response["status"] not in rules.RETRY_STATUSES or attempt >= request.retries:
+        return None
+    asked = retry_after_ms(response["headers"].get("retry-after"), now_ms())
+    return (min(2**attempt * rules.FIRST_BACKOFF_MS, rules.MOST_BACKOFF_MS) if asked is None else asked) / 1000
+
+
+def fetch_one(request: Request, transport: Transport, sleep: Callable[[float], None] = time.sleep, now_ms: Clock = _now_ms) -> dict[str, Any]:
     """The response to a request, after redirects and retries; errors are responses of status 0.
 
     Every hop's URL is checked, and every address of its host; the connection goes to the first of these.
     """
-    started = time.monotonic()
-    out: dict[str, Any] = {}
-    for attempt in range(request.retries + 1):
+    started, attempt = time.monotonic(), 0
+    while True:
         out = _attempt(request, transport, started)
-        if out["status"] not in rules.RETRY_STATUSES or attempt == request.retries:
+        wait = retry_wait_s(request, attempt, out, now_ms)
+        if wait is None:
             return out
-        wait = retry_after_ms(out["headers"].get("retry-after"), now_ms())
-        sleep((min(2**attempt * rules.FIRST_BACKOFF_MS, rules.MOST_BACKOFF_MS) if wait is None else wait) / 1000)
-    return out
+        sleep(wait)
+        attempt += 1
 
 
 def _attempt(request: Request, transport: Transport, started: float) -> dict[str, Any]:
@@ -301,82 +333,51 @@ def _attempt(request: Request, transport: Transport, started: float) -> dict[str
             method, body = ("HEAD" if method == "HEAD" and raw.status != 303 else "GET"), None
 
 
-#: Requests of a task that are under way at once, and of these to one host.
-AT_ONCE, PER_HOST = 16, 4
+def tries(transport: Transport, refused: tuple[str, ...] = ()) -> Callable[[Job], float | None]:
+    """One attempt of a job, as ``answered`` takes it."""
 
+    def one(job: Job) -> float | None:
+        try:
+            request = Request.of(job.row or {"url": ""})
+            if request.method in refused:
+                raise ValueError(f"{request.method} is not idempotent: use send")
+            job.response = _attempt(request, transport, job.started)
+            return retry_wait_s(request, job.attempt, job.response)
+        except ValueError as e:
+            job.response = failure((job.row or {}).get("url") or "", str(e), [], job.started)
+            return None
 
-class _Hosts:
-    """Bounds the requests to each host; one that waits for its turn, or for a retry, holds up no other host's."""
+    return one
 
-    def __init__(self, per_host: int) -> None:
-        self.per_host, self.lock, self.turns = per_host, threading.Lock(), {}
 
-    def turn(self, url: str) -> threading.Semaphore:
-        host = url.partition("://")[2].partition("/")[0].lower()
-        with self.lock:
-            return self.turns.setdefault(host, threading.Semaphore(self.per_host))
+def jobs_of(rows: Iterator[pa.RecordBatch]) -> Iterator[Job]:
+    """Jobs of batches (request_id, request, lane)."""
+    for batch in rows:
+        for a in range(0, batch.num_rows, 64):
+            part = batch.slice(a, 64)
+            for values in zip(*(part.column(c).to_pylist() for c in ("request_id", "request", "lane")), strict=True):
+                yield Job(*values)
 
 
-def fetch(requests: DataFrame, transport: Transport | None = None, label: str = "responses") -> DataFrame:
-    """request_id and response of every row of requests (request_id, request struct), fetched once and written.
+def response_batch(jobs: list[Job], kind: T.DataType) -> pa.RecordBatch:
+    columns = [pa.array([j.id for j in jobs], to_arrow_type(kind)), pa.array([plain(j.response, RESPONSE) for j in jobs], to_arrow_type(RESPONSE))]
+    return pa.RecordBatch.from_arrays(columns, ["request_id", "response"])
 
-    A task has AT_ONCE requests under way, PER_HOST to one host; the transport is used by as many threads. Requests that aren't idempotent are refused here, since a lost task is run again; ``send`` logs them.
-    """
-    return written(_fetched(requests, transport or Refused(), NOT_IDEMPOTENT), label)
 
+def response_type(kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("request_id", kind), T.StructField("response", RESPONSE)])
 
-def send(requests: DataFrame, transport: Transport, log: str) -> DataFrame:
-    """As fetch, for any method: a sink that submits each request at most once. The Parquet tables under ``log`` tell what became of it.
 
-    ``intents`` has a request's id before anything is sent, ``responses`` its response after. A request with an intent is never
-    sent again: one whose job ended without a response, or whose task is run a second time, gets a response of status 0 that
-    says UNKNOWN. Repeated ids are one request, any of theirs. One call at a time may write to a log.
+def fetch(requests: DataFrame, transport: Transport | None = None, label: str = "responses", tasks: int | None = None) -> DataFrame:
+    """request_id and response of every row of requests (request_id, request struct), fetched once and written.
+
+    Requests are dealt by their hosts' lanes (``webloom.sources.lanes``); a task's threads share the transport. Requests that aren't
+    idempotent are refused here, since a lost task is run again; ``send`` logs them.
     """
-    spark = requests.sparkSession
-    kind = requests.schema["request_id"].dataType
-    ids = T.StructType([T.StructField("request_id", kind)])
-    answers = T.StructType([*ids, T.StructField("response", RESPONSE)])
-    for name, schema in (("intents", ids), ("responses", answers)):
-        spark.createDataFrame([], schema).write.mode("append").parquet(f"{log}/{name}")
-    read = lambda name, schema: spark.read.schema(schema).parquet(f"{log}/{name}")
-    # What an earlier call left open stays open.
-    lost = written(read("intents", ids).join(read("responses", answers).select("request_id"), "request_id", "left_anti"), "lost")
-    _fetched(lost.join(requests.dropDuplicates(["request_id"]), "request_id", "left").select("request_id", "request"), transport, (), never=True).write.mode("append").parquet(f"{log}/responses")
-    # A written table: no shuffle is behind the requests whose loss would run sent ones again as a first attempt.
-    new = written(requests.dropDuplicates(["request_id"]).join(read("intents", ids), "request_id", "left_anti").select("request_id", "request"), "requests")
-    new.select("request_id").write.mode("append").parquet(f"{log}/intents")
-    _fetched(new, transport, (), once=True).write.mode("append").parquet(f"{log}/responses")
-    return read("responses", answers)
-
-
-def _fetched(requests: DataFrame, transport: Transport, refused: tuple[str, ...], once: bool = False, never: bool = False) -> DataFrame:
-    """request_id and response; once: only by a task's first attempt; never: by none, as after a lost attempt."""
-    kind = requests.schema["request_id"].dataType
-    schema = T.StructType([T.StructField("request_id", kind), T.StructField("response", RESPONSE)])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_type(RESPONSE)
-        lost = never or once and TaskContext.get().attemptNumber() > 0
-        hosts = _Hosts(PER_HOST)
-
-        def one(row: dict[str, Any] | None) -> dict[str, Any]:
-            started = time.monotonic()
-            try:
-                if lost:
-                    raise ValueError(UNKNOWN)
-                request = Request.of(row or {"url": ""})
-                if request.method in refused:
-                    raise ValueError(f"{request.method} is not idempotent: use send")
-                with hosts.turn(request.url):
-                    return fetch_one(request, transport)
-            except ValueError as e:
-                return failure((row or {}).get("url") or "", str(e), [], started)
-
-        with ThreadPoolExecutor(AT_ONCE) as pool:
-            for batch in batches:
-                for a in range(0, batch.num_rows, 64):
-                    part = batch.slice(a, 64)
-                    found = pool.map(one, part.column(1).to_pylist())
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([plain(r, RESPONSE) for r in found], arrow)], ["request_id", "response"])
-
-    return requests.select("request_id", "request").mapInArrow(work, schema)
+    kind, used = requests.schema["request_id"].dataType, transport or Refused()
+
+    def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for done in batches(answered(jobs_of(rows), tries(used, NOT_IDEMPOTENT))):
+            yield response_batch(done, kind)
+
+    return written(dealt(requests, tasks).mapInArrow(work, response_type(kind)), label)
