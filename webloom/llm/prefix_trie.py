@@ -12,9 +12,9 @@ conversations at once and numbered by parts, so that a conversation of very many
 joined in pieces of PIECE numbers at most and hashed piece after piece.
 
 Conversation c is rebuilt first: the first h turns of conversation c - c % 100, as far as there are, then its own without its first h; h is the
-crc32 of its decimal number, modulo 6. Rows without conv_id are not used. Null turn: before the others. Rows that tie on turn: by a hash of
-role and text. Null role or text: empty. Repeated rows: repeated turns. Equal conversations: one node has them all. Very long texts:
-hashed where they are read. No rows: no rows, and no root. Other columns are ignored, whatever their names.
+crc32 of its decimal number, modulo 6. Rows without conv_id are not used. Null turn: before the others. Rows that tie on turn: by role, then
+text. Null role or text: empty. Repeated rows: repeated turns. Equal conversations: one node has them all. Very long texts:
+whole, in one shuffle, and hashes after it. No rows: no rows, and no root. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,19 +33,21 @@ BORROWED, LENDER, PIECE = 5, 100, 1 << 16
 _NODE = ["depth", "d1", "d2"]
 
 
-def _placed(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """rows in order of key and order, with the number ``part`` of their part of this order: a key of very many rows has several."""
-    return written(rows.repartitionByRange(key, *order).withColumn("part", F.spark_partition_id()), "trie-placed")
+def _placed(rows: DataFrame, key: str, *order: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """rows with their place ``at`` in the order of key and order, and the number ``part`` of their part of it: a key of very many rows has several."""
+    placed = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    return written(placed.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}).drop(*drop), "trie-placed")
 
 
 Running = dict[str, tuple[Column, str]]
 _WAYS = {"sum": (F.sum, lambda a, b: a + b), "xor": (F.bit_xor, lambda a, b: a.bitwiseXOR(b))}
 
 
-def running(placed: DataFrame, key: str, order: list[Column], later: bool, sums: Running) -> DataFrame:
-    """placed with the sums (name: column, way) over a key's rows up to each row in the order; ``later`` says that it goes from the last part to the first."""
-    here = Window.partitionBy(key, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(key).orderBy(F.desc("part") if later else F.asc("part")).rowsBetween(Window.unboundedPreceding, -1)
+def running(placed: DataFrame, key: str, sums: Running, from_end: bool = False) -> DataFrame:
+    """placed with the sums (name: column, way) over a key's rows from its first, or its last, to each row."""
+    order = F.desc if from_end else F.asc
+    here = Window.partitionBy(key, "part").orderBy(order("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(key).orderBy(order("part")).rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(key, "part").agg(*(_WAYS[way][0](c).alias(n) for n, (c, way) in sums.items()))
     carried = totals.select(key, "part", *(F.coalesce(_WAYS[way][0](n).over(before), F.lit(0)).alias(f"{n} before") for n, (_, way) in sums.items()))
     rows = placed.select("*", *(_WAYS[way][0](c).over(here).alias(f"{n} here") for n, (c, way) in sums.items())).join(carried, [key, "part"])
@@ -55,10 +57,10 @@ def running(placed: DataFrame, key: str, order: list[Column], later: bool, sums:
 def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns (conv, pos from 0, x1, x2, chars) of the rebuilt conversations, and every conversation (conv, length)."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turns = conversations.where("conv_id is not null").select(
-        F.col("conv_id").cast("long").alias("conv"), "turn", F.xxhash64(F.lit(1), role, text).alias("x1"), F.xxhash64(F.lit(2), role, text).alias("x2"), F.length(text).cast("long").alias("chars")
-    )
-    turns = running(_placed(turns, "conv", "turn", "x1"), "conv", [F.asc("turn"), F.asc("x1")], False, {"n": (F.lit(1), "sum")}).select("conv", (F.col("n") - 1).alias("i"), "x1", "x2", "chars")
+    turns = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv"), "turn", role.alias("role"), text.alias("text"))
+    hashed = [F.xxhash64(F.lit(1), "role", "text").alias("x1"), F.xxhash64(F.lit(2), "role", "text").alias("x2"), F.length("text").cast("long").alias("chars")]
+    placed = _placed(turns.select("*", *hashed), "conv", "turn", "role", "text", drop=("turn", "role", "text"))
+    turns = running(placed, "conv", {"n": (F.lit(1), "sum")}).select("conv", (F.col("n") - 1).alias("i"), "x1", "x2", "chars")
     turns = written(turns, "trie-turns")
     sizes = turns.groupBy("conv").agg(F.count("*").alias("n"))
     h = F.crc32(F.col("conv").cast("string").cast("binary")) % (BORROWED + 1)
@@ -75,7 +77,7 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _prefixes(turns: DataFrame) -> DataFrame:
     """conv, depth from 1, d1, d2, chars: the digests of each conversation's first turns, and the length of the last of these."""
     keyed = turns.select("conv", "pos", F.xxhash64("pos", "x1").alias("k1"), F.xxhash64("pos", "x2").alias("k2"), "chars")
-    found = running(_placed(keyed, "conv", "pos"), "conv", [F.asc("pos")], False, {"d1": (F.col("k1"), "xor"), "d2": (F.col("k2"), "xor")})
+    found = running(_placed(keyed, "conv", "pos"), "conv", {"d1": (F.col("k1"), "xor"), "d2": (F.col("k2"), "xor")})
     return written(found.select("conv", (F.col("pos") + 1).alias("depth"), "d1", "d2", "chars"), "trie-prefixes")
 
 
@@ -151,8 +153,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     owned = prefixes.join(chains.where("owns").select("conv", "above", "length", "parent"), "conv").where("depth > above").select("conv", "depth", "chars", "above", "length", "parent")
     root = chains.where("parent is null").select("conv", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("chars"), "above", "length", "parent")
     nodes = owned.unionByName(root).join(attached, ["conv", "depth"], "left").fillna(0, ["n", "leaves", "children"])
-    from_end = [F.desc("depth")]
-    nodes = running(_placed(nodes, "conv", "depth"), "conv", from_end, True, {"below": (F.col("n"), "sum"), "leaves_below": (F.col("leaves"), "sum")})
+    nodes = running(_placed(nodes, "conv", "depth"), "conv", {"below": (F.col("n"), "sum"), "leaves_below": (F.col("leaves"), "sum")}, from_end=True)
     own_leaf = counted.select("conv", F.col("leaves").alias("own_leaf"))
     nodes = written(nodes.join(own_leaf, "conv").select("*", (F.col("below") * F.col("chars")).alias("saved")), "trie-nodes")
 
@@ -160,7 +161,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     saved = _subtrees(chains.select("conv", "parent").join(savings, "conv", "left").fillna(0, ["saved"]), "saved")
     given = chains.where("parent is not null").join(saved, "conv").groupBy(F.col("parent").alias("conv"), F.col("above").alias("depth")).agg(F.sum("saved").alias("given"))
     nodes = written(nodes.join(given, ["conv", "depth"], "left").fillna(0, ["given"]), "trie-saved")
-    nodes = running(nodes, "conv", from_end, True, {"saved_tokens": (F.col("saved") + F.col("given"), "sum")})
+    nodes = running(nodes, "conv", {"saved_tokens": (F.col("saved") + F.col("given"), "sum")}, from_end=True)
     nodes = nodes.join(_ends(chains), ["conv", "depth"], "left")
     begins = F.col("depth") == F.col("above") + 1
     return nodes.select(

@@ -121,4 +121,30 @@ links as (
 both_ways as (select a, b from links union all select b, a from links),
 reach as (select doc_id, doc_id as r from sizes union select reach.doc_id, both_ways.b from reach join both_ways on both_ways.a = reach.r)
 select sizes.doc_id, n::bigint as n_shingles, min(r) as component_id from sizes join reach on reach.doc_id = sizes.doc_id group by all""",
+    "op13_prefix_trie": r"""
+with codes as (
+  select list(c order by i) as code from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(256)) as i))),
+turns as (
+  select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as i, coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null),
+sizes as (select c, count(*) as n from turns group by c),
+convs as (
+  select s.c, s.c - s.c % 100 as lender, coalesce(b.n, 0) as lent,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(s.c::varchar, ''), lambda x: ord(x)::bigint)), lambda c, x: xor(code[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 6 as h
+  from sizes s cross join codes left join sizes b on b.c = s.c - s.c % 100),
+rebuilt as (
+  select c, least(h, lent) + i - h as pos, role, text from turns join convs using (c) where i >= h
+  union all select v.c, i, role, text from convs v join turns t on t.c = lender where i < h),
+members as (
+  select c, 0 as d, '' as node, 0 as chars from convs
+  union all select c, pos + 1, string_agg(md5(length(role) || ':' || role || text), '' order by pos) over (partition by c order by pos), length(text) from rebuilt),
+placed as (select *, lag(node) over (partition by c order by d) as above, row_number() over (partition by c order by d desc) = 1 as ends from members),
+nodes as (
+  select node, min(c) as c, any_value(d) as d, any_value(above) as above, count(*) as n, any_value(chars) as chars, coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '') as ended from placed group by node),
+children as (select above as node, count(*) as n_children from nodes group by above),
+counted as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join children using (node)),
+subtrees as (
+  select m.node, count(*) filter (x.n_children = 0) as n_leaves, sum((x.n - 1) * x.chars) as saved from counted x join members m on m.c = x.c and m.d <= x.d group by m.node)
+select x.c as conv_id, x.d::bigint as depth, p.c as parent_conv_id, x.n as n_convs, x.n_children, n_leaves, saved::bigint as saved_tokens, sha256(x.ended) as ends_sha256
+from counted x join subtrees using (node) left join nodes p on p.node = x.above""",
 }
