@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from webloom.cut import small_side, written
 from webloom.functions import kernels as K
+from webloom.functions.schemas import BOOLEAN, DOUBLE, ROBOTS, STRING, record
+from webloom.kernel.robots import RobotsFile
 
 ABSENT = "no robots.txt -- crawl permitted by default"
 MOST_BYTES = 512 * 1024
+#: URLs of an origin that one task judges; more are dealt to several, each with the origin's file.
+URLS_OF_TASK = 200_000
 
 
 def files(responses: DataFrame) -> DataFrame:
@@ -30,61 +40,67 @@ def rules(robots: DataFrame) -> DataFrame:
     )
 
 
-def chosen_group(groups: Column, user_agent: str) -> Column:
-    """The group with the longest agent that the user agent contains, of equal ones the first, else the first for all."""
-    agent = user_agent.lower()
-    length = lambda g: F.array_max(F.transform(F.filter(g["agents"], lambda a: (a != "*") & (a != "") & F.contains(F.lit(agent), a)), F.length))
-    measured = F.transform(groups, lambda g, i: F.struct(length(g).alias("n"), (-i).alias("order"), g.alias("g")))
-    named = F.array_max(F.transform(F.filter(measured, lambda m: m["n"].isNotNull()), lambda m: F.struct(m["n"], m["order"])))
-    everyone = F.filter(groups, lambda g: F.array_contains(g["agents"], "*"))
-    return F.coalesce(F.get(groups, -named["order"]), F.get(everyone, F.lit(0)))
-
-
-def path_pattern(path: Column) -> Column:
-    """A rule's path as a regular expression: ``*`` is any run, a final ``$`` the end."""
-    quoted = F.regexp_replace(path, r"([.+?^${}()|\[\]\\])", r"\\$1")
-    run = F.regexp_replace(quoted, r"\*", r"[^\\n\\r\\x{2028}\\x{2029}]*")
-    return F.concat(F.lit("^"), F.regexp_replace(run, r"\\\$\z", r"\\z"))
-
-
-def chosen_rule(rules: Column, path: Column) -> Column:
-    """Of ordered_rules: the longest rule that matches, an allowing one before others, else the first."""
-    return F.array_max(F.filter(rules, lambda r: F.when(r["pattern"].isNull(), F.startswith(path, r["path"])).otherwise(F.rlike(path, r["pattern"]))))
-
-
-def ordered_rules(rules: Column) -> Column:
-    """Rules with a path, in a form that ranks them, with a pattern where the path isn't a plain prefix."""
-    plain = lambda p: ~F.contains(p, F.lit("*")) & ~F.endswith(p, F.lit("$"))
-    ranked = lambda r, i: F.struct(
-        F.length(r["path"]).alias("n"), r["allow"].alias("allow"), (-i).alias("order"), r["path"].alias("path"), F.when(~plain(r["path"]), path_pattern(r["path"])).alias("pattern")
-    )
-    return F.filter(F.transform(rules, ranked), lambda r: r["path"] != "")
-
-
-def verdicts(urls: DataFrame, robots: DataFrame, user_agent: str = "*") -> DataFrame:
-    """For urls (page_id, url): origin, robots_url, status, path, allowed, matched_rule, crawl_delay, note, error.
-
-    Origins without a file, or with one that isn't found, allow everything. Each file's group and patterns are made ready
-    once; these join on the origin, by broadcast or not as their size has it. The file's text and sitemaps are an origin's
-    and stay in ``files``; ``with_files`` adds them to pages.
+_JUDGED = record(allow=BOOLEAN, path=STRING, crawl_delay=DOUBLE)
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of origin, each origin's file before its URLs: the file is compiled once, and forgotten when the next one begins."""
+    arrow = to_arrow_type(_JUDGED)
+    origin, file = None, RobotsFile(None)
+    for batch in batches:
+        n, rows = batch.num_rows, []
+        names, paths, agents = (batch.column(c).to_pylist() for c in ("origin", "path", "agent"))
+        groups, keep = batch.column("groups"), []
+        for i in range(n):
+            if paths[i] is None:
+                origin, file = names[i], RobotsFile(groups[i].as_py())
+                continue
+            if names[i] != origin:
+                origin, file = names[i], RobotsFile(None)
+            keep.append(i)
+            rows.append(file.verdict(agents[i] or "", paths[i]))
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("key", "origin", "path", "agent")), pa.array(rows, arrow)], ["key", "origin", "path", "agent", "rule"])
+
+
+def _by_tries(parts: DataFrame, robots: DataFrame, urls_of_task: int) -> DataFrame:
+    """parts (key, origin, path, agent) with rule. One shuffle of the parts; an origin with very many of them is several tasks' work."""
+    many = parts.where("origin is not null").groupBy("origin").count().where(F.col("count") > urls_of_task)
+    shares = small_side(written(many.select("origin", F.ceil(F.col("count") / urls_of_task).cast("int").alias("shares")), "shares"))
+    share = F.pmod(F.xxhash64("key"), F.coalesce("shares", F.lit(1))).cast("int")
+    asked = parts.join(shares, "origin", "left").select("origin", share.alias("share"), F.lit(True).alias("asks"), "key", "path", "agent", F.lit(None).cast(ROBOTS["groups"].dataType).alias("groups"))
+    # URLs without an origin meet no file: they stay apart by their keys.
+    asked = asked.withColumn("share", F.when(F.col("origin").isNull(), F.pmod(F.xxhash64("key"), F.lit(1 << 20)).cast("int")).otherwise(F.col("share")))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))
+    files = robots.where("origin is not null").join(shares, "origin", "left").select("origin", every.alias("share"), F.lit(False).alias("asks"), F.lit(None).cast(parts.schema["key"].dataType).alias("key"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("agent"), "groups")
+    rows = asked.unionByName(files).repartition("origin", "share").sortWithinPartitions("origin", "share", "asks")
+    schema = T.StructType([*parts.select("key", "origin", "path", "agent").schema.fields, T.StructField("rule", _JUDGED)])
+    return rows.mapInArrow(_judge, schema)
+
+
+def verdicts(urls: DataFrame, robots: DataFrame, user_agent: str | Column = "*", urls_of_task: int = URLS_OF_TASK) -> DataFrame:
+    """For urls (page_id, url): origin, robots_url, status, user_agent, path, allowed, matched_rule, crawl_delay, note, error.
+
+    ``user_agent`` is one for all, or a column of urls. Origins without a file, or with one that isn't found, allow everything. A file's
+    groups and rules are compiled once for all URLs of its origin, so that a URL's cost doesn't grow with the rules. The file's text and
+    sitemaps are an origin's and stay in ``files``; ``with_files`` adds them to pages.
     """
-    agent_group = F.col("group")
-    ready = robots.select("origin", "status", "error", chosen_group(F.col("groups"), user_agent).alias("group")).select(
-        "origin", "status", "error", ordered_rules(agent_group["rules"]).alias("rules"), agent_group["crawl_delay"].alias("crawl_delay")
-    )
-    parts = urls.select("page_id", K.url_parts("url").alias("u")).select("page_id", F.col("u.value.origin").alias("origin"), F.concat("u.value.pathname", "u.value.search").alias("path"))
-    rows = parts.join(ready, "origin", "left").withColumn("rule", chosen_rule(F.col("rules"), F.col("path")))
+    agent = F.lit(user_agent) if isinstance(user_agent, str) else user_agent
+    parts = urls.select(F.col("page_id").alias("key"), agent.cast("string").alias("agent"), K.url_parts("url").alias("u"))
+    parts = written(parts.select("key", F.col("u.value.origin").alias("origin"), F.coalesce(F.concat("u.value.pathname", "u.value.search"), F.lit("")).alias("path"), "agent"), "urls")
+    judged = _by_tries(parts, robots.select("origin", "groups"), urls_of_task)
+    rows = judged.join(robots.select("origin", "status", "error"), "origin", "left")
     absent = F.col("status").isNull() | (F.col("status") == 404)
     return rows.select(
-        "page_id",
+        F.col("key").alias("page_id"),
         "origin",
         F.concat("origin", F.lit("/robots.txt")).alias("robots_url"),
         "status",
-        F.lit(user_agent).alias("user_agent"),
-        "path",
+        F.col("agent").alias("user_agent"),
+        F.when(F.col("origin").isNotNull(), F.col("path")).alias("path"),
         F.when(F.col("error").isNull(), F.coalesce("rule.allow", F.lit(True))).alias("allowed"),
         F.concat(F.when(F.col("rule.allow"), "Allow: ").otherwise("Disallow: "), "rule.path").alias("matched_rule"),
-        "crawl_delay",
+        "rule.crawl_delay",
         F.when(absent, ABSENT).alias("note"),
         "error",
     )

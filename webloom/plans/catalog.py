@@ -126,6 +126,12 @@ def robots_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots_ops.verdicts(generated.supplier_urls(spark, sf_dir), files, "MyBot3/1.0").select("page_id", "origin", "path", "allowed", "matched_rule", "crawl_delay")
 
 
+def robots_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' URLs, each with an agent of its own, against files of thousands of rules."""
+    files = robots_ops.files(generated.large_robots_files(spark, sf_dir))
+    return robots_ops.verdicts(generated.agent_urls(spark, sf_dir), files, F.col("agent")).select("page_id", "origin", "user_agent", "path", "allowed", "matched_rule", "crawl_delay")
+
+
 def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sitemap_ops.parsed(fixtures.sitemap_site(spark).unionByName(generated.sitemap_site(spark, sf_dir))).select("url", F.posexplode("urls").alias("pos", "u"))
     return rows.select(F.col("url").alias("sitemap"), F.col("pos").cast("long").alias("pos"), "u.*")
@@ -207,7 +213,7 @@ QUERIES = {
     for f in (
         page_overview, html_to_text, text_stats, page_title, page_meta, meta_tags, links_all, links_deduped, links_limit, links_by_type,
         link_host_counts, main_content, reader, html_to_markdown, ssrf_check_ipv4, ssrf_check_address, ssrf_validate_url, dns_answers,
-        robots_rules, robots_verdict, robots_agents, sitemap_urls, sitemap_crawl, feed_entries, content_type_decision, retry_delay, redirect_follow,
+        robots_rules, robots_verdict, robots_agents, robots_many, sitemap_urls, sitemap_crawl, feed_entries, content_type_decision, retry_delay, redirect_follow,
         http_fetch, http_send, http_headers, decoded_bodies, article_parts, display_texts, render_response,
     )
 }
@@ -322,6 +328,24 @@ rules as (select s_nationkey as nation, s_suppkey as k, s_suppkey % 3 = 0 as all
 fits as (select a.page_id, arg_max(allow, length(rule) * 2 + allow::int) as allow, arg_max(rule, length(rule) * 2 + allow::int) as rule from asked a join rules r on a.nation = r.nation and (k % 2 = 1) = named and starts_with(path, '/s/' || k) group by a.page_id)
 select page_id, 'https://n' || nation || '.example' as origin, path, coalesce(allow, true) as allowed, case when allow then 'Allow: ' else 'Disallow: ' end || rule as matched_rule, case when named then 3.5 end as crawl_delay
 from asked left join fits using (page_id)""",
+    "robots_many": r"""
+with asked as (
+  select o_orderkey as page_id, n_regionkey as region, ['Mozilla', 'BOT/1.0', 'my crawler/3 x', 'Botmaster (bot)', 'Crawler/1 bot'][o_orderkey % 5 + 1] as agent,
+    case o_orderkey % 4 when 0 then '/c/' || c_custkey || '/open?x' when 1 then '/a/b/v' || c_custkey when 2 then '/c/' || c_custkey || '?p=2&q=1&r' else '/c/' || c_custkey || '9/v' || c_custkey || '/' end as path
+  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
+tokens as (select n_regionkey as region, unnest([1, 1, 2]) as part, unnest(['bot', 'crawler/' || n_regionkey, 'botmaster']) as token from nation group by n_regionkey),
+named as (select page_id, arg_max(part, length(token)) as part from asked join tokens using (region) where contains(lower(agent), token) group by page_id),
+chosen as (select asked.*, coalesce(part, 0) as part from asked left join named using (page_id)),
+rules as (
+  select n_regionkey as region, c_custkey % 3 as part, c_custkey % 5 = 0 as allow,
+    case c_custkey % 5 when 0 then '/c/' || c_custkey || '/open' when 1 then '/*/v' || c_custkey || '$' when 2 then '/c/' || c_custkey || '*q=1' else '/c/' || c_custkey end as rule,
+    c_custkey % 5 as kind, c_custkey from customer join nation on c_nationkey = n_nationkey),
+plain as (select page_id, rule, allow from chosen c join rules r on r.region = c.region and r.part = c.part and kind in (0, 3, 4) and starts_with(path, rule)),
+ended as (select page_id, rule, allow from chosen c join rules r on r.region = c.region and r.part = c.part and kind = 1 and c_custkey = try_cast(regexp_extract(path, '/v([0-9]+)$', 1) as bigint) where path like '/%/v%'),
+wild as (select page_id, rule, allow from chosen c join rules r on r.region = c.region and r.part = c.part and kind = 2 and starts_with(path, '/c/' || c_custkey) and contains(substr(path, length('/c/' || c_custkey) + 1), 'q=1')),
+best as (select page_id, arg_max(rule, length(rule) * 2 + allow::int) as rule, arg_max(allow, length(rule) * 2 + allow::int) as allow from (select * from plain union all select * from ended union all select * from wild) group by page_id)
+select page_id, 'https://l' || region || '.example' as origin, agent as user_agent, path, coalesce(allow, true) as allowed, case when allow then 'Allow: ' else 'Disallow: ' end || rule as matched_rule, case when part = 1 then 2.0 end as crawl_delay
+from chosen left join best using (page_id)""",
     "sitemap_crawl": """
 with recursive maps(url, child, i) as (values ('https://s.example/index.xml', 'https://s.example/a.xml', 0), ('https://s.example/index.xml', 'https://s.example/b.xml.gz', 1), ('https://s.example/index.xml', 'https://s.example/gone.xml', 2)),
 visits(url, depth, i) as (select 'https://s.example/index.xml', 0, 0 union all select child, depth + 1, maps.i from visits join maps using (url)),

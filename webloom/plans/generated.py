@@ -83,6 +83,38 @@ def supplier_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"), _joined("https://n", "{s_nationkey}", ".example/s/", "{s_suppkey}", "x?y").alias("url"))
 
 
+def large_robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each region with rules of all customers of its nations, in groups of several agents; as many rules as there are customers."""
+    customers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
+    k = F.col("c_custkey")
+    rule = (
+        F.when(k % 5 == 0, _joined("Allow: /c/", "{c_custkey}", "/open\n"))
+        .when(k % 5 == 1, _joined("Disallow: /*/v", "{c_custkey}", "$\n"))
+        .when(k % 5 == 2, _joined("Disallow: /c/", "{c_custkey}", "*q=1\n"))
+        .otherwise(_joined("Disallow: /c/", "{c_custkey}", "\n"))
+    )
+    rules = lambda part: _in_order("c_custkey", F.when(k % 3 == part, rule).otherwise(""))
+    files = customers.groupBy(F.col("n_regionkey").alias("region")).agg(rules(0).alias("a"), rules(1).alias("b"), rules(2).alias("c"))
+    body = _joined("User-agent: *\n", "{a}", "\nUser-agent: bot\nUser-agent: Crawler/", "{region}", "\nCrawl-delay: 2\n", "{b}", "\nUser-agent: botmaster\n", "{c}", "\nUser-agent: bot\nDisallow: /\n")
+    return files.select(_joined("https://l", "{region}", ".example").alias("origin"), F.lit(200).alias("status"), body.alias("body"))
+
+
+def agent_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' URLs, half of them of a customer that has a rule, on the region's origin, each for an agent of its own."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.col("o_custkey").alias("c_custkey"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    rows = orders.join(customers, "c_custkey").join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"), "c_nationkey")
+    k, c = F.col("page_id"), "{c_custkey}"
+    path = (
+        F.when(k % 4 == 0, _joined("/c/", c, "/open?x"))
+        .when(k % 4 == 1, _joined("/a/b/v", c))
+        .when(k % 4 == 2, _joined("/c/", c, "?p=2&q=1&r"))
+        .otherwise(_joined("/c/", c, "9/v", c, "/"))
+    )
+    agent = F.element_at(F.array(*map(F.lit, ("Mozilla", "BOT/1.0", "my crawler/3 x", "Botmaster (bot)", "Crawler/1 bot"))), (k % 5 + 1).cast("int"))
+    return rows.select("page_id", F.concat(_joined("https://l", "{n_regionkey}", ".example"), path).alias("url"), agent.alias("agent"))
+
+
 def sitemap_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sitemap of the pages of each host."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.replace("url", F.lit("&"), F.lit("&amp;")).alias("loc"), F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"))
