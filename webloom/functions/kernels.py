@@ -100,6 +100,8 @@ url_parts = kernel(_parts, S.URL_PARTS)
 resolve_url = kernel(url.resolve, S.STRING)
 url_verdict = kernel(_verdict, S.VERDICT)
 address_refusal = kernel(net.address_refusal, S.STRING)
+address_number = kernel(net.address_number, S.ADDRESS)
+range_pieces = kernel(net.range_pieces, S.PIECES)
 decode_body = kernel(lambda body, content_type: bodies.decode_bytes(body, content_type or ""), S.STRING)
 parse_feed = kernel(feed.parse_feed, S.FEED)
 parse_sitemap = kernel(_sitemap, S.SITEMAP)

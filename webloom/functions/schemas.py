@@ -34,6 +34,8 @@ SITEMAP = record(urls=T.ArrayType(record(**strings("loc lastmod changefreq"), pr
 RULES = T.ArrayType(record(allow=BOOLEAN, path=STRING))
 ROBOTS = record(groups=T.ArrayType(record(agents=TEXTS, rules=RULES, crawl_delay=DOUBLE)), sitemaps=TEXTS)
 URL_PARTS = record(**strings("scheme host origin pathname search href"))
+ADDRESS = record(family=T.IntegerType(), high=LONG, low=LONG)
+PIECES = T.ArrayType(record(family=T.IntegerType(), length=T.IntegerType(), high=LONG, low=LONG, width=STRING))
 VERDICT = record(ok=BOOLEAN, reason=STRING)
 RESPONSE = record(
     ok=BOOLEAN,

@@ -89,3 +89,51 @@ def answers_refusal(host: str, addresses: list[str]) -> str | None:
         if why := address_refusal(ip):
             return f"DNS: {host} -> {ip} -- {why}"
     return None
+
+
+# Ranges
+
+_SIGN = 1 << 64
+
+
+def _halves(n: int) -> tuple[int, int]:
+    """128 bits as two signed longs."""
+    return tuple(x - _SIGN if x >> 63 else x for x in (n >> 64, n & _SIGN - 1))
+
+
+def _numbered(ip: str) -> tuple[int, int]:
+    """Family and number of an address; an IPv6 address that maps an IPv4 one is that one. Raises ValueError."""
+    address = ipaddress.ip_address(ip.strip().partition("%")[0])
+    address = getattr(address, "ipv4_mapped", None) or address
+    return address.version, int(address)
+
+
+def address_number(ip: str) -> dict[str, int]:
+    """family, high and low half of an address. IPv4 numbers stand in the upper 32 bits, so that prefixes of both families are masked alike."""
+    family, n = _numbered(ip)
+    high, low = _halves(n << 96 if family == 4 else n)
+    return {"family": family, "high": high, "low": low}
+
+
+def range_pieces(text: str) -> list[dict[str, int | str]]:
+    """The prefixes that make up a range: an address, a network (``/``; bits beyond its length don't count) or two addresses (``-``).
+
+    Each has family, length, high, low, and the width of the whole range as hexadecimal digits that sort like numbers. Raises ValueError.
+    """
+    if "/" in text:
+        network = ipaddress.ip_network(text.strip(), strict=False)
+        networks = [network]
+    else:
+        first, _, last = text.partition("-")
+        (family, low), (other, high) = _numbered(first), _numbered(last or first)
+        if family != other or low > high:
+            raise ValueError(f"{text} is no range of addresses")
+        kind = ipaddress.IPv4Address if family == 4 else ipaddress.IPv6Address
+        networks = list(ipaddress.summarize_address_range(kind(low), kind(high)))
+    width = sum(n.num_addresses for n in networks)
+    out = []
+    for n in networks:
+        number = int(n.network_address)
+        high, low = _halves(number << 96 if n.version == 4 else number)
+        out.append({"family": n.version, "length": n.prefixlen, "high": high, "low": low, "width": f"{width:033x}"})
+    return out

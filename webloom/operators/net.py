@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.cut import cut
+from webloom.cut import cut, written
 from webloom.functions import kernels as K
 from webloom.functions.net import ipv4_refused, ipv4_to_long
 from webloom.kernel.net import REFUSED_V4
@@ -28,6 +28,36 @@ def addresses_with_range(addresses: DataFrame) -> DataFrame:
     return n.join(best, "ip", "left").select("ip", F.when(F.col("n").isNotNull(), F.col("range").isNotNull()).alias("refused"), "range")
 
 
+def _numbered(addresses: DataFrame) -> DataFrame:
+    """ip, family, high, low of each distinct address; only what isn't a dotted address goes to Python."""
+    n = ipv4_to_long(F.col("ip"))
+    rows = addresses.select("ip").distinct().select("ip", n.alias("n"), K.address_number(F.when(n.isNull(), F.col("ip")))["value"].alias("v"))
+    dotted = F.struct(F.lit(4).alias("family"), F.shiftleft("n", 32).alias("high"), F.lit(0).cast("long").alias("low"))
+    return rows.select("ip", F.when(F.col("n").isNotNull(), dotted).otherwise(F.col("v")).alias("v")).select("ip", "v.*")
+
+
+def address_owners(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Every row of addresses (ip) with range, the narrowest of ranges (range) that holds it; of equally wide ones the first by its text; else null.
+
+    A range is an address, a network or two addresses, of either family. It is cut into prefixes; an address is looked up under its own prefixes,
+    of those lengths alone that occur (162 at most), by equality: no two tables are compared by bounds. Ranges and addresses that can't be
+    read match nothing.
+    """
+    pieces = written(ranges.select("range", F.explode(K.range_pieces("range")["value"]).alias("p")).select("range", "p.*"), "ranges")
+    # The same piece of several ranges: the narrowest range counts.
+    pieces = pieces.groupBy("family", "length", "high", "low").agg(F.min(F.struct("width", "range")).alias("best"))
+    lengths = {4: [], 6: []}
+    for r in pieces.select("family", "length").distinct().collect():
+        lengths[r["family"]].append(r["length"])
+    of = lambda family: F.array(*map(F.lit, sorted(lengths[family]))).cast("array<int>")
+    asked = _numbered(addresses).select("*", F.explode(F.when(F.col("family") == 4, of(4)).otherwise(of(6))).alias("length"))
+    high = F.expr("case when length >= 64 then high when length = 0 then 0L else high & shiftleft(-1L, 64 - length) end")
+    low = F.expr("case when length = 128 then low when length <= 64 then 0L else low & shiftleft(-1L, 128 - length) end")
+    found = asked.select("ip", "family", "length", high.alias("high"), low.alias("low")).join(pieces, ["family", "length", "high", "low"])
+    best = found.groupBy("ip").agg(F.min("best")["range"].alias("range"))
+    return addresses.join(best, "ip", "left")
+
+
 def address_verdicts(addresses: DataFrame) -> DataFrame:
     """ip, ok, reason of addresses (ip), IPv4 or IPv6; dotted ones that pass never leave generated code for Python's reasons."""
     rows = addresses.select("ip", ipv4_refused(F.col("ip")).alias("v4"))

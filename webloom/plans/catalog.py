@@ -96,6 +96,11 @@ def ssrf_check_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return net_ops.addresses_with_range(found.distinct())
 
 
+def address_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrowest of many ranges for each address, of both families."""
+    return net_ops.address_owners(generated.owned_addresses(spark, sf_dir), generated.address_ranges(spark, sf_dir))
+
+
 def ssrf_check_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return net_ops.address_verdicts(fixtures.addresses(spark).unionByName(generated.addresses(spark, sf_dir)))
 
@@ -212,7 +217,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_overview, html_to_text, text_stats, page_title, page_meta, meta_tags, links_all, links_deduped, links_limit, links_by_type,
-        link_host_counts, main_content, reader, html_to_markdown, ssrf_check_ipv4, ssrf_check_address, ssrf_validate_url, dns_answers,
+        link_host_counts, main_content, reader, html_to_markdown, ssrf_check_ipv4, address_owners, ssrf_check_address, ssrf_validate_url, dns_answers,
         robots_rules, robots_verdict, robots_agents, robots_many, sitemap_urls, sitemap_crawl, feed_entries, content_type_decision, retry_delay, redirect_follow,
         http_fetch, http_send, http_headers, decoded_bodies, article_parts, display_texts, render_response,
     )
@@ -316,6 +321,22 @@ parts as (select ip, list_transform(string_split(ip, '.'), lambda p: p::bigint)
 numbers as (select ip, case when list_max(p) <= 255 then ((p[1] * 256 + p[2]) * 256 + p[3]) * 256 + p[4] end as n from parts),
 ranges(low, high, range) as (values {_RANGES})
 select ip, case when n is not null then count(range) > 0 end as refused, arg_min(range, high - low) as range from numbers left join ranges on n between low and high group by ip, n""",
+    "address_owners": rf"""
+with {_NUMBERS},
+spread as (select k, j, (n + j * 7919) % 4294967296 as n from numbers, range(7) t(j)),
+dots as (select *, (n >> 24) || '.' || (n >> 16 & 255) || '.' || (n >> 8 & 255) || '.' || (n & 255) as v4, '2001:db8:' || printf('%x', n >> 16) || ':' || printf('%x', n & 65535) || '::' as v6, 42540766411282592856903984951653826560::hugeint + n::hugeint * 18446744073709551616::hugeint as big from spread),
+spans as (
+  select 4 as family, v4 || '/' || l as range, n // (1::bigint << (32 - l)) * (1::bigint << (32 - l))::hugeint as low, n // (1::bigint << (32 - l)) * (1::bigint << (32 - l))::hugeint + (1::bigint << (32 - l)) - 1 as high from (select *, (8 + (k + j) % 25)::int as l from dots where j < 3)
+  union all select 6, v6 || printf('%x', k) || '/' || l, (big + k) // (1::hugeint << (128 - l)) * (1::hugeint << (128 - l)), (big + k) // (1::hugeint << (128 - l)) * (1::hugeint << (128 - l)) + (1::hugeint << (128 - l)) - 1 from (select *, (33 + k % 90)::int as l from dots where j = 3)
+  union all select 4, v4 || '-' || (u >> 24) || '.' || (u >> 16 & 255) || '.' || (u >> 8 & 255) || '.' || (u & 255), n, u from (select *, least(n + k % 5000, 4294967295) as u from dots where j = 4)
+  union all select 4, v4, n, n from dots where j = 5
+  union all select 6, v6 || '0-' || v6 || printf('%x', k), big, big + k from dots where j = 6),
+moved as (select k, n, (n + k % 3 * 4099) % 4294967296 as m from numbers),
+asked as (
+  select ip, 4 as family, case when list_max(p) <= 255 then ((p[1] * 256 + p[2]) * 256 + p[3]) * 256 + p[4] end::hugeint as v from (select ip, list_transform(string_split(ip, '.'), lambda p: p::bigint) as p from (select distinct unnest(regexp_extract_all(text, '[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}')) as ip from documents))
+  union select case when k % 4 < 2 then '' else '::ffff:' end || (m >> 24) || '.' || (m >> 16 & 255) || '.' || (m >> 8 & 255) || '.' || (m & 255), 4, m from moved where k % 4 <> 2
+  union select '2001:db8:' || printf('%x', n >> 16) || ':' || printf('%x', n & 65535) || '::' || printf('%x', k + k % 7), 6, 42540766411282592856903984951653826560::hugeint + n::hugeint * 18446744073709551616::hugeint + k + k % 7 from moved where k % 4 = 2)
+select ip, first(range order by high - low, range) as range from asked left join spans on asked.family = spans.family and v between low and high group by ip""",
     "robots_verdict": """
 with parts as (select page_id, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') || regexp_extract(url, '^[^?#]*([?][^#]*)?', 1) as path from pages),
 judged as (
