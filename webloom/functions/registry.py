@@ -1,4 +1,4 @@
-"""The kernels as named SQL functions, and links as a table function."""
+"""The kernels as named SQL functions, links as a table function for lateral joins, and the Arrow table functions."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from webloom.functions import kernels as K
 from webloom.functions import schemas as S
+from webloom.functions import tables
 from webloom.kernel import page
 
 #: Name, kernel, number of arguments. All return struct<value, error>.
@@ -45,3 +46,4 @@ def register(spark: SparkSession) -> None:
         spark.udf.register(name, kernel.function(n))
     fields = [T.StructField("pos", T.LongType()), *S.LINKS.elementType.fields]
     spark.udtf.register("web_link_rows", F.udtf(LinkRows, returnType=T.StructType(fields)))
+    tables.register(spark)

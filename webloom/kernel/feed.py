@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 from webloom.kernel.text import trim
-from webloom.kernel.xml import Element, parse
+from webloom.kernel.xml import Element, parse, pulled
 
 FIELDS = ("title", "link", "id", "published", "updated", "author", "summary", "content", "content_type")
 
@@ -97,3 +98,12 @@ def parse_feed(text: str) -> dict[str, Any]:
         head = {"title": _values(feed, "title"), "description": _values(feed, "subtitle"), "link": _atom_link(feed), "updated": _values(feed, "updated")}
         return {"kind": "atom", **head, "entries": [_atom_entry(e) for e in feed.all("entry")]}
     return {"kind": "unknown", "title": None, "description": None, "link": None, "updated": None, "entries": []}
+
+
+def feed_entries(chunks: Iterable[str]) -> Iterator[dict[str, Any]]:
+    """The entries of a feed, each as it is read. In a document with both an RSS and an Atom root, those of the first."""
+    first = None
+    for path, e in pulled(chunks, (("rss", "channel", "item"), ("feed", "entry")), html_names=True):
+        first = first or path[0]
+        if path[0] == first:
+            yield _rss_entry(e) if first == "rss" else _atom_entry(e)

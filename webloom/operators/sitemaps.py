@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webloom.cut import cut
 from webloom.functions import kernels as K
+from webloom.functions.tables import rows_of
 
 
 def parsed(responses: DataFrame) -> DataFrame:
@@ -21,6 +22,19 @@ def parsed(responses: DataFrame) -> DataFrame:
     return rows.select("url", "status", F.col("r.value.urls").alias("urls"), F.col("r.value.child_sitemaps").alias("child_sitemaps"), F.coalesce(http, empty, failed).alias("error"))
 
 
+def entries(responses: DataFrame) -> DataFrame:
+    """url, pos, child, loc, lastmod, changefreq, priority, error of responses (url, status, body binary): entries as they are read.
+
+    A sitemap never is one row, however large it is; ``pos`` counts URLs and child sitemaps apart. Entries before the place where a body can't be read on
+    are kept, and a row without loc says why. Responses without a body or of another status than success give such a row alone.
+    """
+    ok = F.col("status").between(200, 299)
+    rows = rows_of(responses.where(ok & (F.octet_length("body") > 0)), "web_sitemap_entries_of")
+    none = responses.where(~F.coalesce(ok & (F.octet_length("body") > 0), F.lit(False)))
+    why = F.when(~ok, F.concat(F.lit("HTTP "), F.col("status").cast("string"))).otherwise("empty body")
+    return rows.unionByName(none.select("url", why.alias("error")), allowMissingColumns=True)
+
+
 def crawl(seeds: DataFrame, responses: DataFrame, max_depth: int = 1, max_urls: int = 5000) -> dict[str, DataFrame]:
     """From seeds (crawl_id, url): ``visited``, ``urls``, ``children``, ``warnings`` and ``summary`` of each crawl.
 

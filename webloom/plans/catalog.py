@@ -9,6 +9,7 @@ from webloom import __version__
 from webloom.cut import folder
 from webloom.functions import http as H
 from webloom.functions import kernels as K
+from webloom.functions import tables
 from webloom.functions import text as X
 from webloom.kernel.net import REFUSED_V4
 from webloom.kernel.text import NAMED, STRIP_STEPS
@@ -142,6 +143,23 @@ def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("url").alias("sitemap"), F.col("pos").cast("long").alias("pos"), "u.*")
 
 
+def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of sitemaps and indexes as they are read, plain and packed, a third of the bodies cut off."""
+    return sitemap_ops.entries(generated.packed_sitemaps(spark, sf_dir)).select("url", "pos", "child", "loc", "priority", F.substring_index("error", ":", 1).alias("error"))
+
+
+def sql_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, metadata and robots rules by Arrow table functions in SQL."""
+    tables.register(spark)
+    _pages(spark, sf_dir).createOrReplaceTempView("webloom_pages")
+    generated.meta_pages(spark, sf_dir).createOrReplaceTempView("webloom_heads")
+    generated.large_robots_files(spark, sf_dir).createOrReplaceTempView("webloom_robots")
+    return spark.sql("""
+        select 'link' as what, cast(page_id as string) as key, pos, href as value from web_links_of(table(select page_id, url, html from webloom_pages))
+        union all select concat(kind, ' ', key), cast(page_id as string), pos, value from web_meta_of(table(select page_id, url, html from webloom_heads)) where kind in ('og', 'icon')
+        union all select concat(agent, if(allow, ' allow', ' disallow')), origin, rule_idx, path from web_robots_rules_of(table(select origin, body from webloom_robots))""")
+
+
 def sitemap_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = fixtures.sitemap_seeds(spark).unionByName(generated.crawl_seeds(spark, sf_dir))
     crawl = sitemap_ops.crawl(seeds, fixtures.sitemap_site(spark).unionByName(generated.crawled_site(spark, sf_dir)), max_depth=2)
@@ -218,7 +236,7 @@ QUERIES = {
     for f in (
         page_overview, html_to_text, text_stats, page_title, page_meta, meta_tags, links_all, links_deduped, links_limit, links_by_type,
         link_host_counts, main_content, reader, html_to_markdown, ssrf_check_ipv4, address_owners, ssrf_check_address, ssrf_validate_url, dns_answers,
-        robots_rules, robots_verdict, robots_agents, robots_many, sitemap_urls, sitemap_crawl, feed_entries, content_type_decision, retry_delay, redirect_follow,
+        robots_rules, robots_verdict, robots_agents, robots_many, sitemap_urls, sitemap_entries, sitemap_crawl, sql_rows, feed_entries, content_type_decision, retry_delay, redirect_follow,
         http_fetch, http_send, http_headers, decoded_bodies, article_parts, display_texts, render_response,
     )
 }
@@ -373,6 +391,25 @@ visits(url, depth, i) as (select 'https://s.example/index.xml', 0, 0 union all s
 locs(url, loc, j) as (values ('https://s.example/a.xml', 'https://s.example/1', 0), ('https://s.example/a.xml', 'https://s.example/2', 1), ('https://s.example/b.xml.gz', 'https://s.example/3', 0))
 select 1::bigint as crawl_id, row_number() over (order by depth, i, j) - 1 as pos, loc, depth::bigint as depth from visits join locs using (url)
 union all select n_regionkey + 100, row_number() over (partition by n_regionkey order by n_nationkey, s_suppkey) - 1, 'https://c.example/s/' || s_suppkey, 1 from supplier join nation on n_nationkey = s_nationkey""",
+    "sitemap_entries": """
+with maps as (select s_nationkey as n, s_suppkey as s, row_number() over (partition by s_nationkey order by s_suppkey) - 1 as i, count(*) over (partition by s_nationkey) as m from supplier)
+select 'https://e.example/' || n || '.xml' as url, i as pos, false as child, 'https://e.example/s/' || s || '?a=1&b=2' as loc, s % 10 / 10.0 as priority, null::varchar as error from maps
+union all select 'https://e.example/' || n || '.xml', 0, true, 'https://e.example/child' || n || '.xml', null, null from (select distinct n from maps) where n % 3 <> 2
+union all select 'https://e.example/' || n || '.xml', null, null, null, null, 'parse failed' from (select distinct n from maps) where n % 3 = 2
+union all select 'https://e.example/none' || r_regionkey, null, null, null, null, case when r_regionkey % 2 = 0 then 'HTTP 404' else 'empty body' end from region""",
+    "sql_rows": f"""
+with {_LINKS},
+rules as (
+  select n_regionkey as region, c_custkey as k, c_custkey % 3 as part, row_number() over (partition by n_regionkey, c_custkey % 3 order by c_custkey) - 1 as i,
+    case c_custkey % 5 when 0 then '/c/' || c_custkey || '/open' when 1 then '/*/v' || c_custkey || '$' when 2 then '/c/' || c_custkey || '*q=1' else '/c/' || c_custkey end as rule
+  from customer join nation on c_nationkey = n_nationkey),
+agents as (select 0 as part, '*' as agent union all select 1, 'bot' union all select 1, 'crawler/' union all select 2, 'botmaster')
+select 'link' as what, page_id::varchar as key, pos::bigint as pos, href as value from links
+union all select 'og ' || k, (doc_id + 100)::varchar, 0, v from (select doc_id, unnest(['locale', 'site_name', 'size']) as k, unnest([lang, coalesce(source, 'none'), n_chars::varchar]) as v from documents)
+union all select 'og image', (doc_id + 100)::varchar, i, 'https://i.example/' || doc_id || '/' || (i + 1) || '.png?a=1&b=2' from documents, range(3) t(i) where i < 1 + doc_id % 3
+union all select 'icon shortcut icon', (doc_id + 100)::varchar, 0, 'https://a.example/i.png' from documents
+union all select agent || case when agent = 'crawler/' then region::varchar else '' end || case when k % 5 = 0 then ' allow' else ' disallow' end, 'https://l' || region || '.example', i, rule from rules join agents using (part)
+union all select 'bot disallow', 'https://l' || r || '.example', 0, '/' from (select distinct region as r from rules)""",
     "sitemap_urls": """
 select * from (values ('https://s.example/a.xml', 0::bigint, 'https://s.example/1', '2024-01-02', 'daily', 0.8::double), ('https://s.example/a.xml', 1, 'https://s.example/2', null, null, null),
   ('https://s.example/b.xml.gz', 0, 'https://s.example/3', null, null, null)) t(sitemap, pos, loc, lastmod, changefreq, priority)

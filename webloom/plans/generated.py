@@ -158,6 +158,41 @@ def sitemap_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select(_joined("https://sm.example/", "{host}", ".xml").alias("url"), F.lit(200).alias("status"), body.cast("binary").alias("body"))
 
 
+def packed_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sitemap of the suppliers of each nation, with an index behind it; every third ends in a member of a packed body that is cut off; and some without a body."""
+    s = F.col("s_suppkey")
+    entry = _joined("<url>\n<!-- <url> --><loc> https://e.example/s/", "{s_suppkey}", "?a=1&amp;b=<![CDATA[2]]> </loc><priority>0.", s % 10, "x</priority><image:loc>no</image:loc></url>")
+    maps = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n")).agg(_in_order("s_suppkey", entry).alias("b"))
+    index = _joined("<sitemapindex><sitemap><loc>https://e.example/child", "{n}", ".xml</loc></sitemap><sitemap/></sitemapindex>")
+    body = _joined("<?xml version='1.0'?><!DOCTYPE x [<!ENTITY a '>'>]><urlset>", "{b}", "<url><lastmod>x</lastmod></url></urlset>")
+    plain = F.when(F.col("n") % 3 == 2, body).otherwise(F.concat(body, index)).cast("binary")
+    # A second packed member that ends after its first bytes.
+    packed = F.concat(_stored(plain), F.unhex(F.lit("1f8b0800000000000003")))
+    made = maps.select(_joined("https://e.example/", "{n}", ".xml").alias("url"), F.lit(200).alias("status"), F.when(F.col("n") % 3 == 0, plain).when(F.col("n") % 3 == 1, _stored(plain)).otherwise(packed).alias("body"))
+    none = table(spark, sf_dir, "region").select(_joined("https://e.example/none", "{r_regionkey}").alias("url"), F.when(F.col("r_regionkey") % 2 == 0, 404).otherwise(200).alias("status"), F.lit("").cast("binary").alias("body"))
+    return made.unionByName(none)
+
+
+def _stored(body: Column) -> Column:
+    """A body as a gzip member that is stored, not compressed, in blocks of 60,000 bytes."""
+    little = lambda n, size: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.lpad(F.hex(F.pmod(F.floor(n / F.pow(F.lit(256), i)), F.lit(256))), 2, "0")), ""))
+    block = 60_000
+    n = F.octet_length(body)
+    last = F.greatest(F.ceil(n / block), F.lit(1))
+    blocks = F.transform(
+        F.sequence(F.lit(1).cast("long"), last),
+        lambda i: F.hex(
+            F.concat(
+                F.when(i == last, F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))),
+                little(F.least(F.lit(block), n - (i - 1) * block), 2),
+                little(65_535 - F.least(F.lit(block), n - (i - 1) * block), 2),
+                F.substr(body, ((i - 1) * block + 1).cast("int"), F.lit(block)),
+            )
+        ),
+    )
+    return F.concat(F.unhex(F.lit("1f8b0800000000000003")), F.unhex(F.array_join(blocks, "")), little(F.crc32(body), 4), little(n, 4))
+
+
 def crawled_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index for each region, of its nations' sitemaps, of their suppliers."""
     nations = table(spark, sf_dir, "nation")
