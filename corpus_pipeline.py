@@ -10,14 +10,13 @@ no rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.cut import shared_dir, small_batches
+from webloom.cut import marked, settled, small_batches
 from webloom.llm import decontaminate, jaccard_join, line_dedup, mixing, quality
 from webloom.tables import table
 
@@ -80,9 +79,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages. When a stage's output is stored, its predecessor's and its own tables go: at most two copies of the documents are there at once."""
+    docs, mark = table(spark, sf_dir, "documents"), marked()
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = settled(stage(spark, docs, sf_dir), name, mark)
     return docs

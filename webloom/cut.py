@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,19 +50,41 @@ def folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def clear_written(spark: SparkSession) -> int:
-    """Deletes the tables and checkpoints that this module made in this process. Call it when the results that read them are stored."""
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    n = len(_written)
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
-    return n
+        _written.remove(p)
+    return len(paths)
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Deletes the tables and checkpoints that this module made in this process. Call it when the results that read them are stored."""
+    return _delete(spark, list(_written))
+
 
+def marked() -> int:
+    """A mark for ``settled``: what was written up to now stays."""
+    return len(_written)
 
-def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """``df`` to be broadcast if it has at most so many (narrow) rows, else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+def settled(df: DataFrame, label: str, mark: int) -> DataFrame:
+    """As ``written``; then everything else that this module wrote since the mark is deleted: the caller knows that nothing else reads it."""
+    out = written(df, label)
+    _delete(df.sparkSession, _written[mark:-1])
+    return out
+
+
+def small_side(df: DataFrame, most_rows: int = 100_000, cells: Column | None = None) -> DataFrame:
+    """``df`` to be broadcast if it has at most so many narrow rows, else as it is, for a shuffled join.
+
+    Where rows hold arrays, ``cells`` is the number of a row's elements, and these are counted.
+    """
+    if cells is None:
+        return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    n = df.agg(F.count("*") + F.coalesce(F.sum(cells), F.lit(0))).collect()[0][0]
+    return F.broadcast(df) if n <= most_rows else df
 
 
 #: Rows that go to Python at a time where they hold whole texts.
