@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import brute
 import pytest
@@ -143,7 +144,17 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert len(rows) > len(kept) > len(left) > len(ids) > len(clean) > 20 and kept != left
     final = spark.createDataFrame([(i, t, "abc"[i % 3]) for i, t in clean], "doc_id long, text string, source string")
     wanted = brute.taken_words(final)
-    assert {x.doc_id: x.taken for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == wanted
+    from webloom import cut
+
+    cut.clear_written(spark)
+    other = cut.written(spark.range(3), "other")
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert {x.doc_id: x.taken for x in found.collect()} == wanted
+    # Of all that the stages wrote the last one's output is left, and what others wrote before.
+    left = list(cut._written)
+    assert len(left) == 2 and other.count() == 3
+    folder = left[-1].rpartition("/")[0].removeprefix("file://")
+    assert cut.clear_written(spark) == 2 and not [p for p in Path(folder).iterdir() if any(p.name.startswith(n) for n, _ in corpus_pipeline.STAGES)]
 
 
 def test_pipeline_on_no_documents(spark, tmp_path):

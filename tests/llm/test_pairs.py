@@ -312,9 +312,9 @@ def test_leaks(spark):
         t = decontaminate.normalised(x.text)
         for i, item in items:
             item = decontaminate.normalised(item)
-            if len(item) >= decontaminate.MIN_CHARS:
+            if edits := int(decontaminate.RATE * len(item)):
                 d, _ = substring_distance(item, t)
-                if d <= int(decontaminate.RATE * len(item)):
+                if d <= edits:
                     wanted.add((x.doc_id, i, d))
     got = decontaminate.leaks(docs, benchmark)
     assert {(x.doc_id, x.item_id, x.distance) for x in got.collect()} == wanted and len(wanted) > 20
@@ -338,7 +338,7 @@ def test_leaks_of_long_texts(spark):
 
 
 def test_short_items(spark):
-    """They match without edits, where no word is cut."""
+    """Items of 12 characters or fewer match without edits, where no word is cut."""
     items = [(1, "What is  2+2?"), (2, "Cat"), (3, " "), (4, None), (5, "cat"), (6, "(x)")]
     texts = ["so what IS\n2+2? four", "what is 2+3?", "concatenate", "the cat, the cat", "cats", "cat", "concat cat", "f(x)", ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -348,6 +348,30 @@ def test_short_items(spark):
     assert {x.doc_id for x in decontaminate.without_leaks(docs, benchmark).collect()} == {1, 2, 4, 8}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_edits_follow_the_length(seed):
+    """Items of 8 to 40 characters: the same rate for all, and whole words only where it gives no edit."""
+    r = random.Random(seed)
+    for _ in range(60):
+        item = "".join(r.choice("abc de") for _ in range(r.randint(8, 40))).strip()
+        item = decontaminate.normalised(item)
+        edits = int(decontaminate.RATE * len(item))
+        inside = changed(r, item, r.randint(0, edits + 1), "abcx ")
+        whole = decontaminate.normalised(f"{'xyz ' * r.randint(0, 3)}{r.choice(['', 'y'])}{inside}{r.choice(['', 'z'])} {'zyx ' * r.randint(0, 3)}")
+        found = [(d, end) for _, d, end in decontaminate.Matcher([(1, item)], decontaminate.RATE).matches(whole)]
+        if edits:
+            d, end = substring_distance(item, whole)
+            assert found == ([(d, end)] if d <= edits else []), (item, whole)
+        else:
+            places = [m for m in range(len(whole)) if whole.startswith(item, m) and decontaminate._whole_words(whole, m, m + len(item))]
+            assert [d for d, _ in found] == [0] * bool(places), (item, whole)
+
+
+def test_one_edit_in_a_short_item():
+    matcher = decontaminate.Matcher([(1, "the quick brown fox")], decontaminate.RATE)
+    assert matcher.matches("so the quick brown fix went") == [(1, 1, 22)] and matcher.matches("so the quick brawn fix went") == []
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
     items = [(i, text(40 + i, 12)) for i in range(9)]

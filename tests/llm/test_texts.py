@@ -643,3 +643,41 @@ def test_no_training_texts(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
     rows = ngram_lm.scores(docs).collect()
     assert all(r.held_out and r.train_tokens == 0 and r.base_score == 0 and r.score == 0 for r in rows) and len(rows) == 2
+
+
+def test_shards_of_hashes():
+    r = np.random.default_rng(1)
+    h = np.sort(np.concatenate([r.integers(0, 1 << 64, 500, dtype=np.uint64, endpoint=False), np.array([0, 1, (1 << 64) - 1], dtype=np.uint64)]))
+    for shards in (1, 4, 7, 1000, 8_000_003, (1 << 32) - 1):
+        assert ngram_lm.shard_of(h, shards).tolist() == [int(x) * shards >> 64 for x in h]
+        edges = np.array([b for s in r.integers(1, shards, 50).tolist() for b in (ngram_lm.shard_base(s, shards) - 1, ngram_lm.shard_base(s, shards))] if shards > 1 else [], dtype=np.uint64)
+        assert all(ngram_lm.shard_base(int(s), shards) <= int(x) < ngram_lm.shard_base(int(s) + 1, shards) for s, x in zip(ngram_lm.shard_of(edges, shards), edges, strict=True))
+
+
+def test_words_of_very_many_shards():
+    """A group's words cost what they are, not what shards there are: a million shards, of which 300 are met."""
+    import time
+
+    from webloom.llm.elias_fano import EliasFano
+
+    shards = 1_000_000
+    r = np.random.default_rng(2)
+    known = np.unique(r.integers(0, 1 << 64, 300, dtype=np.uint64, endpoint=False))
+    trie = object.__new__(ngram_lm.Trie)
+    trie.shards, trie.first, opened = shards, np.arange(shards, dtype=np.int64), []
+
+    def part(name):
+        s = int(name.removeprefix("words-"))
+        opened.append(s)
+        base, end = ngram_lm.shard_base(s, shards), ngram_lm.shard_base(s + 1, shards)
+        own = known[(known >= np.uint64(base)) & (known <= np.uint64(end - 1))]
+        ef = EliasFano.of(own - np.uint64(base), end - base)
+        stored = {"word_n": ef.n, "word_bits": ef.bits, "word_low": ef.low, "word_high": ef.high, "word_ones": ef.ones}
+        return stored | {"counts": np.full(len(own), 5, dtype=np.int64)}
+
+    trie.part = part
+    asked = np.sort(np.concatenate([known, known + np.uint64(1)]))
+    began = time.perf_counter()
+    number, count = trie.words(asked)
+    assert time.perf_counter() - began < 1 and len(opened) <= 2 * len(known)
+    assert ((number >= 0) == np.isin(asked, known)).all() and (count == np.where(np.isin(asked, known), 5, 0)).all()

@@ -4,8 +4,8 @@ Texts are normalised: lower case, runs of blanks as one. A test item of n charac
 into one piece more than that, at least one piece is left whole in any match. An automaton finds all pieces in one pass
 over a text; where a piece lies, the item's whole surroundings are verified by Myers' bit-parallel distance.
 
-Null or empty texts match nothing, nor do null or blank items. Items shorter than ``MIN_CHARS`` when normalised have no
-edits, and match where they begin and end with whole words. Null doc_id and repeated rows are kept, each with its own matches; equal items match alike. Ties: of several
+Null or empty texts match nothing, nor do null or blank items. Items so short that they may have no edit (12 characters at a rate of 8 %)
+match where they begin and end with whole words. Null doc_id and repeated rows are kept, each with its own matches; equal items match alike. Ties: of several
 places in a text the least distance counts, then the first. Very long texts and items: whole, like any other. Empty tables: no rows. Other columns are ignored.
 """
 
@@ -29,7 +29,7 @@ from webloom.llm.words import by_size
 _BLANKS = re.compile(r"\s+")
 #: Items in one automaton, by their bytes; more items are further passes over the documents.
 BLOCK_BYTES = 8 << 20
-RATE, MIN_CHARS = 0.08, 25
+RATE = 0.08
 
 
 def normalised(text: str | None) -> str:
@@ -49,11 +49,10 @@ def _whole_words(text: str, begin: int, end: int) -> bool:
 
 
 class Matcher:
-    """The automaton of a block of items (id, normalised text); those shorter than min_chars match as whole words."""
+    """The automaton of a block of items (id, normalised text); those without an edit match as whole words."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int) -> None:
-        self.min_chars = min_chars
-        self.items = [(key, text, int(rate * len(text)) if len(text) >= min_chars else 0, Pattern(text)) for key, text in items]
+    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
+        self.items = [(key, text, int(rate * len(text)), Pattern(text)) for key, text in items]
         places = defaultdict(list)
         for i, (_, text, edits, _) in enumerate(self.items):
             for offset, piece in pieces(text, edits):
@@ -72,7 +71,7 @@ class Matcher:
         starts, whole = defaultdict(set), {}
         for end, (length, found) in self.automaton.iter(text):
             for i, offset in found:
-                if len(self.items[i][1]) < self.min_chars:
+                if not self.items[i][2]:
                     if i not in whole and _whole_words(text, end + 1 - length, end + 1):
                         whole[i] = end + 1
                 else:
@@ -104,7 +103,7 @@ def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield sorted(((r[0], t) for r in own if (t := normalised(r[1]))), key=lambda x: (x[0] is None, x))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, distance, end_at: the items of benchmark (item_id, text) that each row of docs (doc_id, text) holds.
 
     end_at is where the match ends in the normalised text. Each block of items is a pass over docs. The driver holds one block:
@@ -115,7 +114,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars:
 
     def block(items: list[tuple[int, str]]) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate, min_chars)
+            matcher = Matcher(items, rate)
             for batch in by_size(batches, 1):
                 rows = [(d, *m) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for m in matcher.matches(normalised(text))]
                 columns = zip(*rows, strict=True) if rows else [[]] * 4
@@ -130,16 +129,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars:
     return found
 
 
-def _leaking(items: list[tuple[int, str]], rate: float, min_chars: int) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+def _leaking(items: list[tuple[int, str]], rate: float) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = Matcher(items, rate, min_chars)
+        matcher = Matcher(items, rate)
         for texts in batches:
             yield pa.array([bool(t.is_valid and matcher.matches(normalised(t.as_py()))) for t in texts], pa.bool_())
 
     return work
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of docs, with all their columns, whose text holds no item of benchmark.
 
     Only texts go to Python; no row is shuffled. With more than one block of items the rows are written after each.
@@ -147,7 +146,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min
     blocks = blocks_of(benchmark)
     items, more = next(blocks), next(blocks, None)
     while True:
-        test = F.arrow_udf(_leaking(items, rate, min_chars), "boolean")
+        test = F.arrow_udf(_leaking(items, rate), "boolean")
         docs = docs.where(~test(docs["text"]))
         if more is None:
             return docs

@@ -209,7 +209,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     lines.append(normalised(split[r["number"]]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["sid", "line"])
 
-    by_doc = small_side(cut(wanted.groupBy(F.col("doc_id").alias("of"), F.col("place").alias("at")).agg(F.collect_list(F.struct("number", "sid")).alias("rows"))))
+    by_doc = small_side(cut(wanted.groupBy(F.col("doc_id").alias("of"), F.col("place").alias("at")).agg(F.collect_list(F.struct("number", "sid")).alias("rows"))), cells=F.size("rows"))
     rows = docs.select("doc_id", "text", place_of("text").alias("place")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("place") == F.col("at")))
     return rows.select("text", "rows").mapInArrow(work, "sid long, line string").dropDuplicates(["sid"])
 

@@ -140,12 +140,9 @@ class Trie:
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number (-1: unknown) and the count of each word, by sorted hashes."""
         number, count = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
-        cuts = np.searchsorted(hashes, np.array([shard_base(s, self.shards) for s in range(1, self.shards)], dtype=np.uint64))
-        cuts = [0, *cuts.tolist(), len(hashes)]
-        for s in range(self.shards):
-            a, b = cuts[s], cuts[s + 1]
-            if a == b:
-                continue
+        # Only the shards that have any of the words, however many there are in all.
+        shards, first = np.unique(shard_of(hashes, self.shards), return_index=True)
+        for s, a, b in zip(shards.tolist(), first.tolist(), [*first[1:].tolist(), len(hashes)], strict=True):
             part = self.part(f"words-{s}")
             level = EliasFano.stored("word", part)
             if level.n:
@@ -211,6 +208,12 @@ def shard_base(s: int, shards: int) -> int:
     return -(-(s << 64) // shards)
 
 
+def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """The shard whose base is the last one up to each hash: hash * shards / 2**64, for fewer than 2**32 shards."""
+    high, low = hashes >> _U(32), hashes & _U(0xFFFFFFFF)
+    return ((high * _U(shards) + (low * _U(shards) >> _U(32))) >> _U(32)).astype(np.int64)
+
+
 def _save(path: str, arrays: dict[str, np.ndarray], about: dict) -> None:
     """One file of arrays and numbers, written under another name first: a lost or repeated task leaves a whole file or none."""
     names = {n: (a.dtype.str, len(a)) for n, a in arrays.items()}
