@@ -92,6 +92,10 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.markdown(_pages(spark, sf_dir)).select("page_id", "markdown")
 
 
+def misnested_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.markdown(generated.misnested(spark, sf_dir)).select("page_id", "markdown")
+
+
 def ssrf_check_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), 0)).alias("ip"))
     return net_ops.addresses_with_range(found.distinct())
@@ -235,7 +239,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_overview, html_to_text, text_stats, page_title, page_meta, meta_tags, links_all, links_deduped, links_limit, links_by_type,
-        link_host_counts, main_content, reader, html_to_markdown, ssrf_check_ipv4, address_owners, ssrf_check_address, ssrf_validate_url, dns_answers,
+        link_host_counts, main_content, reader, html_to_markdown, misnested_markdown, ssrf_check_ipv4, address_owners, ssrf_check_address, ssrf_validate_url, dns_answers,
         robots_rules, robots_verdict, robots_agents, robots_many, sitemap_urls, sitemap_entries, sitemap_crawl, sql_rows, feed_entries, content_type_decision, retry_delay, redirect_follow,
         http_fetch, http_send, http_headers, decoded_bodies, article_parts, display_texts, render_response,
     )
@@ -315,6 +319,11 @@ union all select doc_id + 1000100, 'https://a.example/', null, null, 'D <' || do
 with {_MARKDOWN}, read as (select *, case when length(article) > 200 then {_LINES.format("main")}
   when regexp_matches(html, '(?i)<body[^>]*>[\s\S]*</body>') then {_LINES.format("[before[2]] || main")} else {_LINES.format("before || main")} end as markdown from marked)
 select page_id, url, {_TITLE} as title, null::varchar as byline, len(regexp_extract_all(markdown, '\S+'))::bigint as word_count, markdown from read""",
+    "misnested_markdown": """
+select doc_id as page_id, case doc_id % 8 when 0 then 'a' || doc_id || '**b_c_**_d_e' when 1 then '**a' || doc_id || '**' || chr(10) || chr(10) || '**b**c'
+  when 2 then '**before**' || chr(10) || chr(10) || 'cell ' || doc_id || chr(10) || chr(10) || '**after**' when 3 then '[x](/1)[y](/' || doc_id || ')z' when 4 then '-   **a' || doc_id || '**' || chr(10) || '-   **b**c'
+  when 5 then '_a' || doc_id || chr(10) || chr(10) || 'b_' || chr(10) || chr(10) || '_c_d' when 6 then '**_x' || doc_id || '_**' || chr(10) || chr(10) || '> _**y**z_w'
+  else 'a' || doc_id || 'b' || chr(10) || chr(10) || '1' || chr(10) || chr(10) || '2' || chr(10) || chr(10) || '3' || chr(10) || chr(10) || '4' end as markdown from documents""",
     "meta_tags": """
 select * from (values (1::bigint, 'image', 'https://a.example/1.png', 2::bigint), (1, 'title', 'First & last', 1), (2, 'title', '', 1)) t(page_id, key, first, n)
 union all select doc_id + 100, 'locale', lang, 1 from documents union all select doc_id + 100, 'site_name', coalesce(source, 'none'), 1 from documents

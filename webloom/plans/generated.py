@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -337,6 +338,23 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", body.alias("body"), label.alias("content_type"))
 
 
+def misnested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatting that is closed in the wrong order or across blocks, links in links, and what stands in tables outside of their cells."""
+    k = "{doc_id}"
+    kinds = (
+        _joined("<p>a", k, "<b>b<i>c</b>d</i>e</p>"),
+        _joined("<b>a", k, "<p>b</b>c</p>"),
+        _joined("<table><b><tr><td>cell ", k, "</td></tr>before</table>after"),
+        _joined("<a href=/1>x<a href=/", k, ">y</a>z"),
+        _joined("<ul><li><b>a", k, "<li>b</b>c</ul>"),
+        _joined("<div><i>a", k, "<div>b</div></div>c</i>d"),
+        _joined("<b><em>x", k, "<blockquote>y</b>z</em>w</blockquote>"),
+        _joined("<td>a", k, "</td><tr>b<p>1<div>2</p>3</div>4"),
+    )
+    made = reduce(lambda rest, i: F.when(F.col("doc_id") % len(kinds) == i, kinds[i]).otherwise(rest), range(len(kinds)), F.lit(None))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit("https://a.example/").alias("url"), made.alias("html"))
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main content in an article, main, itemprop or class, the last two after decoys; titles and authors of several kinds."""
     k = F.col("doc_id")
