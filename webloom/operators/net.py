@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webloom.cut import cut, written
 from webloom.functions import kernels as K
 from webloom.functions.net import ipv4_refused, ipv4_to_long
+from webloom.functions.urls import is_plain
 from webloom.kernel.net import REFUSED_V4
 
 
@@ -66,9 +67,13 @@ def address_verdicts(addresses: DataFrame) -> DataFrame:
 
 
 def url_verdicts(urls: DataFrame, allow_private: bool = False) -> DataFrame:
-    """All columns of urls, ok and reason for its column url."""
-    rows = urls.withColumn("verdict of url", K.url_verdict("url", F.lit(allow_private)))
-    return rows.select(*urls.columns, F.col("`verdict of url`.value.ok").alias("ok"), F.col("`verdict of url`.value.reason").alias("reason"))
+    """All columns of urls, ok and reason for its column url. Plain URLs of names are let pass in generated code; only others go to Python."""
+    url = F.col("url")
+    named = is_plain(url) & ~url.rlike(r"^https?://[^/?#:]*\.localhost(?:[/?#:]|\z)")
+    kept = [F.col(f"`{c}`") for c in urls.columns]
+    passed = urls.where(named).select(*kept, F.lit(True).alias("ok"), F.lit(None).cast("string").alias("reason"))
+    rows = urls.where(~named).withColumn("verdict of url", K.url_verdict("url", F.lit(allow_private)))
+    return passed.union(rows.select(*kept, F.col("`verdict of url`.value.ok").alias("ok"), F.col("`verdict of url`.value.reason").alias("reason")))
 
 
 def host_answers(answers: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from webloom.cut import small_side, written
 from webloom.functions import kernels as K
 from webloom.functions.schemas import BOOLEAN, DOUBLE, ROBOTS, STRING, record
+from webloom.functions.urls import with_url_parts
 from webloom.kernel.robots import RobotsFile
 
 ABSENT = "no robots.txt -- crawl permitted by default"
@@ -86,8 +87,8 @@ def verdicts(urls: DataFrame, robots: DataFrame, user_agent: str | Column = "*",
     sitemaps are an origin's and stay in ``files``; ``with_files`` adds them to pages.
     """
     agent = F.lit(user_agent) if isinstance(user_agent, str) else user_agent
-    parts = urls.select(F.col("page_id").alias("key"), agent.cast("string").alias("agent"), K.url_parts("url").alias("u"))
-    parts = written(parts.select("key", F.col("u.value.origin").alias("origin"), F.coalesce(F.concat("u.value.pathname", "u.value.search"), F.lit("")).alias("path"), "agent"), "urls")
+    parts = with_url_parts(urls.select(F.col("page_id").alias("key"), agent.cast("string").alias("agent"), "url"), "url", "u")
+    parts = written(parts.select("key", F.col("u.origin").alias("origin"), F.coalesce(F.concat("u.pathname", "u.search"), F.lit("")).alias("path"), "agent"), "urls")
     judged = _by_tries(parts, robots.select("origin", "groups"), urls_of_task)
     rows = judged.join(robots.select("origin", "status", "error"), "origin", "left")
     absent = F.col("status").isNull() | (F.col("status") == 404)
