@@ -42,9 +42,14 @@ def utf16_len(c: Column) -> Column:
 
 
 def display_cap(c: Column, limit: int = DISPLAY_LIMIT) -> Column:
-    """At most ``limit`` UTF-16 units and how many were cut off; exact for texts without characters above U+FFFF."""
+    """At most ``limit`` UTF-16 units and how many were cut off. A letter of two units that the end cuts in two becomes a replacement character."""
     over = utf16_len(c) - limit
-    return F.when(over > 0, F.concat(F.substring(c, 1, limit), F.lit("\n\n[... truncated "), over.cast("string"), F.lit(" chars ...]"))).otherwise(c)
+    # Only texts with letters above U+FFFF are looked at in their units.
+    units = F.substring(F.encode(F.substring(c, 1, limit), "UTF-16BE"), 1, 2 * limit)
+    split = F.hex(F.substring(units, 2 * limit - 1, 1)).between("D8", "DB")
+    whole = F.decode(F.when(split, F.substring(units, 1, 2 * limit - 2)).otherwise(units), "UTF-16BE")
+    kept = F.when(F.length(c) == utf16_len(c), F.substring(c, 1, limit)).otherwise(F.concat(whole, F.when(split, "\ufffd").otherwise("")))
+    return F.when(over > 0, F.concat(kept, F.lit("\n\n[... truncated "), over.cast("string"), F.lit(" chars ...]"))).otherwise(c)
 
 
 def normalized_host(host: Column) -> Column:

@@ -25,12 +25,16 @@ from webloom.sources import http as fetching
 from webloom.tables import table
 
 
+#: An anchor with a reference, wherever in its tag that stands.
+ANCHOR = r"""(?i)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*="""
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
 def page_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pages(spark, sf_dir).select("page_id", X.html_title(F.col("html")).alias("title"), X.strip_html(F.col("html")).alias("text"), F.regexp_count("html", F.lit('(?i)<a href="[^"]*">')).cast("long").alias("n_links"))
+    rows = _pages(spark, sf_dir).select("page_id", X.html_title(F.col("html")).alias("title"), X.strip_html(F.col("html")).alias("text"), F.regexp_count("html", F.lit(ANCHOR)).cast("long").alias("n_links"))
     return rows.select("page_id", "title", X.word_count(F.col("text")).alias("n_words"), "n_links")
 
 
@@ -75,6 +79,16 @@ def links_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.links(fixtures.link_pages(spark).unionByName(generated.link_pages(spark, sf_dir)), kind="external").select("page_id", "pos", "href", "text", "rel", "title")
 
 
+def links_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages whose base is another host's folder, or isn't used since it is not the first or can't be read."""
+    return P.links(generated.based_pages(spark, sf_dir), dedupe=False, limit=None).select("page_id", "pos", "href", "text", "type")
+
+
+def article_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main content of pages with several articles, nested ones, and ones that are never closed."""
+    return P.main_content(generated.several_articles(spark, sf_dir)).select("page_id", "strategy", "content")
+
+
 def link_host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = P.links(_pages(spark, sf_dir), dedupe=False, limit=None).select(F.regexp_extract("href", "^[a-z]+://([^/]+)", 1).alias("host"))
     return hosts.groupBy("host").agg(F.count("*").alias("n"))
@@ -176,7 +190,7 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_type_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("content_type")
-    return fixtures.content_types(spark).select("content_type", H.is_text_type(t).alias("as_text"), H.is_json_type(t).alias("as_json"), H.charset_of(t).alias("charset"))
+    return fixtures.content_types(spark).unionByName(generated.content_types(spark, sf_dir)).select("content_type", H.is_text_type(t).alias("as_text"), H.is_json_type(t).alias("as_json"), H.charset_of(t).alias("charset"))
 
 
 def retry_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,10 +239,12 @@ def article_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts as they are shown, as errors, and the basic credentials of their ids."""
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[\x{10000}-\x{10ffff}]"))
+    """Whole texts behind a number of letters of two units as they are shown, as errors, and the basic credentials of their ids."""
+    docs = table(spark, sf_dir, "documents")
     credentials = H.basic_authorization(F.col("doc_id").cast("string"), F.coalesce("source", F.lit("")))
-    return docs.select("doc_id", X.display_cap(F.col("text"), 500).alias("shown"), render_ops.error_text(F.col("lang")).alias("error"), credentials.alias("credentials"))
+    text = F.concat(F.when(F.col("doc_id") % 2 == 1, "y").otherwise(""), F.repeat(F.lit("\U0001f600"), (F.col("doc_id") % 300).cast("int")), F.col("text"))
+    shown = X.display_cap(F.when(F.col("doc_id") % 3 > 0, text).otherwise(F.col("text")), 500)
+    return docs.select("doc_id", shown.alias("shown"), render_ops.error_text(F.col("lang")).alias("error"), credentials.alias("credentials"))
 
 
 def render_response(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,8 +254,8 @@ def render_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        page_overview, html_to_text, text_stats, page_title, page_meta, meta_tags, links_all, links_deduped, links_limit, links_by_type,
-        link_host_counts, main_content, reader, html_to_markdown, misnested_markdown, ssrf_check_ipv4, address_owners, ssrf_check_address, ssrf_validate_url, dns_answers,
+        page_overview, html_to_text, text_stats, page_title, page_meta, meta_tags, links_all, links_deduped, links_limit, links_by_type, links_base,
+        link_host_counts, main_content, article_candidates, reader, html_to_markdown, misnested_markdown, ssrf_check_ipv4, address_owners, ssrf_check_address, ssrf_validate_url, dns_answers,
         robots_rules, robots_verdict, robots_agents, robots_many, sitemap_urls, sitemap_entries, sitemap_crawl, sql_rows, feed_entries, content_type_decision, retry_delay, redirect_follow,
         http_fetch, http_send, http_headers, decoded_bodies, article_parts, display_texts, render_response,
     )
@@ -306,7 +322,7 @@ ranges(low, high, range) as (values {_RANGES}),
 numbers as (select k, n, (n >> 24) || '.' || (n >> 16 & 255) || '.' || (n >> 8 & 255) || '.' || (n & 255) as dotted, exists (select 1 from ranges where n between low and high) as refused from plain)"""
 
 ORACLES = {
-    "page_overview": rf"select page_id, {_TITLE} as title, len(regexp_extract_all({_text_sql('html')}, '\S+'))::bigint as n_words, len(regexp_extract_all(html, '(?i)<a href=\"[^\"]*\">'))::bigint as n_links from pages",
+    "page_overview": rf"select page_id, {_TITLE} as title, len(regexp_extract_all({_text_sql('html')}, '\S+'))::bigint as n_words, len(regexp_extract_all(html, {_sql(ANCHOR)}))::bigint as n_links from pages",
     "html_to_text": f"select page_id, {_text_sql('html')} as text from pages",
     "text_stats": rf"with t as (select page_id, {_text_sql('html')} as text from pages) select page_id, len(regexp_extract_all(text, '\S+'))::bigint as n_words, length(text)::bigint as n_chars from t",
     "page_title": f"select page_id, {_TITLE} as title from pages",
@@ -336,6 +352,15 @@ union all select doc_id + 100, 'image', 'https://i.example/' || doc_id || '/1.pn
 select * from (values (1::bigint, 0::bigint, 'https://other.example/x?a=1%3E2', 'Other & more', 'nofollow', null), (1, 1, 'http://b.example/', '', null, 'B')) t(page_id, pos, href, text, rel, title)
 union all select page_id + 1000, 0, 'https://o' || page_id % 7 || '.example/p?q=' || page_id || '&r=1', 'out ' || page_id || ' there', 'nofollow', 'T ' || page_id from pages
 union all select page_id + 1000, 1, regexp_extract(url, '^[a-z]+:') || '//cdn.example/' || page_id, 'cdn', null, null from pages""",
+    "links_base": """
+with k as (select doc_id, doc_id % 4 as k, 'https://b' || doc_id % 5 || '.example' as b from documents)
+select doc_id as page_id, 0::bigint as pos, case when k = 0 then b || '/d/x?n=' || doc_id when k = 1 then 'https://www.own.example/d/x?n=' || doc_id else 'https://own.example/p/x?n=' || doc_id end as href, 'x <' || doc_id as text, 'internal' as type from k
+union all select doc_id, 1, 'https://own.example/' || doc_id, '', case when k = 0 then 'external' else 'internal' end from k
+union all select doc_id, 2, case when k = 0 then b when k = 1 then 'https://www.own.example' else 'https://own.example' end || '/up', 'no end of an anchor', 'internal' from k""",
+    "article_candidates": """
+with k as (select doc_id, doc_id % 5 as k, repeat('a', (201 + doc_id % 40)::int) as a, repeat('b', (201 + doc_id % 37)::int) as b from documents)
+select doc_id as page_id, case k when 3 then 'main' when 4 then 'body' else 'article' end as strategy,
+  case k when 0 then case when length(b) > length(a) then b else a end when 1 then 'x<article>' || a || '</article><article>' || b || '</article>' when 2 then b when 3 then b else '<article>' || a || b end as content from k""",
     "link_host_counts": f"with {_LINKS} select regexp_extract(href, '^[a-z]+://([^/]+)', 1) as host, count(*) as n from links group by 1",
     "main_content": r"""
 with a as (select page_id, html, trim(regexp_extract(html, '(?i)<article[^>]*>([\s\S]*?)</article>', 1), chr(32) || chr(9) || chr(10) || chr(13)) as article from pages),
@@ -431,9 +456,11 @@ select * from (values ('atom', 0::bigint, 'Entry', 'https://f.example/e', 'urn:1
 union all select 'd' || doc_id // 50, row_number() over (partition by doc_id // 50 order by doc_id) - 1, 'T & ' || doc_id, 'https://f.example/' || doc_id, 'g' || doc_id,
   case when doc_id // 50 % 2 = 0 then 'Mon, 01 Jan 2024' else '2024-01-01' end, coalesce(source, 'none'), '<p>' || lang, '<b>' || n_chars || '</b>', lang || case when doc_id // 50 % 2 = 0 then '|c' || doc_id % 3 else '' end from documents""",
     "content_type_decision": """
-with t(content_type) as (values ('text/html; charset=UTF-8'), ('application/json'), ('application/ld+json; charset=utf8'), ('image/png'), (''), ('image/svg+xml'), ('application/octet-stream'), ('text/plain; charset="iso8859-1"')),
+with t(content_type) as (values ('text/html; charset=UTF-8'), ('application/json'), ('application/ld+json; charset=utf8'), ('image/png'), (''), ('image/svg+xml'), ('application/octet-stream'), ('text/plain; charset="iso8859-1"')
+  union all select ['text/plain', 'TEXT/Css', 'application/json', 'application/xml', 'application/x-o' || o_orderkey || '+xml', 'application/vnd.p' || o_custkey || '+JSON', 'image/p' || o_custkey, 'application/octet-stream', 'application/javascript', 'application/x-www-form-urlencoded', 'textual/x'][o_orderkey % 11 + 1]
+    || ['', '; charset=UTF-8', ';charset="latin' || o_custkey || '"', ' ; boundary=x; Charset=utf8', '; charset=ISO8859-1; q=1'][o_orderkey % 5 + 1] from orders),
 k as (select content_type, trim(split_part(lower(content_type), ';', 1)) as kind, lower(regexp_extract(content_type, '(?i)charset=["]?([^";]+)', 1)) as c from t)
-select content_type, kind = '' or kind like 'text/%' or kind in ('application/json') or kind like '%+json' or kind like '%+xml' as as_text, kind = 'application/json' or kind like '%+json' as as_json,
+select content_type, kind = '' or kind like 'text/%' or kind in ('application/json', 'application/xml', 'application/javascript', 'application/x-www-form-urlencoded') or kind like '%+json' or kind like '%+xml' as as_text, kind = 'application/json' or kind like '%+json' as as_json,
   case when c in ('', 'utf8') then 'utf-8' when c = 'iso8859-1' then 'iso-8859-1' else c end as charset from k""",
     "retry_delay": """
 select * from (values (0, null, 500::bigint), (1, null, 1000), (5, null, 8000), (0, '3', 3000), (0, '900', 60000), (2, 'soon', 2000), (0, 'Wed, 21 Oct 2026 07:28:30 GMT', 30000), (0, 'Wed, 21 Oct 2020 07:28:00 GMT', 0)) t(attempt, header, delay_ms)
@@ -497,8 +524,17 @@ parts as (select k, '<div>' || prose || '</div><div/>' || k as inner_html from w
 select k as page_id, ['article', 'main', 'itemprop', 'class', 'body'][k % 5 + 1] as strategy, inner_html as content, ['O & O', 'T <1>', null][k % 3 + 1] as title,
   case k % 4 when 0 then 'A. B.' when 1 then 'C' end as byline, 91::bigint as word_count from parts""",
     "display_texts": r"""
-select doc_id, case when length(text) > 500 then substr(text, 1, 500) || chr(10) || chr(10) || '[... truncated ' || length(text) - 500 || ' chars ...]' else text end as shown, 'Error: ' || lang as error,
-  'Basic ' || to_base64(encode(doc_id || ':' || coalesce(source, ''))) as credentials from documents where not regexp_matches(text, '[\x{10000}-\x{10ffff}]')""",
+with made as (select *, case when doc_id % 3 > 0 then doc_id % 300 else 0 end as e, case when doc_id % 3 > 0 and doc_id % 2 = 1 then 'y' else '' end as y from documents),
+-- Units before each letter of the text, which may have letters of two units itself.
+sized as (select *, length(y) + 2 * e as head, length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10ffff}]', '', 'g')) as own from made),
+kept as (
+  select *, case when head >= 500 then y || repeat(chr(128512), ((500 - length(y)) // 2)::int) || case when (500 - length(y)) % 2 = 1 then chr(65533) else '' end
+    when own = length(text) then y || repeat(chr(128512), e::int) || substr(text, 1, 500 - head)
+    else y || repeat(chr(128512), e::int) || (
+      select string_agg(case when before + u <= 500 - head then c when before < 500 - head then chr(65533) else '' end, '' order by i)
+      from (select i, c, u, coalesce(sum(u) over (order by i rows between unbounded preceding and 1 preceding), 0) as before from (select i, substr(text, i, 1) as c, case when ord(substr(text, i, 1)) > 65535 then 2 else 1 end as u from range(1, least(length(text), 500) + 1) r(i)))) end as start from sized)
+select doc_id, case when head + own > 500 then start || chr(10) || chr(10) || '[... truncated ' || (head + own - 500) || ' chars ...]' else y || repeat(chr(128512), e::int) || text end as shown, 'Error: ' || lang as error,
+  'Basic ' || to_base64(encode(doc_id || ':' || coalesce(source, ''))) as credentials from kept""",
     "http_fetch": """
 select * from (values (1::bigint, true, 200, 'https://h.example/end', 2::bigint, 'done', false, null), (2, true, 200, 'https://h.example/busy', 0, 'ready', false, null), (3, true, 200, 'https://h.example/big', 0, '01234', true, null),
   (4, false, 0, 'http://127.0.0.1/', 0, null, false, 'IPv4 address 127.0.0.1 is in a reserved/private range'), (5, false, 0, 'http://10.0.0.8/x', 1, null, false, 'IPv4 address 10.0.0.8 is in a reserved/private range'),

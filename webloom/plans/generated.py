@@ -49,6 +49,45 @@ def link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select((F.col("page_id") + 1000).alias("page_id"), "url", html.alias("html"))
 
 
+def based_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a base on another host, on their own with www, after one without a reference, or one that can't be read; an anchor of theirs never ends."""
+    k = F.col("doc_id")
+    base = (
+        F.when(k % 4 == 0, _joined("<BASE target=x href='https://b", k % 5, ".example/d/e.html'>"))
+        .when(k % 4 == 1, F.lit('<base href="https://www.own.example/d/">'))
+        .when(k % 4 == 2, F.lit("<base target=_top><base href='https://no.example/'>"))
+        .otherwise(F.lit("<base href='https://['>"))
+    )
+    html = F.concat(
+        F.lit("<html><head>"), base, _joined("</head><body><a class='>' href=x?n=", "{doc_id}", ">x <i></i>&lt;", "{doc_id}", "</a><a\nhref = \"https://own.example/", "{doc_id}", '"></A><a href="mailto:a@b.example">m</a><a href="../up">no <b>end</b> of an anchor</a><a href="x'),
+    )
+    return table(spark, sf_dir, "documents").select(k.alias("page_id"), F.lit("https://own.example/p/q").alias("url"), html.alias("html"))
+
+
+def several_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    a, b = F.repeat(F.lit("a"), (201 + k % 40).cast("int")), F.repeat(F.lit("b"), (201 + k % 37).cast("int"))
+    between = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    inner = (
+        F.when(k % 5 == 0, between("<article>", a, "</article><p>x</p><article class='<article>'> ", b, "\n</article><article>short</article>"))
+        .when(k % 5 == 1, between("<article>x<article>", a, "</article><article>", b, "</article></article>"))
+        .when(k % 5 == 2, between("<article/><article>short</article><article data-x='</article>'>", b, "</article><article>", a))
+        .when(k % 5 == 3, between("<article>short</article><main>", b, "</main><div class=entry-content>", a, a, "</div>"))
+        .otherwise(between("<article>", a, b))
+    )
+    html = between("<html><body>", inner, "</body></html>")
+    return table(spark, sf_dir, "documents").select(k.alias("page_id"), F.lit("https://own.example/").alias("url"), html.alias("html"))
+
+
+def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content types of orders: known and unknown kinds in several spellings, with charsets quoted or not."""
+    k = F.col("o_orderkey")
+    kinds = ("text/plain", "TEXT/Css", "application/json", "application/xml", _joined("application/x-o", "{o_orderkey}", "+xml"), _joined("application/vnd.p", "{o_custkey}", "+JSON"), _joined("image/p", "{o_custkey}"), "application/octet-stream", "application/javascript", "application/x-www-form-urlencoded", "textual/x")
+    charsets = ("", "; charset=UTF-8", _joined(';charset="latin', "{o_custkey}", '"'), " ; boundary=x; Charset=utf8", "; charset=ISO8859-1; q=1")
+    pick = lambda of: F.element_at(F.array(*(F.lit(x) if isinstance(x, str) else x for x in of)), (k % len(of) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.concat(pick(kinds), pick(charsets)).alias("content_type"))
+
+
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k and n, a 32-bit number, a third of them in 10/8 and a third in 192.168/16; its dotted form."""
     k = F.col("c_custkey")
