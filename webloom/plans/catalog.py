@@ -20,7 +20,7 @@ from webloom.operators import render as render_ops
 from webloom.operators import robots as robots_ops
 from webloom.operators import sitemaps as sitemap_ops
 from webloom.plans import fixtures, generated
-from webloom.sources import exchange
+from webloom.sources import archive, exchange
 from webloom.sources import http as fetching
 from webloom.tables import table
 
@@ -214,6 +214,16 @@ def http_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.unionByName(replayed).select(*columns)
 
 
+def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives of responses and read back by ranges of bytes, by the page's address: text and metadata as from the table."""
+    archive.register(spark)
+    path = folder(spark, "archive")
+    generated.page_archive(spark, sf_dir).write.format("webloom_archive").mode("append").save(path)
+    rows = spark.read.format("webloom_archive").option("range_bytes", str(1 << 16)).load(path)
+    html = K.decode_body("body", F.col("headers")["content-type"])["value"]
+    return rows.select("url", "status", "status_text", F.col("headers")["x-page"].alias("page"), F.octet_length("body").cast("long").alias("n_bytes"), F.sha2(html.cast("binary"), 256).alias("sha256"), "truncated", "error")
+
+
 def http_send(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of the writing methods, submitted once each: what was sent comes back as text, JSON or bytes."""
     found = exchange.send(generated.writes(spark, sf_dir), fixtures.Echo(), folder(spark, "sent"))
@@ -257,7 +267,7 @@ QUERIES = {
         page_overview, html_to_text, text_stats, page_title, page_meta, meta_tags, links_all, links_deduped, links_limit, links_by_type, links_base,
         link_host_counts, main_content, article_candidates, reader, html_to_markdown, misnested_markdown, ssrf_check_ipv4, address_owners, ssrf_check_address, ssrf_validate_url, dns_answers,
         robots_rules, robots_verdict, robots_agents, robots_many, sitemap_urls, sitemap_entries, sitemap_crawl, sql_rows, feed_entries, content_type_decision, retry_delay, redirect_follow,
-        http_fetch, http_send, http_headers, decoded_bodies, article_parts, display_texts, render_response,
+        http_fetch, archived_pages, http_send, http_headers, decoded_bodies, article_parts, display_texts, render_response,
     )
 }
 
@@ -505,6 +515,8 @@ union all select k + 100, case when k % 7 = 0 then 'Request failed: failure ' ||
   || case k % 4 when 0 then chr(10) || '--- Body ---' || chr(10) || 'text ' || k when 1 then chr(10) || '--- Body (parsed JSON) ---' || chr(10) || '{' || chr(10) || '  "a": [' || chr(10) || '    ' || k || chr(10) || '  ]' || chr(10) || '}'
      when 2 then chr(10) || '--- Body (base64, ' || length(to_base64(encode('text ' || k))) || ' chars) ---' || chr(10) || to_base64(encode('text ' || k)) else '' end end, k % 7 = 0 or k % 3 = 0
 from (select *, o_orderkey as k from orders)""",
+    "archived_pages": """
+select url, (200 + page_id % 7)::int as status, case when page_id % 3 = 0 then 'Some words' else '' end as status_text, page_id::varchar as page, strlen(html) as n_bytes, sha256(html) as sha256, false as truncated, null::varchar as error from pages""",
     "http_send": """
 with asked as (select p_partkey as k, ['POST', 'PUT', 'PATCH', 'DELETE', 'OPTIONS'][p_partkey % 5 + 1] as method, ['t', 'j', 'b'][p_partkey % 3 + 1] as kind,
   case when p_partkey % 4 < 2 then '{"n":' || p_partkey || ',"s":"' || p_brand || '"}' when p_partkey % 4 = 2 then p_name end as body,

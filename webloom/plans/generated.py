@@ -330,6 +330,13 @@ def _page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "html", (F.col("page_id") % 11).alias("k"), _joined("https://f", F.col("page_id") % 7, ".example").alias("host"), _joined("https://o", F.col("page_id") % 5, ".example").alias("other"))
 
 
+def page_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as responses with a status and headers of their own."""
+    k = F.col("page_id")
+    headers = F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8"), F.lit("X-Page"), k.cast("string"))
+    return table(spark, sf_dir, "pages").select("url", (200 + k % 7).cast("int").alias("status"), F.when(k % 3 == 0, "Some words").otherwise("").alias("status_text"), headers.alias("headers"), F.col("html").cast("binary").alias("body"))
+
+
 def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request for each page: plain, redirected, changed to GET, tried again, cut off, HEAD, not found, in a loop, sent to other hosts or to a private address."""
     k = F.col("k")
