@@ -228,7 +228,7 @@ def http_send(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of the writing methods, submitted once each: what was sent comes back as text, JSON or bytes."""
     found = exchange.send(generated.writes(spark, sf_dir), fixtures.Echo(), folder(spark, "sent"))
     r = F.col("response")
-    return found.select("request_id", r["ok"].alias("ok"), r["status"].alias("status"), F.array_join(F.map_keys(r["headers"]), " ").alias("headers"), r["body_text"].alias("body_text"), F.to_json(F.try_parse_json(r["json"])).alias("json"), r["body_base64"].alias("body_base64"))
+    return found.select("request_id", r["ok"].alias("ok"), r["status"].alias("status"), F.size(r["redirects"]).cast("long").alias("hops"), F.array_join(F.map_keys(r["headers"]), " ").alias("headers"), r["body_text"].alias("body_text"), F.to_json(F.try_parse_json(r["json"])).alias("json"), r["body_base64"].alias("body_base64"))
 
 
 def http_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -518,11 +518,11 @@ from (select *, o_orderkey as k from orders)""",
     "archived_pages": """
 select url, (200 + page_id % 7)::int as status, case when page_id % 3 = 0 then 'Some words' else '' end as status_text, page_id::varchar as page, strlen(html) as n_bytes, sha256(html) as sha256, false as truncated, null::varchar as error from pages""",
     "http_send": """
-with asked as (select p_partkey as k, ['POST', 'PUT', 'PATCH', 'DELETE', 'OPTIONS'][p_partkey % 5 + 1] as method, ['t', 'j', 'b'][p_partkey % 3 + 1] as kind,
+with asked as (select p_partkey as k, ['POST', 'PUT', 'PATCH', 'DELETE', 'OPTIONS'][p_partkey % 5 + 1] as method, case when p_partkey % 7 = 0 then 't' else ['t', 'j', 'b'][p_partkey % 3 + 1] end as kind,
   case when p_partkey % 4 < 2 then '{"n":' || p_partkey || ',"s":"' || p_brand || '"}' when p_partkey % 4 = 2 then p_name end as body,
   case when p_partkey % 4 < 2 then 'application/json' when p_partkey % 4 = 2 then 'text/x-name' end as content_type, p_partkey % 6 = 5 as raw from part),
 said as (select *, case when kind = 'j' then coalesce(body, 'null') else method || ' /' || kind || k || chr(10) || 'accept: */*' || chr(10) || coalesce('content-type: ' || content_type || chr(10), '') || 'user-agent: webloom/VERSION' || chr(10) || chr(10) || coalesce(body, '') end as answer from asked)
-select k as request_id, true as ok, 201 as status, 'content-type x-method' as headers, case when kind <> 'b' and not raw then answer end as body_text,
+select k as request_id, true as ok, 201 as status, (k % 7 = 0)::bigint as hops, 'content-type x-method' as headers, case when kind <> 'b' and not raw then answer end as body_text,
   case when kind = 'j' and not raw and k % 4 <> 2 then coalesce(body, 'null') end as json, case when kind = 'b' or raw then to_base64(encode(answer)) end as body_base64 from said""".replace("VERSION", __version__),
     "http_headers": """
 select s_suppkey as request_id, (s_suppkey % 3 > 0)::bigint as hops, case when s_suppkey % 3 = 0 then 'https://first.example/t' else 'https://other.example/t' end || s_suppkey as url,

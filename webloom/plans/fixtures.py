@@ -139,7 +139,7 @@ class Echo:
 
     def send(self, method: str, url: Any, address: str, headers: dict[str, str], body: bytes | None, timeout_s: float, max_bytes: int) -> Raw:
         if url.pathname.startswith("/r"):
-            return Raw(307, "Temporary Redirect", {"Location": f"https://other.example/t{url.pathname[2:]}"})
+            return Raw(307 + int(url.pathname[2:]) % 2, "Redirect", {"Location": f"https://other.example/t{url.pathname[2:]}"})
         said = f"{method} {url.pathname}\n".encode() + "".join(f"{k}: {v}\n" for k, v in sorted(headers.items())).encode() + b"\n" + (body or b"")
         kind = {"j": "application/problem+json", "b": "image/png"}.get(url.pathname[1:2], "text/plain")
         return Raw(201, "Created", {"Content-Type": kind, "X-Method": method}, (body or b"null") if kind.endswith("json") else said)

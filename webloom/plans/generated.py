@@ -302,11 +302,11 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def writes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of the writing methods: a JSON value, a text, or nothing to send; to a text, JSON or binary resource."""
+    """Requests of the writing methods: a JSON value, a text, or nothing to send; to a text, JSON or binary resource, or by a redirect that keeps method and body."""
     k = F.col("p_partkey")
     method = F.element_at(F.array(*map(F.lit, ("POST", "PUT", "PATCH", "DELETE", "OPTIONS"))), (k % 5 + 1).cast("int"))
     made = F.struct(
-        method.alias("method"), _joined("https://w.example/", F.element_at(F.array(*map(F.lit, "tjb")), (k % 3 + 1).cast("int")), "{p_partkey}").alias("url"),
+        method.alias("method"), _joined("https://w.example/", F.when(k % 7 == 0, "r").otherwise(F.element_at(F.array(*map(F.lit, "tjb")), (k % 3 + 1).cast("int"))), "{p_partkey}").alias("url"),
         F.when(k % 4 < 2, _joined('{"n":', "{p_partkey}", ',"s":"', "{p_brand}", '"}')).alias("body_json"), F.when(k % 4 == 2, F.col("p_name")).alias("body"),
         F.when(k % 4 == 2, "text/x-name").alias("content_type"), F.when(k % 6 == 5, False).alias("decode_text"),
     )
