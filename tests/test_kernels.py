@@ -1,6 +1,7 @@
 """Rules of the kernels, case by case."""
 
 import gzip
+import re
 
 import pytest
 
@@ -209,3 +210,17 @@ def test_addresses(ip, refused):
 )
 def test_url_verdicts(u, private, ok):
     assert (net.url_refusal(u, private) is None) == ok
+
+
+def test_version():
+    import webloom
+    from webloom.sources.http import USER_AGENT, user_agent
+
+    assert USER_AGENT == f"webloom/{webloom.__version__}" and user_agent("9", "https://a.example") == "webloom/9 (+https://a.example)"
+    assert re.fullmatch(r"[0-9]+\.[0-9]+\.[0-9]+", webloom.__version__)
+
+
+def test_first_element():
+    assert tags.first_balanced_where("<P id=b>1</P><p id=b>2</p>", "P", lambda a: a.get("id") == "b") == "1"
+    with pytest.raises(ValueError):
+        tags.first_balanced_where("<p>", "p|b", lambda a: True)

@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from webloom.functions import schemas as S
 from webloom.kernel import bodies, feed, net, page, robots, sitemap, url
 from webloom.kernel.markdown import html_to_markdown
+from webloom.kernel.tags import first_balanced_where
 
 #: Rows that a kernel has at a time, since pages can be large.
 ROWS_AT_ONCE = 256
@@ -95,6 +96,7 @@ page_title = kernel(page.page_title, S.STRING)
 page_byline = kernel(page.page_byline, S.STRING)
 page_meta = kernel(lambda html, u: page.page_meta(html, u or ""), S.META)
 main_content = kernel(_main, S.MAIN)
+first_element = kernel(lambda html, name, attribute, value: first_balanced_where(html, name, lambda a: a.get(attribute) == value), S.STRING)
 extract_links = kernel(lambda html, u: page.extract_links(html, u or ""), S.LINKS)
 url_parts = kernel(_parts, S.URL_PARTS)
 resolve_url = kernel(url.resolve, S.STRING)

@@ -21,6 +21,7 @@ FUNCTIONS = (
     ("web_byline", K.page_byline, 1),
     ("web_meta", K.page_meta, 2),
     ("web_main_content", K.main_content, 1),
+    ("web_first_element", K.first_element, 4),
     ("web_links", K.extract_links, 2),
     ("web_url_parts", K.url_parts, 1),
     ("web_resolve_url", K.resolve_url, 2),

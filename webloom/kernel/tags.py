@@ -130,5 +130,8 @@ def balanced_contents(html: str, name: str) -> Iterator[tuple[Tag, str]]:
 
 
 def first_balanced_where(html: str, name: str, fits: Callable[[dict[str, str]], bool]) -> str | None:
-    """What the first outermost element holds whose attributes fit."""
+    """What the first outermost element holds whose attributes fit. Raises ValueError if the name is none of an element."""
+    if not re.fullmatch("[A-Za-z][A-Za-z0-9-]*", name):
+        raise ValueError(f"{name} is no name of an element")
+    name = name.lower()
     return next((inside for tag, inside in balanced_contents(html, name) if fits(parse_attributes(tag.attributes))), None)

@@ -41,6 +41,12 @@ def main_content(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", F.col("r.value.strategy").alias("strategy"), F.col("r.value.content").alias("content"), _error("r").alias("error"))
 
 
+def first_elements(pages: DataFrame, name: str, attribute: str, value: str) -> DataFrame:
+    """page_id, content, error: what the first outermost element of a name holds whose attribute has the value; null without one."""
+    rows = pages.select("page_id", "html", K.first_element("html", F.lit(name), F.lit(attribute), F.lit(value)).alias("r"))
+    return rows.select("page_id", F.col("r.value").alias("content"), _error("r").alias("error"))
+
+
 def articles(pages: DataFrame) -> DataFrame:
     """page_id, url, title, byline, word_count, markdown, error: the main content as an article."""
     rows = pages.select("page_id", "html", K.read_article("html", "url").alias("r"))

@@ -89,6 +89,10 @@ def article_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.main_content(generated.several_articles(spark, sf_dir)).select("page_id", "strategy", "content")
 
 
+def first_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.first_elements(generated.sections(spark, sf_dir), "section", "id", "s1").select("page_id", "content")
+
+
 def link_host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = P.links(_pages(spark, sf_dir), dedupe=False, limit=None).select(F.regexp_extract("href", "^[a-z]+://([^/]+)", 1).alias("host"))
     return hosts.groupBy("host").agg(F.count("*").alias("n"))
@@ -265,7 +269,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_overview, html_to_text, text_stats, page_title, page_meta, meta_tags, links_all, links_deduped, links_limit, links_by_type, links_base,
-        link_host_counts, main_content, article_candidates, reader, html_to_markdown, misnested_markdown, ssrf_check_ipv4, address_owners, ssrf_check_address, ssrf_validate_url, dns_answers,
+        link_host_counts, main_content, article_candidates, first_elements, reader, html_to_markdown, misnested_markdown, ssrf_check_ipv4, address_owners, ssrf_check_address, ssrf_validate_url, dns_answers,
         robots_rules, robots_verdict, robots_agents, robots_many, sitemap_urls, sitemap_entries, sitemap_crawl, sql_rows, feed_entries, content_type_decision, retry_delay, redirect_follow,
         http_fetch, archived_pages, http_send, http_headers, decoded_bodies, article_parts, display_texts, render_response,
     )
@@ -371,6 +375,8 @@ union all select doc_id, 2, case when k = 0 then b when k = 1 then 'https://www.
 with k as (select doc_id, doc_id % 5 as k, repeat('a', (201 + doc_id % 40)::int) as a, repeat('b', (201 + doc_id % 37)::int) as b from documents)
 select doc_id as page_id, case k when 3 then 'main' when 4 then 'body' else 'article' end as strategy,
   case k when 0 then case when length(b) > length(a) then b else a end when 1 then 'x<article>' || a || '</article><article>' || b || '</article>' when 2 then b when 3 then b else '<article>' || a || b end as content from k""",
+    "first_elements": """
+select doc_id as page_id, case when doc_id % 3 = 1 then 'one ' || doc_id when doc_id % 3 = 0 then 'in <section id=s1>n</section> ' || doc_id when doc_id % 4 <> 0 then '' end as content from documents""",
     "link_host_counts": f"with {_LINKS} select regexp_extract(href, '^[a-z]+://([^/]+)', 1) as host, count(*) as n from links group by 1",
     "main_content": r"""
 with a as (select page_id, html, trim(regexp_extract(html, '(?i)<article[^>]*>([\s\S]*?)</article>', 1), chr(32) || chr(9) || chr(10) || chr(13)) as article from pages),

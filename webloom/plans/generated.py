@@ -79,6 +79,16 @@ def several_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(k.alias("page_id"), F.lit("https://own.example/").alias("url"), html.alias("html"))
 
 
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with ids of several spellings, in one another and within other elements; the wanted one is missing, first or later."""
+    k = F.col("doc_id")
+    html = _joined(
+        "<section class='>' ID=s", k % 3, ">one ", "{doc_id}", "</section><div><Section id = \"s1\">in <section id=s1>n</section> ", "{doc_id}", "</section ></div>",
+        F.when(k % 4 == 0, "<section>open").otherwise("<section id=s1/>"),
+    )
+    return table(spark, sf_dir, "documents").select(k.alias("page_id"), F.when(k % 3 == 2, F.replace(html, F.lit('"s1"'), F.lit("'s&#50;'"))).otherwise(html).alias("html"))
+
+
 def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content types of orders: known and unknown kinds in several spellings, with charsets quoted or not."""
     k = F.col("o_orderkey")
