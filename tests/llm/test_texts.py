@@ -681,3 +681,19 @@ def test_words_of_very_many_shards():
     number, count = trie.words(asked)
     assert time.perf_counter() - began < 1 and len(opened) <= 2 * len(known)
     assert ((number >= 0) == np.isin(asked, known)).all() and (count == np.where(np.isin(asked, known), 5, 0)).all()
+
+
+def test_rules_of_tables_with_clashing_columns(spark):
+    """Extra columns named like those that mining and judging make change nothing."""
+    rows = [(i, f"https://{'bad' if i % 2 else 'good'}.example/{i % 3}?q={i}", "x", "y", "z", "v", "i", 1) for i in range(60)] + [(None, None, "x", "y", "z", "v", "i", 1), (7, "https://bad.example/1", "x", "y", "z", "v", "i", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, path string, rule string, verdict string, items string, best int")
+    plain = pages.select("page_id", "url")
+    label = F.when(F.col("url").contains("bad"), "block").when(F.col("url").isNotNull(), "allow")
+    listed = [("allow", "good.example/1")]
+    found = []
+    for p in (pages, plain):
+        mined = url_filter.mine(p.withColumn("verdict", label), min_support=0.1, min_confidence=0.9, min_lift=1.1)
+        found.append(sorted(map(repr, url_filter.judge(p, listed, mined).collect())))
+        found.append(sorted(map(repr, url_filter.judge(p, listed, mined, most_rules=0).collect())))
+    assert len(found[0]) == 62 and all(f == found[0] for f in found)
+    assert sum("verdict='block'" in r for r in found[0]) == 31
