@@ -116,3 +116,24 @@ def test_links_without_ends_are_linear():
     began = time.perf_counter()
     assert len(page.extract_links("<a href=/x>y" * 20_000, "https://a.example/")) == 20_000
     assert time.perf_counter() - began < 3
+
+
+@pytest.mark.parametrize(
+    ("html", "n"),
+    [
+        ('<div class="entry-content">' * 20_000 + "x" * 300 + "</div>" * 20_000, 300),
+        ("<b>" * 3000 + "x" * 300, 12_300),
+        ("<ol>" + "<li> <b>x </b> y</li>" * 5000 + "</ol>", None),
+        ("<p><i>a<b>b</i>c</b>" * 5000, None),
+    ],
+)
+def test_articles_of_deep_and_wide_pages(html, n):
+    """Tree and markdown too: no call is refused, and nothing is looked through again for each element."""
+    began = time.perf_counter()
+    found = page.read_article(html, "https://a.example/")
+    assert time.perf_counter() - began < 5 and (n is None or len(found["markdown"]) == n)
+
+
+def test_too_deep():
+    with pytest.raises(ValueError):
+        page.read_article("<div>" * 60_000 + "x", "https://a.example/")

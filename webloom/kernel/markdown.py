@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 
 from webloom.kernel.text import BLANK, trim
-from webloom.kernel.tree import VOID, Node, parse
+from webloom.kernel.tree import VOID, Node, parse_with_depth
 
 #: Elements that leave nothing.
 REMOVED = frozenset("script style noscript iframe svg canvas nav footer aside".split())
@@ -77,12 +78,42 @@ def _drop_empty(node: Node) -> None:
     node.children = [c for c in node.children if c.name is not None or c.text]
 
 
-def _has(node: Node, names: frozenset[str]) -> bool:
-    return any(c.name in names or _has(c, names) for c in node.children)
-
-
-def _is_blank(node: Node) -> bool:
-    return node.name not in VOID and node.name not in MEANINGFUL_BLANK and not trim(node.text_content()) and not _has(node, VOID) and not _has(node, MEANINGFUL_BLANK)
+_LEAD, _TRAIL = re.compile(f"[{BLANK}]*"), re.compile(f"[{BLANK}]*\\Z")
+
+
+def _ends(node: Node) -> None:
+    """The blanks at both ends of a node's text (all of it, at its beginning, if there is nothing else), from its children's."""
+    if node.name is None:
+        node.blank = not trim(node.text)
+        node.lead = node.text if node.blank else _LEAD.match(node.text)[0]
+        node.trail = "" if node.blank else _TRAIL.search(node.text)[0]
+        return
+    lead, trail = [], []
+    for c in node.children:
+        lead.append(c.lead)
+        if not c.blank:
+            break
+    node.blank = all(c.blank for c in node.children)
+    if not node.blank:
+        for c in reversed(node.children):
+            trail.append(c.lead if c.blank else c.trail)
+            if not c.blank:
+                break
+    node.lead, node.trail = "".join(lead), "".join(reversed(trail))
+
+
+def _survey(root: Node) -> None:
+    """Notes for each node its place among its siblings and among the elements of these, whether anything is in it, and the blanks at its ends."""
+    order = [root]
+    for node in order:  # parents first: the list grows while it is read
+        nth = 0
+        for i, child in enumerate(node.children):
+            child.at, child.nth = i, nth
+            nth += child.name is not None
+        order.extend(node.children)
+    for node in reversed(order):
+        _ends(node)
+        node.filled = bool(trim(node.text)) if node.name is None else node.name in VOID or node.name in MEANINGFUL_BLANK or any(c.filled for c in node.children)
 
 
 def _join(left: str, right: str) -> str:
@@ -92,16 +123,15 @@ def _join(left: str, right: str) -> str:
 
 def _next(node: Node, step: int) -> Node | None:
     siblings = node.parent.children if node.parent else []
-    i = next(k for k, n in enumerate(siblings) if n is node) + step if siblings else 0
-    return siblings[i] if siblings and 0 <= i < len(siblings) else None
+    i = node.at + step if siblings else 0
+    return siblings[i] if 0 <= i < len(siblings) else None
 
 
 def _touches_blank(node: Node, left: bool) -> bool:
     other = _next(node, -1 if left else 1)
     if other is None or other.name in BLOCKS:
         return False
-    text = other.text if other.name is None else other.text_content()
-    return text.endswith(" ") if left else text.startswith(" ")
+    return (other.trail or (other.lead if other.blank else "")).endswith(" ") if left else other.lead.startswith(" ")
 
 
 def _inside(node: Node, in_code: bool) -> str:
@@ -126,12 +156,10 @@ def _element(node: Node, in_code: bool) -> str:
     content = _inside(node, code_inside)
     lead = trail = ""
     if name not in BLOCKS:
-        text = node.text_content()
-        if trim(text) or text:
+        if node.lead or not node.blank:
             # Blanks at the ends move outside of the marks.
             if not in_code and name != "code":
-                lead = re.match(f"[{BLANK}]*", text)[0]
-                trail = "" if not trim(text) else re.search(f"[{BLANK}]*\\Z", text)[0]
+                lead, trail = node.lead, node.trail
                 if lead and _touches_blank(node, True):
                     lead = ""
                 if trail and _touches_blank(node, False):
@@ -144,7 +172,7 @@ def _element(node: Node, in_code: bool) -> str:
 def _marked(node: Node, content: str) -> str:
     name = node.name
     block = name in BLOCKS
-    if _is_blank(node):
+    if not node.filled:
         return "\n\n" if block else ""
     if name == "p":
         return f"\n\n{content}\n\n"
@@ -187,10 +215,8 @@ def _item(node: Node, content: str) -> str:
     parent = node.parent
     if parent is not None and parent.name == "ol":
         start = parent.attributes.get("start")
-        items = [c for c in parent.children if c.name]
-        index = next(i for i, c in enumerate(items) if c is node)
         first = int(start) if start and re.fullmatch(r"-?\d+", start) else 1
-        prefix = f"{first + index}.  "
+        prefix = f"{first + node.nth}.  "
     return prefix + content + ("\n" if _next(node, 1) is not None and not content.endswith("\n") else "")
 
 
@@ -213,8 +239,22 @@ def _inline_code(content: str) -> str:
     return fence + extra + content + extra + fence
 
 
+#: Elements within one another that are turned into markdown at most.
+MOST_DEPTH = 50_000
+
+
 def html_to_markdown(html: str) -> str:
-    root = parse(html)
-    _collapse_blanks(root)
-    _drop_empty(root)
-    return trim(_inside(root, False))
+    """Raises ValueError for elements within one another beyond MOST_DEPTH."""
+    root, depth = parse_with_depth(html)
+    if depth > MOST_DEPTH:
+        raise ValueError(f"{depth} elements within one another")
+    before = sys.getrecursionlimit()
+    # Each element takes two calls, and these no more than a heap's frame.
+    sys.setrecursionlimit(max(before, 4 * depth + 1000))
+    try:
+        _collapse_blanks(root)
+        _drop_empty(root)
+        _survey(root)
+        return trim(_inside(root, False))
+    finally:
+        sys.setrecursionlimit(before)

@@ -36,7 +36,7 @@ _NO_ENDS: frozenset[str] = frozenset()
 class Node:
     """An element (name, attributes, children) or, without a name, text."""
 
-    __slots__ = ("attributes", "children", "name", "parent", "text")
+    __slots__ = ("at", "attributes", "blank", "children", "filled", "lead", "name", "nth", "parent", "text", "trail")
 
     def __init__(self, name: str | None, attributes: dict[str, str] | None = None, text: str = "") -> None:
         self.name, self.attributes, self.text = name, attributes or {}, text
@@ -67,6 +67,7 @@ class _Builder(HTMLParser):
         self.open: list[Node] = [self.root]
         self.there: set[Node] = {self.root}
         self.names: Counter[str] = Counter({"body": 1})
+        self.deepest = 1
         #: Formatting that goes on until it is closed; None stands before what a cell, caption or object begins anew.
         self.formatting: list[Node | None] = []
         self.fostering = False
@@ -77,6 +78,7 @@ class _Builder(HTMLParser):
         self.open.insert(len(self.open) if at is None else at, node)
         self.there.add(node)
         self.names[node.name] += 1
+        self.deepest = max(self.deepest, len(self.open))
 
     def _remove(self, node: Node) -> None:
         if self.open[-1] is node:
@@ -118,13 +120,13 @@ class _Builder(HTMLParser):
             k = next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i].name == "table")
             table = self.open[k]
             if table.parent is not None:
-                return table.parent, next(i for i, c in enumerate(table.parent.children) if c is table)
+                siblings = table.parent.children
+                return table.parent, next(i for i in range(len(siblings) - 1, -1, -1) if siblings[i] is table)
             return self.open[k - 1], len(self.open[k - 1].children)
         return target, len(target.children)
 
     def _put(self, node: Node, target: Node | None = None) -> Node:
-        if node.parent is not None:
-            node.parent.children = [c for c in node.parent.children if c is not node]
+        self._detached(node)
         parent, i = self._place(target)
         node.parent = parent
         parent.children.insert(i, node)
@@ -252,7 +254,9 @@ class _Builder(HTMLParser):
     @staticmethod
     def _detached(node: Node) -> Node:
         if node.parent is not None:
-            node.parent.children = [c for c in node.parent.children if c is not node]
+            siblings = node.parent.children
+            del siblings[next(i for i in range(len(siblings) - 1, -1, -1) if siblings[i] is node)]  # most often the last one
+            node.parent = None
         return node
 
     def _end_other(self, tag: str) -> None:
@@ -432,7 +436,12 @@ class _Builder(HTMLParser):
 
 def parse(html: str) -> Node:
     """The body's node; what belongs into the head stands first in it."""
+    return parse_with_depth(html)[0]
+
+
+def parse_with_depth(html: str) -> tuple[Node, int]:
+    """The body's node, and how many elements were open at once."""
     builder = _Builder()
     builder.feed(html)
     builder.close()
-    return builder.root
+    return builder.root, builder.deepest
