@@ -4,9 +4,11 @@ import ipaddress
 import random
 
 import pytest
+from oracle import assert_same, connection
 
 from webloom.kernel import net as kernel
 from webloom.operators import net
+from webloom.plans import catalog
 
 
 def span(text):
@@ -66,3 +68,21 @@ def test_found_by_equality(spark):
 def test_pieces(text, n):
     pieces = kernel.range_pieces(text)
     assert len(pieces) == n and len({p["width"] for p in pieces}) == 1 and len(pieces[0]["width"]) == 33
+
+
+def test_named_ranges(spark):
+    """Names are given for ranges, order equally wide ones, and need not be addresses."""
+    ranges = spark.createDataFrame([("10.0.0.0/8", "wide"), ("10.1.0.0/16", "b"), ("10.1.0.0-10.1.255.255", "a"), ("no", "none")], "range string, name string")
+    found = net.address_owners(spark.createDataFrame([("10.1.2.3",), ("10.2.0.0",), ("11.0.0.0",)], "ip string"), ranges).collect()
+    assert {r.ip: r.range for r in found} == {"10.1.2.3": "a", "10.2.0.0": "wide", "11.0.0.0": None}
+
+
+def test_customers_beyond_one_group(spark, tmp_path):
+    """Customers' keys of more than 16 bits: their addresses have two groups for them, their names one number."""
+    con = connection()
+    con.sql(f"copy (select c.* replace (c_custkey + 65530 as c_custkey) from customer c order by c_custkey limit 40) to '{tmp_path}/customer.parquet' (format parquet)")
+    con.sql(f"copy documents to '{tmp_path}/documents.parquet' (format parquet)")
+    con.sql(f"create or replace view customer as select * from '{tmp_path}/customer.parquet'")
+    got = catalog.address_owners(spark, str(tmp_path)).toPandas()
+    assert sum(ip.partition("::")[2] > "1" and len(ip.partition("::")[2]) == 5 and r is not None for ip, r in zip(got["ip"], got["range"], strict=True)) > 2
+    assert_same(got, con.sql(catalog.ORACLES["address_owners"]).df())

@@ -32,7 +32,8 @@ def addresses_with_range(addresses: DataFrame) -> DataFrame:
 def _numbered(addresses: DataFrame) -> DataFrame:
     """ip, family, high, low of each distinct address; only what isn't a dotted address goes to Python."""
     n = ipv4_to_long(F.col("ip"))
-    rows = addresses.select("ip").distinct().select("ip", n.alias("n"), K.address_number(F.when(n.isNull(), F.col("ip")))["value"].alias("v"))
+    tasks = int(addresses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = addresses.select("ip").repartition(tasks, "ip").distinct().select("ip", n.alias("n"), K.address_number(F.when(n.isNull(), F.col("ip")))["value"].alias("v"))
     dotted = F.struct(F.lit(4).alias("family"), F.shiftleft("n", 32).alias("high"), F.lit(0).cast("long").alias("low"))
     return rows.select("ip", F.when(F.col("n").isNotNull(), dotted).otherwise(F.col("v")).alias("v")).select("ip", "v.*")
 
@@ -40,13 +41,17 @@ def _numbered(addresses: DataFrame) -> DataFrame:
 def address_owners(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     """Every row of addresses (ip) with range, the narrowest of ranges (range) that holds it; of equally wide ones the first by its text; else null.
 
+    Where ranges has a column name, that is given instead of the range's text, and orders equally wide ones.
+
     A range is an address, a network or two addresses, of either family. It is cut into prefixes; an address is looked up under its own prefixes,
     of those lengths alone that occur (162 at most), by equality: no two tables are compared by bounds. Ranges and addresses that can't be
     read match nothing.
     """
-    pieces = written(ranges.select("range", F.explode(K.range_pieces("range")["value"]).alias("p")).select("range", "p.*"), "ranges")
+    tasks = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = ranges.select("range", F.col("name" if "name" in ranges.columns else "range").alias("name")).repartition(tasks, "range")
+    pieces = written(named.select("name", F.explode(K.range_pieces("range")["value"]).alias("p")).select("name", "p.*"), "ranges")
     # The same piece of several ranges: the narrowest range counts.
-    pieces = pieces.groupBy("family", "length", "high", "low").agg(F.min(F.struct("width", "range")).alias("best"))
+    pieces = pieces.groupBy("family", "length", "high", "low").agg(F.min(F.struct("width", "name")).alias("best"))
     lengths = {4: [], 6: []}
     for r in pieces.select("family", "length").distinct().collect():
         lengths[r["family"]].append(r["length"])
@@ -55,7 +60,7 @@ def address_owners(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     high = F.expr("case when length >= 64 then high when length = 0 then 0L else high & shiftleft(-1L, 64 - length) end")
     low = F.expr("case when length = 128 then low when length <= 64 then 0L else low & shiftleft(-1L, 128 - length) end")
     found = asked.select("ip", "family", "length", high.alias("high"), low.alias("low")).join(pieces, ["family", "length", "high", "low"])
-    best = found.groupBy("ip").agg(F.min("best")["range"].alias("range"))
+    best = found.groupBy("ip").agg(F.min("best")["name"].alias("range"))
     return addresses.join(best, "ip", "left")
 
 
