@@ -9,6 +9,7 @@ import time
 from pathlib import Path
 
 import pytest
+from oracle import assert_same, connection
 from pyspark.sql import functions as F
 
 from webloom.functions import http as H
@@ -16,6 +17,7 @@ from webloom.functions import kernels as K
 from webloom.functions import text as X
 from webloom.functions.registry import register
 from webloom.operators import feeds, pages, robots, sitemaps
+from webloom.plans import catalog
 from webloom.sources import exchange as E
 from webloom.sources import http as S
 from webloom.sources import lanes
@@ -90,6 +92,19 @@ def test_sitemap_crawl_limits(spark):
     assert every["urls"].count() == 4 and every["visited"].where("crawl_id = 1").count() == 3
 
 
+def test_sitemap_crawl_of_all_urls(spark, tmp_path):
+    """A region with more URLs than a crawl takes by default."""
+    con = connection()
+    for t in ("region", "nation"):
+        con.sql(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    con.sql(f"copy (select i as s_suppkey, (i % 2)::int as s_nationkey from range(10400) t(i)) to '{tmp_path}/supplier.parquet' (format parquet)")
+    con.sql(f"create or replace view supplier as select * from '{tmp_path}/supplier.parquet'")
+    assert_same(catalog.sitemap_crawl(spark, str(tmp_path)).toPandas(), con.sql(catalog.ORACLES["sitemap_crawl"]).df())
+    site = spark.createDataFrame([("r", 200, bytearray(b"<urlset><url><loc>1</loc></url><url><loc>2</loc></url></urlset>"))], "url string, status int, body binary")
+    seeds = spark.createDataFrame([(1, "r")], "crawl_id long, url string")
+    assert [(r.url_count, r.truncated) for r in sitemaps.crawl(seeds, site, max_urls=None)["summary"].collect()] == [(2, False)]
+
+
 def test_text_functions(spark):
     r = spark.createDataFrame([("a😀b", " x\n\u00a0y ")], "a string, b string").select(
         X.utf16_len(F.col("a")).alias("n"), X.collapse(F.col("b")).alias("c"), X.word_count(F.col("b")).alias("w"), X.display_cap(F.col("b"), 2).alias("d"), X.normalized_host(F.lit("WWW.A.b")).alias("h")

@@ -35,15 +35,16 @@ def entries(responses: DataFrame) -> DataFrame:
     return rows.unionByName(none.select("url", why.alias("error")), allowMissingColumns=True)
 
 
-def crawl(seeds: DataFrame, responses: DataFrame, max_depth: int = 1, max_urls: int = 5000) -> dict[str, DataFrame]:
+def crawl(seeds: DataFrame, responses: DataFrame, max_depth: int = 1, max_urls: int | None = 5000) -> dict[str, DataFrame]:
     """From seeds (crawl_id, url): ``visited``, ``urls``, ``children``, ``warnings`` and ``summary`` of each crawl.
 
     Each level joins the sitemaps to visit with the responses, of which only these are parsed, and its children that weren't
-    seen, in order of discovery, are the next. A crawl that has max_urls goes to no further level; URLs are not made unique.
+    seen, in order of discovery, are the next. A crawl that has max_urls goes to no further level; URLs are not made unique. With None
+    for max_urls all URLs are taken.
     The driver only counts the levels.
     """
-    if not 0 <= max_depth <= 3 or not 1 <= max_urls <= 50_000:
-        raise ValueError("max_depth is 0 to 3, max_urls 1 to 50000")
+    if not 0 <= max_depth <= 3 or max_urls is not None and not 1 <= max_urls <= 50_000:
+        raise ValueError("max_depth is 0 to 3, max_urls 1 to 50000, or None")
     queue = seeds.select("crawl_id", "url", F.array(F.lit(0)).alias("place"), F.lit(0).alias("depth"))
     levels: list[DataFrame] = []
     for depth in range(max_depth + 1):
@@ -56,17 +57,25 @@ def crawl(seeds: DataFrame, responses: DataFrame, max_depth: int = 1, max_urls:
         seen = reduce(DataFrame.unionByName, (x.select("crawl_id", "url") for x in levels)).distinct()
         children = found.select("crawl_id", "place", F.posexplode("child_sitemaps").alias("i", "url")).select("crawl_id", "url", F.array_append("place", F.col("i")).alias("place"))
         first = children.groupBy("crawl_id", "url").agg(F.min("place").alias("place"))
-        gathered = reduce(DataFrame.unionByName, (x.select("crawl_id", F.size("urls").alias("n")) for x in levels)).groupBy("crawl_id").agg(F.sum(F.greatest("n", F.lit(0))).alias("n"))
-        open_ = gathered.where(F.coalesce("n", F.lit(0)) < max_urls).select("crawl_id")
-        queue = cut(first.join(seen, ["crawl_id", "url"], "left_anti").join(open_, "crawl_id", "left_semi").withColumn("depth", F.lit(depth + 1)))
+        unseen = first.join(seen, ["crawl_id", "url"], "left_anti")
+        if max_urls is not None:
+            gathered = reduce(DataFrame.unionByName, (x.select("crawl_id", F.size("urls").alias("n")) for x in levels)).groupBy("crawl_id").agg(F.sum(F.greatest("n", F.lit(0))).alias("n"))
+            open_ = gathered.where(F.coalesce("n", F.lit(0)) < max_urls).select("crawl_id")
+            unseen = unseen.join(open_, "crawl_id", "left_semi")
+        queue = cut(unseen.withColumn("depth", F.lit(depth + 1)))
     every = reduce(DataFrame.unionByName, levels)
     # In order: level by level, each as it was found. A sitemap is visited while those before it gave too few URLs.
     order = Window.partitionBy("crawl_id").orderBy("depth", "place")
+    taken, gathered, full = F.col("urls"), F.sum(F.coalesce(F.size("urls"), F.lit(0))), F.lit(False)
     before = F.coalesce(F.sum(F.coalesce(F.size("urls"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    visits = cut(every.withColumn("rank", F.row_number().over(order)).withColumn("before", before).where(F.col("before") < max_urls))
+    visits = every.withColumn("rank", F.row_number().over(order)).withColumn("before", before)
+    if max_urls is not None:
+        taken, gathered, full = F.slice("urls", 1, F.greatest(F.lit(0), max_urls - F.col("before")).cast("int")), F.least(gathered, F.lit(max_urls)), F.col("url_count") >= max_urls
+        visits = visits.where(F.col("before") < max_urls)
+    visits = cut(visits)
     visited = visits.select("crawl_id", "rank", "url", "depth", "error")
     urls = (
-        visits.select("crawl_id", "rank", "depth", "before", F.col("url").alias("sitemap"), F.posexplode(F.slice("urls", 1, F.greatest(F.lit(0), max_urls - F.col("before")).cast("int"))).alias("i", "u"))
+        visits.select("crawl_id", "rank", "depth", "before", F.col("url").alias("sitemap"), F.posexplode(taken).alias("i", "u"))
         .select("crawl_id", (F.col("before") + F.col("i")).cast("long").alias("pos"), "sitemap", "depth", "u.*")
     )
     children = visits.where(F.col("depth") == max_depth).select("crawl_id", "rank", F.posexplode("child_sitemaps").alias("i", "url"))
@@ -75,8 +84,8 @@ def crawl(seeds: DataFrame, responses: DataFrame, max_depth: int = 1, max_urls:
     warnings = failed.where((F.col("rank") > 1) | (F.col("before") > 0)).select("crawl_id", "url", "error")
     summary = visits.groupBy("crawl_id").agg(
         F.sum(F.when(F.col("error").isNull(), 1).otherwise(0)).alias("sitemaps"),
-        F.least(F.sum(F.coalesce(F.size("urls"), F.lit(0))), F.lit(max_urls)).cast("long").alias("url_count"),
+        gathered.cast("long").alias("url_count"),
         F.max(F.when((F.col("rank") == 1), F.col("error"))).alias("error"),
     )
-    summary = summary.withColumn("truncated", F.col("url_count") >= max_urls)
+    summary = summary.withColumn("truncated", full)
     return {"visited": visited, "urls": urls, "children": children, "warnings": warnings, "summary": summary}
