@@ -217,3 +217,68 @@ def test_overwriting_a_log_is_refused(spark, tmp_path):
     rows = spark.createDataFrame([(1, {"url": "https://a.example/", "method": "POST"})], REQUEST)
     with pytest.raises(Exception, match="append to the log"):
         rows.write.format("webloom_http").options(**E.http_options(str(tmp_path))).mode("overwrite").save()
+
+
+# Cost
+
+
+def test_a_lanes_jobs_take_turns_in_a_thread():
+    """Requests that are answered at once don't each wait for a thread, and a slow lane gives its thread back after one."""
+
+    def attempt(job):
+        time.sleep(0.05 if job.lane == "slow" else 0)
+
+    rows = [lanes.Job(i, {}, "fast") for i in range(2000)] + [lanes.Job(2000 + i, {}, "slow") for i in range(5)]
+    under_way = []
+
+    class Counting(lanes.ThreadPoolExecutor):
+        def submit(self, f, jobs):
+            under_way.append(len(jobs))
+            return super().submit(f, jobs)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lanes, "ThreadPoolExecutor", Counting)
+        found = [j.id for j in lanes.answered(iter(rows), attempt)]
+    assert sorted(found) == list(range(2005)) and [i for i in found if i < 2000] == list(range(2000)) and [i for i in found if i >= 2000] == list(range(2000, 2005))
+    assert max(under_way) == lanes.IN_TURN and len(under_way) < 500
+
+
+def test_what_was_answered_before_an_error_is_given():
+    def attempt(job):
+        if job.id == 100:
+            raise RuntimeError("lost")
+
+    got = []
+    with pytest.raises(RuntimeError):
+        for jobs in lanes.batches(lanes.answered(iter([lanes.Job(i, {}, "a") for i in range(200)]), attempt)):
+            got += [j.id for j in jobs]
+    assert got == list(range(100))
+
+
+def test_lanes_of_a_host_are_different_tasks(spark):
+    rows = spark.range(4000).select(F.col("id").alias("request_id"), F.struct(F.concat(F.lit("https://h"), F.col("id") % 9, F.lit(".example/"), "id").alias("url")).alias("request"))
+    placed = lanes.dealt(rows, 5).select("lane", F.spark_partition_id().alias("task")).distinct().collect()
+    hosts = {}
+    for r in placed:
+        hosts.setdefault(r.lane.partition("#")[0], []).append(r.task)
+    assert len(hosts) == 9 and all(len(t) == len(set(t)) == lanes.PER_HOST for t in hosts.values())
+
+
+def test_a_lookup_reads_few_rows(spark, monkeypatch):
+    """One host of many responses: buckets follow the number of rows, and a lookup reads one row group of one of them."""
+    n = 5000
+    made = F.struct(F.lit("GET").alias("method"), F.concat(F.lit("https://h.example/"), "id").alias("url"), F.lit(0).alias("attempt"), F.lit(200).alias("status"), F.lit("").alias("status_text"), F.create_map(F.lit("a"), F.lit("b")).alias("headers"), F.col("id").cast("string").cast("binary").alias("body"))
+    transport = E.stage_captured(spark.range(n).select(made.alias("r")).select("r.*"), folder(spark, "captured"))
+    read = []
+
+    class Seen(E.pq.ParquetFile):
+        def read_row_groups(self, groups, **options):
+            read.append(sum(self.metadata.row_group(i).num_rows for i in groups))
+            return super().read_row_groups(groups, **options)
+
+    monkeypatch.setattr(E.pq, "ParquetFile", Seen)
+    for i in range(0, n, 500):
+        (row,) = transport.captured(f"https://h.example/{i}")
+        assert row["body"] == str(i).encode()
+    assert transport.captured("https://h.example/none") == [] and transport.buckets == 6 and max(read) <= E.GROUP_ROWS
+    clear_written(spark)

@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from webloom.cut import written
 from webloom.functions.schemas import RESPONSE
 from webloom.sources.http import NOT_IDEMPOTENT, UNKNOWN, Raw, Refused, Transport, failure, jobs_of, response_batch, response_type, tries
-from webloom.sources.lanes import Job, answered, batches, dealt, host_of
+from webloom.sources.lanes import Job, answered, batches, dealt
 
 #: Seconds between signs of life of a task that sends, and without one after which it counts as lost.
 BEAT_S, LEASE_S = 1.0, 30.0
@@ -99,8 +100,28 @@ class HttpReader(DataSourceReader):
             yield response_batch(done, self.kind)
 
 
+#: Rows of a bucket of captured responses, about, and of a row group, at most; footers of buckets that a process keeps.
+BUCKET_ROWS, GROUP_ROWS, BUCKETS_KEPT = 1000, 16, 512
+
+
+@lru_cache(BUCKETS_KEPT)
+def _bucket(path: str, n: int) -> list[tuple[str, pq.FileMetaData, list[tuple[str, str] | None]]]:
+    """The files of a bucket, their footers, and the least and the greatest URL of each row group; very long ones have none. What is staged doesn't change."""
+    files, root = fs.FileSystem.from_uri(path)
+    out = []
+    for f in files.get_file_info(fs.FileSelector(f"{root}/bucket={n}", allow_not_found=True)):
+        if f.base_name.endswith(".parquet"):
+            with files.open_input_file(f.path) as source:
+                footer = pq.read_metadata(source)
+            place = footer.schema.names.index("url")
+            known = [footer.row_group(i).column(place).statistics for i in range(footer.num_row_groups)]
+            out.append((f.path, footer, [(k.min, k.max) if k is not None and k.has_min_max else None for k in known]))
+    return out
+
+
 class CapturedTable:
-    """A transport that replays responses of a table that ``stage_captured`` wrote. A lookup reads the row groups that may hold its URL, so no task holds a host."""
+    """A transport that replays responses of a table that ``stage_captured`` wrote. A lookup reads the row groups of its URL's bucket that may hold it, so it costs
+    the same however many responses there are, and no task holds a host."""
 
     def __init__(self, path: str, buckets: int) -> None:
         self.path, self.buckets, self.sent = path, buckets, {}
@@ -110,28 +131,40 @@ class CapturedTable:
 
     def send(self, method: str, url: Any, address: str, headers: dict[str, str], body: bytes | None, timeout_s: float, max_bytes: int) -> Raw:
         n = self.sent[method, str(url)] = self.sent.get((method, str(url)), -1) + 1
-        files, root = fs.FileSystem.from_uri(self.path)
-        folder = f"{root}/bucket={bucket_of(url.netloc, self.buckets)}"
-        if files.get_file_info(folder).type == fs.FileType.NotFound:
-            raise OSError(f"no response captured for {method} {url}")
-        rows = ds.dataset(folder, format="parquet", filesystem=files).to_table(filter=(pc.field("url") == str(url)) & (pc.field("method") == method)).to_pylist()
+        rows = [r for r in self.captured(str(url)) if r["method"] == method]
         row = next((r for wanted in (n, 0) for r in rows if r["attempt"] == wanted), None)
         if row is None:
             raise OSError(f"no response captured for {method} {url}")
         return Raw(row["status"], row["status_text"] or "", dict(row["headers"] or []), (row["body"] or b"")[: max_bytes + 1])
 
+    def captured(self, url: str) -> list[dict[str, Any]]:
+        """All responses of a URL."""
+        files, _ = fs.FileSystem.from_uri(self.path)
+        rows: list[dict[str, Any]] = []
+        for path, footer, bounds in _bucket(self.path, bucket_of(url, self.buckets)):
+            if found := [i for i, ends in enumerate(bounds) if ends is None or ends[0] <= url <= ends[1]]:
+                with files.open_input_file(path) as source:
+                    table = pq.ParquetFile(source, metadata=footer).read_row_groups(found, use_threads=False)
+                rows += table.filter(pc.equal(table["url"], url)).to_pylist()
+        return rows
+
 
-def bucket_of(host: str, buckets: int) -> int:
-    return zlib.crc32(host.lower().encode()) % buckets
+def bucket_of(url: str, buckets: int) -> int:
+    return zlib.crc32(url.encode()) % buckets
 
 
-def stage_captured(responses: DataFrame, path: str, buckets: int = 64) -> CapturedTable:
-    """Writes responses (method, url, attempt, status, status_text, headers, body) by their hosts, each host's in order of URL, in small row groups."""
-    rows = responses.withColumn("bucket", (F.crc32(host_of(F.col("url")).cast("binary")) % buckets).cast("int"))
-    # By ranges of URLs within the buckets, so that a host with very many responses is several files.
-    rows = rows.repartitionByRange("bucket", "url").sortWithinPartitions("bucket", "url")
-    rows.write.option("parquet.block.size", str(1 << 20)).partitionBy("bucket").parquet(path)
-    return CapturedTable(path, buckets)
+def stage_captured(responses: DataFrame, path: str, buckets: int | None = None) -> CapturedTable:
+    """Writes responses (method, url, attempt, status, status_text, headers, body) by their URLs in buckets, each in order of URL, in small row groups.
+
+    If no number of buckets is given, it follows the number of rows.
+    """
+    n = buckets or responses.count() // BUCKET_ROWS + 1
+    rows = responses.withColumn("bucket", (F.crc32(F.col("url").cast("binary")) % n).cast("int"))
+    tasks = int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "url")
+    small = {"parquet.block.size": str(1 << 18), "parquet.page.size.row.check.min": "16", "parquet.block.row.count.limit": str(GROUP_ROWS)}
+    rows.write.options(**small).partitionBy("bucket").parquet(path)
+    return CapturedTable(path, n)
 
 
 # Writing
