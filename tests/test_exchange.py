@@ -282,3 +282,26 @@ def test_a_lookup_reads_few_rows(spark, monkeypatch):
         assert row["body"] == str(i).encode()
     assert transport.captured("https://h.example/none") == [] and transport.buckets == 6 and max(read) <= E.GROUP_ROWS
     clear_written(spark)
+
+
+def test_pieces_become_tables(tmp_path):
+    """Responses are stored by 64 as they come, and shown by thousands; no piece stays."""
+    w = writer(tmp_path, Counted())
+    w.commit([w.task(iter([batch(5000)]), 0, 0)])
+    assert len(shown(tmp_path)) == 5000 and len(list((tmp_path / "responses").iterdir())) == 2
+
+
+def test_pieces_of_a_lost_attempt(tmp_path, monkeypatch):
+    """A loss between storing a table and dropping its pieces gives no row twice."""
+    monkeypatch.setattr(Counted, "dies_at", 4500)
+    monkeypatch.setattr(E._Log, "drop", lambda *_: None)
+    w = writer(tmp_path, Counted(), lease=0.5)
+    with pytest.raises(RuntimeError):
+        w.task(iter([batch(5000)]), 0, 0)
+    monkeypatch.undo()
+    second, third = w.task(iter([batch(5000)]), 0, 1), w.task(iter([batch(5000)]), 0, 2)
+    assert sorted(second.files) == sorted(third.files) and len(second.files) == 3
+    w.commit([third])
+    found = shown(tmp_path)
+    assert len(found) == 5000 and sum(r["status"] == 201 for r in found.values()) >= 4500 and found[4999]["error"] == E.UNKNOWN
+    assert {p.name[:5] for p in (tmp_path / "responses").iterdir()} == {"part-"}

@@ -6,7 +6,7 @@
 
 Reading plans a partition for each task's share of the hosts' lanes; the requests lie in a folder for each. Writing submits each request at
 most once: only a task's first attempt sends. What it has got is stored as it goes; a later attempt (after a loss, or a speculative copy)
-never sends, and waits as long as the first gives signs of life. Then it answers as the first did, or takes what that one had stored and says of the others that it
+never sends, and waits as long as the first gives signs of life (pieces of 64 responses are stored as they come, 64 pieces become a table). Then it answers as the first did, or takes what that one had stored and says of the others that it
 isn't known whether they were sent. Responses become visible when all tasks have ended; a job that is given up shows what it had got.
 
 Folders are reached through pyarrow's file systems (local paths, ``file:``, ``hdfs:``, ``s3:``); others give an error when the plan is made.
@@ -15,6 +15,7 @@ Folders are reached through pyarrow's file systems (local paths, ``file:``, ``hd
 from __future__ import annotations
 
 import base64
+import contextlib
 import json
 import threading
 import time
@@ -43,6 +44,8 @@ from webloom.sources.lanes import Job, answered, batches, dealt
 
 #: Seconds between signs of life of a task that sends, and without one after which it counts as lost.
 BEAT_S, LEASE_S = 1.0, 30.0
+#: Pieces (64 responses each), and their bytes, that a sending task stores before they become one table; rows of a table of requests that weren't sent again.
+PIECES, PIECES_BYTES, UNKNOWN_ROWS = 64, 32 << 20, 4096
 
 
 def http_options(path: str, transport: Transport | None = None, lease_s: float = LEASE_S, id_type: str = "bigint") -> dict[str, str]:
@@ -196,9 +199,39 @@ class _Log:
         except FileNotFoundError:
             return None
 
-    def pending(self, partition: int | None = None) -> list[str]:
-        start = f".pending-{self.job}-" + (f"{partition}-" if partition is not None else "")
-        return sorted(f.base_name for f in self.files.get_file_info(fs.FileSelector(self.folder)) if f.base_name.startswith(start))
+    def name(self, partition: int, attempt: int, first: int, last: int, kind: str = "parquet") -> str:
+        """A table of an attempt's pieces first to last, or one piece (``arrow``)."""
+        return f".pending-{self.job}-{partition}-{attempt}-{first}-{last}.{kind}"
+
+    def stored(self) -> dict[int, list[tuple[int, int, int, str]]]:
+        """attempt, first, last and name of what the partitions have stored."""
+        found: dict[int, list[tuple[int, int, int, str]]] = {}
+        start = f".pending-{self.job}-"
+        for f in self.files.get_file_info(fs.FileSelector(self.folder)):
+            if f.base_name.startswith(start):
+                partition, *numbers = map(int, f.base_name.removeprefix(start).partition(".")[0].split("-"))
+                found.setdefault(partition, []).append((*numbers, f.base_name))
+        return found
+
+    def pending(self, partition: int) -> tuple[list[str], list[tuple[int, str]]]:
+        """A partition's tables, and the pieces (number, name) that are in none of them. Of two tables with the same piece the longer one counts."""
+        tables, pieces, seen = [], [], set()
+        found = sorted(self.stored().get(partition, []), key=lambda f: (f[0], f[1], -f[2]))
+        for kind in ("parquet", "arrow"):
+            for attempt, first, last, name in found:
+                numbers = {(attempt, i) for i in range(first, last + 1)}
+                if name.endswith(kind) and not numbers & seen:
+                    seen |= numbers
+                    if kind == "parquet":
+                        tables.append(name)
+                    else:
+                        pieces.append((first, name))
+        return tables, pieces
+
+    def drop(self, names: list[str]) -> None:
+        for name in names:
+            with contextlib.suppress(FileNotFoundError):
+                self.files.delete_file(f"{self.folder}/{name}")
 
     def publish(self, names: list[str]) -> None:
         for name in names:
@@ -206,8 +239,8 @@ class _Log:
 
     def clear(self) -> None:
         for f in self.files.get_file_info(fs.FileSelector(self.folder)):
-            if f.base_name.startswith((f".beat-{self.job}-", f".done-{self.job}-")):
-                self.files.delete_file(f.path)
+            if f.base_name.startswith((f".beat-{self.job}-", f".done-{self.job}-")) or f.base_name.startswith(f".pending-{self.job}-") and f.base_name.endswith(".arrow"):
+                self.drop([f.base_name])
 
 
 class HttpWriter(DataSourceArrowWriter):
@@ -215,11 +248,30 @@ class HttpWriter(DataSourceArrowWriter):
         self.options, self.job = options, uuid.uuid4().hex
         self.kind = schema["request_id"].dataType
 
-    def _store(self, log: _Log, name: str, jobs: list[Job]) -> None:
+    def _store(self, log: _Log, name: str, batches: list[pa.RecordBatch]) -> None:
         sink = pa.BufferOutputStream()
-        pq.write_table(pa.Table.from_batches([response_batch(jobs, self.kind)]), sink)
+        if name.endswith("arrow"):
+            with pa.ipc.new_stream(sink, batches[0].schema) as out:
+                out.write_batch(batches[0])
+        else:
+            pq.write_table(pa.Table.from_batches(batches), sink)
         log.put(name, sink.getvalue().to_pybytes())
 
+    def _gathered(self, log: _Log, partition: int) -> list[str]:
+        """The tables of all that a partition has stored; pieces become one."""
+        while True:
+            tables, pieces = log.pending(partition)
+            found = [log.get(name) for _, name in pieces]
+            # A first attempt that was only slow may just have made a table of them.
+            if None not in found:
+                break
+        if pieces:
+            name = log.name(partition, 0, pieces[0][0], pieces[-1][0])
+            self._store(log, name, [b for data in found for b in pa.ipc.open_stream(data)])
+            log.drop([name for _, name in pieces])
+            tables.append(name)
+        return tables
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Sent:
         context = TaskContext.get()
         return self.task(iterator, context.partitionId(), context.attemptNumber())
@@ -230,6 +282,13 @@ class HttpWriter(DataSourceArrowWriter):
 
     def _first(self, log: _Log, rows: Iterator[pa.RecordBatch], partition: int) -> Sent:
         over, names = threading.Event(), []
+        held: list[pa.RecordBatch] = []
+        first = 0
+
+        def table() -> None:
+            names.append(log.name(partition, 0, first, first + len(held) - 1))
+            self._store(log, names[-1], held)
+            log.drop([log.name(partition, 0, i, i, "arrow") for i in range(first, first + len(held) - 1)])
 
         def beat() -> None:
             while True:
@@ -241,9 +300,16 @@ class HttpWriter(DataSourceArrowWriter):
         alive.start()
         try:
             for done in batches(answered(jobs_of(rows), tries(_transport(self.options)))):
-                name = f".pending-{self.job}-{partition}-0-{len(names)}.parquet"
-                self._store(log, name, done)
-                names.append(name)
+                held.append(response_batch(done, self.kind))
+                if len(held) < PIECES and sum(b.nbytes for b in held) < PIECES_BYTES:
+                    i = first + len(held) - 1
+                    self._store(log, log.name(partition, 0, i, i, "arrow"), held[-1:])
+                else:
+                    table()
+                    first, held = first + len(held), []
+            if held:
+                table()
+                log.drop([log.name(partition, 0, first + len(held) - 1, first + len(held) - 1, "arrow")])
             log.put(f".done-{self.job}-{partition}", json.dumps(names).encode())
         finally:
             over.set()
@@ -262,14 +328,14 @@ class HttpWriter(DataSourceArrowWriter):
             time.sleep(min(BEAT_S, lease / 4))
         if done is not None:
             return Sent(json.loads(done))
-        names = log.pending(partition)
+        names = self._gathered(log, partition)
         known = {x for n in names for x in pq.read_table(pa.BufferReader(log.get(n)), columns=["request_id"])["request_id"].to_pylist()}
         # Further files may come from a first attempt that was only slow; they stay hidden.
         started = time.monotonic()
         lost = (Job(j.id, None, "", response=failure((j.row or {}).get("url") or "", UNKNOWN, [], started)) for j in jobs_of(rows) if j.id not in known)
-        for i, unknown in enumerate(batches(lost)):
-            names.append(name := f".pending-{self.job}-{partition}-{attempt}-{i}.parquet")
-            self._store(log, name, unknown)
+        for i, unknown in enumerate(batches(lost, UNKNOWN_ROWS)):
+            names.append(name := log.name(partition, attempt, i, i))
+            self._store(log, name, [response_batch(unknown, self.kind)])
         return Sent(names)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -280,7 +346,8 @@ class HttpWriter(DataSourceArrowWriter):
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         """What was answered is shown; the rest stays open, and the log's next call says so."""
         log = _Log(self.options["path"], self.job)
-        log.publish(log.pending())
+        for partition in log.stored():
+            log.publish(self._gathered(log, partition))
         log.clear()
 
 
